@@ -73,3 +73,8 @@ def attach(left: DataFrame, table: DataFrame, keys: list[str], copies: str, tota
 
 def parts_for(rows: int, each: int) -> int:
     return max(1, ceil(rows / each))
+
+
+def row_key(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with a 128-bit key (_k1, _k2) of doc_id and text that is never null; rows alike in both share it."""
+    return df.withColumn("_k1", F.xxhash64(F.lit(1), "doc_id", text)).withColumn("_k2", F.xxhash64(text, F.lit(2), "doc_id"))
