@@ -83,7 +83,7 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"].cast("bigint")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, keys: bool = False) -> DataFrame:
     """Per document the benchmark windows it holds.
 
     A window is ``size`` consecutive item words (all words of a shorter item). A document can hold a window only if it
@@ -91,7 +91,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     words themselves decide. A document is contaminated if hit words are at least one in ``share`` of its words.
 
     Null and empty texts have no words and no hits; a null item id is not listed. Repeated rows give repeated results.
-    Other columns are ignored. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    Other columns are ignored. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``keys`` first the row key.
     """
     index = util.save(_index(docs, windows_of(benchmark, size)), "windows")
     found = util.save(_candidates(docs, index, size), "candidates")
@@ -107,5 +107,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")
-    )
+        *(["_k1", "_k2"] if keys else []), "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated; see ``contamination``."""
+    judged = contamination(docs, benchmark, size, share, keys=True).filter("contaminated").select("_k1", "_k2").distinct()
+    rows = util.row_key(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    return rows.join(util.small(util.save(judged, "contaminated")), ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -99,7 +99,7 @@ def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
     left = meta.select(F.col("block").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(first("lo", 0), first("hi", 0))).alias("cell"))
     right = meta.select(F.col("block").alias("b"), "label", "dim", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(first("lo", -epsilon), first("hi", epsilon))).alias("cell"))
     gap = F.zip_with("alo", "bhi", lambda x, y: F.greatest(x - y, F.lit(0.0))), F.zip_with("blo", "ahi", lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    apart = F.aggregate(F.zip_with(*gap, F.greatest), F.lit(0.0), lambda s, g: s + g * g)
+    apart = F.aggregate(F.zip_with(*gap, lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda s, g: s + g * g)
     return left.join(right, ["label", "dim", "cell"]).filter((F.col("a") <= F.col("b")) & (apart <= epsilon * epsilon + 1e-9)).select("a", "b").distinct()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kd_shard, packing, secrets, url_filter
+from . import decontaminate, ego_join, html_extract, kd_shard, lm_score, minhash, packing, secrets, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,31 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shard.shard(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "severity", "rejected")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,11 +61,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_url_filters": op1_url_filters,
-    "op6_kd_sharding": op6_kd_sharding,
-    "op8_benchmark_decontamination": op8_benchmark_decontamination,
-    "op9_secret_scans": op9_secret_scans,
-    "op10_best_fit_packing": op10_best_fit_packing,
-}
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_lm_scoring, op3_minhash_near_dedup, op4_html_extraction, op5_ego_join,
+        op6_kd_sharding, op7_toxicity, op8_benchmark_decontamination, op9_secret_scans, op10_best_fit_packing,
+    )
+}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 
 ORACLE: dict[str, str] = {}

@@ -58,20 +58,11 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return near.groupBy("_k1", "_k2").agg(F.collect_set("w").alias("linked"))
 
 
-def scan(docs: DataFrame, scope: int = 300) -> DataFrame:
-    """Spans of secrets in every whole text.
-
-    Assignments, access identifiers and hex runs count by themselves. A 40-character key or an endpoint is too weak
-    alone: it is reported where it begins within ``scope`` characters of an access identifier, its complement.
-
-    Null texts count as empty and have no spans; repeated rows give repeated results; other columns are ignored.
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = util.row_key(docs.select("doc_id", text.alias("text")))
-    value_long = F.transform(F.regexp_extract_all(F.col("text"), F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= ASSIGN_LEAST)
-    id_long = F.transform(F.regexp_extract_all(F.col("text"), F.lit(ACCESS), F.lit(0)), lambda v: F.char_length(v) >= ACCESS_LEAST)
+def _found(keyed: DataFrame, scope: int) -> DataFrame:
+    """doc_id, row key, base spans by kind and ``linked``, the weak candidates that have their complement (null: none)."""
     t = F.col("text")
+    value_long = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= ASSIGN_LEAST)
+    id_long = F.transform(F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)), lambda v: F.char_length(v) >= ACCESS_LEAST)
     based = keyed.select(
         "doc_id", "_k1", "_k2", "text",
         _only(t.rlike(ASSIGN[:-2] + f"{{{ASSIGN_LEAST},}})"), spans(t, ASSIGN, "assign", value_long)).alias("assign"),
@@ -81,8 +72,44 @@ def scan(docs: DataFrame, scope: int = 300) -> DataFrame:
     weak = _only(F.size("access") > 0, F.concat(spans(t, KEY, "key"), spans(t, ENDPOINT, "endpoint")))
     found = util.save(based.select("doc_id", "_k1", "_k2", "assign", "access", "hex", weak.alias("weak")), "spans")
     linked = _linked(found.filter(F.size("weak") > 0).dropDuplicates(["_k1", "_k2"]), scope)
-    both = found.join(linked, ["_k1", "_k2"], "left")
+    return found.join(linked, ["_k1", "_k2"], "left")
+
+
+def _every() -> Column:
+    return F.array_sort(F.concat("assign", "access", "hex", F.coalesce("linked", F.array().cast(f"array<{SPAN}>"))))
+
+
+def scan(docs: DataFrame, scope: int = 300) -> DataFrame:
+    """Spans of secrets in every whole text.
+
+    Assignments, access identifiers and hex runs count by themselves. A 40-character key or an endpoint is too weak
+    alone: it is reported where it begins within ``scope`` characters of an access identifier, its complement.
+
+    Null texts count as empty and have no spans; repeated rows give repeated results; other columns are ignored.
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """
+    both = _found(util.row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), scope)
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    every = F.array_sort(F.concat("assign", "access", "hex", F.coalesce("linked", F.array().cast(f"array<{SPAN}>"))))
     n = lambda c: F.size(c).cast("bigint").alias(f"n_{c}")
-    return both.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(every).alias("spans"))
+    return both.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(_every()).alias("spans"))
+
+
+def mask(docs: DataFrame, scope: int = 300) -> DataFrame:
+    """``docs`` with each union of overlapping spans replaced by ``<kind>`` of its first span; null texts stay null."""
+    keyed = util.row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    both = _found(keyed, scope).select("_k1", "_k2", _every().alias("_spans"))
+    some = util.save(both.filter(F.size("_spans") > 0).dropDuplicates(["_k1", "_k2"]), "masked")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def step(acc: Column, s: Column) -> Column:
+        kind = F.element_at(F.array(*[F.lit(f"<{k}>") for k in KINDS]), s["ord"] + 1)
+        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        clear = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(clear, F.concat(acc["out"], gap, kind)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    cut = F.aggregate("_spans", start, step)
+    masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(cut["out"], F.substring(text, cut["at"].cast("int") + 1, F.char_length(text))))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.coalesce("text", F.lit("")).alias("_t"))
+    joined = util.row_key(rows, "_t").join(util.small(some), ["_k1", "_k2"], "left")
+    return joined.select(*[masked.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

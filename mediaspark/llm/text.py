@@ -83,7 +83,7 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size:
     total = np.zeros(len(at), np.uint64)
     for k, p in enumerate(_powers(size)):
         total += _LOWER[data[at + k]] * p
-    out[full] = mix(total + np.uint64(size) * np.uint64(0xA0761D6478BD642F))
+    out[full] = mix(total + np.uint64(size * 0xA0761D6478BD642F % (1 << 64)))
     return out
 
 

@@ -137,9 +137,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([np.frombuffer(bytes(r["hashes"]), np.uint64) for r in got], np.array([r["toxic"] for r in got], np.int64))
 
 
-def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5, names: tuple[str, str] = ("severity", "rejected")) -> DataFrame:
     """All columns of ``docs`` with ``severity``, the expected grade of 0 to 2, and ``rejected``: severity of at least ``reject``.
 
+    Columns of ``docs`` that have these names are replaced; other names can be given.
+
     The classifier is fitted on a bounded sample of labelled rows (SAMPLE_TOXIC, SAMPLE_CLEAN); every document is
     scored over its whole text. Null, empty and wordless texts have no features and get the severity of none. Labels
     that are null, contradictory (the larger counts) or of absent documents are no obstacle; without labels of both
@@ -152,9 +154,15 @@ def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
             out = np.zeros(batch.num_rows)
             for i, j, data, offsets in text.chunks(batch.column(at)):
                 out[i:j] = model.severity(*model.present(*features(data, offsets)), j - i)
-            yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), pa.array(out)], [*batch.schema.names, "_severity"])
+            yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), pa.array(out)], [*batch.schema.names, names[0]])
 
-    plain = docs.drop("severity", "rejected", "_severity")
+    plain = docs.drop(*names)
     at = plain.columns.index("text")
-    scored = plain.mapInArrow(predict, plain.withColumn("_severity", F.lit(0.0)).schema)
-    return scored.withColumnRenamed("_severity", "severity").withColumn("rejected", F.col("severity") >= reject)
+    scored = plain.mapInArrow(predict, plain.withColumn(names[0], F.lit(0.0)).schema)
+    return scored.withColumn(names[1], F.col(names[0]) >= reject)
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected."""
+    free = tuple(next(f"_{n}{k}" for k in range(len(docs.columns) + 1) if f"_{n}{k}" not in docs.columns) for n in ("severity", "rejected"))
+    return score(docs, labels, reject, free).filter(~F.col(free[1])).select(docs.columns)
