@@ -1,6 +1,6 @@
 """Registered queries over the test tables."""
 
-from . import library, titles  # noqa: F401
+from . import analytics, library, titles  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -50,29 +50,33 @@ def _items(data: bytes) -> list[tuple[int, str, int, int]]:
     return out
 
 
-def read_discs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(segments, clips) of all discs below ``root``: playlist items, and the files of clips with their sizes.
-
-    A malformed playlist gives no rows. Clip files are listed only, never read.
-    """
+def playlist_items(files: DataFrame) -> DataFrame:
+    """(path, item_no, clip, in_45k, out_45k) of playlist files (path, content); a malformed one gives no rows."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(path, *r) for r in _items(content)]
+                    rows += [(path, *r) for r in _items(bytes(content))]
                 except (struct.error, IndexError):
                     continue
             yield pd.DataFrame(rows, columns=["path", "item_no", "clip", "in_45k", "out_45k"])
 
+    return files.mapInPandas(parse, "path string, item_no int, clip string, in_45k bigint, out_45k bigint")
+
+
+def read_discs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, clips) of all discs below ``root``: playlist items, and the files of clips with their sizes.
+
+    Clip files are listed only, never read.
+    """
     lists = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{mpls,MPLS}").load(root).select("path", "content")
-    disc = lambda c: F.regexp_extract(c, r"([^/]+)/BDMV/", 1)
-    segments = lists.mapInPandas(parse, "path string, item_no int, clip string, in_45k bigint, out_45k bigint")
-    segments = segments.select(disc(F.col("path")).alias("disc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("playlist"), "item_no", "clip", "in_45k", "out_45k")
+    disc = F.regexp_extract("path", r"([^/]+)/BDMV/", 1)
+    segments = playlist_items(lists).select(disc.alias("disc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("playlist"), "item_no", "clip", "in_45k", "out_45k")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{m2ts,ssif,M2TS,SSIF}").load(root)
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    clips = files.select(disc(F.col("path")).alias("disc_id"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), name.alias("clip"), "path", F.col("length").alias("size_bytes"))
+    clips = files.select(disc.alias("disc_id"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), name.alias("clip"), "path", F.col("length").alias("size_bytes"))
     return segments, clips
 
 
