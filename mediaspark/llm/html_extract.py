@@ -195,7 +195,9 @@ def extract(page: Page, winners: list[str]) -> str:
             break
     else:
         own = best(page)
-        tops = [own] if own else []
+        if own is None:  # no container stands out
+            return " ".join(b.words for b in page.blocks)
+        tops = [own]
     inside: dict[int, bool] = {}
 
     def chosen(e: Element) -> bool:
