@@ -34,7 +34,7 @@ def reorder_cuts(frames: DataFrame, threshold: float = 0.42) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pts, hists, last, last_hist = state.get if state.exists else ([], [], None, None)
-        held = sorted(zip(pts, hists, strict=True))
+        held = sorted((p, list(h)) for p, h in zip(pts, hists, strict=True))
         cuts = []
 
         def analyse() -> None:
@@ -48,7 +48,7 @@ def reorder_cuts(frames: DataFrame, threshold: float = 0.42) -> DataFrame:
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                held.append((r.pts_ms, list(r.hist)))
+                held.append((float(r.pts_ms), [float(x) for x in r.hist]))
                 held.sort()
                 if len(held) > REORDER:
                     analyse()
@@ -75,7 +75,7 @@ def reassemble(datagrams: DataFrame) -> DataFrame:
             if len(have) >= count:
                 done.append((key[0], seq, count, "".join(have[k] for k in sorted(have))))
                 seq, count, have = None, 0, {}
-        state.update((seq, count, list(have), list(have.values())))
+        state.update((None if seq is None else int(seq), int(count), [int(k) for k in have], list(have.values())))
         yield pd.DataFrame(done, columns=["session", "seq", "fragments", "payload"])
 
     kind = datagrams.schema["session"].dataType.simpleString()
@@ -90,7 +90,7 @@ def ladder(feedback: DataFrame, start: int = 0, floor: int = 4) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("t", kind="stable")
         rungs, now = sessions.ladder_steps(rows["queue_depth"], rows["underrun"], start, floor, tuple(state.get) if state.exists else None)
-        state.update(now)
+        state.update(tuple(int(x) for x in now))
         yield pd.DataFrame({"session": key[0], "t": rows["t"].to_numpy(), "rung": rungs})
 
     kinds = {c: feedback.schema[c].dataType.simpleString() for c in ("session", "t")}

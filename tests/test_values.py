@@ -1,0 +1,238 @@
+"""Expected values of rules, as literal rows."""
+
+from __future__ import annotations
+
+import math
+import random
+import struct
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from mediaspark.functions import geometry, media, stereo
+from mediaspark.operators import asof, catalog, frames, islands, ranks, sessions, subtitles, telemetry, timeline
+from mediaspark.sources import readers
+
+
+def rows(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(("text", "fps"), [("24000/1001", 24000 / 1001), ("25", 25.0), ("1/0", None), ("not-a-rate", None), (None, None)])
+def test_fps_ratio(spark, text, fps):
+    assert one(spark, text, media.fps_ratio) == fps
+
+
+@pytest.mark.parametrize(("fps", "used"), [(25.0, 25.0), (7.5, 23.976), (240.0, 120.0), (None, 24.0)])
+def test_effective_fps(spark, fps, used):
+    assert one(spark, fps, media.effective_fps, "double") == used
+
+
+@pytest.mark.parametrize(("fps", "snapped"), [(24.0, 23.976), (30.0, 29.97), (24.39, 23.976), (37.0, 37.0), (-1.0, None), (math.inf, None)])
+def test_fps_snap(spark, fps, snapped):
+    assert one(spark, fps, media.fps_snap, "double") == snapped
+
+
+@pytest.mark.parametrize(("path", "hint"), [("/x/film.3d.htab.mkv", "tab"), ("ordinary-film.mkv", None), ("a.3D.mkv", "sbs")])
+def test_filename_hint(spark, path, hint):
+    assert one(spark, path, stereo.filename_hint) == hint
+
+
+@pytest.mark.parametrize(("path", "found"), [("film_hsbs_.mkv", ("sbs", True)), ("Film.Full-OU.mkv", ("tab", False)), ("housing.mkv", (None, False)), ("a.ou.mkv", ("tab", False))])
+def test_filename_tokens(spark, path, found):
+    assert tuple(one(spark, path, stereo.filename_tokens)) == found
+
+
+@pytest.mark.parametrize(("tag", "layout"), [("11", ("sbs", "right_first")), ("14", ("mvc", "right_first")), ("4", (None, "right_first")), ("top-bottom", ("tab", "left_first")), ("mono", (None, "unknown")), (None, (None, "unknown"))])
+def test_stereo_layout(spark, tag, layout):
+    assert tuple(one(spark, tag, stereo.stereo_layout)) == layout
+
+
+def test_human(spark):
+    assert one(spark, 1536, media.human_size, "bigint") == "1.50 KiB"
+    assert one(spark, None, media.human_size, "bigint") == "—"
+    assert one(spark, 3725.9, media.human_time, "double") == "1:02:05"
+    assert one(spark, 0, media.human_rate, "bigint") == "—"
+
+
+def test_track_label(spark):
+    track = spark.createDataFrame([(1, "fra", "truehd", "", 8, "TRACK_2", False, False)], "track_id int, lang string, codec string, codec_profile string, channels int, title string, forced boolean, is_default boolean")
+    assert rows(track, media.track_label(track)) == [("French · TrueHD · 7.1",)]
+
+
+def test_geometry(spark):
+    assert one(spark, 0x85, geometry.offset_px, "int") == -5
+    assert one(spark, 50.0, lambda x: geometry.soft_knee(x, 20.0, 35.0), "double") < 35.0
+
+
+def test_decoy_and_main_feature(spark):
+    loop = [(1, "a", k, "00001", 0, 81 * 45000) for k in range(200)]
+    film = [(1, "b", k, f"{k:05d}", 0, 600 * 45000) for k in range(12)]
+    segments = spark.createDataFrame(loop + film, "disc_id int, playlist string, item_no int, clip string, in_45k bigint, out_45k bigint")
+    clips = spark.createDataFrame([(f"{k:05d}", "m2ts", f"/{k}.m2ts", 10) for k in range(12)], "clip string, kind string, path string, size_bytes bigint")
+    assert rows(catalog.decoys(segments), "playlist") == [("a",)]
+    assert rows(catalog.main_feature(segments, clips), "playlist", "kind") == [("b", "m2ts")]
+
+
+def test_prefer_3d(spark):
+    lists = spark.createDataFrame([(1, "00001", False, 100.0, False, "x"), (1, "00002", False, 100.0, True, "x")], "disc_id int, playlist string, decoy boolean, duration_s double, has_3d boolean, sequence string")
+    assert sorted(rows(catalog.prefer_3d(lists), "rank", "playlist")) == [(1, "00002"), (2, "00001")]
+
+
+def test_attested(spark):
+    assets = spark.createDataFrame([("d", "/d/Model.ONNX"), ("d", "/d/other.onnx"), ("e", "/e/any.onnx")], "dir string, path string")
+    markers = spark.createDataFrame([("d", "model.onnx"), ("e", None)], "dir string, name string")
+    assert sorted(rows(catalog.attested(assets, markers), "path", "attested")) == [("/d/Model.ONNX", True), ("/d/other.onnx", False), ("/e/any.onnx", True)]
+
+
+def test_cut_gate(spark):
+    seq = [0.5, 0.1, 0.5, 0.5, 0.5, 0.5]
+    df = spark.createDataFrame([(1, k, d, False) for k, d in enumerate(seq)], "s int, k int, distance double, depth_cut boolean")
+    assert [k for k, cut in sorted(rows(islands.confirmed_cuts(df, ["s"], ["k"]), "k", "cut")) if cut] == [3, 5]
+
+
+def test_hard_cuts_need_progress(spark):
+    df = spark.createDataFrame([(1, 0, 10, 0.9), (1, 1, 10, 0.9), (1, 2, 5, 0.9), (1, 3, 11, 0.9)], "s int, k int, pts int, distance double")
+    assert rows(islands.hard_cuts(df, ["s"], ["k"]), "k") == [(3,)]
+
+
+def test_backoff(spark):
+    df = spark.createDataFrame([(1, k, 1.0) for k in range(8)] + [(1, 8, 9.0), (1, 9, 1.0)], "s int, k int, lived_s double")
+    assert [w for _, w in sorted(rows(islands.backoff(df, ["s"], ["k"]), "k", "wait_ms"))] == [250, 500, 1000, 2000, 3000, 3000, 3000, 3000, 250, 250]
+
+
+def test_bridged_cue(spark):
+    cues = spark.createDataFrame([(1, 1, 0.0, True), (1, 2, 1.0, False), (1, 3, 1.167, True), (1, 4, 2.0, False), (1, 5, 2.7, True)], "track_id int, cue_id int, pts_s double, is_show boolean")
+    times = spark.createDataFrame([(1, t) for t in (-1.0, 0.5, 1.1, 1.5, 2.1, 2.8, 99.0)], "track_id int, pts_s double")
+    assert [c for _, c in sorted(rows(subtitles.cue_at(times, cues), "pts_s", "cue_id"))] == [None, 1, 1, 3, None, 5, None]
+
+
+def test_one_pair_has_no_depth(spark):
+    df = spark.createDataFrame([(1, 0, "t", 100.0, 1920.0, 0), (1, 0, "t", 1050.0, 1920.0, 1)], "track_id int, pts int, text string, centre_x double, play_res_x double, seq int")
+    assert rows(subtitles.text_depth(df), "pairs", "disparity") == [(1, 0.0)]
+
+
+def test_flat_fields(spark):
+    flat = [("flat", 1.0, 2.0)] * 4
+    shaped = [("shaped", 1.0, float(k)) for k in range(4)]
+    df = spark.createDataFrame(flat + shaped, "g string, ref double, cur double")
+    assert sorted(rows(frames.fit_residual(df, ["g"]), "g", "residual", "cut")) == [("flat", 0.0, False), ("shaped", -1.0, True)]
+
+
+def test_letterbox(spark):
+    frame = [0.0] * 32 * 4 + [0.5] * 32 * 24 + [0.0] * 32 * 4
+    df = spark.createDataFrame([(1, frame), (2, [0.0] * 1024), (3, [0.5] * 1024)], "k int, luma array<double>")
+    assert sorted((k, *b) for k, b in rows(df.select("k", frames.letterbox(F.col("luma"), 32).alias("b")), "k", "b")) == [(1, True, 4, 4), (2, False, 0, 0), (3, False, 0, 0)]
+
+
+def test_percentile_rules(spark):
+    values = [float(v) for v in random.Random(3).sample(range(1000), 41)]
+    df = spark.createDataFrame([(1, v) for v in values], "g int, value double")
+    s, n = sorted(values), len(values)
+    expected = {"round": s[round(0.95 * (n - 1))], "half_up": s[int(0.95 * (n - 1) + 0.5)], "trunc": s[int(0.95 * n)], "ceil": s[math.ceil(0.95 * n) - 1], "floor": s[int(0.95 * (n - 1))]}
+    for rule, value in expected.items():
+        assert rows(ranks.rank_percentile(df, ["g"], "value", 0.95, rule), "value") == [(value,)], rule
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_equals_loop(spark, forward, strict):
+    rng = random.Random(5)
+    left = [(rng.randrange(3), rng.randrange(200), k) for k in range(80)]
+    right = [(rng.randrange(3), rng.randrange(200), k) for k in range(60)]
+    got = asof.asof(spark.createDataFrame(left, "s int, t int, id int"), spark.createDataFrame(right, "s int, t int, r int"), ["s"], "t", 25, strict=strict, forward=forward, tie=["r"])
+    for s, t, _, m in rows(got, "s", "t", "id", "match"):
+        fits = [(u, r) for q, u, r in right if q == s and (u > t if forward and strict else u >= t if forward else u < t if strict else u <= t)]
+        want = (min(fits) if forward else max(fits)) if fits else None
+        assert (None if m is None else (m["t"], m["r"])) == want
+
+
+def test_recurrences_equal_loops(spark):
+    rng = random.Random(7)
+    data = [(s, k, rng.random() * 3) for s in range(3) for k in range(60)]
+    df = spark.createDataFrame(data, "s int, k int, value double")
+    held = {(s, k): h for s, k, h in rows(frames.monotone_clock(df, ["s"], ["k"]), "s", "k", "held")}
+    for s in range(3):
+        h = None
+        for _, k, v in sorted(x for x in data if x[0] == s):
+            h = v if h is None or v > h or h - v > 1 else h
+            assert held[s, k] == h
+    kept = rows(frames.thin_points(df, ["s"], ["k"], 0.5, "value"), "s", "value")
+    for s in range(3):
+        own = sorted(v for q, v in kept if q == s)
+        assert all(b - a >= 0.5 for a, b in zip(own, own[1:], strict=False))
+
+
+def test_ladder():
+    rungs, state = sessions.ladder_steps([9, 9, 9, 9, 9, 9, 2, 1, *[0] * 12], [False] * 20)
+    assert rungs[2] == 1 and rungs[5] == 2 and rungs[-1] == 1 and state[0] == 1
+
+
+def test_jitter_buffer(spark):
+    events = [(1, k, "video", 100 + k) for k in range(10)] + [(1, 20, "audio", 105), (1, 21, "video", 300)]
+    out = sessions.jitter_buffer(spark.createDataFrame(events, "session int, k int, kind string, pts_ms bigint"), ["k"])
+    fate = {p: f for p, f in rows(out, "pts_ms", "fate")}
+    assert fate[100] == fate[101] == "dropped" and fate[105] == "released" and fate[106] == fate[300] == "flushed"
+
+
+def test_upsert_memory(spark):
+    kind = "store string, media_key string, updated bigint, field string, value string"
+    first = sessions.upsert_memory(spark.createDataFrame([("s", "a", 1, "x", "1"), ("s", "b", 1, "x", "1")], kind))
+    out = sessions.upsert_memory(spark.createDataFrame([("s", "a", 2, "x", None), ("s", "b", 3, "y", "2")], kind), first)
+    assert rows(out, "media_key", "updated", "fields") == [("b", 3, {"x": "1", "y": "2"})]
+
+
+def test_parse_status(spark):
+    assert one(spark, " state=running  fps=1 junk a=b=c fps=2 ", telemetry.parse_status) == {"state": "running", "a": "b=c", "fps": "2"}
+
+
+def test_datagrams(spark):
+    def pack(magic=b"CAST", version=1, length=None, payload=b'{"kind":"seek"}'):
+        return struct.pack(">4sBBBIqHHI", magic, version, 5, 1, 7, -5, 0, 1, len(payload) if length is None else length) + payload
+
+    data = [(1, pack()), (2, pack(b"NOPE")), (3, pack(version=2)), (4, pack(length=99)), (5, b"short"), (6, None)]
+    out = readers.read_datagrams(spark.createDataFrame(data, "id int, datagram binary"), "CAST")
+    got = {r["id"]: r for r in out.collect()}
+    assert got[1]["pts_ms"] == -5 and got[1]["seq"] == 7 and got[1]["control"] == {"kind": "seek"} and got[1]["reject"] is None
+    assert [got[k]["reject"] for k in range(2, 7)] == ["bad magic", "unsupported version", "truncated payload", "truncated header", "truncated header"]
+
+
+def test_fragment_geometry(spark):
+    df = spark.createDataFrame([(1, 0, 1), (2, 3, 3), (3, 0, 0), (4, 0, 5000), (5, -1, 2)], "k int, frag_idx int, frag_cnt int")
+    assert rows(timeline.valid_fragments(df), "k") == [(1,)]
+
+
+def test_disc_files(spark, tmp_path):
+    folder = tmp_path / "disc1" / "BDMV"
+    (folder / "PLAYLIST").mkdir(parents=True)
+    (folder / "STREAM").mkdir()
+    item = lambda clip, a, b: struct.pack(">H5s4s3sII", 20, clip, b"M2TS", bytes(3), a, b)
+    body = item(b"00001", 0, 45000) + item(b"00002", 5, 5)
+    (folder / "PLAYLIST" / "00000.mpls").write_bytes(b"MPLS0200" + struct.pack(">I", 12) + struct.pack(">IHHH", 0, 0, 2, 0) + body)
+    (folder / "PLAYLIST" / "00001.mpls").write_bytes(b"MPLS0200\xff")
+    (folder / "STREAM" / "00001.m2ts").write_bytes(b"x" * 5)
+    segments, clips = readers.read_discs(spark, str(tmp_path))
+    assert rows(segments, "disc_id", "playlist", "clip", "out_45k") == [("disc1", "00000.mpls", "00001", 45000)]
+    assert rows(clips, "disc_id", "kind", "clip", "size_bytes") == [("disc1", "m2ts", "00001", 5)]
+
+
+def test_report_round_trip(spark, tmp_path):
+    readers.write_report(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path / "r"))
+    assert rows(spark.read.json(str(tmp_path / "r")), "n", "s") == [(1, "a")]
+
+
+def test_comfort_has_no_velocity_across_a_cut(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, False, [1.0] * 16), (1, 1, 0.5, False, [3.0] * 16), (1, 2, 1.0, True, [9.0] * 16)], "s int, k int, t_s double, scene_cut boolean, field array<double>")
+    out = {k: v for k, v in rows(frames.comfort(df, ["s"], ["k"], 4), "k", "velocity_p95")}
+    assert out == {0: 0.0, 1: 4.0, 2: 0.0}
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame(pd.DataFrame({"s": pd.Series(dtype="int"), "k": pd.Series(dtype="int"), "value": pd.Series(dtype="float")}), "s int, k int, value double")
+    assert frames.monotone_clock(empty, ["s"], ["k"]).count() == 0
+    assert ranks.rank_percentile(empty, ["s"], "value", 0.5, "floor").count() == 0
