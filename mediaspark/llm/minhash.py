@@ -15,8 +15,10 @@ from . import graph, text, util
 SHINGLE, LEAST = 5, 0.8
 #: Bands of signature coordinates: a pair at the least similarity shares no band with a probability of 2e-5.
 BANDS, ROWS = 27, 5
-#: Members of an undecided bucket that one task compares with as many others.
-BLOCK = 64
+#: Most members, and shingles, of an undecided bucket that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 512, 200_000
+#: Shingles that are counted at once where a block is compared.
+COLUMNS = 4_096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,18 +133,48 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(lengths).filter(both >= LEAST * (size("x") + size("y") - both)).select("a", "b")
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of sets shares: products of their 0/1 rows over the shingles of two sets or more."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.cumsum(n > 1) - 1
+    keep = n[column] > 1
+    column, owner = common[column[keep]], owner[keep]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(common[-1]) + 1 if len(common) else 0, COLUMNS):
+        some = (column >= at) & (column < at + COLUMNS)
+        rows = np.zeros((len(sets), COLUMNS), np.float32)
+        rows[owner[some], column[some] - at] = 1
+        out += rows @ rows.T
+    return out
+
+
 def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within buckets whose members are not all connected: blocks of members against blocks, in tasks of bounded size."""
+    """Links within buckets whose members are not all connected: blocks of members against blocks, in tasks of bounded size.
+
+    A forest of links between different components is returned, not every pair.
+    """
+    sized = open_buckets.join(sets.select("rep", F.size("sh").alias("_n")), "rep")
     order = Window.partitionBy("bucket").orderBy("rep")
-    members = util.save(open_buckets.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "members")
-    most = members.groupBy("bucket").agg(F.max("block").alias("last"))
-    sized = members.join(most, "bucket")
-    low = sized.select("*", F.explode(F.sequence(F.col("block"), F.col("last"))).alias("j")).select("bucket", "rep", "component", F.col("block").alias("i"), "j", F.lit(0).alias("side"))
-    high = sized.filter("block > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block") - 1)).alias("i")).select("bucket", "rep", "component", "i", F.col("block").alias("j"), F.lit(1).alias("side"))
-    dealt = low.unionByName(high).join(sets, "rep")
+    place = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK_SHINGLES + F.row_number().over(order) / BLOCK
+    members = util.save(sized.withColumn("block", F.floor(place)).drop("_n"), "members")
+    blocks = members.select("bucket", "block").distinct()
+    to = blocks.select("bucket", F.col("block").alias("other"))
+    met = blocks.join(to, "bucket")  # a bucket has as many blocks as its members need, mostly one
+    low = met.filter("block <= other").select("bucket", "block", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
+    high = met.filter("block > other").select("bucket", "block", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    dealt = members.join(low.unionByName(high), ["bucket", "block"]).join(sets, "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = {c: c for c in pdf["component"]}
+        pdf = pdf.sort_values(["side", "rep"])
+        rep, side, component = (pdf[c].to_numpy() for c in ("rep", "side", "component"))
+        inner = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        n = pdf["sh"].map(len).to_numpy()
+        both = _shared(list(pdf["sh"]))
+        link = (both >= LEAST * (n[:, None] + n[None, :] - both) - 1e-6) & (component[:, None] != component[None, :])
+        link &= np.triu(np.ones_like(link), 1) if inner else (side[:, None] < side[None, :])
+        parent = {c: c for c in component}
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -150,30 +182,24 @@ def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        rows = list(pdf.sort_values(["side", "rep"]).itertuples(index=False))
-        inner = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         out = []
-        for n, r in enumerate(rows):
-            for q in rows[n + 1 :]:
-                if (inner or r.side != q.side) and root(r.component) != root(q.component):
-                    a, b = len(r.sh), len(q.sh)
-                    if min(a, b) >= LEAST * max(a, b):
-                        both = len(np.intersect1d(r.sh, q.sh, assume_unique=True))
-                        if both >= LEAST * (a + b - both):
-                            parent[root(r.component)] = root(q.component)
-                            out.append((r.rep, q.rep))
+        for x, y in np.argwhere(link):
+            p, q = root(component[x]), root(component[y])
+            if p != q:
+                parent[p] = q
+                out.append((rep[x], rep[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Classes of documents connected by a Jaccard similarity of at least 0.8 of their distinct five-word shingles.
 
     Texts of the same shingles are one class from the start. Distinct ones meet in bands of DartMinHash signatures
     (weights of 1 give the Jaccard similarity of sets). In each bucket the first member is checked exactly with the
-    others; members that stay unconnected are checked with the next one, and what is then still open in blocks against
-    blocks, so that no link is lost and a group of near copies never becomes all of its pairs.
+    others. Buckets whose members are then not all connected are compared in blocks against blocks, which report a
+    connecting forest: no link is lost, and a group of near copies never becomes all of its pairs.
 
     Null texts and texts without words are classes of their own. Repeated ids count as one document of the first
     text's class each; an empty table gives an empty result; other columns are ignored.
@@ -188,22 +214,13 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     sets = util.save(_shingled(docs, members.select("rep").distinct()), "shingles")
     pairs = members.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     forest = util.save(_checked(pairs, sets), "links")
-    for k in range(2, rounds + 3):
-        named = members.select("bucket", "rep").join(graph.components(forest).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = util.save(named, "named")
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter(f"lo <> hi AND n >= {k + 1}")
-        open_buckets = util.save(named.join(mixed.select("bucket"), "bucket"), "open")
-        if open_buckets.isEmpty():
-            break
-        if k < rounds + 2:
-            order = Window.partitionBy("bucket").orderBy("rep")
-            ranked = open_buckets.withColumn("rank", F.row_number().over(order))
-            next_one = ranked.filter(F.col("rank") == k).select("bucket", F.col("rep").alias("a"), F.col("component").alias("ac"))
-            more = ranked.join(next_one, "bucket").filter("rank > " + str(k) + " AND component <> ac").select("a", F.col("rep").alias("b")).distinct()
-            found = _checked(more, sets)
-        else:
-            found = _by_blocks(open_buckets, sets)
-        forest = util.save(forest.union(found), "links")
+    named = members.select("bucket", "rep").join(graph.components(forest).withColumnRenamed("node", "rep"), "rep", "left")
+    named = util.save(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    # a bucket of two has been decided by its first member
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 2")
+    open_buckets = util.save(named.join(mixed.select("bucket"), "bucket"), "open")
+    if not open_buckets.isEmpty():
+        forest = util.save(forest.union(_by_blocks(open_buckets, sets)), "links")
     named = graph.components(forest).withColumnRenamed("node", "rep")
     table = util.save(classes.select("s1", "s2", "rep", "copies").join(named, "rep", "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("class_id")), "table")
     total = signed.count()
