@@ -90,8 +90,11 @@ def main_feature(segments: DataFrame, clips: DataFrame) -> DataFrame:
         found.append(hit.join(lists, ["disc_id", "playlist"]).select("disc_id", F.lit(phase).alias("phase"), "rank", F.lit(kind).alias("kind"), "playlist", "path", "clips", "duration_s"))
     discs = segments.select("disc_id").distinct()
     files = largest(clips, ["disc_id", "kind"] if "disc_id" in clips.columns else ["kind"])
-    files = files if "disc_id" in clips.columns else discs.crossJoin(F.broadcast(files))  # one row for each kind of clip
-    spare = files.select("disc_id", F.when(F.col("kind") == "ssif", 2).otherwise(3).alias("phase"), F.lit(1).alias("rank"), "kind", F.lit(None).cast(segments.schema["playlist"].dataType).alias("playlist"), "path", F.lit(1).cast("bigint").alias("clips"), F.lit(0.0).alias("duration_s"))
+    if "disc_id" not in clips.columns:  # one inventory for all discs: a row for each of the two kinds
+        both = [F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["path"]).alias("path")) for r in files.filter(F.col("kind").isin("ssif", "m2ts")).collect()]
+        files = discs.select("disc_id", F.explode(F.array(*both)).alias("f")).select("disc_id", "f.*") if both else discs.select("disc_id", F.lit("").alias("kind"), F.lit("").alias("path")).limit(0)
+    playlist = F.lit(None).cast(segments.schema["playlist"].dataType).alias("playlist")
+    spare = files.select("disc_id", F.when(F.col("kind") == "ssif", 2).otherwise(3).alias("phase"), F.lit(1).alias("rank"), "kind", playlist, "path", F.lit(1).cast("bigint").alias("clips"), F.lit(0.0).alias("duration_s"))
     every = found[0].unionByName(found[1]).unionByName(spare)
     return top_rows(every, ["disc_id"], ["phase", "rank"]).drop("rank")
 
@@ -101,7 +104,8 @@ def pair_clips(features: DataFrame, extension: DataFrame, clips: DataFrame) -> D
     on = _on(clips)
     keys = [c for c in on if c != "clip"]
     follow = F.lpad((F.col("clip").try_cast("int") + 1).cast("string"), 5, "0")
-    named = features.join(extension.select(*keys, F.col("clip"), F.col("dep_clip").alias("_listed")), [*keys, "clip"], "left").withColumn("dep_clip", F.coalesce("_listed", follow)).drop("_listed")
+    owner = [c for c in ("disc_id", "clip") if c in features.columns and c in extension.columns]
+    named = features.join(extension.select(*owner, F.col("dep_clip").alias("_listed")), owner, "left").withColumn("dep_clip", F.coalesce("_listed", follow)).drop("_listed")
     files = clips.filter("kind = 'm2ts'")
     base = files.select(*on, F.col("path").alias("base_path"))
     dep = files.filter("size_bytes > 0").select(*keys, F.col("clip").alias("dep_clip"), F.col("path").alias("dep_path"))
@@ -180,10 +184,11 @@ def aspect_bucket(titles: DataFrame, shapes: DataFrame, side: int, min_saving: f
     good = shapes.filter((F.col("width") == side) & (F.col("width") % geometry.PATCH == 0) & (F.col("height") % geometry.PATCH == 0) & (F.col("height") > 0) & (F.col("height") <= F.col("width")))
     good = good.filter(1.0 - F.col("width") * F.col("height") / float(side * side) >= min_saving)
     # heights are multiples of the patch up to the side, so one name for each leaves at most side / patch shapes
-    listed = good.groupBy("height").agg(F.min(F.lower("name")).alias("name")).agg(F.collect_list(F.struct("height", "name")).alias("_shapes"))
+    listed = [F.struct(F.lit(r["height"]).alias("height"), F.lit(r["name"]).alias("name")) for r in good.groupBy("height").agg(F.min(F.lower("name")).alias("name")).collect()]
+    none = F.array().cast("array<struct<height: int, name: string>>")
     active = F.col("source_height") - F.col("crop_top") - F.col("crop_bottom")
     ratio = F.when((F.col("source_width") > 0) & (active > 0) & (F.col("crop_top") >= 0) & (F.col("crop_bottom") >= 0), F.col("source_width") / active)
-    met = titles.withColumn("ratio", ratio).join(F.broadcast(listed))
+    met = titles.withColumn("ratio", ratio).withColumn("_shapes", F.array(*listed) if listed else none)
 
     def key(s: Column) -> Column:
         error = F.abs(s["height"] - side / F.col("ratio"))

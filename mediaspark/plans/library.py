@@ -62,7 +62,7 @@ def prefer_3d_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN both_clips b ON f.clip = b.clip AND b.kind = 'm2ts' JOIN both_clips d ON d.kind = 'm2ts' AND d.size_bytes > 0 AND d.clip = CASE WHEN f.disc_id % 3 = 0 THEN '00009' ELSE lpad(CAST(CAST(f.clip AS INT) + 1 AS STRING), 5, '0') END""")
 def pair_dependent_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = run_sql(spark, sf_dir, "SELECT disc_id, min(clip) AS clip FROM segments WHERE clip > '00000' GROUP BY disc_id")
-    clips = features.select("disc_id").distinct().join(F.broadcast(view(spark, sf_dir, "both_clips").filter("clip < '00100'")))
+    clips = view(spark, sf_dir, "both_clips")
     extension = features.filter("disc_id % 3 = 0").withColumn("dep_clip", F.lit("00009"))
     return catalog.pair_clips(features, extension, clips).select("disc_id", "clip", "dep_clip", "base_path", "dep_path")
 
