@@ -102,7 +102,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             for row, words in text.rows_of_words(batch.column(1)):
                 held.append((row, text.shingles(words, SHINGLE)))
                 size += len(words) + 500
-                if size > 500_000:
+                if size > 250_000:
                     flush()
             flush()
             yield from done

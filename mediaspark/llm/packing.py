@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import util
 
-#: Distinct chunks whose ids a worker keeps.
-CACHE = 1_000_000
+#: Distinct chunks whose ids a task keeps.
+CACHE = 250_000
 END_ID = 2
 
 
@@ -95,7 +95,7 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file: what it has merged serves the worker's later tasks."""
+    """One encoder per worker process and file, as loading the file takes longer than a small task."""
     return Encoder(path)
 
 
@@ -124,6 +124,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
+        encode.known.clear()  # the worker goes on to other tasks
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

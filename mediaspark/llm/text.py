@@ -17,7 +17,7 @@ _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
