@@ -22,35 +22,43 @@ COLUMNS = 4_096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def darts(cells: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
-    """DartMinHash signatures, a row of ``k`` hashes per document.
+def unit_cells(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell hash, document, height) of weighted elements: weight w is cells 0, 1, ... of height 1 and one of the rest."""
+    n = np.ceil(weight).astype(np.int64)
+    level = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    cells = text.mix(np.repeat(elements, n) + level.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return cells, np.repeat(doc, n), np.minimum(1.0, np.repeat(weight, n) - level)
 
-    A cell is an element with its weight. Darts hit the plane of weight and time of each element at rate 1, by a
-    generator seeded with the element's hash, so that all documents see the same darts. A document sees those under
-    its weight; each dart is for one of the k coordinates and the earliest dart of a coordinate is kept. Only the time
-    in which k (log k + 3) darts are to be expected is searched, and more where a coordinate stays empty.
+
+def darts(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
+    """DartMinHash signatures, a row of ``k`` hashes per document; two agree in a place with their weighted similarity.
+
+    Darts hit the plane of weight and time of each element at rate 1, cell by cell, by a generator seeded with the
+    cell's hash, so that all documents see the same darts. A document sees those under its weight; each dart is for
+    one of the k coordinates and the earliest dart of a coordinate is kept. Only the time in which k (log k + 3) darts
+    are to be expected is searched, and twice as much where a coordinate stays empty.
     """
+    cells, doc, height = unit_cells(elements, doc, weight)
     out = np.zeros((n_docs, k), np.uint64)
-    mass = np.bincount(doc, weight, n_docs)
+    mass = np.bincount(doc, height, n_docs)
     todo = np.flatnonzero(mass > 0)
     limit = np.zeros(n_docs)
     limit[todo] = k * (np.log(k) + 3) / mass[todo]
-    top = np.ceil(weight)
+    uniform = lambda h: (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
     while len(todo):
         busy = np.zeros(n_docs, bool)
         busy[todo] = True
         live = np.flatnonzero(busy[doc])
-        state, owner, time, height, span = cells[live].copy(), doc[live], np.zeros(len(live)), weight[live], top[live]
+        state, owner, top, time = cells[live].copy(), doc[live], height[live], np.zeros(len(live))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(state):
             state = state + _GOLDEN
             gap = text.mix(state)
-            time = time - np.log((gap >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / span
+            time = time - np.log(uniform(gap))
             keep = time <= limit[owner]
-            state, owner, time, height, span, gap = (x[keep] for x in (state, owner, time, height, span, gap))
+            state, owner, top, time, gap = (x[keep] for x in (state, owner, top, time, gap))
             dart = text.mix(gap ^ np.uint64(0xD1B54A32D192ED03))
-            y = (text.mix(dart + _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * span
-            under = y < height
+            under = (top >= 1) | (uniform(text.mix(dart + _GOLDEN)) < top)
             found.append((owner[under] * k + (dart[under] % np.uint64(k)).astype(np.int64), time[under], dart[under]))
         slot, when, dart = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((when, slot))
