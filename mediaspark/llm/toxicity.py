@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from . import text
 
 #: Most toxic and most other labelled rows that the classifier is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
-#: Most features of the classifier, and how far a feature's log-odds must lie from none, in standard errors.
-FEATURES, LEAST_Z = 4_096, 4.0
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
+#: Most features of the classifier; the least likelihood ratio (one in 2,000 by chance) and odds ratio of one.
+FEATURES, LEAST_G, LEAST_ODDS = 4_096, 12.0, 10.0
+#: Pull of each weight towards 0, in rows.
+SHRINK = 0.3
 PREFIXES = (4, 5, 6)
 
 
@@ -64,7 +66,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _select(hashes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Features whose presence differs between toxic and other rows by log-odds of at least LEAST_Z standard errors."""
+    """Features present in toxic rows far more often than in others: by the likelihood ratio of the two shares, and their odds."""
     side = []
     for y in (1, 0):
         side.append(np.unique(np.concatenate([h for h, t in zip(hashes, toxic, strict=True) if t == y] or [np.zeros(0, np.uint64)]), return_counts=True))
@@ -74,19 +76,23 @@ def _select(hashes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
         common = np.where(other[at] == keys, neg[at], 0)
     n1, n0 = int((toxic == 1).sum()), int((toxic == 0).sum())
-    odds = np.log((pos + 0.5) / (n1 - pos + 0.5)) - np.log((common + 0.5) / (n0 - common + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (common + 0.5))
-    small_sample = min(1.0, (n1 / 100) ** 0.5)  # few rows can't reach the full distance
-    keep = np.flatnonzero((z >= LEAST_Z * max(0.35, small_sample)) | ((pos >= 3) & (common == 0) & (pos >= 0.02 * n1)))
-    return np.sort(keys[keep[np.argsort(-z[keep], kind="stable")[:FEATURES]]])
+    share = (pos + common) / (n1 + n0)
+    term = lambda k, n, p: k * np.log(np.maximum(k, 1e-9) / (n * p)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum(n * (1 - p), 1e-9))
+    g = 2 * (term(pos, n1, share) + term(common, n0, share))
+    odds = (pos + 0.5) * (n0 - common + 0.5) / ((n1 - pos + 0.5) * (common + 0.5))
+    keep = np.flatnonzero((g >= LEAST_G) & (odds >= LEAST_ODDS))
+    return np.sort(keys[keep[np.argsort(-g[keep], kind="stable")[:FEATURES]]])
 
 
-def fit(hashes: list[np.ndarray], toxic: np.ndarray, steps: int = 400) -> Model:
-    """Fit on the distinct feature hashes of each row.
+def fit(hashes: list[np.ndarray], toxic: np.ndarray, steps: int = 2_000) -> Model:
+    """Fit on the distinct feature hashes of each row; rows with the same features count once.
 
     Grade 0 is a row not labelled toxic; toxic rows are grade 1, or 2 where they hold more marked features than the
     median toxic row.
     """
+    first = {(h.tobytes(), int(t)): k for k, (h, t) in reversed(list(enumerate(zip(hashes, toxic, strict=True))))}
+    once = sorted(first.values())
+    hashes, toxic = [hashes[k] for k in once], toxic[once]
     keys = _select(hashes, toxic) if len(hashes) and (toxic == 1).any() and (toxic == 0).any() else np.zeros(0, np.uint64)
     model = Model(keys, np.zeros(len(keys)), np.array([5.0, 7.0]))
     if not len(keys):
@@ -103,11 +109,11 @@ def fit(hashes: list[np.ndarray], toxic: np.ndarray, steps: int = 400) -> Model:
     for k in range(1, steps + 1):
         cuts = np.array([t[0], t[0] + np.exp(t[1])])
         off = _sigmoid(np.bincount(row, w[feature], n)[:, None] - cuts) - above
-        grads = np.bincount(feature, off.sum(1)[row], len(w)) / n + 1e-5 * w, np.array([-off.sum(), -off[:, 1].sum() * np.exp(t[1])]) / n
+        grads = np.bincount(feature, off.sum(1)[row], len(w)) / n + SHRINK / n * w, np.array([-off.sum(), -off[:, 1].sum() * np.exp(t[1])]) / n
         for x, g, a, b in zip((w, t), grads, m, v, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
-            x -= 0.05 * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
+            x -= 0.1 * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
     model.thresholds = np.array([t[0], t[0] + np.exp(t[1])])
     return model
 
@@ -133,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     labelled = _sample(docs, labels).select("text", F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     kind = labelled.schema["doc_id"].dataType.simpleString()
     got = labelled.mapInArrow(extract, f"doc_id {kind}, toxic int, hashes binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["hashes"])))
-    return fit([np.frombuffer(bytes(r["hashes"]), np.uint64) for r in got], np.array([r["toxic"] for r in got], np.int64))
+    got.sort(key=lambda r: (r["doc_id"], r["hashes"]))
+    return fit([np.frombuffer(r["hashes"], np.uint64) for r in got], np.array([r["toxic"] for r in got], np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5, names: tuple[str, str] = ("severity", "rejected")) -> DataFrame:
