@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one of the smallest id. Documents without an id stay."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(util.small(util.save(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
+    """One document (id and text) of each class of near duplicates: the one of the smallest id. Documents without an id stay."""
+    gone = minhash.classed(docs).filter("NOT kept").select("_k1", "_k2").distinct()
+    return util.row_key(docs).join(util.small(util.save(gone, "gone")), ["_k1", "_k2"], "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, a 128-bit identity of the set of shingles (null for texts without words), bands."""
+    """doc_id, the row key, a 128-bit identity of the set of shingles (null for texts without words), bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +102,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 for salt in (1, 2):
                     mixed = text.mix(cells ^ np.uint64(salt * 0x51ED2705))
                     ids.append([int(mixed[a:b].sum(dtype=np.uint64).view(np.int64)) if b > a else None for a, b in zip(np.cumsum([0, *lens[:-1]]), np.cumsum(lens), strict=True)])
-                take = batch.column(0).take(pa.array([r for r, _ in held]))
+                rows = pa.array([r for r, _ in held])
+                own = [batch.column(k).take(rows) for k in (0, 2, 3)]
                 array = pa.array([b if n else [] for b, n in zip(bands, lens, strict=True)], pa.list_(pa.int64()))
-                done.append(pa.RecordBatch.from_arrays([take, pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), array], ["doc_id", "s1", "s2", "bands"]))
+                done.append(pa.RecordBatch.from_arrays([*own, pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), array], ["doc_id", "_k1", "_k2", "s1", "s2", "bands"]))
                 held, size = [], 0
 
             for row, words in text.rows_of_words(batch.column(1)):
@@ -116,19 +117,20 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield from done
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, s1 bigint, s2 bigint, bands array<bigint>")
+    keyed = util.row_key(docs.select("doc_id", "text"))
+    return keyed.mapInArrow(sign, f"doc_id {kind}, _k1 bigint, _k2 bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, its sorted shingles) of the wanted documents."""
+    """(rep, its sorted shingles) of the wanted rows (_k1, _k2, rep); a row that the table repeats is there as often."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [text.shingles(w, SHINGLE).view(np.int64) for _, w in text.rows_of_words(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "sh"])
 
-    some = docs.select(F.col("doc_id").alias("rep"), "text").join(util.small(wanted), "rep", "left_semi")
-    return some.mapInArrow(cut, "rep bigint, sh array<bigint>")
+    some = util.row_key(docs.select("doc_id", "text")).join(util.small(wanted), ["_k1", "_k2"])
+    return some.select("rep", "text").mapInArrow(cut, "rep bigint, sh array<bigint>")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,25 +203,22 @@ def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Classes of documents connected by a Jaccard similarity of at least 0.8 of their distinct five-word shingles.
-
-    Texts of the same shingles are one class from the start. Distinct ones meet in bands of DartMinHash signatures
-    (weights of 1 give the Jaccard similarity of sets). In each bucket the first member is checked exactly with the
-    others. Buckets whose members are then not all connected are compared in blocks against blocks, which report a
-    connecting forest: no link is lost, and a group of near copies never becomes all of its pairs.
-
-    Null texts and texts without words are classes of their own. Repeated ids count as one document of the first
-    text's class each; an empty table gives an empty result; other columns are ignored.
-    Returns doc_id, class_id (the smallest doc_id of the class), kept.
-    """
+def classed(docs: DataFrame) -> DataFrame:
+    """The row key (_k1, _k2) of doc_id and text with what ``near_duplicates`` returns, one row for each of ``docs``."""
     signed = util.save(_signed(docs), "signed")
     worded = signed.filter("s1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = util.save(worded.groupBy("s1", "s2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    first = F.struct("doc_id", "_k1", "_k2")
+    sorts = worded.groupBy("s1", "s2").agg(F.min_by("bands", first).alias("bands"), F.min(first).alias("f"), F.count(F.lit(1)).alias("copies"))
+    sorts = sorts.select("s1", "s2", "bands", "copies", "f.*").orderBy("doc_id", "_k1", "_k2")
+    # texts of the same shingles are one node, numbered in the order of their first rows: ids may repeat, nodes don't
+    classes = util.save(sorts.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     firsts = banded.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = util.save(banded.join(firsts, "bucket").select("bucket", "rep", "a", "n"), "buckets")
-    sets = util.save(_shingled(docs, members.select("rep").distinct()), "shingles")
+    wanted = util.save(classes.select("_k1", "_k2", "rep").join(members.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    sets = util.save(_shingled(docs, wanted), "shingles")
+    if sets.count() > wanted.count():  # rows alike in id and text
+        sets = util.save(sets.dropDuplicates(["rep"]), "shingles")
     pairs = members.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     forest = util.save(_checked(pairs, sets), "links")
     named = members.select("bucket", "rep").join(graph.components(forest).withColumnRenamed("node", "rep"), "rep", "left")
@@ -230,8 +229,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not open_buckets.isEmpty():
         forest = util.save(forest.union(_by_blocks(open_buckets, sets)), "links")
     named = graph.components(forest).withColumnRenamed("node", "rep")
-    table = util.save(classes.select("s1", "s2", "rep", "copies").join(named, "rep", "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("class_id")), "table")
-    total = signed.count()
-    out = util.attach(worded.select("doc_id", "s1", "s2"), table, ["s1", "s2"], "copies", total, F.col("doc_id")).select("doc_id", "class_id")
-    alone = signed.filter("s1 IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    nodes = util.save(classes.select("s1", "s2", "rep", "copies").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "nodes")
+    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    heads = classes.select(F.col("rep").alias("component"), F.col("doc_id").alias("class_id"), F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2"))
+    heads = util.save(heads.join(sizes, "component"), "heads")
+    table = util.attach(nodes, heads, ["component"], "members", nodes.count(), F.col("rep"))
+    table = util.save(table.select("s1", "s2", "copies", "class_id", "_h1", "_h2"), "table")
+    out = util.attach(worded.select("doc_id", "_k1", "_k2", "s1", "s2"), table, ["s1", "s2"], "copies", signed.count(), F.col("doc_id"))
+    head = (F.col("doc_id") == F.col("class_id")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2"))
+    out = out.select("_k1", "_k2", "doc_id", "class_id", head.alias("kept"))
+    alone = signed.filter("s1 IS NULL OR doc_id IS NULL").select("_k1", "_k2", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return out.union(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Classes of documents connected by a Jaccard similarity of at least 0.8 of their distinct five-word shingles.
+
+    Texts of the same shingles are one class from the start. Distinct ones meet in bands of DartMinHash signatures
+    (weights of 1 give the Jaccard similarity of sets). In each bucket the first member is checked exactly with the
+    others. Buckets whose members are then not all connected are compared in blocks against blocks, which report a
+    connecting forest: no link is lost, and a group of near copies never becomes all of its pairs.
+
+    Null texts and texts without words are classes of their own. A document is a row's id and text: an id with several
+    texts has each in its own class, rows alike in both are one document; an empty table gives an empty result; other
+    columns are ignored. Returns doc_id, class_id (the smallest doc_id of the class), kept (one document of each class).
+    """
+    return classed(docs).select("doc_id", "class_id", "kept")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from mediaspark.llm import secrets
+from mediaspark.llm import minhash, secrets
 
 from . import brute
 
@@ -44,3 +46,16 @@ def test_rows_without_id_or_text_stay(spark):
     assert out.count() == 3 and out.columns == docs.columns
     assert corpus_pipeline.drop_contaminated(spark, docs, SF).count() == 3
     assert sorted(map(tuple, secrets.mask(docs).collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, b), (5, b), (5, a), (7, c), (7, c + " end"), (7, c), (9, a + " end"), (2, None), (2, "!")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, _k1 int")
+    classes = {(r["doc_id"], r["class_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert {x for x in classes if x[0] in (3, 5, 9, 2)} == {(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (2, 2, True)}
+    assert {x for x in classes if x[0] == 7} == {(7, 7, True), (7, 7, False)}
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs.drop("_k1"), SF).collect()]
+    assert {x for x in kept if x[0] != 7} == {(3, b), (5, a), (2, None), (2, "!")}
+    assert len({x for x in kept if x[0] == 7}) == 1
