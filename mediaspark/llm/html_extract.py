@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from . import url_filter, util
 
 #: Share of a host's pages that must choose a path for it to win there, and the most hosts whose winners are broadcast.
 LEAST_SHARE, BROADCAST_HOSTS = 0.1, 100_000
+#: A path longer than this goes on from its hash, so that deep nesting stays linear.
+PATH_CHARS = 4_000
 
 # Elements of HTML by their role.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "title", "textarea", "xmp", "noembed", "noframes"}
@@ -30,6 +33,7 @@ CLOSES_P = {
     "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = ("ul", "ol", "dl", "table", "tbody", "thead", "select")
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S
@@ -49,6 +53,7 @@ class Element:
     parent: Element | None
     aside: bool
     gain: float  # how much its kind and name speak for a container
+    main: bool = False  # it or an element around it is an article or main
     score: float = 0.0
     order: int = 0
 
@@ -74,12 +79,15 @@ def _open(tag: str, attrs: dict[str, str], parent: Element | None) -> Element:
     names = attrs.get("class", "")
     both = f"{names} {attrs.get('id', '')}"
     kind = re.sub(r"\d+", "", ".".join(sorted(names.split())))
-    inside = parent is not None and re.search(r"/(?:article|main)\b", parent.path) is not None
+    inside = parent is not None and parent.main
     aside = tag in ASIDE or (tag == "header" and not inside) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
     aside = aside or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or (tag not in ("html", "body", "article", "main") and bool(_ASIDE_NAME.search(both)))
     gain = 3.0 if tag in ("article", "main") or "articleBody" in attrs.get("itemprop", "") else 1.5 if tag != "body" and _MAIN_NAME.search(both) else 1.0
-    path = f"{parent.path if parent else ''}/{tag}" + (f".{kind}" if kind else "")
-    return Element(tag, path, parent, aside or (parent is not None and parent.aside), gain)
+    above = parent.path if parent else ""
+    if len(above) > PATH_CHARS:
+        above = "#" + hashlib.blake2b(above.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    path = f"{above}/{tag}" + (f".{kind}" if kind else "")
+    return Element(tag, path, parent, aside or (parent is not None and parent.aside), gain, inside or re.match(r"(?:article|main)\b", tag) is not None)
 
 
 def parse(source: str) -> Page:
@@ -87,6 +95,8 @@ def parse(source: str) -> Page:
     page = Page()
     root = Element("", "", None, False, 0.0)
     stack = [root]
+    where: dict[str, list[int]] = {}  # places on the stack by tag
+    solid = [0]  # places on the stack of what isn't inline
     held: list[str] = []
     linked = links = 0
 
@@ -95,19 +105,23 @@ def parse(source: str) -> Page:
         if held:
             words = " ".join(html.unescape("".join(held)).split())
             if words and not stack[-1].aside:
-                owner = stack[-1]
-                while owner.tag in INLINE:
-                    owner = owner.parent
-                page.blocks.append(Block(owner, words, min(linked, len(words))))
+                page.blocks.append(Block(stack[solid[-1]], words, min(linked, len(words))))
             held.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal links
-        if any(e.tag not in INLINE for e in stack[k:]):
+        if solid[-1] >= k:
             flush()
-        links -= sum(e.tag == "a" for e in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            gone = stack.pop().tag
+            where[gone].pop()
+            links -= gone == "a"
+            if gone not in INLINE:
+                solid.pop()
+
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     at = 0
     while m := _PART.match(source, at):
@@ -119,12 +133,9 @@ def parse(source: str) -> Page:
                 linked += len(m[0]) * (links > 0)
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            k = last(tag)
+            if k and (tag not in INLINE or k > solid[-1]):
+                close(k)
             continue
         if tag == "br":
             held.append(" ")
@@ -137,28 +148,19 @@ def parse(source: str) -> Page:
             if tag not in INLINE:
                 flush()
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag not in INLINE:
-                    break
-        for k in range(len(stack) - 1, 0, -1) if tag in SIBLINGS else ():
-            if stack[k].tag in SIBLINGS[tag]:
-                close(k)
-                break
-            if stack[k].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
-                break
+        if tag in CLOSES_P and stack[solid[-1]].tag == "p":
+            close(solid[-1])
+        if tag in SIBLINGS and (k := last(*SIBLINGS[tag])) > last(*LISTS):
+            close(k)
         element = _open(tag, _attrs(m["attrs"]), stack[-1])
         if tag not in INLINE:
             flush()
             element.order = len(page.elements)
             page.elements.append(element)
+            solid.append(len(stack))
         links += tag == "a"
+        where.setdefault(tag, []).append(len(stack))
         stack.append(element)
-        if len(stack) > 500:  # such nesting is broken markup
-            close(len(stack) - 1)
     flush()
     return page
 
@@ -168,7 +170,7 @@ def score(page: Page) -> None:
     for b in page.blocks:
         share = len(b.words) - b.linked + 25 * b.words.count(",")
         e = b.element if b.element.tag in ("article", "main", "section", "div", "td", "body") else b.element.parent
-        while e is not None and e.tag:
+        while e is not None and e.tag and share:  # after some 1,100 levels a half is 0
             e.score += share * e.gain
             share /= 2
             e = e.parent
@@ -179,14 +181,6 @@ def best(page: Page) -> Element | None:
     return max(good, key=lambda e: (e.score, -e.order), default=None)
 
 
-def _within(e: Element | None, container: Element) -> bool:
-    while e is not None:
-        if e is container:
-            return True
-        e = e.parent
-    return False
-
-
 def extract(page: Page, winners: list[str]) -> str:
     """Text of the containers on the first winning path that the page has, or of the page's own best container."""
     for path in winners:
@@ -198,12 +192,16 @@ def extract(page: Page, winners: list[str]) -> str:
         if own is None:  # no container stands out
             return " ".join(b.words for b in page.blocks)
         tops = [own]
-    inside: dict[int, bool] = {}
+    inside = {id(t): True for t in tops}
 
-    def chosen(e: Element) -> bool:
-        if id(e) not in inside:
-            inside[id(e)] = any(_within(e, t) for t in tops)
-        return inside[id(e)]
+    def chosen(e: Element | None) -> bool:
+        passed = []
+        while e is not None and id(e) not in inside:
+            passed.append(id(e))
+            e = e.parent
+        found = e is not None and inside[id(e)]
+        inside.update(dict.fromkeys(passed, found))
+        return found
 
     return " ".join(b.words for b in page.blocks if chosen(b.element))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import struct
 import zlib
 from collections import Counter
@@ -165,6 +166,22 @@ def test_html_consensus(spark):
     assert out[9] == "Tiny story"
 
 
+def test_html_deep_nesting():
+    def text_of(body):
+        page = html_extract.parse(body)
+        html_extract.score(page)
+        return html_extract.extract(page, [])
+
+    for n in (10, 600, 20_000):
+        deep = "<div>" * n + "deep text, here" + "<nav>menu</nav><form>fields</form>" + "</div>" * n
+        assert text_of(f"<body><div class=page><article><p>First part, long enough{deep}<p>Last part, long enough</article></div></body>") == "First part, long enough deep text, here Last part, long enough"
+    start = time.process_time()
+    for mixed in ("<b>{0}<div>x</div>", "<i><div>{1}</i>", "<div>{0}<li>x</li>"):  # repeated tags below many open ones
+        many = "<b>" * 20_000 if "{1}" in mixed else mixed.split("{0}")[0] * 20_000
+        text_of(many + (mixed.split("{0}")[-1] if "{0}" in mixed else "</i>") * 20_000)
+    assert time.process_time() - start < 60
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     rows = []
