@@ -199,6 +199,12 @@ def authored_text_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.text_depth(run_sql(spark, sf_dir, sql)).withColumn("disparity", F.round("disparity", 9))
 
 
+@query("""WITH g AS (SELECT track_id, pts, text, count(*) FILTER (WHERE centre_x < 960) AS lefts, max(centre_x) FILTER (WHERE centre_x < 960) AS l, max(centre_x - 960) FILTER (WHERE centre_x >= 960) AS r FROM text_events GROUP BY ALL HAVING count(*) = 2),
+    p AS (SELECT track_id, (l - r) / 960 AS d FROM g WHERE lefts = 1) SELECT track_id, count(*) AS pairs, round(CASE WHEN count(*) >= 2 AND abs(median(d)) <= 0.15 AND max(d) - min(d) <= 0.02 THEN median(d) ELSE 0 END, 9) AS disparity FROM p GROUP BY track_id""")
+def authored_text_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.text_depth(view(spark, sf_dir, "text_events")).withColumn("disparity", F.round("disparity", 9))
+
+
 _COMPS = "SELECT l_suppkey AS track_id, l_orderkey AS set_no, CAST(l_partkey % 3 + CASE WHEN l_linenumber % 2 = 0 THEN 1160 ELSE 200 END AS DOUBLE) AS x, CAST(l_linenumber % 3 AS INT) AS y, CAST(300 + l_partkey % 2 AS INT) AS w, 40 AS h, 1920 AS canvas_w, 7 AS image_hash FROM lineitem"
 
 

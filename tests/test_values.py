@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from mediaspark import plans
 from mediaspark.functions import geometry, media, stereo
 from mediaspark.operators import asof, catalog, frames, islands, ranks, sessions, subtitles, telemetry, timeline
 from mediaspark.sources import readers
@@ -117,6 +118,16 @@ def test_one_pair_has_no_depth(spark):
     assert rows(subtitles.text_depth(df), "pairs", "disparity") == [(1, 0.0)]
 
 
+def test_text_depth_of_whole_texts(spark, tmp_path):
+    long = "a line of many words " * 400
+    texts = [long + "x", long + "x", long + "y", long + "z", long + "q", long + "q", None, None]
+    docs = spark.createDataFrame([(k, t, "en", "site", 1) for k, t in enumerate(texts)] + [(8, long, "de", "site", 1), (9, long, "de", "other", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = plans.QUERIES["authored_text_depth_whole"](spark, str(tmp_path))
+    # d of the pairs 0-1, 4-5 and 6-7 is (0 - 1), (1 - 2) and (0 - 1) / 960; texts that differ at their end don't pair
+    assert rows(out, "track_id", "pairs", "disparity") == [("en", 3, round(-1 / 960, 9))]
+
+
 def test_flat_fields(spark):
     flat = [("flat", 1.0, 2.0)] * 4
     shaped = [("shaped", 1.0, float(k)) for k in range(4)]
