@@ -20,6 +20,9 @@ from . import util
 #: Distinct chunks whose ids a task keeps.
 CACHE = 250_000
 END_ID = 2
+#: Sixteenths of a sequence under which a plan leaves lengths to best fit.
+SPARED = (0, 0.5, 1, 2, 3, 4, 5)
+Plan = list[tuple[tuple[int, ...], int]]
 
 
 def _class(first: str, limit: int) -> str:
@@ -130,54 +133,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fill sequences from counts of lengths: (lengths in place order, how many such sequences).
-
-    From the longest length down, the gap it leaves is looked up among single, pair and triple length sums and exact
-    fillings are consumed as long as all their lengths are available. What is left goes best-fit, longest first, into
-    the smallest gap that takes it. The work depends on the number of distinct lengths (at most ``size``), not of pieces.
-    """
-    left = {k: n for k, n in counts.items() if n > 0}
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(combo: tuple[int, ...]) -> None:
-        need = {x: combo.count(x) for x in combo}
-        while (k := min(left.get(x, 0) // m for x, m in need.items())) > 0:
-            for x, m in need.items():
-                left[x] -= m * k
-            out.append((combo, k))
-
-    if left.get(size):
-        out.append(((size,), left.pop(size)))
-    live = lambda: sorted((x for x, n in left.items() if n > 0), reverse=True)
-    for depth in (1, 2, 3):
-        order = live()
-        sums: dict[int, list[tuple[int, int]]] = {}
-        if depth == 3:  # index of pair sums, largest parts first
-            for i, a in enumerate(order):
-                for b in order[i:]:
-                    if a + b < size:
-                        sums.setdefault(a + b, []).append((a, b))
-        for x in order:
-            gap = size - x
-            if depth == 1:
-                if 0 < gap <= x and left.get(gap):
-                    take((x, gap))
-            elif depth == 2:
-                for a in (y for y in order if y <= x and 2 * y >= gap and y < gap):
-                    if not left[x]:
-                        break
-                    if left.get(a) and left.get(gap - a):
-                        take((x, a, gap - a))
-            else:
-                for a in (y for y in order if y <= x and y < gap):
-                    if not left[x]:
-                        break
-                    for b, c in sums.get(gap - a, ()) if left.get(a) else ():
-                        if b <= a and left.get(b) and left.get(c):
-                            take((x, a, b, c))
-                            if not (left[x] and left.get(a)):
-                                break
+def _best_fit(left: dict[int, int], size: int) -> Plan:
+    """Longest first, into the smallest gap that takes it."""
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     gaps: list[int] = []
 
@@ -188,8 +145,8 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
             insort(gaps, gap)
         bins[gap].append((combo, n))
 
-    for x in live():
-        n = left.pop(x)
+    for x in sorted(left, reverse=True):
+        n = left[x]
         while n:
             at = bisect_left(gaps, x)
             if at < len(gaps):
@@ -211,15 +168,78 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
                 else:
                     put((x,) * n, 1)
                     n = 0
-    return out + [p for b in bins.values() for p in b]
+    return [p for b in bins.values() for p in b]
+
+
+def _fill(counts: dict[int, int], size: int, least: int) -> Plan:
+    """Exact fillings, pairs and triples of lengths from ``least`` on only, then best fit of what is left."""
+    left = {k: n for k, n in counts.items() if n > 0}
+    out: Plan = []
+
+    def take(combo: tuple[int, ...]) -> None:
+        need = {x: combo.count(x) for x in combo}
+        if (k := min(left.get(x, 0) // m for x, m in need.items())) > 0:
+            for x, m in need.items():
+                left[x] -= m * k
+            out.append((combo, k))
+
+    if left.get(size):
+        out.append(((size,), left.pop(size)))
+    for x in sorted(left, reverse=True):  # singles: the gap itself is a length
+        if left[x] and left.get(size - x):
+            take((x, size - x))
+    order = [x for x in sorted(left, reverse=True) if left[x] and x >= least]
+    pairs: dict[int, list[tuple[int, int]]] = {}  # by their sum, larger part first
+    for i, a in enumerate(order):
+        for b in order[i:]:
+            if a + b < size:
+                pairs.setdefault(a + b, []).append((a, b))
+    for x in order:
+        for a, b in pairs.get(size - x, ()):
+            if not left[x]:
+                break
+            if a <= x and left[a] and left[b]:
+                take((x, a, b))
+    order = [x for x in order if left[x]]
+    triples: dict[int, list[int]] = {}  # by their sum: the largest part, whose pair stands in the index of pairs
+    for a in order:
+        for total in pairs:
+            if a + total < size:
+                triples.setdefault(a + total, []).append(a)
+    for x in order:
+        for a in triples.get(size - x, ()):
+            if not left[x]:
+                break
+            for b, c in pairs[size - x - a] if a <= x and left[a] else ():
+                if b <= a and left[b] and left[c]:
+                    take((x, a, b, c))
+                    if not (left[x] and left[a]):
+                        break
+    return out + _best_fit({x: n for x, n in left.items() if n}, size)
+
+
+def plan(counts: dict[int, int], size: int) -> Plan:
+    """Fill sequences from counts of lengths: (lengths in place order, how many such sequences).
+
+    From the longest length down, the gap it leaves is looked up among single, pair and triple length sums and exact
+    fillings are consumed as long as all their lengths are available. What is left goes best-fit, longest first, into
+    the smallest gap that takes it. Pairs and triples may eat the short lengths that best fit needs for its gaps, so
+    plans that spare lengths under some share of ``size``, and at last plain best fit, are made as well and the first
+    of the fewest sequences is taken: never more than best fit needs. The work depends on the number of distinct
+    lengths (at most ``size``), not of pieces.
+    """
+    plans = [_fill(counts, size, max(1, int(size * k / 16))) for k in SPARED]
+    plans.append(_best_fit({x: n for x, n in counts.items() if n > 0}, size))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, planner: Callable = plan) -> DataFrame:
     """Pack the pieces of all documents into sequences of at most ``size`` tokens.
 
-    A document is its ids and an end id; a null or empty text is the end id alone. Only documents over ``size`` are cut.
-    Repeated rows are packed each for itself; an empty table gives an empty result; columns besides doc_id and text
-    are ignored. Only the histogram of lengths, at most ``size`` counts, reaches the driver; the plan made from it comes
+    A document is its ids and an end id; a null or empty text is the end id alone. Only documents over ``size`` are cut,
+    however long they are: all their pieces but the first are full. Repeated rows are packed each for itself; of pieces
+    that are alike in length, id, place and ids any order is right; an empty table gives an empty result; columns
+    besides doc_id and text are ignored. Only the histogram of lengths, at most ``size`` counts, reaches the driver; the plan made from it comes
     back as ranges of running numbers per length, and pieces find their place by their number within their length.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
@@ -236,7 +256,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, planner: Callable =
             slots.setdefault(length, []).append((begin, begin + n, first, offset))
             used[length] = begin + n
         first += n
-    schema = "length bigint, slots array<struct<begin: bigint, end: bigint, first: bigint, offset: bigint>>"
     places = spark.createDataFrame([(k, *r) for k, v in slots.items() for r in v], "length bigint, begin bigint, end bigint, first bigint, offset bigint")
     numbered = util.gapless(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], sum(counts.values()), "_number")
     fits = (numbered["length"] == places["length"]) & (F.col("_number") >= F.col("begin")) & (F.col("_number") < F.col("end"))
