@@ -7,15 +7,16 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import url_filter, util
 
-#: Share of a host's pages that must choose a path for it to win there, and the most hosts whose winners are broadcast.
-LEAST_SHARE, BROADCAST_HOSTS = 0.1, 100_000
+#: Votes that a path needs to win, on its template or its host.
+LEAST_VOTES = 2
 #: A path longer than this goes on from its hash, so that deep nesting stays linear.
 PATH_CHARS = 4_000
 
@@ -39,11 +40,37 @@ _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S
 )
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_ASIDE_NAME = re.compile(
-    r"(?:^|[-_ ])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|notice|alert|cookies?|consent|gdpr|banner|advert|adverts|advertisement|advertising|ads?|adsense|sponsor|sponsored|promo|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|popup|modal|newsletter|subscribe|subscription|signup|login|widget|toolbar|skip|hidden)(?:$|[-_ ])",
-    re.I,
-)
+# Words in class and id names. Boilerplate by any part of a name; parts of a page by any part outside of an
+# article, by the whole name or many links inside one; page headers; articles.
+SHED = {
+    "navbar", "sidebar", "cookie", "cookies", "consent", "gdpr", "advert", "adverts", "advertisement", "advertising", "ads", "adsense", "sponsor", "sponsored", "comment", "comments",
+    "commentlist", "respond", "replies", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "newsletter", "subscribe", "subscription", "signup",
+}
+FRAME = {
+    "nav", "navigation", "menu", "footer", "side", "aside", "notice", "alert", "banner", "ad", "promo", "share", "sharing", "social", "related", "recommended", "login", "widget", "toolbar", "skip", "hidden",
+}
+HEAD = {"header", "masthead"}
+ENTRY = {"article", "entry", "post", "story"}
 _MAIN_NAME = re.compile(r"(?:^|[-_ ])(?:article|content|entry|main|post|story|text|body)(?:$|[-_ ])", re.I)
+KEPT, DOUBTED, LEFT = 0, 1, 2
+
+
+@lru_cache(10_000)
+def by_name(names: str, inside: bool) -> int:
+    """What class and id names say of an element: it is left out, or left out if it is mostly links, or kept."""
+    out = KEPT
+    for name in names.lower().split():
+        parts = {x for x in re.split("[-_]+", name) if x}
+        if parts & SHED or (parts & FRAME and (not inside or name in FRAME)) or (parts & HEAD and not inside and not parts & ENTRY):
+            return LEFT
+        if parts & FRAME:
+            out = DOUBTED
+    return out
+
+
+@lru_cache(10_000)
+def _kind(names: str) -> str:
+    return re.sub(r"\d+", "", ".".join(sorted(names.split())))
 
 
 @dataclass
@@ -54,6 +81,7 @@ class Element:
     aside: bool
     gain: float  # how much its kind and name speak for a container
     main: bool = False  # it or an element around it is an article or main
+    doubt: Element | None = None  # the outermost element around it that is left out if it is mostly links
     score: float = 0.0
     order: int = 0
 
@@ -78,16 +106,19 @@ def _attrs(source: str) -> dict[str, str]:
 def _open(tag: str, attrs: dict[str, str], parent: Element | None) -> Element:
     names = attrs.get("class", "")
     both = f"{names} {attrs.get('id', '')}"
-    kind = re.sub(r"\d+", "", ".".join(sorted(names.split())))
+    kind = _kind(names)
     inside = parent is not None and parent.main
     aside = tag in ASIDE or (tag == "header" and not inside) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-    aside = aside or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or (tag not in ("html", "body", "article", "main") and bool(_ASIDE_NAME.search(both)))
+    aside = aside or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+    said = KEPT if tag in ("html", "body", "article", "main") else by_name(both, inside)
     gain = 3.0 if tag in ("article", "main") or "articleBody" in attrs.get("itemprop", "") else 1.5 if tag != "body" and _MAIN_NAME.search(both) else 1.0
     above = parent.path if parent else ""
     if len(above) > PATH_CHARS:
         above = "#" + hashlib.blake2b(above.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
     path = f"{above}/{tag}" + (f".{kind}" if kind else "")
-    return Element(tag, path, parent, aside or (parent is not None and parent.aside), gain, inside or re.match(r"(?:article|main)\b", tag) is not None)
+    out = Element(tag, path, parent, aside or said == LEFT or (parent is not None and parent.aside), gain, inside or tag in ("article", "main"))
+    out.doubt = (parent.doubt if parent else None) or (out if said == DOUBTED else None)
+    return out
 
 
 def parse(source: str) -> Page:
@@ -162,6 +193,19 @@ def parse(source: str) -> Page:
         where.setdefault(tag, []).append(len(stack))
         stack.append(element)
     flush()
+    return _settled(page)
+
+
+def _settled(page: Page) -> Page:
+    """Without the blocks of doubted elements that are mostly links."""
+    sums: dict[int, list[int]] = {}
+    for b in page.blocks:
+        if b.element.doubt is not None:
+            total = sums.setdefault(id(b.element.doubt), [0, 0])
+            total[0] += b.linked
+            total[1] += len(b.words)
+    if sums:
+        page.blocks = [b for b in page.blocks if b.element.doubt is None or 2 * sums[id(b.element.doubt)][0] < sums[id(b.element.doubt)][1]]
     return page
 
 
@@ -181,18 +225,26 @@ def best(page: Page) -> Element | None:
     return max(good, key=lambda e: (e.score, -e.order), default=None)
 
 
-def extract(page: Page, winners: list[str]) -> str:
-    """Text of the containers on the first winning path that the page has, or of the page's own best container."""
-    for path in winners:
-        tops = [e for e in page.elements if e.path == path and not e.aside and e.score > 0]
-        if tops:
-            break
-    else:
-        own = best(page)
-        if own is None:  # no container stands out
-            return " ".join(b.words for b in page.blocks)
-        tops = [own]
-    inside = {id(t): True for t in tops}
+def candidates(page: Page) -> dict[str, Element]:
+    """The first element on each path that may hold the main text, and its score there is the path's best."""
+    out: dict[str, Element] = {}
+    for e in page.elements:
+        if e.score > 0 and not e.aside and e.tag != "html":
+            first = out.setdefault(e.path, e)
+            first.score = max(first.score, e.score)
+    return out
+
+
+def template(page: Page) -> str:
+    """A page's layout: the distinct paths of its outermost containers, below body."""
+    return "\n".join(sorted({e.path for e in page.elements if not e.aside and e.path.count("/") <= 3}))
+
+
+def extract(page: Page, path: str | None) -> str:
+    """Text of all containers on the path, or of the whole page where no container stands out."""
+    if path is None:
+        return " ".join(b.words for b in page.blocks)
+    inside = {id(e): True for e in page.elements if e.path == path and not e.aside and e.score > 0}
 
     def chosen(e: Element | None) -> bool:
         passed = []
@@ -206,52 +258,74 @@ def extract(page: Page, winners: list[str]) -> str:
     return " ".join(b.words for b in page.blocks if chosen(b.element))
 
 
-def _votes(pages: DataFrame) -> DataFrame:
-    """One vote per page: the path of its best container."""
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(pages: DataFrame) -> DataFrame:
+    """Each page's text by its own best container, and what its containers are called: hashes of path with template and host."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = []
-            for source in batch.column(1):
+            texts, places = [], []
+            for host, source in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
                 page = parse(source.as_py() or "")
                 score(page)
-                top = best(page)
-                paths.append(top.path if top else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+                own = best(page)
+                layout = template(page)
+                texts.append(extract(page, own.path if own else None))
+                places.append([{"place": e.order, "own": e.path == own.path, "score": e.score, "keys": [_hash(host, layout, p), _hash(host, p)]} for p, e in candidates(page).items()])
+            kinds = pa.list_(pa.struct([("place", pa.int32()), ("own", pa.bool_()), ("score", pa.float64()), ("keys", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(places, kinds)], ["page_id", "url", "_k1", "_k2", "text", "places"])
 
-    return pages.select("host", "html").mapInArrow(vote, "host string, path string")
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
+    return pages.select("page_id", "url", "_k1", "_k2", "host", "html").mapInArrow(read, f"{kinds}, _k1 bigint, _k2 bigint, text string, places array<struct<place: int, own: boolean, score: double, keys: array<bigint>>>")
 
 
-def winners(pages: DataFrame) -> DataFrame:
-    """(host, paths chosen by at least LEAST_SHARE of its pages, most chosen first)."""
-    votes = _votes(pages).filter("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    of_host = Window.partitionBy("host")
-    share = votes.withColumn("all", F.sum("n").over(of_host)).filter(F.col("n") >= LEAST_SHARE * F.col("all"))
-    return share.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("p")).select("host", F.col("p.path").alias("winners"))
+def _overruled(read: DataFrame) -> DataFrame:
+    """(_k1, _k2, place) of the pages whose template or host has voted for another of their containers."""
+    named = read.select("_k1", "_k2", F.explode("places").alias("p")).select("_k1", "_k2", "p.place", "p.own", "p.score", F.posexplode("p.keys").alias("level", "key"))
+    named = util.save(named, "containers")
+    votes = named.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.count_if("own").alias("n"))
+    met = util.attach(named, util.save(votes, "votes"), ["key"], "copies", named.count(), F.col("_k1"))
+    count = lambda level: F.max(F.when((F.col("level") == level) & (F.col("n") >= LEAST_VOTES), F.col("n")).otherwise(0))
+    judged = met.groupBy("_k1", "_k2", "place").agg(count(0).alias("template"), count(1).alias("host"), F.max("score").alias("score"), F.bool_or("own").alias("own"))
+    rank = F.struct("template", "host", "score", -F.col("place"))
+    return judged.groupBy("_k1", "_k2").agg(F.max_by("place", rank).alias("place"), F.max_by("own", rank).alias("own")).filter("NOT own").select("_k1", "_k2", "place")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """The main text of every page.
 
-    Each page scores its containers and votes for the path of its best one; a host's most chosen paths win, and all its
-    pages are extracted again by them. A page with none of them uses its own best container. Menus, page headers,
-    footers, asides, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+    Each page scores its containers and votes for the path of its best one, once for its template (the paths of its
+    outermost containers) and once for its host. Of the paths that a page holds, the one with the most votes of its own
+    template wins, then of its host; a path needs two votes, and a page whose paths have none keeps its own best container.
+    Pages that are overruled are extracted again. However many templates a host has, each is decided by its own pages.
+
+    Menus, page headers, footers, asides, notices, adverts, forms, scripts, styles and reader comments are left out
+    wherever they stand; inside an article a name that only resembles one of these counts if the element is mostly
+    links. Headings inside the winning container belong to the text, one outside of it is a page header and does not.
+    All containers on the winning path count, in page order.
 
-    Null and empty html give an empty text; a null url belongs to the host of no name; repeated rows give repeated
-    results, an empty table an empty one; other columns are ignored. Returns page_id, url, text, n_chars.
+    Null and empty html give an empty text; texts and nesting may be of any length; of equal scores the first container
+    counts; a null url belongs to the host of no name; repeated rows give repeated results (and votes), an empty table
+    an empty one; other columns are ignored. Returns page_id, url, text, n_chars.
     """
-    keyed = pages.select("page_id", "url", "html", F.coalesce(url_filter.host_of(F.col("url")), F.lit("")).alias("host"))
-    chosen = util.save(winners(keyed), "winners")
+    host = F.coalesce(url_filter.host_of(F.col("url")), F.lit(""))
+    keyed = pages.select("page_id", "url", F.xxhash64(F.lit(1), "page_id", "url", "html").alias("_k1"), F.xxhash64("html", F.lit(2), "page_id", "url").alias("_k2"), host.alias("host"), "html")
+    first = util.save(_read(keyed), "read")
+    changed = util.small(util.save(_overruled(first), "overruled"))
 
     def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for source, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for source, place in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 page = parse(source.as_py() or "")
                 score(page)
-                out.append(extract(page, paths or []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                out.append(extract(page, page.elements[place].path))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    met = keyed.join(util.small(chosen, BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "winners")
-    return met.mapInArrow(redo, f"{kinds}, text string, n_chars bigint")
+    again = keyed.join(changed, ["_k1", "_k2"]).select("page_id", "url", "html", "place").mapInArrow(redo, f"{kinds}, text string")
+    kept = first.join(changed, ["_k1", "_k2"], "left_anti").select("page_id", "url", "text")
+    return kept.unionByName(again).withColumn("n_chars", F.char_length("text").cast("bigint"))

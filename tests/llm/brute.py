@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -108,3 +110,38 @@ def near_duplicates(docs: dict, least: float = 0.8) -> dict:
                 links[i].add(j)
                 links[j].add(i)
     return connected(links)
+
+
+def html_text(source: str) -> str:
+    return " ".join(html.unescape(source).split())
+
+
+class _Article(HTMLParser):
+    """Texts of the blocks inside ``article``, for pages whose articles hold paragraphs and headings only."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside > 0:
+            self.blocks[-1] += data
+
+
+def article(source: str | None) -> str:
+    parser = _Article()
+    parser.feed(source or "")
+    parser.close()
+    return " ".join(x for b in parser.blocks if (x := " ".join(b.split())))

@@ -153,24 +153,70 @@ def test_html_extraction(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
 def test_html_consensus(spark):
-    """A page whose own best container is another one follows the host's path."""
-    usual = '<body><div class="story s{n}"><p>' + "The story goes on and on. " * 5 + '</p></div><div class="box"><p>Short</p></div></body>'
-    odd = '<body><div class="story"><p>Tiny story</p></div><div class="box"><p>' + "A very long box, " * 20 + "</p></div></body>"
-    rows = [(k, "http://h.com/", usual.replace("{n}", "")) for k in range(9)] + [(9, "http://h.com/", odd)]
-    usual_path = html_extract.winners(spark.createDataFrame([("h.com", r[2]) for r in rows], "host string, html string")).first()["winners"][0]
-    out = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert usual_path.endswith("div.s.story") and out[9].startswith("A very long box")
-    rows = [(k, u, s.replace("story s", "story")) for k, u, s in rows]
-    out = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert out[9] == "Tiny story"
+    """A page whose own best container is another one follows its template's path, however many templates the host has."""
+    usual = '<body><div class="top{n}"><p>x</p></div><div class="text{n} s1"><p>' + "The tale goes on and on. " * 5 + '</p></div><div class="box"><p>Short</p></div></body>'
+    odd = '<body><div class="top{n}"><p>x</p></div><div class="text{n} s2"><p>Tiny tale</p></div><div class="box"><p>' + "A very long box, " * 20 + "</p></div></body>"
+    names = "abcdefghijklmnopqrst"
+    rows = [(20 * k + j, "http://h.com/", (usual if j else odd).replace("{n}", n)) for k, n in enumerate(names) for j in range(5)]
+    rows += [(1000, "http://h.com/", odd.replace("{n}", "-other")), (1001, "http://g.com/", odd.replace("{n}", "a"))]
+    out = extracted(spark, [*rows, *rows[:1]])
+    assert all(out[20 * k] == "Tiny tale" for k in range(len(names))) and out[1].startswith("The tale")
+    assert out[1000].startswith("A very long box") and out[1001].startswith("A very long box")
+
+
+def test_html_names_inside_articles():
+    def text_of(body):
+        page = html_extract.parse(body)
+        html_extract.score(page)
+        own = html_extract.best(page)
+        return html_extract.extract(page, own and own.path)
+
+    parts = {
+        '<header class="entry-header"><h1>Title</h1></header>': "Title", '<div class="entry-header"><h2>Head</h2></div>': "Head", '<div class="related-work"><p>Earlier studies</p></div>': "Earlier studies",
+        '<section id="side-effects"><p>Headache</p></section>': "Headache", '<ul class="menu-items"><li>Soup</li></ul>': "Soup", '<div class="related"><p>Read too</p></div>': "", '<div class="comment-list"><p>Nice</p></div>': "",
+        '<div class="related-posts"><a href=x>One</a> <a href=y>Two</a></div>': "", '<div class="social-bar"><a href=x>Share</a></div>': "", "<nav>Menu</nav>": "", '<div class="ads-box">Buy</div>': "", '<p style="display: none">Gone</p>': "",
+    }
+    body = "".join(f"<p>Paragraph {k}, long enough to count.</p>{x}" for k, x in enumerate(parts))
+    want = " ".join(f"Paragraph {k}, long enough to count. {x}".strip() for k, x in enumerate(parts.values()))
+    assert text_of(f'<body><div class="site-header">Site</div><article>{body}</article><div class="menu-items">Menu</div></body>') == want
+
+
+def test_html_of_generated_pages(spark):
+    """Pages made of known main text and known boilerplate give the main text exactly."""
+    rng = random.Random(12)
+    words = "alpha beta, gamma delta. epsilon zeta eta &amp; theta &lt;iota&gt; k&auml;ppa".split()
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    junk = ['<nav><ul><li><a href="/">Home</a></li></ul></nav>', '<div class="ad">Buy now</div>', '<aside>More</aside>', '<div id="cookie-notice">We use cookies</div>', "<form><label>Mail</label><input></form>", "<!-- note -->", "<script>if (a < b) {}</script>"]
+    shells = ['<article class="post-{k}">{x}</article>', '<div class="content">{x}</div>', '<main><div class="text">{x}</div></main>', '<div id="wrap"><section class="story">{x}</section></div>']
+    rows, want = [], {}
+    for k in range(300):
+        blocks = [line(rng.randrange(12, 40)) for _ in range(rng.randrange(2, 7))]
+        tags = [rng.choice(["p", "h2", "blockquote", "li", "pre"]) for _ in blocks]
+        inner = "".join(f"<{t}>{b}{'' if t in ('p', 'li') else f'</{t}>'}{rng.choice(junk) if rng.random() < 0.3 else ''}" for t, b in zip(tags, blocks, strict=True))
+        body = shells[k % 4].replace("{x}", inner).replace("{k}", str(k))
+        rows.append((k, f"http://h{k % 3}.com/{k}", f"<html><head><title>T</title></head><body>{rng.choice(junk)}{body}{rng.choice(junk)}<footer>(c)</footer></body></html>"))
+        want[k] = brute.html_text(" ".join(blocks))
+    assert extracted(spark, rows) == want
+
+
+def test_html_of_the_table(spark):
+    """The table's articles by another parser, block by block."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    assert got == {r["page_id"]: brute.article(r["html"]) for r in pages.collect()}
 
 
 def test_html_deep_nesting():
     def text_of(body):
         page = html_extract.parse(body)
         html_extract.score(page)
-        return html_extract.extract(page, [])
+        own = html_extract.best(page)
+        return html_extract.extract(page, own and own.path)
 
     for n in (10, 600, 20_000):
         deep = "<div>" * n + "deep text, here" + "<nav>menu</nav><form>fields</form>" + "</div>" * n
