@@ -16,7 +16,8 @@ from . import graph, util
 BASIS_SAMPLE = 4096
 #: Vectors in a block, and in a part of one that is compared at once.
 BLOCK, LEAF = 1024, 128
-LEADING = 4
+#: Leading principal dimensions whose cells order the vectors, and those that bounds are kept on.
+ORDERED, LEADING = 4, 8
 
 
 def _basis(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -49,7 +50,7 @@ def _units(raw: np.ndarray) -> np.ndarray:
 
 def _ordered(classes: DataFrame, basis: dict[int, np.ndarray], epsilon: float) -> DataFrame:
     """Distinct vectors in epsilon grid order: label, length, then cells of the leading principal dimensions."""
-    cells = [f"c{k}" for k in range(LEADING)]
+    cells = [f"c{k}" for k in range(ORDERED)]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,8 +74,8 @@ def _blocks(ordered: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
 
         def flush(rows: list) -> pd.DataFrame:
             nonlocal at
-            raw = np.stack([r.embedding for r in rows]).astype(np.float64)
-            lead = _project(_units(raw), basis)
+            raw = np.stack([r.embedding for r in rows])
+            lead = _project(_units(raw.astype(np.float64)), basis)
             at += 1
             row = (at, rows[0].label, rows[0].dim, lead.min(0).tolist(), lead.max(0).tolist(), [r.rep for r in rows], [r.n for r in rows], raw.tobytes())
             return pd.DataFrame([row], columns=["block", "label", "dim", "lo", "hi", "reps", "ns", "raw"])
@@ -93,20 +94,45 @@ def _blocks(ordered: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs of blocks, each with itself too, that may hold vectors within epsilon: met on cells of the first dimension."""
-    first = lambda bound, grow: F.floor((F.col(bound)[0] + grow) / epsilon)
+    """Pairs of blocks, each with itself too, that may hold vectors within epsilon: met on cells of the two leading dimensions."""
+    cells = lambda k, grow: F.explode(F.sequence(F.floor((F.col("lo")[k] - grow) / epsilon), F.floor((F.col("hi")[k] + grow) / epsilon)))
     meta = blocks.select("block", "label", "dim", "lo", "hi")
-    left = meta.select(F.col("block").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(first("lo", 0), first("hi", 0))).alias("cell"))
-    right = meta.select(F.col("block").alias("b"), "label", "dim", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(first("lo", -epsilon), first("hi", epsilon))).alias("cell"))
+
+    def side(name: str, grow: float) -> DataFrame:
+        rows = meta.withColumn("c0", cells(0, grow)).withColumn("c1", cells(1, grow))
+        return rows.select(F.col("block").alias(name), "label", "dim", "c0", "c1", F.col("lo").alias(f"{name}lo"), F.col("hi").alias(f"{name}hi"))
+
     gap = F.zip_with("alo", "bhi", lambda x, y: F.greatest(x - y, F.lit(0.0))), F.zip_with("blo", "ahi", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     apart = F.aggregate(F.zip_with(*gap, lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda s, g: s + g * g)
-    return left.join(right, ["label", "dim", "cell"]).filter((F.col("a") <= F.col("b")) & (apart <= epsilon * epsilon + 1e-9)).select("a", "b").distinct()
+    met = side("a", 0.0).join(side("b", epsilon), ["label", "dim", "c0", "c1"]).filter((F.col("a") <= F.col("b")) & (apart <= epsilon * epsilon + 1e-9))
+    return met.select("a", "b", "alo", "ahi", "blo", "bhi").dropDuplicates(["a", "b"])
+
+
+def _sides(blocks: DataFrame, pairs: DataFrame, basis: dict[int, np.ndarray], epsilon: float, kind: np.dtype) -> DataFrame:
+    """For each pair the vectors of either block that lie within epsilon of the other's bounds; pairs of one block keep all."""
+    own = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block"), F.col("blo").alias("olo"), F.col("bhi").alias("ohi"))
+    other = pairs.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block"), F.col("alo").alias("olo"), F.col("ahi").alias("ohi"))
+    met = blocks.drop("label", "lo", "hi").join(util.small(util.save(own.union(other), "sides")), "block")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                raw = np.frombuffer(r.raw, kind).reshape(len(r.reps), r.dim)
+                lead = _project(_units(raw.astype(np.float64)), basis)
+                off = np.maximum(0, np.maximum(np.asarray(r.olo) - lead, lead - np.asarray(r.ohi)))
+                keep = (off * off).sum(1) <= epsilon * epsilon + 1e-9
+                if keep.any():
+                    rows.append((r.a, r.b, r.side, r.dim, np.asarray(r.reps)[keep], np.asarray(r.ns)[keep], raw[keep].tobytes()))
+            yield pd.DataFrame(rows, columns=["a", "b", "side", "dim", "reps", "ns", "raw"])
+
+    return met.mapInPandas(near, "a bigint, b bigint, side int, dim int, reps array<bigint>, ns array<bigint>, raw binary")
 
 
 class _Side:
-    def __init__(self, reps, ns, raw: bytes, dim: int, basis: dict[int, np.ndarray]):
+    def __init__(self, reps, ns, raw: bytes, dim: int, basis: dict[int, np.ndarray], kind: np.dtype):
         self.reps, self.ns = np.asarray(reps, np.int64), np.asarray(ns, np.int64)
-        self.unit = _units(np.frombuffer(raw, np.float64).reshape(len(self.reps), dim))
+        self.unit = _units(np.frombuffer(raw, kind).astype(np.float64).reshape(len(self.reps), dim))
         self.lead = _project(self.unit, basis)
         self.linked = np.zeros(len(self.reps), np.int64)
 
@@ -167,32 +193,31 @@ def links(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame, DataFrame
     """(rows with their class, number of links between classes, forest edges between classes)."""
     epsilon = float(np.sqrt(2 - 2 * least)) + 1e-9
     valid = vectors.select("vec_id", "label", "embedding").filter(_sound())
-    classes = util.save(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    grouped = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # classes are numbered in the order of their smallest ids, whatever the ids' type
+    classes = util.save(grouped.orderBy("first").withColumn("rep", F.monotonically_increasing_id()), "classes")
     basis = _basis(classes)
-    blocks = util.save(_blocks(_ordered(classes, basis, epsilon), basis), "blocks")
-    pairs = util.save(_near_blocks(blocks, epsilon), "pairs")
-    half = lambda s: blocks.select(F.col("block").alias(s), *([F.col("dim")] if s == "a" else []), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "ns", "raw")])
+    kind = np.dtype(np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64)
+    blocks = util.save(_blocks(_ordered(classes.select("label", "embedding", "rep", "n"), basis, epsilon), basis), "blocks")
+    sides = util.save(_sides(blocks, util.save(_near_blocks(blocks, epsilon), "pairs"), basis, epsilon, kind), "near")
+    own = sides.filter("side = 0").drop("side")
+    other = sides.filter("side = 1").select("a", "b", *[F.col(c).alias(f"b_{c}") for c in ("reps", "ns", "raw")])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                a = _Side(r.a_reps, r.a_ns, r.a_raw, r.dim, basis)
                 same = r.a == r.b
-                b = a if same else _Side(r.b_reps, r.b_ns, r.b_raw, r.dim, basis)
+                if not same and r.b_raw is None:
+                    continue
+                a = _Side(r.reps, r.ns, r.raw, r.dim, basis, kind)
+                b = a if same else _Side(r.b_reps, r.b_ns, r.b_raw, r.dim, basis, kind)
                 forest = _join(a, b, same, least, epsilon)
                 for s in [a] if same else [a, b]:
                     has = s.linked > 0
                     yield pd.DataFrame({"a": s.reps[has], "b": s.reps[has], "n": s.linked[has]})
                 yield pd.DataFrame({"a": [x for x, _ in forest], "b": [y for _, y in forest], "n": [0] * len(forest)}, dtype="int64")
 
-    spark = vectors.sparkSession
-    few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds two blocks
-    try:
-        met = pairs.join(half("a"), "a").join(half("b"), "b")
-        found = util.save(met.mapInPandas(compare, "a bigint, b bigint, n bigint"), "found")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+    found = util.save(own.join(other, ["a", "b"], "left").mapInPandas(compare, "a bigint, b bigint, n bigint"), "found")
     counts = found.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     return valid, classes.join(counts, "rep", "left"), found.filter("n = 0").select("a", "b")
 
@@ -200,22 +225,28 @@ def links(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame, DataFrame
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """Links between vectors of equal label and cosine of at least ``least``, and the components they form.
 
-    Equal vectors of a label are one class; classes are compared in blocks of epsilon grid order and blocks that are
-    provably apart on the leading principal dimensions are never met. Blocks report counts and a connecting forest, so
-    a large group gives neither rows nor edges for each of its pairs.
+    Equal vectors of a label are one class; classes are compared in blocks of epsilon grid order. Blocks that are
+    provably apart on the leading principal dimensions are never met, and of two that meet only the vectors within
+    reach of the other's bounds are. Blocks report counts and a connecting forest, so a large group gives neither rows
+    nor edges for each of its pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label or id, link
-    with nothing, nor do vectors of different lengths. Repeated rows count as vectors of their own; an empty table gives an
-    empty result; other columns are ignored. Returns vec_id, n_links, component_id, kept.
+    with nothing, nor do vectors of different lengths. Ids may be of any type; repeated rows count as vectors of their
+    own; of a component's vectors the smallest id is kept, whatever the order of the rows; an empty table gives an empty
+    result; other columns are ignored. Returns vec_id, n_links, component_id, kept.
     """
     valid, classes, forest = links(vectors, least)
-    named = classes.join(graph.components(forest).withColumnRenamed("node", "rep"), "rep", "left")
-    table = util.save(named.select("label", "embedding", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "table")
+    named = classes.join(graph.components(forest).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = util.save(named.select("label", "embedding", "rep", F.col("first").alias("_first"), F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component"), "named")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    heads = util.save(named.select(F.col("rep").alias("component"), F.col("_first").alias("component_id")).join(sizes, "component"), "heads")
+    table = util.save(util.attach(named.drop("_first"), heads, ["component"], "members", named.count(), F.col("rep")), "table")
     total = vectors.count()
     keyed = vectors.select("vec_id", "label", "embedding")
     key = lambda d: d.withColumn("_e", F.xxhash64("label", "embedding")).withColumn("_f", F.xxhash64(F.lit(5), "embedding", "label"))
     known = key(valid).select("vec_id", "_e", "_f")
-    joined = util.attach(known, key(table).drop("label", "embedding"), ["_e", "_f"], "copies", total, F.col("vec_id"))
+    found = key(table).select("_e", "_f", "copies", "n_links", "component_id")
+    joined = util.attach(known, found, ["_e", "_f"], "copies", total, F.col("vec_id"))
     rest = keyed.filter(~F.coalesce(_sound(), F.lit(False))).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = joined.select("vec_id", "n_links", "component_id").unionByName(rest)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
