@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, text, util
@@ -137,7 +137,9 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity is at least LEAST."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("sh").alias("x")), sets.select(F.col("rep").alias("b"), F.col("sh").alias("y"))
     size = lambda c: F.size(c)
-    met = pairs.join(left, "a").join(right, "b")
+    pairs = util.save(pairs, "pairs")
+    copies = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_copies"))
+    met = util.attach(pairs.join(right, "b"), left.join(copies, "a"), ["a"], "_copies", pairs.count(), F.col("b")).drop("_copies")
     lengths = F.least(size("x"), size("y")) >= LEAST * F.greatest(size("x"), size("y"))
     both = F.size(F.array_intersect("x", "y"))
     return met.filter(lengths).filter(both >= LEAST * (size("x") + size("y") - both)).select("a", "b")
@@ -166,9 +168,10 @@ def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
     A forest of links between different components is returned, not every pair.
     """
     sized = open_buckets.join(sets.select("rep", F.size("sh").alias("_n")), "rep")
-    order = Window.partitionBy("bucket").orderBy("rep")
-    place = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK_SHINGLES + F.row_number().over(order) / BLOCK
-    members = util.save(sized.withColumn("block", F.floor(place)).drop("_n"), "members")
+    sizes = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK)).alias("_blocks"))
+    # members are dealt by hash, so no task numbers a whole bucket
+    dealt = sized.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
+    members = util.save(dealt.drop("_n", "_blocks"), "members")
     blocks = members.select("bucket", "block").distinct()
     to = blocks.select("bucket", F.col("block").alias("other"))
     met = blocks.join(to, "bucket")  # a bucket has as many blocks as its members need, mostly one
