@@ -13,6 +13,8 @@ from . import util
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Tokens that may stand as a literal set in the plan; more are joined.
 LITERAL_TOKENS = 20_000
+#: Windows whose index may be broadcast; more are joined with salted tokens.
+BROADCAST_WINDOWS = 100_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -49,11 +51,17 @@ def _counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each window with the token it is found by: its rarest word in the documents, and that word's place in it."""
-    tokens = windows.select("window", "ids", F.posexplode(F.transform("window", F.lower)).alias("place", "token"))
-    counts = _counts(docs, tokens.select("token").distinct())
-    rare = F.struct(F.coalesce("n", F.lit(0)), "token", "place")
-    return tokens.join(counts, "token", "left").groupBy("window", "ids").agg(F.min(rare).alias("r")).select("window", "ids", "r.token", "r.place")
+    """Each window with the token it is found by: its rarest word in the documents, how often they hold it, and its place.
+
+    Windows with a word that no document holds are left out.
+    """
+    known = util.save(windows.withColumn("_window", F.monotonically_increasing_id()), "windows")
+    tokens = util.save(known.select("_window", F.posexplode(F.transform("window", F.lower)).alias("place", "token")), "tokens")
+    vocabulary = util.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_copies")), "vocabulary")
+    seen = vocabulary.join(_counts(docs, vocabulary.select("token")), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = util.attach(tokens, util.save(seen, "seen"), ["token"], "_copies", tokens.count(), F.col("_window"))
+    rarest = met.groupBy("_window").agg(F.min(F.struct("n", "token", "place")).alias("r")).filter("r.n > 0")
+    return known.join(rarest, "_window").select("window", "ids", "r.token", "r.place", F.col("r.n").alias("_places"))
 
 
 def _candidates(docs: DataFrame, index: DataFrame, size: int) -> DataFrame:
@@ -90,17 +98,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     holds the window's rarest word, so only places of those words are joined; bounds on length and position then the
     words themselves decide. A document is contaminated if hit words are at least one in ``share`` of its words.
 
-    Null and empty texts have no words and no hits; a null item id is not listed. Repeated rows give repeated results.
-    Other columns are ignored. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``keys`` first the row key.
+    Null and empty texts have no words and no hits, nor has any text where either table is empty; a null item id is not
+    listed. Texts are taken whole, however long; of equally rare words the first by name finds the window. Repeated rows
+    and items give repeated results and the same windows. Other columns are ignored. Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``keys`` first the row key.
     """
-    index = util.save(_index(docs, windows_of(benchmark, size)), "windows")
+    index = util.save(_index(docs, windows_of(benchmark, size)), "index")
     found = util.save(_candidates(docs, index, size), "candidates")
     places = found.select("_k1", "_k2", F.explode("candidates").alias("c")).select("_k1", "_k2", "c.*")
     places = places.withColumn("token", F.lower(F.element_at("near", F.col("lead") + 1)))
     first = F.col("lead") - F.col("place")
     bounds = (first >= 0) & (first + F.size("window") <= F.size("near"))
     same = F.transform(F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("window")), ascii_lower) == F.col("window")
-    hits = places.join(util.small(index, 100_000), "token").filter(bounds & same)
+    if index.count() <= BROADCAST_WINDOWS:
+        met = places.join(F.broadcast(index), "token")
+    else:
+        met = util.attach(places, index, ["token"], "_places", places.count(), F.xxhash64("_k1", "at"))
+    hits = met.filter(bounds & same)
     span = F.struct((F.col("at") - F.col("place")).alias("start"), F.size("window").alias("len"))
     per_doc = hits.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
     out = found.drop("candidates").join(per_doc, ["_k1", "_k2"], "left")

@@ -56,14 +56,14 @@ def gapless(df: DataFrame, group: list[str], order: list[str], rows: int, out: s
 
 
 def attach(left: DataFrame, table: DataFrame, keys: list[str], copies: str, total: int, spread: Column) -> DataFrame:
-    """``left`` joined to ``table``, which has one row per key and in ``copies`` how many rows of ``left`` hold it.
+    """``left`` joined to ``table``, which holds in ``copies`` how many rows of ``left`` have a row's key.
 
     Keys with more than a quarter of a partition's fair share are salted: their rows of ``left`` are dealt by ``spread``
-    and their one row of ``table`` is repeated. At most 4 x partitions keys can be that heavy, so their list, which is
-    broadcast, is bounded whatever the data.
+    and their rows of ``table`` are repeated. At most 4 x partitions keys can be that heavy, so their list, which is
+    broadcast, is bounded whatever the data. Every task then has at most a quarter of a fair share of one key.
     """
     fair = max(1, total // (4 * partitions(left.sparkSession)))
-    heavy = table.filter(F.col(copies) > fair).select(*keys, F.ceil(F.col(copies) / fair).cast("int").alias("_salts"))
+    heavy = table.filter(F.col(copies) > fair).select(*keys, F.ceil(F.col(copies) / fair).cast("int").alias("_salts")).distinct()
     dealt = left.join(F.broadcast(heavy), keys, "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")))).drop("_salts")
     salts = F.greatest(F.lit(1), F.when(F.col(copies) > fair, F.ceil(F.col(copies) / fair))).cast("int")
