@@ -92,7 +92,7 @@ def _matched(urls: DataFrame, by_token: dict[str, list[Rule]], literal: bool) ->
         keys = F.array(*[F.lit(t) for t in by_token])
         fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col("address")), keys), lambda t: F.element_at(table, t)))
         return urls.withColumn("fits", F.filter(fetched, lambda r: F.rlike(F.col("address"), r["regex"])))
-    rules = _as_rows(urls.sparkSession, by_token)
+    rules = util.small(_as_rows(urls.sparkSession, by_token))  # broadcast: tokens that most URLs hold are no hot keys
     fetched = urls.select("address").distinct().select("address", F.explode(tokens_of(F.col("address"))).alias("token")).join(rules, "token")
     fits = fetched.filter(F.rlike(F.col("address"), F.col("regex"))).groupBy("address").agg(F.collect_list(F.struct("size", "pattern", "regex", "verdict", "listed")).alias("fits"))
     return urls.join(fits, "address", "left").withColumn("fits", F.coalesce("fits", F.array().cast(kind)))
@@ -104,7 +104,7 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, literal_rules: int = LITE
     Each rule is kept under its rarest whole token, a URL's tokens fetch its candidates, and only those run their
     regular expressions. Up to ``literal_rules`` rules the index stands in the plan and nothing is shuffled; beyond,
     distinct addresses are joined to it. Null urls, and those without ``://``, have empty host and path and are allowed;
-    repeated rows give repeated results, an empty table an empty one; other columns are ignored.
+    urls may be of any length; of rules of equal length the last by name wins; repeated rows give repeated results, an empty table an empty one; other columns are ignored.
     Returns page_id, host, path, rule, verdict, method_rule.
     """
     if not rules:
