@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 import zlib
+from bisect import bisect_left, insort
 from html.parser import HTMLParser
 
 import numpy as np
@@ -145,3 +146,14 @@ def article(source: str | None) -> str:
     parser.feed(source or "")
     parser.close()
     return " ".join(x for b in parser.blocks if (x := " ".join(b.split())))
+
+
+def best_fit(lengths: list[int], size: int) -> int:
+    """Sequences of best fit, longest first."""
+    gaps: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else size
+        n_gap = gap - x
+        insort(gaps, n_gap)
+    return len(gaps)
