@@ -17,7 +17,7 @@ ACCESS_LEAST = 18
 HEX = r"[0-9a-f]{16,}"
 #: Weak candidates, which count only beside a part that complements them.
 KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
-ENDPOINT = r"""https?://[^\s"'<>]+|[a-z0-9.-]+\.(?:amazonaws\.com|internal)\b"""
+ENDPOINT = r"""https?://[^\s"'<>]+|(?<![a-z0-9.-])[a-z0-9.-]++(?<=\.(?:amazonaws\.com|internal))(?![A-Za-z0-9_])"""
 IDENT = r"""(?<![A-Z0-9])(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}|(?i:(?:client|account|access_?key)_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{6,}"""
 #: ``short`` is an assignment whose value is too short for the base kind.
 KINDS = ["assign", "access", "hex", "key", "endpoint", "ident", "short"]
