@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import text, util
 
-#: Most toxic and most other labelled rows that the classifier is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
+#: Most toxic and most other labelled texts that the classifier is fitted on.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 #: Most features of the classifier; the least likelihood ratio (one in 2,000 by chance) and odds ratio of one.
 FEATURES, LEAST_G, LEAST_ODDS = 4_096, 12.0, 10.0
 #: Pull of each weight towards 0, in rows.
@@ -65,42 +65,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _select(hashes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Features present in toxic rows far more often than in others: by the likelihood ratio of the two shares, and their odds."""
-    side = []
-    for y in (1, 0):
-        side.append(np.unique(np.concatenate([h for h, t in zip(hashes, toxic, strict=True) if t == y] or [np.zeros(0, np.uint64)]), return_counts=True))
-    (keys, pos), (other, neg) = side
-    common = np.zeros(len(keys))
-    if len(other):
-        at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
-        common = np.where(other[at] == keys, neg[at], 0)
-    n1, n0 = int((toxic == 1).sum()), int((toxic == 0).sum())
-    share = (pos + common) / (n1 + n0)
-    term = lambda k, n, p: k * np.log(np.maximum(k, 1e-9) / (n * p)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum(n * (1 - p), 1e-9))
-    g = 2 * (term(pos, n1, share) + term(common, n0, share))
-    odds = (pos + 0.5) * (n0 - common + 0.5) / ((n1 - pos + 0.5) * (common + 0.5))
-    keep = np.flatnonzero((g >= LEAST_G) & (odds >= LEAST_ODDS))
-    return np.sort(keys[keep[np.argsort(-g[keep], kind="stable")[:FEATURES]]])
-
-
-def fit(hashes: list[np.ndarray], toxic: np.ndarray, steps: int = 2_000) -> Model:
-    """Fit on the distinct feature hashes of each row; rows with the same features count once.
-
-    Grade 0 is a row not labelled toxic; toxic rows are grade 1, or 2 where they hold more marked features than the
-    median toxic row.
+def select(rows: DataFrame) -> np.ndarray:
+    """Features present in toxic texts far more often than in others: by the likelihood ratio of the two shares, and their odds.
+
+    ``rows`` hold (toxic, hashes). Features are counted within tasks, then in Spark; at most FEATURES reach the driver.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags, hashes = [], []
+            for toxic, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes.append(np.frombuffer(raw.as_py(), np.int64))
+                flags.append(np.full(len(hashes[-1]), toxic == 1))
+            keys, at = np.unique(np.concatenate(hashes), return_inverse=True) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            flag = np.concatenate(flags) if flags else np.zeros(0, bool)
+            counts = [np.bincount(at[flag == y], minlength=len(keys)) for y in (True, False)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], ["h", "pos", "neg"])
+
+    sizes = rows.agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")).first()
+    n1, n0 = float(sizes["n1"]), float(sizes["n0"])
+    if not (n1 and n0):
+        return np.zeros(0, np.uint64)
+    pos, neg = F.col("pos"), F.col("neg")
+    share = (pos + neg) / (n1 + n0)
+    term = lambda k, n: k * F.log(F.greatest(k, F.lit(1e-9)) / (n * share)) + (n - k) * F.log(F.greatest(n - k, F.lit(1e-9)) / F.greatest(n * (1 - share), F.lit(1e-9)))
+    odds = (pos + 0.5) * (n0 - neg + 0.5) / ((n1 - pos + 0.5) * (neg + 0.5))
+    counts = rows.select("toxic", "hashes").mapInArrow(tally, "h bigint, pos bigint, neg bigint").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    marked = counts.filter("pos > 0").withColumns({"g": 2 * (term(pos, n1) + term(neg, n0)), "odds": odds}).filter((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS))
+    found = [r["h"] for r in marked.orderBy(F.desc("g"), "h").limit(FEATURES).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def fit(keys: np.ndarray, present: list[np.ndarray], toxic: np.ndarray, steps: int = 2_000) -> Model:
+    """Fit on the indices of each text's features and whether it is toxic.
+
+    The labels know toxic or not; of toxic texts those are grade 2 that hold more features than their median, the others
+    are grade 1.
     """
-    first = {(h.tobytes(), int(t)): k for k, (h, t) in reversed(list(enumerate(zip(hashes, toxic, strict=True))))}
-    once = sorted(first.values())
-    hashes, toxic = [hashes[k] for k in once], toxic[once]
-    keys = _select(hashes, toxic) if len(hashes) and (toxic == 1).any() and (toxic == 0).any() else np.zeros(0, np.uint64)
     model = Model(keys, np.zeros(len(keys)), np.array([5.0, 7.0]))
     if not len(keys):
         return model
-    row = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    feature, row = model.present(np.concatenate(hashes), row)
-    n = len(hashes)
-    marked = np.bincount(row, minlength=n)
+    n = len(present)
+    row = np.repeat(np.arange(n), [len(x) for x in present])
+    feature = np.concatenate(present).astype(np.int64)
+    marked = np.array([len(x) for x in present])
     grade = np.where(toxic == 1, 1 + (marked > np.median(marked[toxic == 1])), 0)
     above = (grade[:, None] > np.arange(2)).astype(float)  # grade passes each threshold
     w, t = model.weights, np.array([2.0, np.log(2.0)])  # thresholds are t0 and t0 + exp(t1): always in order
@@ -119,13 +127,13 @@ def fit(hashes: list[np.ndarray], toxic: np.ndarray, steps: int = 2_000) -> Mode
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, by a hash of their id."""
-    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    return docs.select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id")
+    """(toxic, hashes of the features) of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled texts, by hashes of ids and of features.
 
+    Texts of the same features count once. Labels are bounded first, and texts again, as an id may have many.
+    """
+    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    few = [known.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in (("toxic = 1", SAMPLE_TOXIC), ("toxic = 0", SAMPLE_CLEAN))]
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -134,13 +142,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 order = np.argsort(row, kind="stable")
                 hashes, at = hashes[order], np.searchsorted(row[order], np.arange(len(offsets)))
                 rows += [np.unique(hashes[at[k] : at[k + 1]]).tobytes() for k in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["doc_id", "toxic", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["toxic", "hashes"])
+
+    labelled = docs.select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id").select("text", "toxic")
+    rows = labelled.mapInArrow(extract, "toxic int, hashes binary").withColumn("_h", F.xxhash64("hashes")).withColumn("_g", F.md5("hashes"))
+    rows = util.save(rows.withColumn("_row", F.monotonically_increasing_id()), "labelled")
+    once = rows.groupBy("_h", "_g", "toxic").agg(F.min("_row").alias("_row"))
+    kept = [once.filter(kind).orderBy("_h", "_g", "toxic").limit(n).select("_row") for kind, n in (("toxic = 1", SAMPLE_TOXIC), ("toxic = 0", SAMPLE_CLEAN))]
+    return util.save(rows.join(F.broadcast(kept[0].union(kept[1])), "_row").select("toxic", "hashes"), "sample")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit the classifier; the driver gets the chosen features and which of them each text of the sample holds."""
+    rows = _sample(docs, labels)
+    keys = select(rows)
+    model = Model(keys, np.zeros(len(keys)), np.zeros(2))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for raw in batch.column(1):
+                hashes = np.frombuffer(raw.as_py(), np.uint64)
+                held.append(model.present(hashes, np.zeros(len(hashes), np.int64))[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["toxic", "held"])
 
-    labelled = _sample(docs, labels).select("text", F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    kind = labelled.schema["doc_id"].dataType.simpleString()
-    got = labelled.mapInArrow(extract, f"doc_id {kind}, toxic int, hashes binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["hashes"]))
-    return fit([np.frombuffer(r["hashes"], np.uint64) for r in got], np.array([r["toxic"] for r in got], np.int64))
+    got = sorted(rows.mapInArrow(hold, "toxic int, held array<bigint>").collect(), key=lambda r: (r["toxic"], r["held"])) if len(keys) else []
+    return fit(keys, [np.array(r["held"], np.int64) for r in got], np.array([r["toxic"] for r in got], np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5, names: tuple[str, str] = ("severity", "rejected")) -> DataFrame:
@@ -148,10 +175,11 @@ def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5, names: tuple[
 
     Columns of ``docs`` that have these names are replaced; other names can be given.
 
-    The classifier is fitted on a bounded sample of labelled rows (SAMPLE_TOXIC, SAMPLE_CLEAN); every document is
-    scored over its whole text. Null, empty and wordless texts have no features and get the severity of none. Labels
-    that are null, contradictory (the larger counts) or of absent documents are no obstacle; without labels of both
-    kinds nothing is rejected. Repeated rows get equal results.
+    The classifier is fitted on a bounded sample of labelled texts (SAMPLE_TOXIC, SAMPLE_CLEAN); every document is
+    scored over its whole text, however long. Null, empty and wordless texts have no features and get the severity of
+    none. Labels that are null, contradictory (toxic counts) or of absent documents are no obstacle; without labels
+    of both kinds nothing is rejected. Features that are equally telling rank by hash; repeated rows get equal results,
+    an empty table an empty one.
     """
     model = train(docs, labels)
 
