@@ -10,133 +10,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
-
-#: Words are ids below 2**WORD_BITS by their hash, which bounds every table; counts cover all documents.
-WORD_BITS = 18
-WORDS = 1 << WORD_BITS
-#: Most frequent words that are classes of their own, classes in all, and ids a context word can have.
-OWN, CLASSES, CONTEXT = 48, 64, 512
-WINDOW, HIDDEN, BATCH = 2, 16, 16_384
+from . import text, util
+
+#: Most words that tasks know by heart (12 bytes each); the counts of all rarer ones are joined.
+LISTED = 1 << 18
+#: Most words that the network tells apart, how often one must occur, and words in a group of them.
+OWN, OWN_LEAST, GROUP = 4_096, 8, 64
+WINDOW, HIDDEN, BATCH, RATE = 2, 16, 4_096, 0.2
 _PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
-_SHAPES = [(len(_PLACES), CONTEXT + 1, HIDDEN), (HIDDEN, CLASSES), (CLASSES,)]
+#: Bins of word counts per doubling; the sum of all counts is under 2**63, so there are at most 63 times as many.
+BINS = 64
 
 
 @dataclass
 class Vocabulary:
-    """P(word) = P(class | both sides) x P(word | class); the second factor is the words' share of their class's counts."""
+    """Classes of all words, and of those listed also their places.
+
+    P(word) = P(class | both sides) x P(word | class). The most frequent words stand in groups of equal size, by rank,
+    and the network predicts the word within the group from both sides too. All others stand in bands of like counts,
+    words that are not listed in the last, and have their share of their band's counts. So the probabilities of all
+    words of the corpus sum to one.
+    """
 
-    cls: np.ndarray  # class of each word id
-    context: np.ndarray  # context id of each word id
-    within: np.ndarray  # log P(word | class)
+    keys: np.ndarray  # sorted hashes of the listed words
+    cls: np.ndarray  # class of each
+    slot: np.ndarray  # place in its group
+    context: np.ndarray  # id as a neighbour: rank of words told apart, then bands
+    within: np.ndarray  # log P(word | class) in bands; 0 in groups
+    groups: int
+    classes: int
+    own: int
     prior: np.ndarray  # log P(class)
+    shares: np.ndarray  # log P(word | group), a row for each group
+    rest: float  # tokens of words that are not listed
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> Vocabulary:
-        order = np.argsort(-counts, kind="stable")
-        ids = np.arange(WORDS)
-        kind = OWN + ids % (CLASSES - OWN)
-        kind[order[:OWN]] = np.arange(OWN)
-        context = CONTEXT // 2 + ids % (CONTEXT // 2)
-        context[order[: CONTEXT // 2]] = np.arange(CONTEXT // 2)
-        smoothed = counts + 0.5
-        total = np.bincount(kind, smoothed, CLASSES)
-        return cls(kind.astype(np.int16), context.astype(np.int16), np.log(smoothed / total[kind]).astype(np.float32), np.log(total / total.sum()).astype(np.float32))
+    def of(cls, keys: np.ndarray, counts: np.ndarray, rest: float) -> Vocabulary:
+        order = np.lexsort((keys, -counts))
+        own = min(OWN, int((counts >= OWN_LEAST).sum()))
+        groups = -(-own // GROUP)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        band = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+        names = np.unique(band[rank >= own])
+        kind = np.where(rank < own, rank // GROUP, groups + np.searchsorted(names, band))
+        classes = groups + len(names) + 1
+        total = np.bincount(kind, counts, classes)
+        total[-1] = rest
+        within = np.where(rank < own, 0.0, np.log(np.maximum(counts, 1) / np.maximum(total[kind], 1)))
+        shares = np.full((max(groups, 1), GROUP), -30.0)
+        shares.reshape(-1)[:own] = np.log(counts[order[:own]] / total[np.arange(own) // GROUP])
+        smoothed = total + 0.5
+        context = np.where(rank < own, rank, own + kind - groups)
+        kinds = kind.astype(np.int16), (rank % GROUP).astype(np.int16), context.astype(np.int16), within.astype(np.float32)
+        return cls(keys, *kinds, groups, classes, own, np.log(smoothed / smoothed.sum()).astype(np.float32), shares.astype(np.float32), rest)
+
+    @property
+    def edge(self) -> int:
+        """The id of what lies outside of the document."""
+        return self.own + self.classes - self.groups
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, slot, context id, log P(word | class) and whether it is listed, for each word."""
+        if not len(self.keys):
+            return np.full(len(hashes), self.classes - 1, np.int16), np.zeros(len(hashes), np.int16), np.full(len(hashes), self.edge - 1, np.int16), np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        every = [x[at] for x in (self.cls, self.slot, self.context, self.within)]
+        for x, v in zip(every, (self.classes - 1, 0, self.edge - 1, 0), strict=True):
+            x[~known] = v
+        return *every, known
+
+
+def _log_softmax(scores: np.ndarray) -> np.ndarray:
+    scores -= scores.max(1, keepdims=True)
+    scores -= np.log(np.exp(scores).sum(1, keepdims=True))
+    return scores
 
 
 @dataclass
 class Network:
-    """Embeddings by place in the window are summed, squashed and mapped to class scores."""
+    """Embeddings of the words around are turned by their place, summed and squashed; one layer predicts the class, one the word in its group."""
 
-    parts: list[np.ndarray]
+    parts: list[np.ndarray]  # embeddings, turns by place, class weights and biases, word weights and biases
+
+    @staticmethod
+    def shapes(v: Vocabulary) -> list[tuple[int, ...]]:
+        groups = max(v.groups, 1)
+        return [(v.edge + 1, HIDDEN), (len(_PLACES), HIDDEN, HIDDEN), (HIDDEN, v.classes), (v.classes,), (groups, GROUP, HIDDEN), (groups, GROUP)]
 
     @classmethod
-    def fresh(cls, vocabulary: Vocabulary) -> Network:
-        """Before training it predicts the classes' frequencies from any context."""
+    def fresh(cls, v: Vocabulary) -> Network:
+        """Before training it predicts the words' frequencies from any context."""
         rng = np.random.default_rng(11)
-        parts = [rng.normal(0, 0.1, s).astype(np.float32) for s in _SHAPES]
-        parts[2] = vocabulary.prior.copy()
+        parts = [rng.normal(0, s, shape).astype(np.float32) for s, shape in zip((0.3, 0.3, 0.01, 0, 0.01, 0), cls.shapes(v), strict=True)]
+        parts[3] = v.prior.copy()
+        parts[5] = v.shares.copy()
         return cls(parts)
 
     @classmethod
-    def flat(cls, values: np.ndarray) -> Network:
-        ends = np.cumsum([int(np.prod(s)) for s in _SHAPES])
-        return cls([v.reshape(s).astype(np.float32) for v, s in zip(np.split(values, ends[:-1]), _SHAPES, strict=True)])
-
-    def forward(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden, log P of each class) for rows of context ids."""
-        table, out, bias = self.parts
-        total = table[0][sides[0]]
+    def flat(cls, v: Vocabulary, values: np.ndarray) -> Network:
+        shapes = cls.shapes(v)
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        return cls([x.reshape(s).astype(np.float32) for x, s in zip(np.split(values, ends[:-1]), shapes, strict=True)])
+
+    def hidden(self, sides: np.ndarray) -> np.ndarray:
+        table, turns = self.parts[:2]
+        total = table[sides[0]] @ turns[0]
         for k in range(1, len(sides)):
-            total = total + table[k][sides[k]]
-        hidden = np.tanh(total)
-        scores = hidden @ out + bias
-        scores -= scores.max(1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(1, keepdims=True))
-        return hidden, scores
-
-    def learn(self, sides: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
+            total += table[sides[k]] @ turns[k]
+        return np.tanh(total)
+
+    def classes(self, hidden: np.ndarray) -> np.ndarray:
+        """log P of each class."""
+        return _log_softmax(hidden @ self.parts[2] + self.parts[3])
+
+    def _by_group(self, kind: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(groups + 1))
+        for g in range(groups):
+            if ends[g + 1] > ends[g]:
+                yield g, order[ends[g] : ends[g + 1]]
+
+    def words(self, hidden: np.ndarray, g: int) -> np.ndarray:
+        """log P of each word of a group."""
+        return _log_softmax(hidden @ self.parts[4][g].T + self.parts[5][g])
+
+    def log_p(self, sides: np.ndarray, kind: np.ndarray, slot: np.ndarray, groups: int) -> np.ndarray:
+        """log P(class) + log P(word | group) of each row's own word."""
+        hidden = self.hidden(sides)
+        out = self.classes(hidden)[np.arange(len(kind)), kind]
+        for g, rows in self._by_group(kind, groups):
+            out[rows] += self.words(hidden[rows], g)[np.arange(len(rows)), slot[rows]]
+        return out
+
+    def learn(self, sides: np.ndarray, kind: np.ndarray, slot: np.ndarray, groups: int, squares: list[np.ndarray]) -> None:
         """One Adagrad step on the mean cross entropy of a batch."""
-        table, out, _ = self.parts
-        hidden, scores = self.forward(sides)
-        off = np.exp(scores)
-        off[np.arange(len(target)), target] -= 1
-        off /= len(target)
-        back = (off @ out.T) * (1 - hidden * hidden)
-        grads = [np.empty_like(table), hidden.T @ off, off.sum(0)]
-        spread = np.arange(HIDDEN)
-        for k in range(len(sides)):
-            at = (sides[k].astype(np.int64)[:, None] * HIDDEN + spread).ravel()
-            grads[0][k] = np.bincount(at, back.ravel(), table.shape[1] * HIDDEN).reshape(table.shape[1:])
+        table, turns, out, _, words, _ = self.parts
+        n = len(kind)
+        hidden = self.hidden(sides)
+        off = np.exp(self.classes(hidden))
+        off[np.arange(n), kind] -= 1
+        back = off @ out.T
+        grads = [np.zeros_like(p) for p in self.parts]
+        grads[2], grads[3] = hidden.T @ off, off.sum(0)
+        for g, rows in self._by_group(kind, groups):
+            some = hidden[rows]
+            miss = np.exp(self.words(some, g))
+            miss[np.arange(len(rows)), slot[rows]] -= 1
+            grads[4][g], grads[5][g] = miss.T @ some, miss.sum(0)
+            back[rows] += miss @ words[g]
+        back *= 1 - hidden * hidden
+        pulls = []
+        for k, ids in enumerate(sides):
+            grads[1][k] = table[ids].T @ back
+            pulls.append(back @ turns[k].T)
+        at = sides.astype(np.int64).reshape(-1, 1) * HIDDEN + np.arange(HIDDEN)
+        grads[0] = np.bincount(at.ravel(), np.concatenate(pulls).ravel(), table.size).astype(np.float32).reshape(table.shape)
         for p, g, s in zip(self.parts, grads, squares, strict=True):
+            g /= n
             s += g * g
-            p -= rate * g / (np.sqrt(s) + 1e-7)
+            p -= RATE * g / (np.sqrt(s) + 1e-7)
 
 
-def token_ids(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word ids, first word of each row with an end) for stretches of rows."""
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    network: Network
+    words: DataFrame  # (h, n): all words of the corpus, by hash, and how often they occur
+
+
+def hashed(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, first word of each row with an end) for stretches of rows."""
     for i, _, data, offsets in text.chunks(col, 1 << 20):
         starts, ends, at = text.word_spans(data, offsets)
-        yield i, (text.word_hashes(data, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64), at
+        yield i, text.word_hashes(data, starts, ends).view(np.int64), at
 
 
-def sides_of(context: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context ids before and after each word; CONTEXT stands for what lies outside its document."""
+def sides_of(context: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
+    """Context ids before and after each word; ``edge`` stands for what lies outside its document."""
     n = len(context)
-    out = np.full((len(_PLACES), n), CONTEXT, np.int16)
+    out = np.full((len(_PLACES), n), edge, np.int16)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for row, k in zip(out, _PLACES, strict=True):
         a, b = (slice(-k, None), slice(None, k)) if k < 0 else (slice(None, -k), slice(k, None))
         if abs(k) < n:
-            row[a] = np.where(doc[a] == doc[b], context[b], CONTEXT)
+            row[a] = np.where(doc[a] == doc[b], context[b], edge)
     return out
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
-    """How often each word id stands in all documents."""
+def count(docs: DataFrame) -> DataFrame:
+    """(h, n): every word of all documents and how often it occurs, counted within tasks before they are shuffled."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORDS, np.int64)
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, _ in token_ids(batch.column(0)):
-                total += np.bincount(ids, minlength=WORDS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(WORDS)
-    out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return out
+            seen = [h for _, h, _ in hashed(batch.column(0))]
+            words, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["h", "n"])
+
+    return docs.select("text").mapInArrow(tally, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1) -> Network:
+def vocabulary(words: DataFrame, listed: int = LISTED) -> Vocabulary:
+    """The most frequent words, at most ``listed``: whole bins of counts, from the top."""
+    binned = words.withColumn("_bin", F.floor(F.log2("n") * BINS))
+    bins = sorted(((r["_bin"], r["w"], r["t"]) for r in binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()), reverse=True)
+    known, least, rest = 0, 1 << 20, 0
+    for b, w, t in bins:
+        if not rest and known + w <= listed:
+            known, least = known + w, b
+        else:
+            rest += t
+    rows = binned.filter(F.col("_bin") >= least).select("h", "n").toPandas().sort_values("h")
+    return Vocabulary.of(rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), float(rest))
+
+
+def train(docs: DataFrame, v: Vocabulary) -> Network:
     """One pass over every token: each task trains a copy on its documents, and copies are averaged by their tokens.
 
     What is shuffled is one copy of the parameters for each task, so it grows with the input; the driver gets their
     average alone.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -144,50 +239,73 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1) -> Network
         squares = [np.full_like(p, 1e-4) for p in net.parts]
         n = 0
         for batch in batches:
-            for _, ids, at in token_ids(batch.column(0)):
-                sides, target = sides_of(v.context[ids], at), v.cls[ids]
-                for k in range(0, len(ids), BATCH):
-                    net.learn(sides[:, k : k + BATCH], target[k : k + BATCH], squares, rate)
-                n += len(ids)
+            for _, hashes, at in hashed(batch.column(0)):
+                kind, slot, context, _, _ = v.look(hashes)
+                sides = sides_of(context, at, v.edge)
+                for k in range(0, len(hashes), BATCH):
+                    some = slice(k, k + BATCH)
+                    net.learn(sides[:, some], kind[some], slot[some], v.groups, squares)
+                n += len(hashes)
         if n:
-            values = np.concatenate([p.ravel() for p in net.parts]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), n))], ["i", "x", "n"])
+            values = np.concatenate([p.ravel() for p in net.parts]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(values)), pa.int32()), pa.array(np.concatenate([[1.0], values]) * n)], ["i", "x"])
 
-    sums = docs.select("text").mapInArrow(learn, "i bigint, x double, n bigint").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-    got = sums.toPandas()
+    got = docs.select("text").mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
     if not len(got):
-        return Network.fresh(vocabulary)
-    values = np.zeros(len(got))
-    values[got["i"].to_numpy(np.int64)] = got["x"].to_numpy()
-    return Network.flat(values)
+        return Network.fresh(v)
+    x = got["x"].to_numpy()
+    return Network.flat(v, x[1:] / x[0])
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Sum and mean over all tokens of log P(token | the two words before and the two after it).
+def fit(docs: DataFrame, listed: int = LISTED) -> Model:
+    """Counts of all words and a network trained on all tokens."""
+    words = util.save(count(docs), "words")
+    v = vocabulary(words, listed)
+    return Model(v, train(docs, v), words)
 
-    Vocabulary counts and the network come from all documents. Null, empty and wordless texts have no tokens: a sum of
-    0 and a null mean. Repeated rows are scored each for itself; an empty table gives an empty result; columns besides
-    doc_id and text are ignored. Returns doc_id, n_tokens, pll, mean_pll.
-    """
-    vocabulary = Vocabulary.of(_counts(docs))
-    net = train(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
+
+def apply(model: Model, docs: DataFrame) -> DataFrame:
+    """Sum and mean of log P(token | the two words before and the two after it) over all tokens of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = shared.value
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, ids, at in token_ids(batch.column(1)):
-                sides, target = sides_of(v.context[ids], at), v.cls[ids]
-                logs = v.within[ids].astype(np.float64)
-                for k in range(0, len(ids), BATCH):
+            rare: list[np.ndarray] = []
+            for first, hashes, at in hashed(batch.column(3)):
+                kind, slot, context, within, known = v.look(hashes)
+                sides = sides_of(context, at, v.edge)
+                logs = within.astype(np.float64)
+                for k in range(0, len(hashes), BATCH):
                     some = slice(k, k + BATCH)
-                    logs[some] += net.forward(sides[:, some])[1][np.arange(len(target[some])), target[some]]
+                    logs[some] += net.log_p(sides[:, some], kind[some], slot[some], v.groups)
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 rows = slice(first, first + len(at) - 1)
                 n[rows], total[rows] = np.diff(at), sums[at[1:]] - sums[at[:-1]]
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "pll", "mean_pll"])
+                rare += [hashes[a:b][~known[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(total), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "_k1", "_k2", "n_tokens", "_known", "_rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_tokens bigint, pll double, mean_pll double")
+    keyed = util.row_key(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", "text")
+    judged = util.save(keyed.mapInArrow(judge, f"doc_id {kind}, _k1 bigint, _k2 bigint, n_tokens bigint, _known double, _rare array<bigint>"), "judged")
+    # words that are not listed are none of the frequent ones, so none is a hot key; one that the corpus lacks counts as half
+    rare = judged.filter(F.size("_rare") > 0).dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", F.explode("_rare").alias("h"))
+    share = F.log(F.coalesce(F.col("n"), F.lit(0.5)) / max(model.vocabulary.rest, 1.0))
+    more = rare.join(model.words, "h", "left").groupBy("_k1", "_k2").agg(F.sum(share).alias("_more"))
+    pll = F.col("_known") + F.coalesce("_more", F.lit(0.0))
+    out = judged.drop("_rare").join(more, ["_k1", "_k2"], "left")
+    return out.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll"))
+
+
+def score(docs: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Sum and mean over all tokens of log P(token | the two words before and the two after it).
+
+    Word counts, which grow with the corpus, and the network come from all documents. Null, empty and wordless texts
+    have no tokens: a sum of 0 and a null mean. Texts are taken whole, however long; words of equal counts rank by hash;
+    repeated rows are scored each for itself, alike up to
+    rounding; an empty table gives an empty result; columns besides doc_id
+    and text are ignored. Each task trains its own copy, so scores depend a little on how the table is split.
+    Returns doc_id, n_tokens, pll, mean_pll.
+    """
+    return apply(fit(docs, listed), docs)
