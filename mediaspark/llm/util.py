@@ -11,16 +11,27 @@ from pyspark.sql import functions as F
 
 #: Rows of a driver-checked table that may be broadcast.
 BROADCAST_ROWS = 2_000_000
-_local: dict[str, str] = {}
+_roots: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _local.setdefault(app, tempfile.mkdtemp(prefix="mediaspark-"))
-    return f"{root.rstrip('/')}/mediaspark-{spark.sparkContext.applicationId}"
+    """This application's folder below spark.checkpoint.dir, deleted when the application ends.
+
+    Only a local session may lack the setting, as in tests: it gets a temporary folder. On a cluster that would put
+    tables on the disks of single machines, so it is an error there.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{(root or tempfile.mkdtemp(prefix='mediaspark-')).rstrip('/')}/mediaspark-{app}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _roots[app] = path
+    return _roots[app]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

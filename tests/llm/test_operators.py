@@ -74,12 +74,64 @@ def test_lm_scores_text_over_noise(spark):
     assert lm_score.score(docs.limit(0)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    v = lm_score.Vocabulary.of(rng.integers(0, 9, lm_score.WORDS).astype(float))
-    logs = lm_score.Network.fresh(v).forward(rng.integers(0, lm_score.CONTEXT, (4, 5)).astype(np.int16))[1]
-    assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
-    assert np.isclose(np.bincount(v.cls.astype(int), np.exp(v.within.astype(float)))[3], 1, atol=1e-3)
+def zipf_texts(n, seed=13):
+    """Texts over thousands of words, where a frequent word is followed by one of its own and rare words come once or twice."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        words = []
+        while len(words) < 120:
+            w = min(int(rng.paretovariate(0.7)), 3000)
+            words += [f"a{w}", f"b{w * 7 % 400}"]
+            if rng.random() < 0.1:
+                words.append(f"rare{rng.randrange(n * 4)}")
+        out.append(" ".join(words))
+    return out
+
+
+def test_lm_sums_of_log_probabilities(spark):
+    """Scores are the sums, token by token, of log P(class) + log P(word | class), and these are distributions."""
+    texts = [*zipf_texts(150), None, "", "...", "one", "One, one"]
+    docs = documents(spark, [*texts, texts[0]])
+    model = lm_score.fit(docs, listed=900)
+    v, net = model.vocabulary, model.network
+    counts = {r["h"]: r["n"] for r in model.words.collect()}
+    assert 0 < len(v.keys) <= 900 < len(counts) and v.own > 100 and v.rest == sum(n for h, n in counts.items() if h not in set(v.keys.tolist()))
+    hash_of = {}
+    for w in {w for t in texts for w in brute.words(t)}:
+        hash_of[w] = next(h for _, h, _ in lm_score.hashed(__import__("pyarrow").array([w])))[0]
+    assert sum(counts.values()) == sum(len(brute.words(t)) for t in [*texts, texts[0]]) and len(counts) == len(hash_of)
+
+    def chance(sides, w):
+        kind, slot, _, within, known = (x[0] for x in v.look(np.array([hash_of[w]])))
+        hidden = net.hidden(sides)
+        p = net.classes(hidden)[0, kind]
+        if kind < v.groups:
+            return p + net.words(hidden, kind)[0, slot]
+        return p + (within if known else np.log(counts[hash_of[w]] / v.rest))
+
+    def sides_at(words, k):
+        ids = [v.look(np.array([hash_of[words[j]]]))[2][0] if 0 <= j < len(words) else v.edge for j in (k - 2, k - 1, k + 1, k + 2)]
+        return np.array(ids, np.int16)[:, None]
+
+    out = {r["doc_id"]: r for r in lm_score.apply(model, docs).collect()}
+    for k in (0, 7, 149, 153, 154):
+        words = brute.words(texts[k])
+        assert np.isclose(out[k]["pll"], sum(chance(sides_at(words, j), w) for j, w in enumerate(words)), rtol=1e-4)
+    assert np.isclose(out[155]["pll"], out[0]["pll"]) and len(out) == 156
+    for k in (0, 5):
+        assert np.isclose(sum(np.exp(float(chance(sides_at(brute.words(texts[3]), k), w))) for w in hash_of), 1, atol=1e-3)
+
+
+def test_lm_beats_word_frequencies_on_held_out_texts(spark):
+    texts = zipf_texts(1200)
+    model = lm_score.fit(documents(spark, texts[:1000]).repartition(2))
+    rest = documents(spark, texts[1000:])
+    plain = lm_score.Model(model.vocabulary, lm_score.Network.fresh(model.vocabulary), model.words)
+    mean = lambda m: lm_score.apply(m, rest).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
+    assert mean(model) > mean(plain) + 0.3
+    swapped = documents(spark, [" ".join(random.Random(k).sample(t.split(), len(t.split()))) for k, t in enumerate(texts[1000:])])
+    assert mean(model) > lm_score.apply(model, swapped).agg(F.sum("pll") / F.sum("n_tokens")).first()[0] + 0.3
 
 
 def near_texts():
@@ -283,32 +335,42 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_held_out():
+def test_toxicity_held_out(spark):
     rng = random.Random(8)
     bad = [f"bad{k}" for k in range(10)]
     vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
-    from mediaspark.llm import text
-    import pyarrow as pa
 
-    def make(n):
+    def make(n, first):
         toxic = [k % 5 == 0 for k in range(n)]
-        return [" ".join([rng.choice(vocabulary) for _ in range(40)] + (rng.sample(bad, rng.randrange(1, 4)) if t else [])) for t in toxic], np.array(toxic, int)
-
-    def hashed(texts):
-        out = []
-        for _, _, data, offsets in text.chunks(pa.array(texts)):
-            h, row = toxicity.features(data, offsets)
-            out += [np.unique(h[row == k]) for k in range(len(offsets) - 1)]
-        return out
-
-    train, y = make(1500)
-    model = toxicity.fit(hashed(train), y)
-    assert model.thresholds[0] < model.thresholds[1]
-    test, z = make(500)
-    h = hashed(test)
-    row = np.repeat(np.arange(500), list(map(len, h)))
-    severity = model.severity(*model.present(np.concatenate(h), row), 500)
-    assert ((severity >= 0.5) == z).mean() > 0.99
+        texts = [" ".join([rng.choice(vocabulary) for _ in range(40)] + (rng.sample(bad, rng.randrange(1, 4)) if t else [])) for t in toxic]
+        return [(first + k, t, "x", True) for k, t in enumerate(texts)], [(first + k, int(y), k % 2) for k, y in enumerate(toxic)]
+
+    (seen, labels), (unseen, truth) = make(1500, 0), make(500, 10_000)
+    long = (20_000, "calm words " * 100_000 + " ".join(bad), "x", True)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, severity string, rejected boolean")
+    marks = spark.createDataFrame([*labels, (0, None, None), (None, 1, 1), (99_999, 1, 0)], "doc_id bigint, toxic int, quality int")
+    many = frame([*seen, *seen[:3], *unseen, *unseen[:2], long])
+    model = toxicity.train(many, marks)
+    assert model.thresholds[0] < model.thresholds[1] and 10 <= len(model.keys)
+    out = toxicity.score(many, marks).collect()
+    assert len(out) == 1500 + 3 + 500 + 2 + 1
+    rejected = {r["doc_id"]: r["rejected"] for r in out}
+    assert np.mean([rejected[k] == bool(y) for k, y, _ in truth]) > 0.99 and rejected[20_000]
+    kept = toxicity.keep_civil(many, marks)
+    assert kept.columns == many.columns and {r["severity"] for r in kept.collect()} == {"x"}
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """An id that many texts share brings no more texts than the sample may hold."""
+    was = toxicity.SAMPLE_TOXIC, toxicity.SAMPLE_CLEAN
+    toxicity.SAMPLE_TOXIC, toxicity.SAMPLE_CLEAN = 5, 7
+    try:
+        docs = spark.range(100).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+        labels = spark.createDataFrame([(0, 0, 1), (1, 1, 0)], "doc_id bigint, toxic int, quality int")
+        got = toxicity._sample(docs, labels).groupBy("toxic").count().collect()
+    finally:
+        toxicity.SAMPLE_TOXIC, toxicity.SAMPLE_CLEAN = was
+    assert {r["toxic"]: r["count"] for r in got} == {0: 7, 1: 5}
 
 
 def test_decontamination(spark):
@@ -452,17 +514,39 @@ def test_plan(seed):
     assert packing.plan({512: 4, 300: 2, 424: 2}, 1024) == [((512, 512), 2), ((424, 300, 300), 1), ((424,), 1)]
 
 
-def test_entry_without_the_folder():
+def test_entry_without_the_folder(tmp_path):
+    """A copy of the repository without the folder and the pipeline still imports and lists the other queries."""
+    import shutil
+    import subprocess
     import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parents[2]
+    shutil.copytree(here / "mediaspark", tmp_path / "mediaspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), 'main_feature' in q, any(n.startswith('op') or n == 'pipeline' for n in [*q, *o]))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    n, *rest = done.stdout.split()
+    assert int(n) > 100 and rest == ["True", "False"]
 
     import __spark_entry__
 
-    saved = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("mediaspark.llm")}
-    try:
-        names = set(__spark_entry__.queries())
-    finally:
-        sys.modules.update(saved)
-    assert {"pipeline", "op1_url_filters", "main_feature"} <= names
+    assert {"pipeline", "op1_url_filters", "main_feature"} <= set(__spark_entry__.queries())
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from mediaspark.llm import util
+
+    class Cluster:
+        applicationId, master = "app-1", "spark://host:7077"
+
+    class Session:
+        sparkContext = Cluster
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        util.scratch(Session)
 
 
 def test_rows_of_the_tables(spark):
