@@ -21,6 +21,7 @@ KEYWORDS = {
     "tab": ["top_bottom", "bottom_top", "tab", "over_under", "under_over", "block_tb", "block_bt", "topbottom", "tbr", "tbl"],
     "sbs": ["side_by_side", "sbs", "left_right", "right_left", "sbsl", "sbsr"],
 }
+# Marks of the eye order, keywords of the wider reading, aliases and flags.
 RIGHT_MARKS = ["right_left", "right_eye_first", "right_first", "block_rl", "bottom_top", "under_over", "block_bt", "sbsr", "tbr"]
 LEFT_MARKS = ["left_right", "left_eye_first", "left_first", "block_lr", "top_bottom", "over_under", "block_tb", "sbsl", "tbl"]
 WIDE_NONE = ["mono", "left", "right", "both", "2d"]

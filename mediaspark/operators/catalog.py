@@ -44,12 +44,22 @@ def prefer_3d(lists: DataFrame) -> DataFrame:
     """``rank`` within each (disc, decoy) group, longest first, where equivalents with the 3D extension move forward.
 
     A place whose playlist lacks the extension swaps with the first later one that is equivalent (equal ``sequence`` or
-    a duration within 1 %) and has it. Each swap depends on those before it: a small loop per group of some hundred.
+    a duration within 1 %) and has it. Each swap depends on those before it, but none crosses a step of over 1 % between
+    neighbours, so groups are cut there, and only pieces with playlists of both sorts are walked through.
     """
     import pandas as pd
 
+    group = Window.partitionBy("disc_id", "decoy")
+    w = group.orderBy(F.col("duration_s").desc(), "playlist")
+    rows = lists.select("disc_id", "playlist", "decoy", "duration_s", "has_3d", "sequence").withColumn("rank", F.row_number().over(w))
+    rows = rows.withColumn("_cut", (F.col("duration_s") < 0.9899 * F.lag("duration_s").over(w)).cast("int"))
+    rows = rows.withColumn("_piece", F.coalesce(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    piece = Window.partitionBy("disc_id", "decoy", "_piece")
+    rows = rows.withColumn("_mixed", F.max("has_3d").over(piece) & ~F.min("has_3d").over(piece))
+
     def arrange(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["duration_s", "playlist"], ascending=[False, True]).itertuples(index=False))
+        rows = list(pdf.sort_values("rank").itertuples(index=False))
+        first = rows[0].rank
         for i in range(len(rows)):
             here = rows[i]
             if here.has_3d:
@@ -57,10 +67,11 @@ def prefer_3d(lists: DataFrame) -> DataFrame:
             later = (j for j in range(i + 1, len(rows)) if rows[j].has_3d and (rows[j].sequence == here.sequence or (here.duration_s > 0 and abs(rows[j].duration_s - here.duration_s) <= 0.01 * here.duration_s)))
             if (j := next(later, None)) is not None:
                 rows[i], rows[j] = rows[j], rows[i]
-        return pd.DataFrame([(r.disc_id, r.playlist, r.decoy, k + 1) for k, r in enumerate(rows)], columns=["disc_id", "playlist", "decoy", "rank"])
+        return pd.DataFrame([(r.disc_id, r.playlist, r.decoy, first + k) for k, r in enumerate(rows)], columns=["disc_id", "playlist", "decoy", "rank"])
 
     kinds = ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in ("disc_id", "playlist", "decoy"))
-    return lists.select("disc_id", "playlist", "decoy", "duration_s", "has_3d", "sequence").groupBy("disc_id", "decoy").applyInPandas(arrange, f"{kinds}, rank int")
+    swapped = rows.filter("_mixed").groupBy("disc_id", "decoy", "_piece").applyInPandas(arrange, f"{kinds}, rank int")
+    return rows.filter("NOT coalesce(_mixed, false)").select("disc_id", "playlist", "decoy", "rank").unionByName(swapped)
 
 
 def _on(clips: DataFrame) -> list[str]:
@@ -81,22 +92,41 @@ def largest(clips: DataFrame, by: list[str]) -> DataFrame:
     return clips.groupBy(*by).agg(F.min_by("path", F.struct(-size, F.col("path"))).alias("path"), F.max(size).alias("size_bytes"))
 
 
-def main_feature(segments: DataFrame, clips: DataFrame) -> DataFrame:
-    """Per disc the first playlist of the ranking with 3D clips, else with 2D clips, else the largest 3D or 2D file."""
-    lists = ranked(playlists(segments))
-    found = []
-    for phase, kind in enumerate(("ssif", "m2ts")):
-        hit = resolve_segments(segments, clips, kind).groupBy("disc_id", "playlist").agg(F.min_by("path", "item_no").alias("path"), F.count(F.lit(1)).alias("clips"))
-        found.append(hit.join(lists, ["disc_id", "playlist"]).select("disc_id", F.lit(phase).alias("phase"), "rank", F.lit(kind).alias("kind"), "playlist", "path", "clips", "duration_s"))
-    discs = segments.select("disc_id").distinct()
-    files = largest(clips, ["disc_id", "kind"] if "disc_id" in clips.columns else ["kind"])
-    if "disc_id" not in clips.columns:  # one inventory for all discs: a row for each of the two kinds
-        both = [F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["path"]).alias("path")) for r in files.filter(F.col("kind").isin("ssif", "m2ts")).collect()]
-        files = discs.select("disc_id", F.explode(F.array(*both)).alias("f")).select("disc_id", "f.*") if both else discs.select("disc_id", F.lit("").alias("kind"), F.lit("").alias("path")).limit(0)
-    playlist = F.lit(None).cast(segments.schema["playlist"].dataType).alias("playlist")
-    spare = files.select("disc_id", F.when(F.col("kind") == "ssif", 2).otherwise(3).alias("phase"), F.lit(1).alias("rank"), "kind", playlist, "path", F.lit(1).cast("bigint").alias("clips"), F.lit(0.0).alias("duration_s"))
-    every = found[0].unionByName(found[1]).unionByName(spare)
-    return top_rows(every, ["disc_id"], ["phase", "rank"]).drop("rank")
+def main_feature(segments: DataFrame, clips: DataFrame, extension: DataFrame | None = None) -> DataFrame:
+    """Per disc the first playlist of the ranking with 3D clips, else with 2D clips, else the largest 3D or 2D file.
+
+    ``extension`` lists the playlists (disc_id, playlist) with the 3D extension; among equivalent ones they rank first,
+    within decoys and non-decoys each. Segments are read once: repeats are combined first, then clips of both kinds are
+    met and each playlist is one row.
+    """
+    on = _on(clips)
+    paths = clips.filter(F.col("kind").isin("ssif", "m2ts")).groupBy(*on).agg(*[F.min(F.when(F.col("kind") == k, F.col("path"))).alias(f"_{k}") for k in ("ssif", "m2ts")])
+    length = F.col("out_45k") - F.col("in_45k")
+    item = F.xxhash64("item_no", "clip", "in_45k", "out_45k"), F.xxhash64("out_45k", "clip", "item_no", "in_45k")
+    distinct = segments.groupBy("disc_id", "playlist", "clip", "in_45k", "out_45k").agg(F.count(F.lit(1)).alias("n"), F.min("item_no").alias("_first"), *[F.bit_xor(h).alias(f"_h{k}") for k, h in enumerate(item)])
+    total, once = F.sum(length * F.col("n")), F.sum(length)
+    found = [x for k in ("ssif", "m2ts") for x in (F.coalesce(F.sum(F.when(F.col(f"_{k}").isNotNull(), F.col("n"))), F.lit(0)).alias(f"{k}_clips"), F.min_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), F.col("_first"))).alias(f"{k}_path"))]
+    sums = [(total / 45000.0).alias("duration_s"), F.sum("n").alias("items"), total.alias("_total"), once.alias("_once"), F.struct(F.bit_xor("_h0"), F.bit_xor("_h1")).alias("sequence")]
+    lists = distinct.join(paths, on, "left").groupBy("disc_id", "playlist").agg(*sums, *found)
+    lists = lists.withColumn("decoy", (F.col("items") > 1) & (F.col("_once") > 0) & (F.col("_total") > DECOY_REPLAY * F.col("_once")))
+    if extension is None:
+        order = Window.partitionBy("disc_id").orderBy("decoy", F.col("duration_s").desc(), "playlist")
+        lists = lists.withColumn("rank", F.row_number().over(order))
+    else:
+        has = extension.select("disc_id", "playlist").distinct().withColumn("has_3d", F.lit(True))
+        marked = lists.join(has, ["disc_id", "playlist"], "left").withColumn("has_3d", F.coalesce("has_3d", F.lit(False)))
+        marked = marked.withColumn("sequence", F.to_json("sequence"))
+        lists = lists.join(prefer_3d(marked).drop("decoy"), ["disc_id", "playlist"])
+    rank = F.struct("decoy", "rank")
+    best = [F.struct(F.lit(p).alias("phase"), rank.alias("order"), F.lit(k).alias("kind"), F.col("playlist"), F.col(f"{k}_path").alias("path"), F.col(f"{k}_clips").alias("clips"), F.col("duration_s")) for p, k in enumerate(("ssif", "m2ts"))]
+    choice = F.when(F.col("ssif_clips") > 0, best[0]).when(F.col("m2ts_clips") > 0, best[1])
+    discs = lists.withColumn("_c", choice).groupBy("disc_id").agg(F.min_by("_c", F.when(F.col("_c").isNotNull(), F.struct("_c.phase", "_c.order"))).alias("c"))
+    keys = [c for c in on if c != "clip"] or ["_one"]
+    files = largest(clips, [*(c for c in on if c != "clip"), "kind"]).withColumn("_one", F.lit(1))
+    spare = files.filter(F.col("kind").isin("ssif", "m2ts")).groupBy(*keys).agg(F.min_by(F.struct("kind", "path"), F.when(F.col("kind") == "ssif", 2).otherwise(3)).alias("f"))
+    met = discs.withColumn("_one", F.lit(1)).join(spare, keys, "left").filter("c IS NOT NULL OR f IS NOT NULL")
+    pick = lambda c, other: F.when(F.col("c").isNotNull(), F.col(f"c.{c}")).otherwise(other).alias(c)
+    return met.select("disc_id", pick("phase", F.when(F.col("f.kind") == "ssif", 2).otherwise(3)), pick("kind", F.col("f.kind")), pick("playlist", F.lit(None)), pick("path", F.col("f.path")), pick("clips", F.lit(1).cast("bigint")), pick("duration_s", F.lit(0.0)))
 
 
 def pair_clips(features: DataFrame, extension: DataFrame, clips: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from collections.abc import Callable
 
 import numpy as np
@@ -157,6 +159,28 @@ def recurrence(df: DataFrame, by: list[str], order: list[str], schema: str, step
     return df.groupBy(*by).applyInPandas(apply, f"{fields}, {schema}")
 
 
+def analysed(frames: DataFrame, by: list[str], order: list[str], depth: int = 5, pts: str = "pts") -> DataFrame:
+    """Adds ``turn``: the place at which a frame leaves a buffer that holds ``depth`` frames and gives out the earliest.
+
+    The rest of the buffer follows at the end of its stream.
+    """
+
+    def step(pdf: pd.DataFrame) -> dict:
+        held: list[tuple[float, int]] = []
+        turn = [0] * len(pdf)
+        given = 0
+        for i, p in enumerate(pdf[pts].to_numpy(float)):
+            heapq.heappush(held, (p, i))
+            if len(held) > depth:
+                turn[heapq.heappop(held)[1]] = given
+                given += 1
+        for k, (_, i) in enumerate(sorted(held)):
+            turn[i] = given + k
+        return {"turn": turn}
+
+    return recurrence(frames, by, order, "turn int", step)
+
+
 def adaptive_cuts(frames: DataFrame, by: list[str], order: list[str], threshold: float = 0.35, gain: float = 3.0, alpha: float = 0.05) -> DataFrame:
     """Adds ``cut``: a residual over the threshold that also stands out of the running level between cuts."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import recurrence
@@ -26,14 +26,33 @@ def coalesce_seeks(requests: DataFrame, gap: str = "60 milliseconds", ts: str =
 
 
 def liveness(rx: DataFrame, gap: str = "2001 milliseconds", ts: str = "ts") -> DataFrame:
-    """One loss per silence of a peer: a session window per peer, ending where the peer counts as lost.
+    """Stretches of traffic per peer, each ending in a silence: a session window that also works on streams.
 
-    Windows split at a silence of ``gap`` or more, so it is a little more than the timeout. The last window of a peer is
-    not a loss, unless later traffic of the session shows that time has passed.
+    Windows split at a silence of ``gap`` or more, so it is a little more than the timeout. It knows no current peer:
+    ``client_lost`` does.
     """
     return rx.groupBy("session", "peer", F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("packets"), F.max(ts).alias("last_rx")).withColumn("lost_at", F.col("session_window.end")).drop("session_window")
 
 
+def client_lost(rx: DataFrame, timeout: float, order: list[str], t: str = "t") -> DataFrame:
+    """One loss (session, peer, packets, last_rx, lost_at) per silence of the current peer of more than ``timeout``.
+
+    A hello makes its sender the current peer. Hellos and datagrams of the current peer are proofs of life, other peers'
+    are not, and nothing counts before the first hello. The last silence is a loss if later traffic of whatever peer
+    shows that its time has passed.
+    """
+    by = Window.partitionBy("session")
+    w = by.orderBy(t, *order)
+    known = F.last(F.when(F.col("hello"), F.col("peer")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    alive = rx.withColumn("_known", known).withColumn("_end", F.max(t).over(by)).filter(F.col("hello") | (F.col("peer") == F.col("_known")))
+    silence = F.coalesce(F.lead(t).over(w), F.col("_end")) - F.col(t)
+    marked = alive.withColumn("_lost", silence > timeout)
+    before = F.coalesce(F.sum(F.col("_lost").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretch = marked.withColumn("_stretch", before).groupBy("session", "_stretch")
+    out = stretch.agg(F.max_by("peer", F.struct(t, *order)).alias("peer"), F.count(F.lit(1)).alias("packets"), F.max(t).alias("last_rx"), F.bool_or("_lost").alias("_lost"))
+    return out.filter("_lost").withColumn("lost_at", F.col("last_rx") + timeout).drop("_stretch", "_lost")
+
+
 def ladder_steps(depths, underruns, start: int = 0, floor: int = 4, state: tuple[int, int, int] | None = None) -> tuple[list[int], tuple[int, int, int]]:
     """Rung after each feedback sample; state is (rung, pressed, stable)."""
     rung, pressed, stable = state or (start, 0, 0)
@@ -57,24 +76,31 @@ def ladder(feedback: DataFrame, order: list[str], start: int = 0, floor: int = 4
     return recurrence(feedback, ["session"], order, "rung int", lambda pdf: {"rung": ladder_steps(pdf["queue_depth"], pdf["underrun"], start, floor)[0]})
 
 
+#: How far a cursor may part from the clock before it jumps, the share of a smaller gap it makes good at once, and its most.
+JUMP_MS, PULL, MOST_PULL_MS = 250.0, 0.25, 1.0
+
+
+def follow(at: float | None, clock: float | None, step: float) -> float:
+    """Where a cursor stands a frame after ``at``; ``clock`` is null unless it has moved since the frame before."""
+    if at is None:
+        return clock or 0.0
+    ahead = at + step
+    if clock is None:
+        return ahead
+    gap = clock - ahead
+    return clock if abs(gap) > JUMP_MS else ahead + sorted((-MOST_PULL_MS, PULL * gap, MOST_PULL_MS))[1]
+
+
 def cursor_steps(clocks, fps: float, state: tuple[float | None, float | None] = (None, None)) -> tuple[list[int], tuple[float | None, float | None]]:
     """Phase-locked pts for each frame; state is (cursor, last clock)."""
-    cursor, last = state
-    frame = 1000.0 / max(1.0, fps)
+    at, seen = state
     out = []
-    for c in clocks:
-        c = None if c is None or c != c else float(c)
-        moved = c is not None and (last is None or abs(c - last) > 0.001)
-        if moved:
-            last = c
-        if cursor is None:
-            cursor = c if c is not None else 0.0
-        else:
-            expected = cursor + frame
-            error = c - expected if moved else 0.0
-            cursor = c if abs(error) > 250.0 else expected + max(-1.0, min(1.0, error * 0.25))
-        out.append(round(cursor))
-    return out, (cursor, last)
+    for c in (None if c is None or c != c else float(c) for c in clocks):
+        new = c is not None and (seen is None or abs(c - seen) > 0.001)
+        at = follow(at, c if new or at is None else None, 1000.0 / max(1.0, fps))
+        seen = c if new else seen
+        out.append(round(at))
+    return out, (at, seen)
 
 
 def pts_cursor(frames: DataFrame, order: list[str], fps: float, clock: str = "clock_ms") -> DataFrame:

@@ -49,9 +49,14 @@ def rolling_rate(progress: DataFrame, by: list[str], t: str = "t", done: str = "
 
 def sync_meter(offsets: DataFrame, by: list[str], order: list[str], value: str = "offset_ms", every: int = 240, span: int = 512, least: int = 48) -> DataFrame:
     """At every ``every``-th sample the median and outer ranks of the last ``span``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = offsets.withColumn("sample_no", F.row_number().over(w)).withColumn("_last", F.collect_list(value).over(w.rowsBetween(-(span - 1), 0)))
-    rows = rows.filter(F.col("sample_no") % every == 0).withColumn("_s", F.array_sort("_last")).withColumn("n", F.size("_s")).filter(F.col("n") >= least)
+    rows = offsets.withColumn("_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    # samples are gathered once, in buckets of ``every``; a report joins the buckets that reach into its span
+    buckets = rows.groupBy(*by, F.ceil(F.col("_no") / every).alias("_bucket")).agg(F.count(F.lit(1)).alias("_full"), F.array_sort(F.collect_list(F.struct("_no", value))).alias("_v"))
+    w = Window.partitionBy(*by).orderBy("_bucket")
+    near = F.flatten(F.array(*[F.coalesce(F.lag(f"_v.{value}", k).over(w), F.array().cast("array<double>")) for k in range(-(-span // every), -1, -1)]))
+    rows = buckets.select(*by, (F.col("_bucket") * every).alias("sample_no"), "_full", near.alias("_near")).filter(F.col("_full") == every)
+    last = F.slice("_near", F.greatest(F.lit(1), F.size("_near") - span + 1), span)
+    rows = rows.withColumn("_s", F.array_sort(last)).withColumn("n", F.size("_s")).filter(F.col("n") >= least)
     at = lambda r: F.get("_s", r.cast("int"))
     n = F.col("n")
     return rows.select(*by, "sample_no", "n", at(F.floor(n / 2)).alias("median"), at(F.floor(n / 20)).alias("p5"), at(F.floor(n * 19 / 20)).alias("p95"))

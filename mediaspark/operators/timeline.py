@@ -132,15 +132,40 @@ def valid_fragments(df: DataFrame, most: int = 4096) -> DataFrame:
 
 
 def reassemble(datagrams: DataFrame, arrival: str = "rx") -> DataFrame:
-    """Complete payloads per (session, seq): all distinct fragments are there, the last write of each counts.
+    """Complete payloads (session, seq, fragments, payload) of units whose fragments arrive without another unit between.
 
-    Ids are grouped first, so only payloads of complete units are gathered.
+    One unit is under way in a session; a datagram of another seq abandons it for good, whatever of it arrives later
+    begins anew. A unit is complete with as many distinct fragments as its first datagram says; of a fragment that comes
+    twice the last counts, and what follows a complete unit begins another. Ids alone are walked through; payloads
+    are only gathered for complete units.
     """
+    from .frames import recurrence
+
     good = valid_fragments(datagrams)
-    complete = good.groupBy("session", "seq").agg(F.min_by("frag_cnt", arrival).alias("n"), F.count_distinct("frag_idx").alias("have")).filter("have >= n").select("session", "seq", "n")
-    last = good.join(complete, ["session", "seq"]).groupBy("session", "seq", "frag_idx").agg(F.max_by("payload", arrival).alias("payload"), F.first("n").alias("n"))
+    order = [arrival, "seq", "frag_idx"]
+    runs = runs_of(good.select("session", *order, "frag_cnt"), ["session"], order, F.col("seq"))
+    # each run of equal seq begins without state, so a long session is walked in stretches of runs
+    runs = runs.withColumn("_stretch", F.floor(F.col("run") / 4096))
+
+    def units(pdf):
+        unit, have, need, run, out, done = 0, set(), 0, None, [], []
+        for r, i, n in zip(pdf["run"], pdf["frag_idx"], pdf["frag_cnt"], strict=True):
+            if r != run or not have:
+                run, have, need, unit = r, set(), n, unit + 1
+                done.append(False)
+            have.add(i)
+            out.append(unit)
+            if len(have) >= need:
+                done[-1], have = True, set()
+        return {"_unit": out, "_done": [done[u - 1] for u in out]}
+
+    marked = recurrence(runs, ["session", "_stretch"], order, "_unit int, _done boolean", units).filter("_done")
+    keys = ["session", *order]
+    met = marked.select(*keys, "_stretch", "_unit").join(good, keys)
+    last = met.groupBy("session", "_stretch", "_unit", "seq", "frag_idx").agg(F.max_by("payload", arrival).alias("payload"))
     parts = F.array_sort(F.collect_list(F.struct("frag_idx", "payload")))
-    return last.groupBy("session", "seq").agg(F.count(F.lit(1)).alias("fragments"), parts.alias("_p")).select("session", "seq", "fragments", F.array_join("_p.payload", "").alias("payload"))
+    whole = last.groupBy("session", "_stretch", "_unit", "seq").agg(F.count(F.lit(1)).alias("fragments"), parts.alias("_p"))
+    return whole.select("session", "seq", "fragments", F.array_join("_p.payload", "").alias("payload"))
 
 
 def av_action(frames: DataFrame, clock: DataFrame, offset_s: float = 0.0, slice_s: float = 3600) -> DataFrame:

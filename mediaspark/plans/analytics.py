@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, frames, islands, ranks, sessions, subtitles, telemetry, timeline
 from ..sources import readers
 from ..views import run_sql, view
+from .recursion import fold
 from .registry import query
 
 # --- frames -----------------------------------------------------------------------------------------------------------
@@ -141,26 +142,58 @@ def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _small_frames(spark, sf_dir).select("stream_id", "pts", frames.letterbox(F.col("luma"), 32).alias("b")).select("stream_id", "pts", "b.*")
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS stream_id, event_id AS seq, value > 20 AS valid, CAST(130 + event_id % 5 AS INT) AS top, CAST(131 + event_id % 4 AS INT) AS bottom FROM events", "stream_id", "seq",
+    {
+        "_near": ("", "abs(s.top - r.a) <= 10 AND abs(s.bottom - r.b) <= 10"),
+        "n": ("0", "CASE WHEN s.valid AND {_near} THEN r.n + 1 WHEN s.valid THEN 1 ELSE 0 END"),
+        "a": ("0", "CASE WHEN NOT s.valid THEN 0 WHEN {_near} THEN r.a ELSE s.top END"),
+        "b": ("0", "CASE WHEN NOT s.valid THEN 0 WHEN {_near} THEN r.b ELSE s.bottom END"),
+        "none": ("0", "CASE WHEN s.valid THEN 0 ELSE r.none + 1 END"),
+        "c0": ("NULL::INT", "CASE WHEN NOT s.valid THEN CASE WHEN {none} >= 8 THEN 0 END WHEN {_near} THEN CASE WHEN {n} >= 8 THEN r.a ELSE r.c0 END END"),
+        "c1": ("NULL::INT", "CASE WHEN NOT s.valid THEN CASE WHEN {none} >= 8 THEN 0 END WHEN {_near} THEN CASE WHEN {n} >= 8 THEN r.b ELSE r.c1 END END"),
+    },
+    "s.stream_id, s.seq, s.valid, s.top, s.bottom, r.c0 AS crop_top, r.c1 AS crop_bottom",
+))
 def letterbox_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = run_sql(spark, sf_dir, "SELECT user_id AS stream_id, event_id AS seq, value > 20 AS valid, CAST(130 + event_id % 5 AS INT) AS top, CAST(131 + event_id % 4 AS INT) AS bottom FROM events")
     return frames.letterbox_stable(obs, ["stream_id"], ["seq"], 1080)
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS stream_id, event_id AS seq, value / 60 AS residual FROM events", "stream_id", "seq",
+    {"cut": ("false", "s.residual > 0.35::DOUBLE AND (r.level IS NULL OR s.residual > 3 * r.level)"), "level": ("NULL::DOUBLE", "CASE WHEN {cut} THEN r.level WHEN r.level IS NULL THEN s.residual ELSE r.level + 0.05::DOUBLE * (s.residual - r.level) END")},
+    "s.stream_id, s.seq, s.residual, r.cut",
+))
 def adaptive_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS stream_id, event_id AS seq, value / 60 AS residual FROM events")
     return frames.adaptive_cuts(rows, ["stream_id"], ["seq"])
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS stream_id, event_id AS seq, value / 100 AS lo, value / 100 + 0.5 AS hi, event_type = 'error' AS cut FROM events", "stream_id", "seq",
+    {
+        "_most": ("", "greatest(1e-6::DOUBLE, r.h - r.l) * 0.04::DOUBLE"),
+        "l": ("NULL::DOUBLE", "CASE WHEN r.l IS NULL OR s.cut THEN s.lo ELSE r.l + least({_most}, greatest(-{_most}, CASE WHEN s.lo < r.l THEN 0.20::DOUBLE ELSE 0.06::DOUBLE END * (s.lo - r.l))) END"),
+        "h": ("NULL::DOUBLE", "CASE WHEN r.h IS NULL OR s.cut THEN s.hi ELSE r.h + least({_most}, greatest(-{_most}, CASE WHEN s.hi > r.h THEN 0.20::DOUBLE ELSE 0.06::DOUBLE END * (s.hi - r.h))) END"),
+    },
+    "s.stream_id, s.seq, s.lo, s.hi, s.cut, round(r.l, 9) AS tone_lo, round(r.h, 9) AS tone_hi",
+))
 def tone_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS stream_id, event_id AS seq, value / 100 AS lo, value / 100 + 0.5 AS hi, event_type = 'error' AS cut FROM events")
     out = frames.tone(rows, ["stream_id"], ["seq"])
     return out.withColumns({c: F.round(c, 9) for c in ("tone_lo", "tone_hi")})
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS stream_id, event_id AS seq, value - 20 AS value, event_id / 24.0::DOUBLE AS t_s, event_type = 'error' AS cut FROM events", "stream_id", "seq",
+    {
+        "_v": ("", "least(30, greatest(-30, s.value))"),
+        "v": ("NULL::DOUBLE", "CASE WHEN r.v IS NULL OR s.cut OR s.t_s <= r.t THEN {_v} ELSE least(r.v + 4 * (s.t_s - r.t), greatest(r.v - 4 * (s.t_s - r.t), {_v})) END"),
+        "t": ("NULL::DOUBLE", "s.t_s"),
+    },
+    "s.stream_id, s.seq, s.value, s.t_s, s.cut, round(r.v, 9) AS limited",
+))
 def slew_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS stream_id, event_id AS seq, value - 20 AS value, event_id / CAST(24.0 AS DOUBLE) AS t_s, event_type = 'error' AS cut FROM events")
     return frames.slew(rows, ["stream_id"], ["seq"], 30.0, 4.0).withColumn("limited", F.round("limited", 9))
@@ -293,24 +326,46 @@ def epoch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.epochs(run_sql(spark, sf_dir, _MINUTES), ["session"], ["seq"]).select("session", "seq", "epoch")
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS session, event_id AS seq, CAST(t AS DOUBLE) AS t_s FROM ticks", "session", "seq",
+    {
+        "fps": ("NULL::DOUBLE", "CASE WHEN r.t IS NULL OR s.t_s <= r.t THEN r.fps WHEN r.fps IS NULL THEN 1 / (s.t_s - r.t) ELSE 0.9::DOUBLE * r.fps + (1 - 0.9::DOUBLE) * (1 / (s.t_s - r.t)) END"),
+        "t": ("NULL::DOUBLE", "s.t_s"),
+    },
+    "s.session, s.seq, s.t_s, round(r.fps, 9) AS fps",
+))
 def ema_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, CAST(t AS DOUBLE) AS t_s FROM ticks")
     return frames.ema_fps(rows, ["session"], ["seq"]).withColumn("fps", F.round("fps", 9))
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS session, event_id AS seq, value / 20 AS value FROM events", "session", "seq",
+    {"held": ("NULL::DOUBLE", "CASE WHEN r.held IS NULL OR s.value >= r.held OR r.held - s.value > 1 THEN s.value ELSE r.held END")},
+    "s.session, s.seq, s.value, r.held",
+))
 def monotone_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.monotone_clock(run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, value / 20 AS value FROM events"), ["session"], ["seq"])
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS stream_id, event_id AS seq, value AS t_s FROM events", "stream_id", "seq",
+    {"free": ("false", "len([x for x in r.kept if abs(x - s.t_s) < 0.5::DOUBLE]) = 0"), "kept": ("[]::DOUBLE[]", "CASE WHEN {free} THEN list_append(r.kept, s.t_s) ELSE r.kept END")},
+    "s.stream_id, s.seq, s.t_s", "WHERE r.free",
+))
 def sync_points_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS stream_id, event_id AS seq, value AS t_s FROM events")
     return frames.thin_points(rows, ["stream_id"], ["seq"], 0.5)
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS stream_id, event_id AS seq, event_id * 41.708::DOUBLE AS t_ms FROM events", "stream_id", "seq",
+    {
+        "keep": ("false", "r.due IS NULL OR s.t_ms + 0.05::DOUBLE >= r.due"),
+        "due": ("NULL::DOUBLE", "CASE WHEN r.due IS NULL THEN s.t_ms + 5000 WHEN {keep} THEN r.due + (greatest(0, floor((s.t_ms - r.due) / 5000)) + 1) * 5000 ELSE r.due END"),
+    },
+    "s.stream_id, s.seq, s.t_ms", "WHERE r.keep",
+))
 def cadence_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS stream_id, event_id AS seq, event_id * CAST(41.708 AS DOUBLE) AS t_ms FROM events")
     return frames.cadence(rows, ["stream_id"], ["seq"], 0.2)
@@ -350,11 +405,12 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SESSIONS = """g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t) < {gap} THEN 0 ELSE 1 END AS b FROM ticks), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM g)"""
 
 
-@query("WITH " + _SESSIONS.format(gap=7200) + " SELECT user_id AS session, event_type AS peer, count(*) AS packets, max(t) AS last_rx, max(t) + 7200 AS lost_at FROM s GROUP BY user_id, event_type, g")
+@query("""WITH h AS (SELECT r.*, (SELECT arg_max(p.peer, (p.t, p.event_id)) FROM received p WHERE p.hello AND p.session = r.session AND (p.t, p.event_id) < (r.t, r.event_id)) AS known FROM received r),
+    a AS (SELECT *, coalesce(lead(t) OVER w, (SELECT max(t) FROM received e WHERE e.session = h.session)) - t > 43200 AS lost FROM h WHERE hello OR peer = known WINDOW w AS (PARTITION BY session ORDER BY t, event_id)),
+    s AS (SELECT *, coalesce(sum(lost::INT) OVER (PARTITION BY session ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM a)
+    SELECT session, arg_max(peer, (t, event_id)) AS peer, count(*) AS packets, max(t) AS last_rx, max(t) + 43200 AS lost_at FROM s GROUP BY session, g HAVING bool_or(lost)""")
 def st_client_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _timed(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_type").alias("peer"), "ts")
-    out = sessions.liveness(rows, "7200 seconds")
-    return out.withColumns({c: F.unix_seconds(c) for c in ("last_rx", "lost_at")})
+    return sessions.client_lost(view(spark, sf_dir, "received"), 43_200, ["event_id"])
 
 
 @query("WITH " + _SESSIONS.format(gap=3600) + " SELECT user_id AS session, event_type AS session_id, arg_max(value, (t, event_id)) AS target_s, max(t) AS last_t, count(*) - 1 AS coalesced FROM s GROUP BY user_id, event_type, g")
@@ -376,10 +432,24 @@ def st_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.backoff(rows, ["session"], ["event_id"]).select("session", "event_id", F.col("wait_ms").cast("bigint").alias("wait_ms"))
 
 
-@query("""WITH g AS (SELECT * FROM datagrams WHERE frag_cnt BETWEEN 1 AND 4096 AND frag_idx >= 0 AND frag_idx < frag_cnt), c AS (SELECT session, seq FROM g GROUP BY ALL HAVING count(DISTINCT frag_idx) >= arg_min(frag_cnt, rx)),
-    l AS (SELECT g.session, g.seq, g.frag_idx, arg_max(payload, rx) AS p FROM g JOIN c ON g.session = c.session AND g.seq = c.seq GROUP BY ALL) SELECT session, seq, count(*) AS fragments, string_agg(p, '' ORDER BY frag_idx) AS payload FROM l GROUP BY session, seq""")
+_UNITS = fold(
+    "SELECT * FROM live_datagrams WHERE frag_cnt BETWEEN 1 AND 4096 AND frag_idx >= 0 AND frag_idx < frag_cnt", "session", "arrival, seq, frag_idx",
+    {
+        "_new": ("", "r.seq IS DISTINCT FROM s.seq"),
+        "cnt": ("0", "CASE WHEN {_new} THEN s.frag_cnt ELSE r.cnt END"),
+        "_parts": ("", "list_append(CASE WHEN {_new} THEN [] ELSE [x for x in r.parts if x.i <> s.frag_idx] END, {'i': s.frag_idx, 'p': s.payload})"),
+        "_done": ("", "len({_parts}) >= {cnt}"),
+        "unit": ("NULL::STRUCT(i INT, p VARCHAR)[]", "CASE WHEN {_done} THEN list_sort({_parts}) END"),
+        "parts": ("[]::STRUCT(i INT, p VARCHAR)[]", "CASE WHEN {_done} THEN [] ELSE {_parts} END"),
+        "seq": ("NULL::BIGINT", "CASE WHEN {_done} THEN NULL ELSE s.seq END"),
+    },
+    "s.session, s.seq, len(r.unit) AS fragments, list_aggregate([x.p for x in r.unit], 'string_agg', '') AS payload", "WHERE r.unit IS NOT NULL",
+)
+
+
+@query(_UNITS)
 def st_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.reassemble(view(spark, sf_dir, "datagrams"))
+    return timeline.reassemble(view(spark, sf_dir, "live_datagrams"), "arrival")
 
 
 @query("""WITH r AS (SELECT media_key, field, arg_max(coalesce(value, '~'), updated) AS value, max(updated) AS updated FROM memory GROUP BY ALL), k AS (SELECT media_key, max(updated) AS updated, string_agg(field || '=' || value, ';' ORDER BY field) FILTER (WHERE value <> '~') AS fields FROM r GROUP BY media_key)
@@ -390,40 +460,111 @@ def st_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("media_key", "updated", fields.alias("fields"))
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS session, event_id AS seq, CAST(floor(value / 12) AS INT) AS queue_depth, event_type = 'error' AS underrun FROM events", "session", "seq",
+    {
+        "_press": ("", "s.underrun OR s.queue_depth > 3"),
+        "_down": ("", "{_press} AND r.pressed + 1 >= 3"),
+        "_calm": ("", "CASE WHEN NOT {_press} AND s.queue_depth <= 1 AND r.rung > 0 THEN r.stable + 1 ELSE 0 END"),
+        "pressed": ("0", "CASE WHEN {_press} AND NOT {_down} THEN r.pressed + 1 ELSE 0 END"),
+        "stable": ("0", "CASE WHEN {_calm} >= 12 THEN 0 ELSE {_calm} END"),
+        "rung": ("0", "CASE WHEN {_down} THEN least(r.rung + 1, 4) WHEN {_calm} >= 12 THEN r.rung - 1 ELSE r.rung END"),
+    },
+    "s.session, s.seq, s.queue_depth, s.underrun, CAST(r.rung AS INT) AS rung",
+))
 def st_quality_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, CAST(floor(value / 12) AS INT) AS queue_depth, event_type = 'error' AS underrun FROM events")
     return sessions.ladder(rows, ["seq"])
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS session, event_id AS seq, CAST(t AS DOUBLE) AS t_s FROM ticks WHERE event_type = 'error'", "session", "seq",
+    {"keep": ("false", "r.last IS NULL OR s.t_s - r.last >= 86400"), "last": ("NULL::DOUBLE", "CASE WHEN {keep} THEN s.t_s ELSE r.last END")},
+    "s.session, s.seq, s.t_s", "WHERE r.keep",
+))
 def st_idr_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, CAST(t AS DOUBLE) AS t_s FROM ticks WHERE event_type = 'error'")
     return frames.throttle(rows, ["session"], ["seq"], 86_400.0)
 
 
-@query()
+_FATES = fold(
+    "SELECT user_id AS session, event_id AS seq, CASE WHEN event_type = 'view' THEN 'audio' ELSE 'video' END AS kind, event_id + CAST(floor(value * 10) AS BIGINT) AS pts_ms FROM events", "session", "seq",
+    {
+        "clock": ("NULL::BIGINT", "CASE WHEN s.kind = 'audio' THEN greatest(s.pts_ms, coalesce(r.clock, s.pts_ms)) ELSE r.clock END"),
+        "_all": ("", "CASE WHEN s.kind = 'video' THEN list_sort(list_append(r.held, {'p': s.pts_ms, 'q': s.seq})) ELSE r.held END"),
+        "_over": ("", "len({_all}) > 8"),
+        "_left": ("", "CASE WHEN {_over} THEN {_all}[2:] ELSE {_all} END"),
+        "dropped": ("NULL::BIGINT", "CASE WHEN {_over} THEN {_all}[1].q END"),
+        "freed": ("[]::BIGINT[]", "[x.q for x in {_left} if x.p <= {clock}]"),
+        "held": ("[]::STRUCT(p BIGINT, q BIGINT)[]", "[x for x in {_left} if {clock} IS NULL OR x.p > {clock}]"),
+    },
+    "s.session, s.seq, s.kind, s.pts_ms, r.clock, r.dropped, r.freed",
+)
+
+
+@query(f"""WITH w AS ({_FATES}), f AS (SELECT session, unnest(freed) AS seq, clock FROM w), d AS (SELECT session, dropped AS seq FROM w WHERE dropped IS NOT NULL)
+    SELECT w.session, w.seq, w.kind, w.pts_ms, CASE WHEN f.seq IS NOT NULL THEN 'released' WHEN d.seq IS NOT NULL THEN 'dropped' ELSE 'flushed' END AS fate, f.clock AS clock_ms
+    FROM w LEFT JOIN f ON w.session = f.session AND w.seq = f.seq LEFT JOIN d ON w.session = d.session AND w.seq = d.seq WHERE w.kind = 'video'""")
 def st_audio_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, CASE WHEN event_type = 'view' THEN 'audio' ELSE 'video' END AS kind, event_id + CAST(floor(value * 10) AS BIGINT) AS pts_ms FROM events")
     return sessions.jitter_buffer(rows, ["seq"])
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS session, event_id AS seq, event_id / 24.0::DOUBLE + CAST(event_id % 3 AS DOUBLE) / 24 AS pts_s FROM events", "session", "seq",
+    {
+        "_due": ("", "CASE WHEN r.last IS NULL THEN 0 ELSE r.last + 1 / 24.0::DOUBLE END"),
+        "_slack": ("", "CASE WHEN r.last IS NULL THEN 3 ELSE 0.5 END"),
+        "_fresh": ("", "list_sort([x for x in list_append(r.held, s.pts_s) if x >= {_due} - {_slack}])"),
+        "_hit": ("", "len({_fresh}) > 0 AND {_fresh}[1] <= {_due} + {_slack}"),
+        "last": ("NULL::DOUBLE", "CASE WHEN {_hit} THEN {_fresh}[1] ELSE {_due} END"),
+        "held": ("[]::DOUBLE[]", "CASE WHEN {_hit} THEN {_fresh}[2:] ELSE {_fresh} END"),
+    },
+    "s.session, s.seq, s.pts_s, round(r.last, 6) AS emit_pts",
+))
 def st_assign_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, event_id / CAST(24.0 AS DOUBLE) + CAST(event_id % 3 AS DOUBLE) / 24 AS pts_s FROM events")
     return sessions.assign_pts_live(rows, ["seq"], 1 / 24.0).withColumn("emit_pts", F.round("emit_pts", 6))
 
 
-@query()
+@query(fold(
+    "SELECT user_id AS session, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * 41.7::DOUBLE + value END AS clock_ms FROM events", "session", "seq",
+    {
+        "_moved": ("", "s.clock_ms IS NOT NULL AND (r.seen IS NULL OR abs(s.clock_ms - r.seen) > 0.001::DOUBLE)"),
+        "_next": ("", "r.at + 1000.0::DOUBLE / 24"),
+        "at": ("NULL::DOUBLE", "CASE WHEN r.at IS NULL THEN coalesce(s.clock_ms, 0) WHEN NOT {_moved} THEN {_next} WHEN abs(s.clock_ms - {_next}) > 250 THEN s.clock_ms ELSE {_next} + greatest(-1, least(1, (s.clock_ms - {_next}) * 0.25::DOUBLE)) END"),
+        "seen": ("NULL::DOUBLE", "CASE WHEN {_moved} THEN s.clock_ms ELSE r.seen END"),
+    },
+    "s.session, s.seq, s.clock_ms, CAST(round_even(r.at, 0) AS BIGINT) AS pts_ms",
+))
 def st_pts_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * CAST(41.7 AS DOUBLE) + value END AS clock_ms FROM events")
     return sessions.pts_cursor(rows, ["seq"], 24.0)
 
 
-@query()
+_ANALYSED = fold(
+    "SELECT stream_id, seq, pts FROM arrivals", "stream_id", "seq",
+    {
+        "_all": ("", "list_sort(list_append(r.held, {'p': s.pts, 'q': s.seq}))"),
+        "out": ("NULL::STRUCT(p BIGINT, q BIGINT)", "CASE WHEN len({_all}) > 5 THEN {_all}[1] END"),
+        "held": ("[]::STRUCT(p BIGINT, q BIGINT)[]", "CASE WHEN len({_all}) > 5 THEN {_all}[2:] ELSE {_all} END"),
+    },
+    "s.stream_id, s.seq, r.out, r.held",
+)
+
+
+@query(f"""WITH w AS ({_ANALYSED}), l AS (SELECT stream_id, max(seq) AS seq, arg_max(held, seq) AS held FROM w GROUP BY stream_id),
+    g AS (SELECT stream_id, seq AS turn, out.q AS seq, out.p AS pts FROM w WHERE out IS NOT NULL UNION ALL SELECT stream_id, seq + i, held[i].q, held[i].p FROM l, (SELECT unnest(range(1, 6)) AS i) n WHERE i <= len(held)),
+    h AS (SELECT vec_id, {_HIST} AS hist FROM embeddings), o AS (SELECT g.stream_id, g.pts, h.hist, lag(g.pts) OVER t AS before, lag(h.hist) OVER t AS b FROM g JOIN h ON g.seq = h.vec_id WINDOW t AS (PARTITION BY g.stream_id ORDER BY g.turn))
+    SELECT stream_id, pts::DOUBLE AS pts_ms FROM o WHERE pts > before AND 0.5 * list_sum([abs(hist[i] - b[i]) for i in range(1, 65)]) >= 0.42""")
 def st_reorder_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch twin of the streaming form: cuts of frames put in order of pts."""
-    return _tv(spark, sf_dir).filter("distance >= 0.42").select("stream_id", F.col("pts").cast("double").alias("pts_ms"))
+    """The batch twin of the streaming form: frames leave a buffer of five, earliest first, and late ones give no cut."""
+    rows = view(spark, sf_dir, "arrivals")
+    turns = frames.analysed(rows.select("stream_id", "seq", "pts"), ["stream_id"], ["seq"]).select("stream_id", "seq", "turn")
+    total = F.aggregate("embedding", F.lit(0.0), lambda t, v: t + F.abs(v.cast("double")))
+    hist = F.transform("embedding", lambda v: F.abs(v.cast("double")) / F.col("total"))
+    met = rows.withColumn("total", total).select("stream_id", "seq", "pts", hist.alias("hist")).join(turns, ["stream_id", "seq"])
+    return islands.hard_cuts(frames.tv(met, ["stream_id"], ["turn"]), ["stream_id"], ["turn"]).select("stream_id", F.col("pts").cast("double").alias("pts_ms"))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------
@@ -465,7 +606,7 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.report_lines(run_sql(spark, sf_dir, "SELECT user_id, count(*) AS n FROM events GROUP BY user_id"))
 
 
-@query()
+@query("SELECT CAST(playlist AS STRING) AS path, CAST(item_no - 1 AS INT) AS item_no, clip, in_45k, out_45k FROM segments WHERE item_no % 5 <> 0")
 def src_disc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Playlists are built from line items and read back through the parser of playlist files."""
     items = view(spark, sf_dir, "segments").withColumn("end", F.when(F.col("item_no") % 5 == 0, F.col("in_45k")).otherwise(F.col("out_45k")))

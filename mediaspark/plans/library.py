@@ -31,13 +31,23 @@ def ranked_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.ranked(catalog.playlists(view(spark, sf_dir, "segments")))
 
 
-@query(f"""WITH {LISTS}, {RANKED}, hits AS (SELECT s.disc_id, s.playlist, CASE c.kind WHEN 'ssif' THEN 0 ELSE 1 END AS phase, c.kind, arg_min(c.path, s.item_no) AS path, count(*) AS clips FROM segments s JOIN both_clips c ON s.clip = c.clip GROUP BY ALL),
+_LISTED = f"""SELECT l.disc_id, l.decoy, list({{'p': l.playlist, 'd': l.duration_s, 'x': l.playlist % 5 = 0, 'q': s.sequence}} ORDER BY l.duration_s DESC, l.playlist) AS l
+    FROM lists l JOIN (SELECT disc_id, playlist, string_agg(clip || ':' || out_45k, ',' ORDER BY item_no) AS sequence FROM segments GROUP BY ALL) s ON l.disc_id = s.disc_id AND l.playlist = s.playlist GROUP BY ALL"""
+#: Place by place, a playlist without the extension swaps with the first later one that is equivalent and has it.
+PREFERRED = f"""{LISTS}, groups AS ({_LISTED}),
+    walk AS (SELECT disc_id, decoy, l, 0 AS i FROM groups UNION ALL SELECT disc_id, decoy, CASE WHEN j IS NULL THEN l ELSE list_concat(l[1:i], [l[j]], l[i + 2:j - 1], [l[i + 1]], l[j + 1:]) END, i + 1
+        FROM (SELECT *, CASE WHEN NOT l[i + 1].x THEN list_min([k for k in range(i + 2, len(l) + 1) if l[k].x AND (l[k].q = l[i + 1].q OR (l[i + 1].d > 0 AND abs(l[k].d - l[i + 1].d) <= 0.01 * l[i + 1].d))]) END AS j FROM walk WHERE i < len(l)) w),
+    preferred AS (SELECT disc_id, decoy, l[n].p AS playlist, l[n].d AS duration_s, n AS rank FROM (SELECT disc_id, decoy, l, unnest(range(1, len(l) + 1)) AS n FROM walk WHERE i = len(l)) w)"""
+
+
+@query(f"""WITH RECURSIVE {PREFERRED}, hits AS (SELECT s.disc_id, s.playlist, CASE c.kind WHEN 'ssif' THEN 0 ELSE 1 END AS phase, c.kind, arg_min(c.path, s.item_no) AS path, count(*) AS clips FROM segments s JOIN both_clips c ON s.clip = c.clip GROUP BY ALL),
     spare AS (SELECT CASE kind WHEN 'ssif' THEN 2 ELSE 3 END AS phase, kind, arg_min(path, (-size_bytes, path)) AS path FROM both_clips GROUP BY kind),
-    every AS (SELECT h.disc_id, h.phase, r.rank, h.kind, h.playlist, h.path, h.clips, r.duration_s FROM hits h JOIN ranked r ON h.disc_id = r.disc_id AND h.playlist = r.playlist
-    UNION ALL SELECT d.disc_id, s.phase, 1, s.kind, NULL, s.path, 1, 0.0 FROM (SELECT DISTINCT disc_id FROM segments) d, spare s)
-    SELECT disc_id, phase, kind, playlist, path, clips, duration_s FROM (SELECT *, row_number() OVER (PARTITION BY disc_id ORDER BY phase, rank) AS k FROM every) x WHERE k = 1""")
+    every AS (SELECT h.disc_id, h.phase, r.decoy, r.rank, h.kind, h.playlist, h.path, h.clips, r.duration_s FROM hits h JOIN preferred r ON h.disc_id = r.disc_id AND h.playlist = r.playlist
+    UNION ALL SELECT d.disc_id, s.phase, false, 1, s.kind, NULL, s.path, 1, 0.0 FROM (SELECT DISTINCT disc_id FROM segments) d, spare s)
+    SELECT disc_id, phase, kind, playlist, path, clips, duration_s FROM (SELECT *, row_number() OVER (PARTITION BY disc_id ORDER BY phase, decoy, rank) AS k FROM every) x WHERE k = 1""")
 def main_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.main_feature(view(spark, sf_dir, "segments"), view(spark, sf_dir, "both_clips"))
+    extension = run_sql(spark, sf_dir, "SELECT DISTINCT l_orderkey % 100 AS disc_id, l_orderkey AS playlist FROM lineitem WHERE l_orderkey % 5 = 0")
+    return catalog.main_feature(view(spark, sf_dir, "segments"), view(spark, sf_dir, "both_clips"), extension)
 
 
 @query("SELECT kind, arg_min(path, (-size_bytes, path)) AS path, max(size_bytes) AS size_bytes FROM both_clips GROUP BY kind")
@@ -50,7 +60,7 @@ def resolve_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolve_segments(view(spark, sf_dir, "segments"), view(spark, sf_dir, "both_clips"), "ssif").select("disc_id", "playlist", "item_no", "clip", "path", "audio_path")
 
 
-@query()
+@query(f"WITH RECURSIVE {PREFERRED} SELECT disc_id, playlist, decoy, CAST(rank AS INT) AS rank FROM preferred")
 def prefer_3d_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = view(spark, sf_dir, "segments")
     sequence = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "clip", "out_45k"))), lambda s: F.concat_ws(":", s["clip"], s["out_45k"].cast("string"))), ",")

@@ -29,27 +29,26 @@ def status_per_second(status: DataFrame, delay: str = "1 second") -> DataFrame:
 def reorder_cuts(frames: DataFrame, threshold: float = 0.42) -> DataFrame:
     """Cuts (stream_id, pts_ms) from rows (stream_id, pts_ms, hist) that may arrive out of order.
 
-    A buffer of REORDER frames per stream puts them in order; a frame older than the last analysed one is dropped.
+    A buffer of REORDER frames per stream puts them in order; a frame that is not newer than the one analysed before it
+    gives no cut, and the next is compared with it.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pts, hists, last, last_hist = state.get if state.exists else ([], [], None, None)
-        held = sorted((p, list(h)) for p, h in zip(pts, hists, strict=True))
+        held = [(p, list(h)) for p, h in zip(pts, hists, strict=True)]
         cuts = []
 
         def analyse() -> None:
             nonlocal last, last_hist
-            p, h = held.pop(0)
-            if last is not None and p <= last:
-                return
-            if last_hist is not None and 0.5 * sum(abs(a - b) for a, b in zip(h, last_hist, strict=True)) >= threshold:
-                cuts.append(p)
+            (p, h), before, then = held.pop(0), last, last_hist
             last, last_hist = p, h
+            if before is not None and p > before and 0.5 * sum(abs(a - b) for a, b in zip(h, then, strict=True)) >= threshold:
+                cuts.append(p)
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 held.append((float(r.pts_ms), [float(x) for x in r.hist]))
-                held.sort()
+                held.sort(key=lambda e: e[0])
                 if len(held) > REORDER:
                     analyse()
         state.update(([p for p, _ in held], [h for _, h in held], last, last_hist))

@@ -48,6 +48,9 @@ VIEWS: dict[str, str] = {
     "nals": "SELECT l_orderkey % 50 AS stream_id, l_orderkey AS au_no, CAST(l_partkey % 40 AS INT) AS nal_type, CAST(l_suppkey % 3 AS INT) AS layer_id FROM lineitem",
     "datagrams": f"""SELECT l_orderkey % 50 AS session, l_orderkey AS seq, CAST({ITEM} AS BIGINT) AS rx, CAST({ITEM} - 1 - CASE WHEN l_partkey % 31 = 0 THEN 1 ELSE 0 END AS INT) AS frag_idx,
         CAST(count(*) OVER (PARTITION BY l_orderkey) + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS INT) AS frag_cnt, concat('<', CAST(l_partkey AS STRING), '>') AS payload FROM lineitem""",
+    "live_datagrams": "SELECT *, CAST(floor(seq / 50) AS BIGINT) * 6 + rx AS arrival FROM datagrams",
+    "received": "SELECT user_id AS session, event_id % 3 AS peer, event_type = 'error' AS hello, event_id, t FROM ticks",
+    "arrivals": "SELECT label AS stream_id, vec_id AS seq, vec_id + 40 * (vec_id % 7) AS pts, embedding FROM embeddings",
     "cues": """SELECT conv_id AS track_id, turn AS cue_id, CAST(turn AS DOUBLE) * 0.5 AS pts_s, role <> 'system' AND turn % 4 <> 2 AS is_show, length(text) % 5 AS image_hash FROM conversations""",
     "text_events": """SELECT lang AS track_id, source AS pts, text, doc_id AS seq, CAST(200 + doc_id % 3 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 960 END AS DOUBLE) AS centre_x, CAST(1920 AS DOUBLE) AS play_res_x FROM documents""",
     "manifest": """SELECT DISTINCT source AS pack, concat(source, '-', CAST(doc_id AS STRING)) AS name, n_chars AS bytes FROM documents""",
@@ -77,6 +80,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     return f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"
 
 

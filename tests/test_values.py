@@ -247,3 +247,49 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame(pd.DataFrame({"s": pd.Series(dtype="int"), "k": pd.Series(dtype="int"), "value": pd.Series(dtype="float")}), "s int, k int, value double")
     assert frames.monotone_clock(empty, ["s"], ["k"]).count() == 0
     assert ranks.rank_percentile(empty, ["s"], "value", 0.5, "floor").count() == 0
+
+
+def test_main_feature_prefers_the_3d_extension(spark):
+    """Of two equal playlists the one with the extension is the feature, and a decoy never is."""
+    segments = spark.createDataFrame([(1, "00001", 1, "00005", 0, 4_500_000), (1, "00002", 1, "00005", 0, 4_500_000), (1, "00003", 1, "00006", 0, 3_000_000), *[(1, "00004", k, "00005", 0, 4_500_000) for k in range(1, 9)]], "disc_id int, playlist string, item_no int, clip string, in_45k bigint, out_45k bigint")
+    clips = spark.createDataFrame([(1, "ssif", "00005", "/a.ssif", 9), (1, "m2ts", "00005", "/a.m2ts", 8), (2, "m2ts", "00001", "/b.m2ts", 1)], "disc_id int, kind string, clip string, path string, size_bytes bigint")
+    extension = spark.createDataFrame([(1, "00002"), (1, "00003"), (1, "00004")], "disc_id int, playlist string")
+    assert rows(catalog.main_feature(segments, clips), "playlist", "kind", "path") == [("00001", "ssif", "/a.ssif")]
+    assert rows(catalog.main_feature(segments, clips, extension), "playlist", "kind", "clips") == [("00002", "ssif", 1)]
+    bare = segments.withColumn("disc_id", F.lit(2))
+    assert rows(catalog.main_feature(bare, clips, extension), "playlist", "kind", "path") == [(None, "m2ts", "/b.m2ts")]
+
+
+def test_prefer_3d_in_pieces_equals_the_whole_walk(spark):
+    rng = random.Random(3)
+    lists = [(d, f"{k:05}", rng.random() < 0.2, rng.choice([100.0, 100.5, 101.2, 102.0, 50.0, 49.6, 0.0]), rng.random() < 0.3, str(rng.randrange(3))) for d in range(5) for k in range(40)]
+    lists = [(*x[:5], f"{x[3]}-{x[5]}") for x in lists]  # a sequence has one duration
+    got = rows(catalog.prefer_3d(spark.createDataFrame(lists, "disc_id int, playlist string, decoy boolean, duration_s double, has_3d boolean, sequence string")), "disc_id", "decoy", "rank", "playlist")
+    want = []
+    for d in range(5):
+        for decoy in (False, True):
+            group = sorted((x for x in lists if x[0] == d and x[2] == decoy), key=lambda x: (-x[3], x[1]))
+            for i in range(len(group)):
+                if not group[i][4]:
+                    for j in range(i + 1, len(group)):
+                        a, b = group[i], group[j]
+                        if b[4] and (a[5] == b[5] or a[3] > 0 and abs(a[3] - b[3]) <= 0.01 * a[3]):
+                            group[i], group[j] = b, a
+                            break
+            want += [(d, decoy, k + 1, x[1]) for k, x in enumerate(group)]
+    assert sorted(got) == sorted(want)
+
+
+def test_interleaved_units_are_abandoned(spark):
+    """A unit that another one interrupts is given up; one that is begun anew can still complete."""
+    sent = [(1, 0, 2, "a"), (2, 0, 1, "x"), (1, 1, 2, "b"), (1, 0, 2, "c"), (1, 1, 2, "d"), (3, 0, 2, "e"), (3, 0, 2, "f"), (9, 4, 2, "!"), (3, 1, 2, "g"), (3, 1, 2, "h")]
+    df = spark.createDataFrame([("s", q, k, i, n, p) for k, (q, i, n, p) in enumerate(sent)], "session string, seq bigint, rx bigint, frag_idx int, frag_cnt int, payload string")
+    assert sorted(rows(timeline.reassemble(df), "seq", "fragments", "payload")) == [(1, 2, "cb"), (2, 1, "x"), (3, 2, "fg")]
+
+
+def test_foreign_peers_keep_nobody_alive(spark):
+    seen = [("a", False, 0), ("a", True, 1), ("b", False, 3), ("b", False, 5), ("a", False, 6), ("b", True, 20), ("a", False, 21), ("b", False, 22), ("a", False, 30)]
+    df = spark.createDataFrame([("s", p, h, k, t) for k, (p, h, t) in enumerate(seen)], "session string, peer string, hello boolean, seq int, t bigint")
+    lost = sorted(rows(sessions.client_lost(df, 2, ["seq"]), "last_rx", "peer", "packets", "lost_at"))
+    assert lost == [(1, "a", 1, 3), (6, "a", 1, 8), (22, "b", 2, 24)]
+    assert sessions.client_lost(df.filter("NOT hello"), 2, ["seq"]).count() == 0
