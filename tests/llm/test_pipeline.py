@@ -58,4 +58,17 @@ def test_an_id_with_two_texts_loses_only_the_copy(spark):
     assert {x for x in classes if x[0] == 7} == {(7, 7, True), (7, 7, False)}
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs.drop("_k1"), SF).collect()]
     assert {x for x in kept if x[0] != 7} == {(3, b), (5, a), (2, None), (2, "!")}
-    assert len({x for x in kept if x[0] == 7}) == 1
+    assert len([x for x in kept if x[0] == 7]) == 1
+    triple = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id bigint, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, triple, SF).collect())) == sorted([(3, a), (5, b)])
+
+
+def test_empty_tables_and_odd_rows_pass_all_stages(spark):
+    long = "plain words that go on " * 20_000
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "...", None), (4, long, "x"), (4, long, "x"), (None, "some text", "x")], "doc_id bigint, text string, severity string")
+    for docs, n in ((odd.limit(0), 0), (odd, 5)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == ["doc_id", "text", "severity"], name
+        assert docs.count() == n
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == (n > 0)
