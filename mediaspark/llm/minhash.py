@@ -168,9 +168,11 @@ def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
     A forest of links between different components is returned, not every pair.
     """
     sized = open_buckets.join(sets.select("rep", F.size("sh").alias("_n")), "rep")
-    sizes = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK)).alias("_blocks"))
-    # members are dealt by hash, so no task numbers a whole bucket
-    dealt = sized.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
+    sized = util.save(sized, "sized")
+    sizes = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK)).alias("_blocks"), F.count(F.lit(1)).alias("_copies"))
+    # members are dealt by hash, so no task numbers or meets a whole bucket
+    dealt = util.attach(sized, util.save(sizes, "sizes"), ["bucket"], "_copies", sized.count(), F.col("rep"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks"))).drop("_copies")
     members = util.save(dealt.drop("_n", "_blocks"), "members")
     blocks = members.select("bucket", "block").distinct()
     to = blocks.select("bucket", F.col("block").alias("other"))
@@ -228,7 +230,8 @@ def classed(docs: DataFrame) -> DataFrame:
     named = util.save(named.withColumn("component", F.coalesce("component", "rep")), "named")
     # a bucket of two has been decided by its first member
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 2")
-    open_buckets = util.save(named.join(mixed.select("bucket"), "bucket"), "open")
+    mixed = util.save(mixed.select("bucket", F.col("n").alias("_copies")), "mixed")
+    open_buckets = util.save(util.attach(named, mixed, ["bucket"], "_copies", named.count(), F.col("rep")).drop("_copies"), "open")
     if not open_buckets.isEmpty():
         forest = util.save(forest.union(_by_blocks(open_buckets, sets)), "links")
     named = graph.components(forest).withColumnRenamed("node", "rep")
