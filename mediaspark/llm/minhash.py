@@ -165,18 +165,29 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """Links within buckets whose members are not all connected: blocks of members against blocks, in tasks of bounded size.
 
-    A forest of links between different components is returned, not every pair.
+    The members of a bucket's largest component are connected already, so their blocks (numbered -1, -2, ...) meet only
+    those of the other members (0, 1, ...): a large group with a few strays takes work in proportion to its size. A
+    forest of links between different components is returned, not every pair.
     """
     sized = open_buckets.join(sets.select("rep", F.size("sh").alias("_n")), "rep")
     sized = util.save(sized, "sized")
-    sizes = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("_n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK)).alias("_blocks"), F.count(F.lit(1)).alias("_copies"))
+    tally = sized.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("cells"))
+    tally = util.save(tally, "tally")
+    of_largest = lambda c: F.max_by(c, F.struct("rows", "component"))
+    whole = tally.groupBy("bucket").agg(
+        of_largest("component").alias("_main"), of_largest("rows").alias("_rows"), of_largest("cells").alias("_cells"), F.sum("rows").alias("_copies"), F.sum("cells").alias("_all")
+    )
+    blocks_for = lambda rows, cells: F.ceil(F.greatest(cells / BLOCK_SHINGLES, rows / BLOCK))
+    main, rest = blocks_for(F.col("_rows"), F.col("_cells")), blocks_for(F.col("_copies") - F.col("_rows"), F.col("_all") - F.col("_cells"))
+    sizes = util.save(whole.select("bucket", "_main", "_copies", main.alias("_main_blocks"), rest.alias("_blocks")), "sizes")
     # members are dealt by hash, so no task numbers or meets a whole bucket
-    dealt = util.attach(sized, util.save(sizes, "sizes"), ["bucket"], "_copies", sized.count(), F.col("rep"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks"))).drop("_copies")
-    members = util.save(dealt.drop("_n", "_blocks"), "members")
+    dealt = util.attach(sized, sizes, ["bucket"], "_copies", sized.count(), F.col("rep"))
+    hashed = F.xxhash64("rep")
+    block = F.when(F.col("component") == F.col("_main"), -1 - F.pmod(hashed, F.col("_main_blocks"))).otherwise(F.pmod(hashed, F.col("_blocks")))
+    members = util.save(dealt.select("bucket", "rep", "component", block.alias("block")), "members")
     blocks = members.select("bucket", "block").distinct()
     to = blocks.select("bucket", F.col("block").alias("other"))
-    met = blocks.join(to, "bucket")  # a bucket has as many blocks as its members need, mostly one
+    met = blocks.join(to, "bucket").filter("block >= 0 OR other >= 0")  # a bucket has as many blocks as its members need, mostly two
     low = met.filter("block <= other").select("bucket", "block", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
     high = met.filter("block > other").select("bucket", "block", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
     dealt = members.join(low.unionByName(high), ["bucket", "block"]).join(sets, "rep")
@@ -253,8 +264,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts of the same shingles are one class from the start. Distinct ones meet in bands of DartMinHash signatures
     (weights of 1 give the Jaccard similarity of sets). In each bucket the first member is checked exactly with the
-    others. Buckets whose members are then not all connected are compared in blocks against blocks, which report a
-    connecting forest: no link is lost, and a group of near copies never becomes all of its pairs.
+    others. In buckets whose members are then not all connected, those outside the largest component are compared with
+    all members in blocks against blocks, which report a connecting forest: no link is lost, and a group of near copies never becomes all of its pairs.
 
     Null texts and texts without words are classes of their own. A document is a row's id and text: an id with several
     texts has each in its own class, rows alike in both are one document; an empty table gives an empty result; other
