@@ -237,7 +237,8 @@ def align(docs: DataFrame, a: str, b: str, whole_groups: bool = True) -> DataFra
                 groups.append(digest.hexdigest() if block.n_groups[k] else "")
         counted = {c: pa.array([getattr(block, c)], pa.list_(pa.int64())) for c in ("n_a", "n_b", "n_groups", "n_links")}
         pairs = np.bincount(doc, minlength=len(sources))
-        held = pa.array([[{"pair": p, "docs": n} for p, n in zip(keys.tolist(), np.bincount(code, minlength=len(keys)).tolist(), strict=True)]], pa.list_(pa.struct([("pair", pa.int64()), ("docs", pa.int64())])))
+        each = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(np.bincount(code, minlength=len(keys)), pa.int64())], ["pair", "docs"])
+        held = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), each)
         return counted | {"groups": pa.array([groups], pa.list_(pa.string())), "pairs": pa.array([pairs], pa.list_(pa.int64())), "held": held, "codes": pa.array([code.astype(np.int32).tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary())}
 
     cut = blocks.write(docs, make, f"{_COUNTS}, pairs array<bigint>, held array<struct<pair: bigint, docs: bigint>>, codes binary, links binary", "aligned")
