@@ -21,7 +21,7 @@ from . import util
 BLOCK = 2 << 20
 
 
-def write(docs: DataFrame, make: Callable[[list[bytes]], dict], schema: str, name: str) -> DataFrame:
+def write(docs: DataFrame, make: Callable[[list[bytes]], dict], schema: str, name: str, size: int = BLOCK) -> DataFrame:
     """Saved blocks of (doc_id, text): block, doc_ids and the columns that ``make`` gives for the texts of one block.
 
     Numbers of blocks come from the task that writes them, and are read back as they were written, so a task that is
@@ -32,7 +32,7 @@ def write(docs: DataFrame, make: Callable[[list[bytes]], dict], schema: str, nam
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i, j, data, offsets in texts.chunks(batch.column(1), BLOCK):
+            for i, j, data, offsets in texts.chunks(batch.column(1), size):
                 source = data.tobytes()
                 made = make([source[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
                 ids = batch.column(0).slice(i, j - i)
@@ -40,7 +40,7 @@ def write(docs: DataFrame, make: Callable[[list[bytes]], dict], schema: str, nam
                 yield pa.RecordBatch.from_pydict(columns | made)
                 number += 1
 
-    return util.save(docs.select("doc_id", "text").mapInArrow(cut, f"block bigint, doc_ids array<{kind}>, {schema}"), name)
+    return util.save(docs.select("doc_id", "text").mapInArrow(cut, f"block bigint, doc_ids array<{kind}>, {schema}"), name, "zstd")
 
 
 def attach(blocks: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -52,8 +52,12 @@ def attach(blocks: DataFrame, table: DataFrame, key: str) -> DataFrame:
     entries = blocks.select("block", F.posexplode("keys").alias("_at", key))
     total = blocks.agg(F.sum(F.size("keys"))).first()[0] or 0
     met = util.attach(entries, table, [key], "copies", total, F.col("block"))
-    values = [c for c in table.columns if c not in (key, "copies")]
-    found = met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("_at", *values))).alias("found"))
+    return gather(blocks, met, "_at", [c for c in table.columns if c not in (key, "copies")])
+
+
+def gather(blocks: DataFrame, met: DataFrame, at: str, values: list[str]) -> DataFrame:
+    """``blocks`` with the ``values`` of the rows of ``met`` that are theirs, by their place, as ``found``."""
+    found = met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(at, *values))).alias("found"))
     return blocks.drop("keys").join(found, "block", "left")
 
 
@@ -70,6 +74,15 @@ def per_document(met: DataFrame, solve: Callable[[dict], dict], schema: str) ->
     return met.mapInArrow(take, f"doc_id {kind}, {schema}")
 
 
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(value: pa.Scalar, n: int, dtype: type = np.int32) -> np.ndarray:
+    """``n`` numbers that ``packed`` has made a binary of."""
+    return np.frombuffer(pa.decompress(value.as_py(), n * np.dtype(dtype).itemsize, "zstd"), dtype)
+
+
 def numbers(value: pa.Scalar, dtype: type = np.int32) -> np.ndarray:
     """A binary scalar as an array of numbers."""
     return np.frombuffer(value.as_py() or b"", dtype)

@@ -17,6 +17,8 @@ from . import blocks
 
 #: Bytes from which a word is cut at its digits too, each of which is a word of its own to the tokenizer.
 LONG = 1_000
+#: Bytes of text in a block: the more, the fewer words stand in several blocks.
+BLOCK = 8 << 20
 _DIGITS = re.compile(rb"[0-9]|[^0-9]+")
 
 
@@ -42,19 +44,18 @@ def _block(sources: list[bytes]) -> dict:
     known: defaultdict[bytes, int] = defaultdict(count().__next__)
     words = [split(x) for x in sources]
     codes = np.fromiter((known[w] for x in words for w in x), np.int32, sum(map(len, words)))
-    return {"keys": pa.array([[w.decode() for w in known]], pa.list_(pa.string())), "n_words": pa.array([[len(w) for w in words]], pa.list_(pa.int64())), "codes": pa.array([codes.tobytes()], pa.binary())}
+    return {"keys": pa.array([[w.decode() for w in known]], pa.list_(pa.string())), "n_words": pa.array([[len(w) for w in words]], pa.list_(pa.int64())), "codes": pa.array([blocks.packed(codes)], pa.binary())}
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``words`` (word, copies), each with its ids."""
+def encode_words(word: Column, tokenizer: str) -> Column:
+    """The ids of words, by the file's own library."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def encode(words: pa.Array) -> pa.Array:
         library = _tokenizer(tokenizer)
-        for batch in batches:
-            ids = [library.encode(w, add_special_tokens=False).ids for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "copies", "ids"])
+        return pa.array([library.encode(w, add_special_tokens=False).ids for w in words.to_pylist()], pa.list_(pa.int32()))
 
-    return words.select("word", "copies").mapInArrow(encode, "word string, copies bigint, ids array<int>")
+    return encode(word)
 
 
 def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -63,35 +64,36 @@ def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in found], pa.int32()), "piece": pa.array([w for _, w in found], pa.string())}))
 
 
-def decode(rows: DataFrame, keys: list[str], tokenizer: str, ids: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded``: the pieces of their ids, joined by one space, as a tokenizer file without a decoder says.
+def decode(rows: DataFrame, keys: list[str], tokenizer: str) -> DataFrame:
+    """``keys``, their ``ids`` and the text ``decoded`` of them: pieces joined by one space, as a file without a decoder says.
 
     The ids meet the vocabulary, whose size the file bounds, and pieces are put together again by place; ``keys`` are
-    distinct. Ids that are not in the vocabulary are left out; no ids give an empty text.
+    distinct, and rows that are already dealt by them stay where they are. Ids that are not in the vocabulary have no
+    piece; null ids and none give an empty text.
     """
-    met = rows.select(*keys, F.posexplode(ids).alias("_at", "id")).join(F.broadcast(pieces(rows.sparkSession, tokenizer)), "id")
-    joined: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "piece"))), lambda x: x["piece"]), " ")
-    out = met.groupBy(*keys).agg(joined.alias("decoded"))
-    return rows.join(out, keys, "left").withColumn("decoded", F.coalesce("decoded", F.lit("")))
+    met = rows.select(*keys, F.posexplode_outer("ids").alias("_at", "id")).join(F.broadcast(pieces(rows.sparkSession, tokenizer)), "id", "left")
+    parts = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("_at", "id", "piece")))).alias("_p"))
+    return parts.select(*keys, F.col("_p.id").alias("ids"), F.array_join(F.col("_p.piece"), " ").alias("decoded"))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Ids of every text by the tokenizer file, and the text that they decode to.
 
-    Texts are split into words in tasks that read them, by blocks; the distinct words of all blocks are counted, encoded
-    once each by the file's own library, and decoded through a join of ids with pieces. Each block then gets the ids and
-    pieces of its own distinct words by a join, and its documents are put together by the places of their words.
+    Texts are split into words in tasks that read them, by blocks; the distinct words of all blocks are a table, in which
+    each is encoded once by the file's own library and decoded through a join of ids with pieces. Each block then gets
+    the ids and pieces of its own distinct words by a join, and its documents are put together by the places of their
+    words. A word stands once in a block, so the most frequent one has as many rows as there are blocks: less than a fair
+    share of all rows as long as there are fewer partitions than distinct words in a block.
 
     Special tokens' strings in a text are special tokens, as the library has it; none are added. Null and empty texts
     and those of white space only have no ids and decode to an empty text; texts may be of any length; repeated rows
     give repeated results; null ids stay; an empty table gives an empty one; columns besides doc_id and text are
     ignored. Returns doc_id, ids (little-endian unsigned 32-bit integers as binary), decoded.
     """
-    cut = blocks.write(docs, _block, "keys array<string>, n_words array<bigint>, codes binary", "word_blocks")
-    words = cut.select(F.explode("keys").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("copies"))
-    encoded = blocks.util.save(encode_words(words, tokenizer), "encoded_words")
-    table = blocks.util.save(decode(encoded, ["word"], tokenizer), "decoded_words")
-    return blocks.per_document(blocks.attach(cut, table, "word"), _join, "ids binary, decoded string")
+    cut = blocks.write(docs, _block, "keys array<string>, n_words array<bigint>, codes binary", "word_blocks", BLOCK)
+    entries = cut.select("block", F.posexplode("keys").alias("_at", "word"))
+    table = decode(entries.select("word").distinct().withColumn("ids", encode_words(F.col("word"), tokenizer)), ["word"], tokenizer)
+    return blocks.per_document(blocks.gather(cut, entries.join(table, "word"), "_at", ["ids", "decoded"]), _join, "ids binary, decoded string")
 
 
 def _join(row: dict) -> dict:
@@ -101,7 +103,8 @@ def _join(row: dict) -> dict:
         return {"ids": pa.array([b""] * n, pa.binary()), "decoded": pa.array([""] * n, pa.string())}
     ids = [np.asarray(x, np.uint32).tobytes() for x in found.field("ids").to_pylist()]
     decoded = found.field("decoded").to_pylist()
-    codes, ends = blocks.numbers(row["codes"]).tolist(), np.cumsum(row["n_words"].values.to_numpy()).tolist()
+    ends = np.cumsum(row["n_words"].values.to_numpy()).tolist()
+    codes = blocks.unpacked(row["codes"], ends[-1]).tolist()
     out_ids, out_text, begin = [], [], 0
     for end in ends:
         own = codes[begin:end]
