@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 LEAST_CONFIDENCE, LEVELS = 0.30, (0.02, 0.55, 0.98)
 
 
@@ -184,24 +186,24 @@ def analysed(frames: DataFrame, by: list[str], order: list[str], depth: int = 5,
 def adaptive_cuts(frames: DataFrame, by: list[str], order: list[str], threshold: float = 0.35, gain: float = 3.0, alpha: float = 0.05) -> DataFrame:
     """Adds ``cut``: a residual over the threshold that also stands out of the running level between cuts."""
 
-    def step(pdf: pd.DataFrame) -> dict:
-        level, out = None, []
-        for r in pdf["residual"].to_numpy(float):
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        (level,), out = state or [None], []
+        for r in pdf["residual"].to_numpy(float).tolist():
             hit = r > threshold and (level is None or r > gain * level)
             if not hit:
                 level = r if level is None else level + alpha * (r - level)
             out.append(bool(hit))
-        return {"cut": out}
+        return {"cut": out}, [level]
 
-    return recurrence(frames, by, order, "cut boolean", step)
+    return scan.carried(frames, by, order, "cut boolean", step)
 
 
 def tone(frames: DataFrame, by: list[str], order: list[str], expand: float = 0.20, contract: float = 0.06, cap: float = 0.04) -> DataFrame:
     """Adds the smoothed levels tone_lo, tone_hi: they widen fast, narrow slowly, move a bounded step and restart at cuts."""
 
-    def step(pdf: pd.DataFrame) -> dict:
-        los, his, now = [], [], None
-        for lo, hi, cut in zip(pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float), pdf["cut"].to_numpy(bool), strict=True):
+    def step(pdf: pd.DataFrame, now: list | None) -> tuple[dict, list]:
+        los, his = [], []
+        for lo, hi, cut in zip(pdf["lo"].to_numpy(float).tolist(), pdf["hi"].to_numpy(float).tolist(), pdf["cut"].to_numpy(bool), strict=True):
             if now is None or cut:
                 now = (lo, hi)
             else:
@@ -211,36 +213,37 @@ def tone(frames: DataFrame, by: list[str], order: list[str], expand: float = 0.2
                 now = (now[0] + min(most, max(-most, d_lo)), now[1] + min(most, max(-most, d_hi)))
             los.append(now[0])
             his.append(now[1])
-        return {"tone_lo": los, "tone_hi": his}
+        return {"tone_lo": los, "tone_hi": his}, list(now)
 
-    return recurrence(frames, by, order, "tone_lo double, tone_hi double", step)
+    return scan.carried(frames, by, order, "tone_lo double, tone_hi double", step)
 
 
 def slew(frames: DataFrame, by: list[str], order: list[str], limit: float, velocity: float) -> DataFrame:
     """Adds ``limited``: the value within the comfort limit and within reach of the last output; free at cuts."""
 
-    def step(pdf: pd.DataFrame) -> dict:
-        out, last, then = [], None, None
-        for v, t, cut in zip(pdf["value"].to_numpy(float), pdf["t_s"].to_numpy(float), pdf["cut"].to_numpy(bool), strict=True):
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        out, (last, then) = [], state or [None, None]
+        for v, t, cut in zip(pdf["value"].to_numpy(float).tolist(), pdf["t_s"].to_numpy(float).tolist(), pdf["cut"].to_numpy(bool), strict=True):
             v = min(limit, max(-limit, v))
             if last is not None and not cut and t > then:
                 reach = velocity * (t - then)
                 v = min(last + reach, max(last - reach, v))
             out.append(v)
             last, then = v, t
-        return {"limited": out}
+        return {"limited": out}, [last, then]
 
-    return recurrence(frames, by, order, "limited double", step)
+    return scan.carried(frames, by, order, "limited double", step)
 
 
 def letterbox_stable(obs: DataFrame, by: list[str], order: list[str], height: int, times: int = 8) -> DataFrame:
     """Adds crop_top, crop_bottom (null until decided): bars seen ``times`` times near the run's first, or as often none."""
 
-    def step(pdf: pd.DataFrame) -> dict:
-        near = max(2, height // 100)
-        anchor, n, none, crop = (0, 0), 0, 0, (None, None)
+    near = max(2, height // 100)
+
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        anchor, n, none, crop = state or [(0, 0), 0, 0, (None, None)]
         tops, bottoms = [], []
-        for valid, top, bottom in zip(pdf["valid"], pdf["top"], pdf["bottom"], strict=True):
+        for valid, top, bottom in zip(pdf["valid"].tolist(), pdf["top"].tolist(), pdf["bottom"].tolist(), strict=True):
             if valid:
                 none = 0
                 if abs(top - anchor[0]) <= near and abs(bottom - anchor[1]) <= near:
@@ -254,25 +257,34 @@ def letterbox_stable(obs: DataFrame, by: list[str], order: list[str], height: in
                 crop = (0, 0) if none >= times else (None, None)
             tops.append(crop[0])
             bottoms.append(crop[1])
-        return {"crop_top": pd.array(tops, "Int32"), "crop_bottom": pd.array(bottoms, "Int32")}
+        return {"crop_top": pd.array(tops, "Int32"), "crop_bottom": pd.array(bottoms, "Int32")}, [anchor, n, none, crop]
 
-    return recurrence(obs, by, order, "crop_top int, crop_bottom int", step)
+    return scan.carried(obs, by, order, "crop_top int, crop_bottom int", step)
 
 
 def cadence(frames: DataFrame, by: list[str], order: list[str], fps: float, t_ms: str = "t_ms") -> DataFrame:
-    """The frames kept at a target rate: a carried deadline alternates the gaps, missed slots are skipped."""
+    """The frames kept at a target rate: a carried deadline alternates the gaps, missed slots are skipped.
+
+    Deadlines are whole intervals after a stream's first frame, and the state is their number, so that a slice that begins
+    without one agrees with the stream from its first kept frame on.
+    """
     interval = 1000.0 / fps
+    w = frames.groupBy(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.min_by(t_ms, F.struct(*order)).cast("double").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    rows = frames.join(w, same).select(*frames.columns, "_first")
 
-    def step(pdf: pd.DataFrame) -> dict:
-        due, out = None, []
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        first, out = float(pdf["_first"].iloc[0]), []
+        slot = state[0] if state else max(0, int((float(pdf[t_ms].iloc[0]) - first) // interval))
         for t in pdf[t_ms].to_numpy(float):
-            keep = due is None or t + 0.05 >= due
+            due = first + slot * interval
+            keep = bool(t + 0.05 >= due)
             if keep:
-                due = t + interval if due is None else due + (max(0, int((t - due) // interval)) + 1) * interval
+                slot += max(0, int((t - due) // interval)) + 1
             out.append(keep)
-        return {"_keep": out}
+        return {"_keep": out}, [slot]
 
-    return recurrence(frames, by, order, "_keep boolean", step).filter("_keep").drop("_keep")
+    return scan.carried(rows, by, order, "_keep boolean", step).filter("_keep").drop("_keep", "_first")
 
 
 def thin_points(points: DataFrame, by: list[str], order: list[str], gap: float, value: str = "t_s") -> DataFrame:
@@ -294,43 +306,34 @@ def thin_points(points: DataFrame, by: list[str], order: list[str], gap: float,
 
 
 def throttle(events: DataFrame, by: list[str], order: list[str], gap: float, value: str = "t_s") -> DataFrame:
-    """At most one event per ``gap``: the first, then the first at least that long after the last kept one."""
-
-    def step(pdf: pd.DataFrame) -> dict:
-        last, out = None, []
-        for t in pdf[value].to_numpy(float):
-            keep = last is None or t - last >= gap
-            last = t if keep else last
-            out.append(keep)
-        return {"_keep": out}
-
-    return recurrence(events, by, order, "_keep boolean", step).filter("_keep").drop("_keep")
+    """At most one event per ``gap``: the first, then always the next whose time is the last kept one's plus ``gap`` or more."""
+    return scan.spaced(events, by, order, value, gap)
 
 
 def monotone_clock(ticks: DataFrame, by: list[str], order: list[str], value: str = "value", jump: float = 1.0) -> DataFrame:
     """Adds ``held``: steps back of up to ``jump`` are ignored, larger ones accepted."""
 
-    def step(pdf: pd.DataFrame) -> dict:
-        held, out = None, []
-        for v in pdf[value].to_numpy(float):
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        (held,), out = state or [None], []
+        for v in pdf[value].to_numpy(float).tolist():
             held = v if held is None or v >= held or held - v > jump else held
             out.append(held)
-        return {"held": out}
+        return {"held": out}, [held]
 
-    return recurrence(ticks, by, order, "held double", step)
+    return scan.carried(ticks, by, order, "held double", step)
 
 
 def ema_fps(events: DataFrame, by: list[str], order: list[str], t: str = "t_s", keep: float = 0.9) -> DataFrame:
     """Adds ``fps``: the smoothed inverse of the time since the event before; steps that are not positive are ignored."""
 
-    def step(pdf: pd.DataFrame) -> dict:
-        last, fps, out = None, None, []
-        for now in pdf[t].to_numpy(float):
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        (last, fps), out = state or [None, None], []
+        for now in pdf[t].to_numpy(float).tolist():
             if last is not None and now > last:
                 inst = 1.0 / (now - last)
                 fps = inst if fps is None else keep * fps + (1 - keep) * inst
             last = now
             out.append(fps)
-        return {"fps": pd.Series(out, dtype="float64")}
+        return {"fps": pd.Series(out, dtype="float64")}, [last, fps]
 
-    return recurrence(events, by, order, "fps double", step)
+    return scan.carried(events, by, order, "fps double", step)

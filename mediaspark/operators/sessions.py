@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .frames import recurrence
 
 # Rungs of the quality ladder, best first: mode and bits per second.
@@ -73,7 +74,12 @@ def ladder_steps(depths, underruns, start: int = 0, floor: int = 4, state: tuple
 
 def ladder(feedback: DataFrame, order: list[str], start: int = 0, floor: int = 4) -> DataFrame:
     """Adds ``rung``: three samples of pressure step down, twelve calm ones step up, those between reset calm only."""
-    return recurrence(feedback, ["session"], order, "rung int", lambda pdf: {"rung": ladder_steps(pdf["queue_depth"], pdf["underrun"], start, floor)[0]})
+
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        rungs, now = ladder_steps(pdf["queue_depth"].tolist(), pdf["underrun"].tolist(), start, floor, state)
+        return {"rung": rungs}, list(now)
+
+    return scan.carried(feedback, ["session"], order, "rung int", step)
 
 
 #: How far a cursor may part from the clock before it jumps, the share of a smaller gap it makes good at once, and its most.
@@ -88,7 +94,7 @@ def follow(at: float | None, clock: float | None, step: float) -> float:
     if clock is None:
         return ahead
     gap = clock - ahead
-    return clock if abs(gap) > JUMP_MS else ahead + sorted((-MOST_PULL_MS, PULL * gap, MOST_PULL_MS))[1]
+    return clock if abs(gap) > JUMP_MS else ahead + max(-MOST_PULL_MS, min(MOST_PULL_MS, PULL * gap))
 
 
 def cursor_steps(clocks, fps: float, state: tuple[float | None, float | None] = (None, None)) -> tuple[list[int], tuple[float | None, float | None]]:
@@ -105,7 +111,12 @@ def cursor_steps(clocks, fps: float, state: tuple[float | None, float | None] =
 
 def pts_cursor(frames: DataFrame, order: list[str], fps: float, clock: str = "clock_ms") -> DataFrame:
     """Adds ``pts_ms``: it advances by the frame time, is pulled gently to the clock and snaps to it after a jump."""
-    return recurrence(frames, ["session"], order, "pts_ms bigint", lambda pdf: {"pts_ms": cursor_steps(pdf[clock], fps)[0]})
+
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        pts, now = cursor_steps(pdf[clock], fps, state or (None, None))
+        return {"pts_ms": pts}, list(now)
+
+    return scan.carried(frames, ["session"], order, "pts_ms bigint", step)
 
 
 def assign_pts_live(frames: DataFrame, order: list[str], frame_s: float, base_s: float = 0.0) -> DataFrame:

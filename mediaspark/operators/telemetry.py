@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def parse_status(line: Column) -> Column:
     """key=value tokens of a line as a map: the first = splits, other tokens are dropped, the last of equal keys counts."""
@@ -49,7 +51,7 @@ def rolling_rate(progress: DataFrame, by: list[str], t: str = "t", done: str = "
 
 def sync_meter(offsets: DataFrame, by: list[str], order: list[str], value: str = "offset_ms", every: int = 240, span: int = 512, least: int = 48) -> DataFrame:
     """At every ``every``-th sample the median and outer ranks of the last ``span``."""
-    rows = offsets.withColumn("_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    rows = scan.numbered(offsets, by, order, "_no").withColumn("_no", F.col("_no") + 1)
     # samples are gathered once, in buckets of ``every``; a report joins the buckets that reach into its span
     buckets = rows.groupBy(*by, F.ceil(F.col("_no") / every).alias("_bucket")).agg(F.count(F.lit(1)).alias("_full"), F.array_sort(F.collect_list(F.struct("_no", value))).alias("_v"))
     w = Window.partitionBy(*by).orderBy("_bucket")

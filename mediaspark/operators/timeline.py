@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, scan
 from .islands import runs_of
 
 VCL_MOST, IDR, SPS, PPS = 31, 5, 7, 8
@@ -107,10 +107,8 @@ def pts_normalise(aus: DataFrame, order: str = "seq") -> DataFrame:
 
 def assign_pts(frames: DataFrame, emitted: str = "emit_no", pts: str = "pts") -> DataFrame:
     """The k-th emitted frame of a stream with its k-th smallest pts."""
-    by = Window.partitionBy("stream_id")
-    times = frames.select("stream_id", F.row_number().over(by.orderBy(pts)).alias("_k"), F.col(pts).alias("display_pts"))
-    rows = frames.withColumn("_k", F.row_number().over(by.orderBy(emitted)))
-    return rows.join(times, ["stream_id", "_k"]).drop("_k")
+    times = scan.numbered(frames.select("stream_id", F.col(pts).alias("display_pts")), ["stream_id"], ["display_pts"], "_k")
+    return scan.numbered(frames, ["stream_id"], [emitted], "_k").join(times, ["stream_id", "_k"]).drop("_k")
 
 
 def layer_counts(nals: DataFrame) -> DataFrame:
