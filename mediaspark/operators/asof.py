@@ -60,24 +60,17 @@ def range_lookup(probes: DataFrame, ranges: DataFrame, by: list[str], at: str, s
     return met.withColumn("match", F.when(inside, F.col("match"))).drop("_at")
 
 
-def pair_within(left: DataFrame, right: DataFrame, by: list[str], t: str, tolerance: float, order: list[str], right_id: str) -> DataFrame:
-    """For each left row the right row nearest in time within the tolerance, by buckets as wide as the tolerance.
+def close_pairs(left: DataFrame, right: DataFrame, by: list[str], t: str, tolerance: float) -> DataFrame:
+    """All pairs of a left row and a right row (struct ``_m``) of one stream within the tolerance, with their ``gap``.
 
-    Adds struct ``match`` and ``reused``: how many left rows share the right row. The tolerance must be under half the
-    spacing of rows for pairs to be one to one, which ``reused`` shows.
+    An equi-join on buckets as wide as the tolerance; the left row goes to its own and to both beside it.
     """
     width = max(tolerance, 1)
-    rights = right.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.floor(F.col(t) / width).alias("_bucket"), F.struct("*").alias("_m"))
-    ids = F.struct(*order)
+    rights = right.filter(F.col(t).isNotNull()).select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.floor(F.col(t) / width).alias("_b"), F.struct("*").alias("_m"))
     lefts = left.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col(t) / width) + k for k in (-1, 0, 1)])))
     same = [F.col(c) == F.col(f"_by{k}") for k, c in enumerate(by)]
-    met = lefts.join(rights.withColumnRenamed("_bucket", "_b"), [*same, F.col("_bucket") == F.col("_b")])
-    gap = F.abs(F.col(t) - F.col(f"_m.{t}"))
-    close = met.filter(gap <= tolerance).groupBy(*by, ids.alias("_id")).agg(F.min_by("_m", F.struct(gap, F.col(f"_m.{t}"), F.col(f"_m.{right_id}"))).alias("match"))
-    out = left.withColumn("_id", ids).join(close, [*by, "_id"], "left").drop("_id")
-    uses = out.filter("match IS NOT NULL").groupBy(*by, F.col(f"match.{right_id}").alias("_r")).agg(F.count(F.lit(1)).alias("reused"))
-    out = out.withColumn("_r", F.col(f"match.{right_id}"))
-    return out.join(uses, [*by, "_r"], "left").drop("_r")
+    met = lefts.join(rights, [*same, F.col("_bucket") == F.col("_b")]).withColumn("gap", F.abs(F.col(t) - F.col(f"_m.{t}")))
+    return met.filter(F.col("gap") <= tolerance).select(*left.columns, "_m", "gap")
 
 
 def running(value: Column, by: list[str], order: list, preceding_only: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +12,33 @@ from .islands import runs_of
 VCL_MOST, IDR, SPS, PPS = 31, 5, 7, 8
 
 
-def pair_views(base: DataFrame, dep: DataFrame, tolerance: int = 1800) -> DataFrame:
-    """Each base unit with the dependent one nearest in pts; ``match`` is null where none is within the tolerance."""
-    return asof.pair_within(base, dep, ["stream_id"], "pts", tolerance, ["seq"], "seq")
+def pair_views(base: DataFrame, dep: DataFrame, tolerance: int = 1800, slice_rows: int = scan.SLICE) -> DataFrame:
+    """Each base unit with the dependent one that it takes: one to one, in decode order.
+
+    ``seq`` is the decode order of a stream, ``pts`` the time of a unit. From the first base unit on, each takes the
+    dependent unit nearest in time that is still there, within the tolerance; of equally near ones the first in order.
+    ``match`` is null where none is left. Units meet by buckets of time; a base unit then walks with its few candidates,
+    nearest first, and of the units taken only those are carried on that a later base unit could want.
+    """
+    pairs = asof.close_pairs(base.select("stream_id", "seq", "pts"), dep.select("stream_id", "seq", "pts"), ["stream_id"], "pts", tolerance)
+    wanted = pairs.groupBy("stream_id", F.col("_m.seq").alias("_dep")).agg(F.max("seq").alias("_last"))
+    near = pairs.select("stream_id", "seq", "gap", F.col("_m.seq").alias("_dep")).join(wanted, ["stream_id", "_dep"])
+    ranked = F.array_sort(F.collect_list(F.struct("gap", "_dep", "_last")))
+    near = near.groupBy("stream_id", "seq").agg(ranked.alias("_c")).select("stream_id", "seq", F.col("_c._dep").alias("_deps"), F.col("_c._last").alias("_lasts"))
+
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        taken, out = dict(state or []), []
+        for now, deps, lasts in zip(pdf["seq"].tolist(), pdf["_deps"], pdf["_lasts"], strict=True):
+            k = next((k for k, d in enumerate(deps) if d not in taken), None)
+            out.append(None if k is None else int(deps[k]))
+            if k is not None:
+                taken[int(deps[k])] = int(lasts[k])
+            taken = {d: last for d, last in taken.items() if last > now}
+        return {"_dep": pd.array(out, "Int64")}, sorted(taken.items())
+
+    chosen = scan.carried(near, ["stream_id"], ["seq"], "_dep bigint", step, slice_rows).filter("_dep IS NOT NULL").select("stream_id", "seq", "_dep")
+    found = chosen.join(dep.select(F.col("stream_id"), F.col("seq").alias("_dep"), F.struct(*dep.columns).alias("match")), ["stream_id", "_dep"]).drop("_dep")
+    return base.join(found, ["stream_id", "seq"], "left")
 
 
 def desync(pairs: DataFrame, limit: int = 3003, flag: int = 9000) -> DataFrame:

@@ -222,20 +222,21 @@ def dedup_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.dedup_consecutive(view(spark, sf_dir, "cues")).select("track_id", "cue_id")
 
 
-_EVENTS = """SELECT lang AS track_id, CAST(doc_id // 2 AS BIGINT) AS pts, substr(source, 1, 4) AS text, doc_id AS seq, CAST(200 + (doc_id // 2) % 3 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 958 END AS DOUBLE) AS centre_x, CAST(1920 AS DOUBLE) AS play_res_x FROM (SELECT doc_id, 'en' AS lang, 'srcx' AS source FROM documents WHERE doc_id % 10 < 8 UNION ALL SELECT doc_id, lang, source FROM documents WHERE doc_id % 10 >= 8) d"""
+_SOUND = "SELECT track_id, count(*) AS pairs, round(CASE WHEN count(*) >= 2 AND abs(median(d)) <= 0.15 AND max(d) - min(d) <= 0.02 THEN median(d) ELSE 0 END, 9) AS disparity FROM p GROUP BY track_id"
 
 
-@query(f"""WITH e AS ({_EVENTS}), g AS (SELECT track_id, pts, text, count(*) AS n, count(*) FILTER (WHERE centre_x < 960) AS lefts, max(centre_x) FILTER (WHERE centre_x < 960) AS l, max(centre_x - 960) FILTER (WHERE centre_x >= 960) AS r FROM e GROUP BY ALL HAVING count(*) = 2),
-    p AS (SELECT track_id, (l - r) / 960 AS d FROM g WHERE lefts = 1) SELECT track_id, count(*) AS pairs, round(CASE WHEN count(*) >= 2 AND abs(median(d)) <= 0.15 AND max(d) - min(d) <= 0.02 THEN median(d) ELSE 0 END, 9) AS disparity FROM p GROUP BY track_id""")
+@query(f"""WITH g AS (SELECT track_id, pts, text, count(*) FILTER (WHERE centre_x < 960) AS lefts, max(centre_x) FILTER (WHERE centre_x < 960) AS l, max(centre_x - 960) FILTER (WHERE centre_x >= 960) AS r FROM text_events GROUP BY ALL HAVING count(*) = 2),
+    p AS (SELECT track_id, (l - r) / 960 AS d FROM g WHERE lefts = 1) {_SOUND}""")
 def authored_text_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = _EVENTS.replace("doc_id // 2", "floor(doc_id / 2)").replace("CAST(200 + (floor(doc_id / 2)) % 3", "CAST(200 + CAST(floor(doc_id / 2) AS BIGINT) % 3")
-    return subtitles.text_depth(run_sql(spark, sf_dir, sql)).withColumn("disparity", F.round("disparity", 9))
+    return subtitles.text_depth(view(spark, sf_dir, "text_events")).withColumn("disparity", F.round("disparity", 9))
 
 
-@query("""WITH g AS (SELECT track_id, pts, text, count(*) FILTER (WHERE centre_x < 960) AS lefts, max(centre_x) FILTER (WHERE centre_x < 960) AS l, max(centre_x - 960) FILTER (WHERE centre_x >= 960) AS r FROM text_events GROUP BY ALL HAVING count(*) = 2),
-    p AS (SELECT track_id, (l - r) / 960 AS d FROM g WHERE lefts = 1) SELECT track_id, count(*) AS pairs, round(CASE WHEN count(*) >= 2 AND abs(median(d)) <= 0.15 AND max(d) - min(d) <= 0.02 THEN median(d) ELSE 0 END, 9) AS disparity FROM p GROUP BY track_id""")
+@query(f"""WITH e AS (SELECT track_id, pts, text, seq, centre_x - CASE WHEN centre_x >= 960 THEN 960 ELSE 0 END AS centre_x FROM text_events),
+    p AS (SELECT track_id, (arg_min(centre_x, seq) - arg_max(centre_x, seq)) / 1920 AS d FROM e GROUP BY track_id, pts, text HAVING count(*) = 2) {_SOUND}""")
 def authored_text_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtitles.text_depth(view(spark, sf_dir, "text_events")).withColumn("disparity", F.round("disparity", 9))
+    """Frames one above the other: both events stand at nearly the same place across."""
+    events = view(spark, sf_dir, "text_events").withColumn("centre_x", F.when(F.col("centre_x") >= 960, F.col("centre_x") - 960).otherwise(F.col("centre_x")))
+    return subtitles.text_depth(events, "tab").withColumn("disparity", F.round("disparity", 9))
 
 
 _COMPS = "SELECT l_suppkey AS track_id, l_orderkey AS set_no, CAST(l_partkey % 3 + CASE WHEN l_linenumber % 2 = 0 THEN 1160 ELSE 200 END AS DOUBLE) AS x, CAST(l_linenumber % 3 AS INT) AS y, CAST(300 + l_partkey % 2 AS INT) AS w, 40 AS h, 1920 AS canvas_w, 7 AS image_hash FROM lineitem"

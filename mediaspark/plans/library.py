@@ -9,6 +9,7 @@ from ..functions import media
 from ..operators import asof, catalog, ranks, sessions, timeline
 from ..sources import readers
 from ..views import run_sql, view
+from .recursion import fold
 from .registry import query
 
 LISTS = """lists AS (SELECT disc_id, playlist, sum((out_45k - in_45k) * n) / 45000.0::DOUBLE AS duration_s, CAST(sum(n) AS BIGINT) AS items, sum(n) > 1 AND sum((out_45k - in_45k) * n) > 1.5 * sum(out_45k - in_45k) AS decoy
@@ -196,14 +197,40 @@ def frame_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, "SELECT page_id, url, html FROM pages").select("page_id", readers.frame_crc(F.col("url"), F.col("html")).alias("crc"))
 
 
-_BASE_DEP = "FROM base_aus b LEFT JOIN dep_aus d ON b.stream_id = d.stream_id AND abs(b.pts - d.pts) <= 1800"
+def _paired(base: str, dep: str) -> str:
+    """Base units in decode order, each with the nearest dependent unit that no earlier one has taken."""
+    near = f"SELECT b.stream_id, b.seq, b.pts, list({{'g': abs(b.pts - d.pts), 'q': d.seq}} ORDER BY abs(b.pts - d.pts), d.seq) FILTER (WHERE d.seq IS NOT NULL) AS c FROM ({base}) b LEFT JOIN ({dep}) d ON b.stream_id = d.stream_id AND abs(b.pts - d.pts) <= 1800 GROUP BY ALL"
+    walk = fold(
+        near, "stream_id", "seq",
+        {
+            "_free": ("", "[x.q for x in coalesce(s.c, []) if NOT list_contains(r.used, x.q)]"),
+            "dep": ("NULL::BIGINT", "{_free}[1]"),
+            "used": ("[]::BIGINT[]", "CASE WHEN len({_free}) > 0 THEN list_append(r.used, {_free}[1]) ELSE r.used END"),
+        },
+        "s.stream_id, s.seq, s.pts, r.dep AS dep_seq",
+    )
+    return f"SELECT *, CASE WHEN dep_seq IS NOT NULL THEN count(*) OVER (PARTITION BY stream_id, dep_seq) END AS reused FROM ({walk}) w"
 
 
-@query(f"""WITH m AS (SELECT b.stream_id, b.seq, b.pts, arg_min(d.seq, (abs(b.pts - d.pts), d.pts, d.seq)) FILTER (WHERE d.seq IS NOT NULL) AS dep_seq {_BASE_DEP} GROUP BY ALL)
-    SELECT *, CASE WHEN dep_seq IS NOT NULL THEN count(*) OVER (PARTITION BY stream_id, dep_seq) END AS reused FROM m""")
+def _pair(base: DataFrame, dep: DataFrame) -> DataFrame:
+    pairs = timeline.pair_views(base, dep).select("stream_id", "seq", "pts", F.col("match.seq").alias("dep_seq"))
+    uses = pairs.filter("dep_seq IS NOT NULL").groupBy("stream_id", "dep_seq").agg(F.count(F.lit(1)).alias("reused"))
+    return pairs.join(uses, ["stream_id", "dep_seq"], "left").select("stream_id", "seq", "pts", "dep_seq", "reused")
+
+
+@query(_paired("SELECT * FROM base_aus", "SELECT * FROM dep_aus"))
 def pair_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = timeline.pair_views(view(spark, sf_dir, "base_aus"), view(spark, sf_dir, "dep_aus"))
-    return pairs.select("stream_id", "seq", "pts", F.col("match.seq").alias("dep_seq"), "reused")
+    return _pair(view(spark, sf_dir, "base_aus"), view(spark, sf_dir, "dep_aus"))
+
+
+#: Streams so dense that units are within the tolerance of several others, and decode order is not time order.
+_DENSE = "SELECT user_id % 25 AS stream_id, event_id AS seq, event_id % 500 * 700 + event_id % 7 * 400 AS pts FROM events WHERE event_type {kind}"
+
+
+@query(_paired(_DENSE.format(kind="IN ('view', 'error')"), _DENSE.format(kind="NOT IN ('view', 'error')")))
+def pair_views_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, dep = (run_sql(spark, sf_dir, _DENSE.format(kind=k)) for k in ("IN ('view', 'error')", "NOT IN ('view', 'error')"))
+    return _pair(base, dep)
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_orderkey * 3003 AS base_pts, o_orderkey * 3003 + (o_custkey % 30 - 15) * 1000 AS dep_pts FROM orders)

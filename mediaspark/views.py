@@ -52,7 +52,8 @@ VIEWS: dict[str, str] = {
     "received": "SELECT user_id AS session, event_id % 3 AS peer, event_type = 'error' AS hello, event_id, t FROM ticks",
     "arrivals": "SELECT label AS stream_id, vec_id AS seq, vec_id + 40 * (vec_id % 7) AS pts, embedding FROM embeddings",
     "cues": """SELECT conv_id AS track_id, turn AS cue_id, CAST(turn AS DOUBLE) * 0.5 AS pts_s, role <> 'system' AND turn % 4 <> 2 AS is_show, length(text) % 5 AS image_hash FROM conversations""",
-    "text_events": """SELECT lang AS track_id, source AS pts, text, doc_id AS seq, CAST(200 + doc_id % 3 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 960 END AS DOUBLE) AS centre_x, CAST(1920 AS DOUBLE) AS play_res_x FROM documents""",
+    "text_events": """SELECT concat(lang, '-', CAST(doc_id % 97 AS STRING)) AS track_id, doc_id AS pts, text, doc_id * 3 + copy AS seq, CAST(200 + CASE WHEN copy = 0 THEN doc_id % 4 + CASE WHEN doc_id % 13 = 0 THEN 60 ELSE 0 END ELSE 960 + doc_id % 3 END AS DOUBLE) AS centre_x,
+        CAST(1920 AS DOUBLE) AS play_res_x FROM (SELECT *, 0 AS copy FROM documents UNION ALL SELECT *, 1 AS copy FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT *, 2 AS copy FROM documents WHERE doc_id % 11 = 0) d""",
     "manifest": """SELECT DISTINCT source AS pack, concat(source, '-', CAST(doc_id AS STRING)) AS name, n_chars AS bytes FROM documents""",
     "inventory": """SELECT concat(source, '-', CAST(d.doc_id AS STRING)) AS name, CASE WHEN quality = 1 THEN n_chars ELSE n_chars + 1 END AS bytes FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "samples": "SELECT user_id AS session, event_type AS name, event_id AS seq, t, value FROM ticks",

@@ -11,6 +11,8 @@ from mediaspark import plans
 from mediaspark.views import BASE
 
 SF = "/root/testdata/sf0.001"
+#: Queries that may find nothing in so small tables.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +32,8 @@ def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((_row(r) for r in df.select(columns).collect()), key=repr)
+    assert rows or name in EMPTY
     if name not in plans.ORACLE:
-        assert rows
         return
     result = duck.execute(plans.ORACLE[name])
     names = [d[0] for d in result.description]

@@ -120,12 +120,38 @@ def test_one_pair_has_no_depth(spark):
 
 def test_text_depth_of_whole_texts(spark, tmp_path):
     long = "a line of many words " * 400
-    texts = [long + "x", long + "x", long + "y", long + "z", long + "q", long + "q", None, None]
-    docs = spark.createDataFrame([(k, t, "en", "site", 1) for k, t in enumerate(texts)] + [(8, long, "de", "site", 1), (9, long, "de", "other", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    ids = [389, 292, 486, 2, 7, 11, 13, 110]  # three share a track, as do 13 and 110; 7 has one event, 11 and 110 have three
+    docs = spark.createDataFrame([(k, None if k == 389 else long + str(k), "en", "site", 1) for k in ids], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    out = plans.QUERIES["authored_text_depth_whole"](spark, str(tmp_path))
-    # d of the pairs 0-1, 4-5 and 6-7 is (0 - 1), (1 - 2) and (0 - 1) / 960; texts that differ at their end don't pair
-    assert rows(out, "track_id", "pairs", "disparity") == [("en", 3, round(-1 / 960, 9))]
+    want = {"en-1": [(k % 4 - k % 3) for k in (389, 292, 486)], "en-2": [2 - 2], "en-13": [13 % 4 + 60 - 13 % 3]}
+    out = {t: (n, d) for t, n, d in rows(plans.QUERIES["authored_text_depth"](spark, str(tmp_path)), "track_id", "pairs", "disparity")}
+    assert out == {"en-1": (3, round(sorted(want["en-1"])[1] / 960, 9)), "en-2": (1, 0.0), "en-13": (1, 0.0)}
+    events = [(1, 5, long + end, 100.0 + k, 1920.0, k) for k, end in enumerate(["x", "x", "y", "z"])] + [(1, 6, long, 900.0, 1920.0, 9), (1, 6, long, 1860.0, 1920.0, 10)]
+    df = spark.createDataFrame(events, "track_id int, pts int, text string, centre_x double, play_res_x double, seq int")
+    assert rows(subtitles.text_depth(df), "pairs", "disparity") == [(1, 0.0)]  # texts that differ at their end only don't pair
+
+
+def test_views_pair_one_to_one_in_decode_order(spark):
+    base = spark.createDataFrame([(1, 0, 1000), (1, 1, 900), (1, 2, 9000), (1, 3, 9100), (2, 0, 50), (2, 1, None)], "stream_id int, seq int, pts bigint")
+    dep = spark.createDataFrame([(1, 0, 950, "a"), (1, 1, 2500, "b"), (1, 2, 9050, "c"), (2, 7, 9999, "d"), (2, 8, None, "e")], "stream_id int, seq int, pts bigint, data string")
+    out = {(s, q): m and m["data"] for s, q, m in rows(timeline.pair_views(base, dep), "stream_id", "seq", "match")}
+    assert out == {(1, 0): "a", (1, 1): "b", (1, 2): "c", (1, 3): None, (2, 0): None, (2, 1): None}
+
+
+@pytest.mark.parametrize("slice_rows", [7, 1000])
+def test_views_pair_like_a_queue(spark, slice_rows):
+    rng = random.Random(8)
+    units = {v: [(s, k, 1500 * k + rng.randrange(-900, 900)) for s in range(2) for k in range(80) if rng.random() < 0.9] for v in "bd"}
+    shuffled = [(s, k ^ 1, p) for s, k, p in units["b"]]  # decode order is not time order
+    kinds = "stream_id int, seq int, pts int"
+    met = timeline.pair_views(spark.createDataFrame(shuffled, kinds), spark.createDataFrame(units["d"], kinds), slice_rows=slice_rows)
+    got = {(s, q): m and m["seq"] for s, q, m in rows(met, "stream_id", "seq", "match")}
+    for s in range(2):
+        left = {q: p for t, q, p in units["d"] if t == s}
+        for _, q, p in sorted(x for x in shuffled if x[0] == s):
+            best = min(((abs(p - x), d) for d, x in left.items() if abs(p - x) <= 1800), default=(None, None))[1]
+            assert got[s, q] == best
+            left.pop(best, None)
 
 
 def test_flat_fields(spark):
