@@ -57,6 +57,16 @@ def backoff(sessions: DataFrame, by: list[str], order: list[str], lived_s: str =
     return rows.withColumn("_wait", wait).withColumn("wait_ms", F.when(stable, first_ms).otherwise(F.col("_wait"))).drop("_st", "_wait")
 
 
+def backoff_steps(lived, stable_s: float = 5.0, first_ms: int = 250, most_ms: int = 3000, short: int = 0) -> tuple[list[int], int]:
+    """The wait after each session, and how many short ones there have been since the last long one."""
+    out = []
+    for s in lived:
+        stable = s is not None and s >= stable_s
+        out.append(first_ms if stable else min(most_ms, first_ms * 2 ** min(short, 20)))
+        short = 0 if stable else short + 1
+    return out, short
+
+
 def runs_of(df: DataFrame, by: list[str], order: list[str], value: Column, out: str = "run") -> DataFrame:
     """Adds the number of the run of equal values that a row belongs to, and its place in it from 1."""
     w = Window.partitionBy(*by).orderBy(*order)

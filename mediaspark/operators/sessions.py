@@ -119,6 +119,22 @@ def pts_cursor(frames: DataFrame, order: list[str], fps: float, clock: str = "cl
     return scan.carried(frames, ["session"], order, "pts_ms bigint", step)
 
 
+def stamp_steps(pts, frame_s: float, base_s: float = 0.0, state: tuple[float | None, list[float]] | None = None) -> tuple[list[float], tuple[float | None, list[float]]]:
+    """The stamp of each frame that pushes its pts; state is (last stamp, pending pts)."""
+    last, held = state or (None, [])
+    pending, out = list(held), []
+    heapq.heapify(pending)
+    for p in pts:
+        if p is not None and p == p:
+            heapq.heappush(pending, float(p))
+        expected, window = (base_s, 3.0) if last is None else (last + frame_s, 0.5)
+        while pending and pending[0] < expected - window:
+            heapq.heappop(pending)
+        last = heapq.heappop(pending) if pending and pending[0] <= expected + window else expected
+        out.append(last)
+    return out, (last, sorted(pending))
+
+
 def assign_pts_live(frames: DataFrame, order: list[str], frame_s: float, base_s: float = 0.0) -> DataFrame:
     """Adds ``emit_pts``: each frame pushes its ``pts_s`` and is stamped with the smallest pending one near what is expected.
 
@@ -126,20 +142,30 @@ def assign_pts_live(frames: DataFrame, order: list[str], frame_s: float, base_s:
     plus the frame time counts.
     """
 
-    def step(pdf: pd.DataFrame) -> dict:
-        pending: list[float] = []
-        last, out = None, []
-        for p in pdf["pts_s"].to_numpy(float):
-            if p == p:
-                heapq.heappush(pending, p)
-            expected, window = (base_s, 3.0) if last is None else (last + frame_s, 0.5)
-            while pending and pending[0] < expected - window:
-                heapq.heappop(pending)
-            last = heapq.heappop(pending) if pending and pending[0] <= expected + window else expected
-            out.append(last)
-        return {"emit_pts": out}
+    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
+        out, now = stamp_steps(pdf["pts_s"].tolist(), frame_s, base_s, state)
+        return {"emit_pts": out}, list(now)
 
-    return recurrence(frames, ["session"], order, "emit_pts double", step)
+    return scan.carried(frames, ["session"], order, "emit_pts double", step)
+
+
+def progress_steps(kinds, pts, ids, cap: int = 8, state: tuple[int | None, list] | None = None) -> tuple[list[tuple], tuple[int | None, list]]:
+    """What leaves the buffer, as (id, pts, fate, clock), while events come; state is (audio clock, held (pts, id))."""
+    clock, start = state or (None, [])
+    held, out = [tuple(h) for h in start], []
+    heapq.heapify(held)
+    for kind, p, i in zip(kinds, pts, ids, strict=True):
+        if kind == "audio":
+            clock = p if clock is None else max(clock, p)
+        else:
+            heapq.heappush(held, (p, i))
+            if len(held) > cap:
+                q, k = heapq.heappop(held)
+                out.append((k, q, "dropped", None))
+        while clock is not None and held and held[0][0] <= clock:
+            q, k = heapq.heappop(held)
+            out.append((k, q, "released", clock))
+    return out, (clock, sorted(held))
 
 
 def jitter_buffer(events: DataFrame, order: list[str], cap: int = 8) -> DataFrame:
@@ -150,20 +176,10 @@ def jitter_buffer(events: DataFrame, order: list[str], cap: int = 8) -> DataFram
     """
 
     def step(pdf: pd.DataFrame) -> dict:
-        clock, held = None, []
+        gone, (_, held) = progress_steps(pdf["kind"].tolist(), pdf["pts_ms"].tolist(), range(len(pdf)), cap)
         fate, left = [None] * len(pdf), [None] * len(pdf)
-        for i, (kind, pts) in enumerate(zip(pdf["kind"], pdf["pts_ms"], strict=True)):
-            if kind == "audio":
-                clock = pts if clock is None else max(clock, pts)
-            else:
-                heapq.heappush(held, (pts, i))
-                if len(held) > cap:
-                    fate[heapq.heappop(held)[1]] = "dropped"
-            while clock is not None and held and held[0][0] <= clock:
-                k = heapq.heappop(held)[1]
-                fate[k], left[k] = "released", clock
-        for _, k in held:
-            fate[k] = "flushed"
+        for k, _, what, clock in [*gone, *((k, p, "flushed", None) for p, k in held)]:
+            fate[k], left[k] = what, clock
         return {"fate": fate, "clock_ms": pd.array(left, "Int64")}
 
     return recurrence(events, ["session"], order, "fate string, clock_ms bigint", step).filter("kind = 'video'")

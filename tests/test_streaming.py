@@ -7,20 +7,22 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mediaspark.operators import frames, sessions, timeline
+from mediaspark.operators import frames, islands, sessions, timeline
 from mediaspark.streaming import live
 
 
-def feed(spark, tmp_path, batches, schema, transform, mode="append"):
-    """Write one file per micro-batch, run the stream to its end, return its rows."""
+def feed(spark, tmp_path, batches, schema, transform, mode="append", state=None):
+    """Write one file per micro-batch, run the stream to its end, return its rows; ``state`` gets the rows kept after each batch."""
     source = tmp_path / "in"
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"b{k:03d}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
     name = f"t{random.randrange(10**9)}"
     q = transform(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    assert q.awaitTermination(180)
     assert q.exception() is None
+    if state is not None:
+        state += [sum(o.numRowsTotal for o in p.stateOperators) for p in q.recentProgress]
     return [tuple(r) for r in spark.table(name).collect()]
 
 
@@ -100,3 +102,82 @@ def test_remember(spark, tmp_path):
     assert q.exception() is None
     last = spark.read.parquet(str(tmp_path / "store" / "pointer")).agg(F.max("version")).first()[0]
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "store" / "versions" / str(last))).select("media_key", "fields").collect()] == [("b", {"y": "3"})]
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
+def timed(df):
+    return df.withColumn("ts", F.timestamp_millis("ms"))
+
+
+#: A row of another session, much later, that moves the watermark past all others.
+LATE = 10_000_000
+
+
+def test_client_lost_with_foreign_peers_and_hellos(spark, tmp_path, rocks):
+    rng = random.Random(4)
+    rows = []
+    for s in range(3):
+        ms = 0
+        for k in range(60):
+            ms += rng.choice([100, 400, 900, 2500])
+            rows.append((s, rng.randrange(3), rng.random() < 0.15, k, ms))
+        rows.append((s, 9, False, 99, ms + 50_000))  # a foreign datagram that shows in both forms that time has passed
+    schema = "session int, peer int, hello boolean, seq int, ms bigint"
+    order = sorted(rows, key=lambda r: r[4] + rng.randrange(300))  # a little out of order, within the watermark's delay
+    state: list[int] = []
+    late = [[(7, 0, False, 0, LATE)], [(8, 0, False, 0, LATE + 1_000_000)]]
+    got = feed(spark, tmp_path, [*split(order, 16), *late], schema, lambda d: live.client_lost(timed(d), 2000, "400 milliseconds", 600_000).selectExpr("session", "peer", "packets", "unix_millis(last_rx)", "unix_millis(lost_at)"), state=state)
+    want = sessions.client_lost(spark.createDataFrame(rows, schema), 2000, ["seq"], "ms").select("session", "peer", "packets", "last_rx", "lost_at").collect()
+    assert sorted(got) == sorted(map(tuple, want)) and len(want) > 10
+    assert state[-1] < max(state)  # what is left is of the sessions that came last
+
+
+def test_audio_progress_live(spark, tmp_path, rocks):
+    rng = random.Random(5)
+    rows = [(s, k, "audio" if rng.random() < 0.4 else "video", 40 * k + rng.randrange(-200, 400), 1000 + 40 * k) for k in range(60) for s in range(2)]
+    schema = "session int, seq int, kind string, pts_ms bigint, ms bigint"
+    state: list[int] = []
+    late = [[(9, 0, "audio", 0, LATE)], [(9, 1, "audio", 0, LATE + 10_000)]]
+    got = feed(spark, tmp_path, [*split(rows, 17), *late], schema, lambda d: live.audio_progress(timed(d), 4, "1 second", 60_000), state=state)
+    want = sessions.jitter_buffer(spark.createDataFrame(rows, schema), ["seq"], 4).select("session", "seq", "pts_ms", "fate", "clock_ms").collect()
+    assert sorted(got, key=repr) == sorted(map(tuple, want), key=repr) and {r[3] for r in got} == {"released", "dropped", "flushed"}
+    assert state[-1] < max(state)
+
+
+def test_assign_pts_and_backoff_live(spark, tmp_path, rocks):
+    rng = random.Random(6)
+    rows = [(s, k, None if rng.random() < 0.1 else k / 24 + rng.randrange(3) / 24, 1.0 if rng.random() < 0.8 else 9.0, 1000 + 40 * k) for k in range(50) for s in range(2)]
+    schema = "session int, seq int, pts_s double, lived_s double, ms bigint"
+    late = [[(9, 0, 0.0, 1.0, LATE)], [(9, 1, 0.0, 1.0, LATE + 10_000)]]
+    df = spark.createDataFrame(rows, schema)
+    state: list[int] = []
+    got = feed(spark, tmp_path / "a", [*split(rows, 21), *late], schema, lambda d: live.assign_pts(timed(d), 1 / 24, idle_ms=60_000), state=state)
+    want = sessions.assign_pts_live(df, ["seq"], 1 / 24).select("session", "seq", "emit_pts").collect()
+    assert sorted(r for r in got if r[0] < 9) == sorted(map(tuple, want)) and state[-1] < max(state)
+    got = feed(spark, tmp_path / "b", [*split(rows, 21), *late], schema, lambda d: live.backoff(timed(d), idle_ms=60_000), state=state)
+    want = islands.backoff(df, ["session"], ["seq"]).select("session", "seq", "wait_ms").collect()
+    assert sorted(r for r in got if r[0] < 9) == sorted(map(tuple, want)) and state[-1] < max(state)
+
+
+def test_idle_state_is_removed(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(s, float(k), rng.randrange(6), rng.random() < 0.1, 1000 + 40 * k) for k in range(40) for s in range(4)]
+    schema = "session int, t double, queue_depth int, underrun boolean, ms bigint"
+    state: list[int] = []
+    late = [[(9, 0.0, 0, False, LATE)], [(9, 1.0, 0, False, LATE + 10_000)]]
+    got = feed(spark, tmp_path, [*split(rows, 50), *late], schema, lambda d: live.ladder(timed(d), idle_ms=60_000), state=state)
+    want = sessions.ladder(spark.createDataFrame(rows, schema), ["t"]).select("session", "t", "rung").collect()
+    assert sorted(r for r in got if r[0] < 9) == sorted(map(tuple, want)) and max(state) >= 4 and state[-1] == 1
+
+
+def test_timers_need_their_store(spark):
+    with pytest.raises(ValueError, match="RocksDB"):
+        live.backoff(spark.readStream.format("rate").load().selectExpr("1 AS session", "value AS seq", "1.0D AS lived_s", "timestamp AS ts"))
