@@ -39,9 +39,10 @@ LISTS = ("ul", "ol", "dl", "table", "tbody", "thead", "select")
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S
 )
+_CUT = re.compile(r"<[!?/]")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-# Words in class and id names. Boilerplate by any part of a name; parts of a page by any part outside of an
-# article, by the whole name or many links inside one; page headers; articles.
+# Words in class and id names: boilerplate, parts of a page, page headers, articles. Outside of an article any
+# part of a name counts; inside one the whole name, but for words that say nothing, or many links.
 SHED = {
     "navbar", "sidebar", "cookie", "cookies", "consent", "gdpr", "advert", "adverts", "advertisement", "advertising", "ads", "adsense", "sponsor", "sponsored", "comment", "comments",
     "commentlist", "respond", "replies", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "newsletter", "subscribe", "subscription", "signup",
@@ -50,20 +51,28 @@ FRAME = {
     "nav", "navigation", "menu", "footer", "side", "aside", "notice", "alert", "banner", "ad", "promo", "share", "sharing", "social", "related", "recommended", "login", "widget", "toolbar", "skip", "hidden",
 }
 HEAD = {"header", "masthead"}
+#: Words of names that say nothing of what an element holds.
+PLAIN = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "card", "col", "container", "content", "div", "form", "group", "holder", "inline", "inner", "left", "links", "list", "main",
+    "message", "module", "overlay", "panel", "placeholder", "right", "row", "section", "slot", "text", "thread", "top", "unit", "user", "reader", "readers", "wrap", "wrapper", "zone",
+}
 ENTRY = {"article", "entry", "post", "story"}
 _MAIN_NAME = re.compile(r"(?:^|[-_ ])(?:article|content|entry|main|post|story|text|body)(?:$|[-_ ])", re.I)
 KEPT, DOUBTED, LEFT = 0, 1, 2
 
+ENTRIES = {"item", "items"}  # of comments, but also of a menu that an article is about
+
 
 @lru_cache(10_000)
 def by_name(names: str, inside: bool) -> int:
     """What class and id names say of an element: it is left out, or left out if it is mostly links, or kept."""
     out = KEPT
     for name in names.lower().split():
-        parts = {x for x in re.split("[-_]+", name) if x}
-        if parts & SHED or (parts & FRAME and (not inside or name in FRAME)) or (parts & HEAD and not inside and not parts & ENTRY):
+        parts = {re.sub(r"\d+$", "", x) for x in re.split("[-_]+", name)} - {""}
+        shed = parts & (SHED | FRAME)
+        if (shed and (not inside or parts <= SHED | FRAME | PLAIN or (parts & SHED and parts <= SHED | FRAME | PLAIN | ENTRIES))) or (parts & HEAD and not inside and not parts & ENTRY):
             return LEFT
-        if parts & FRAME:
+        if shed:
             out = DOUBTED
     return out
 
@@ -154,8 +163,14 @@ def parse(source: str) -> Page:
     def last(*tags: str) -> int:
         return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
-    at = 0
-    while m := _PART.match(source, at):
+    at, closed = 0, source.rfind(">")
+    while at < len(source):
+        if at > closed:  # no tag ends any more: what looks like one is text, up to a comment or end tag that is cut off
+            cut = _CUT.search(source, at)
+            held.append(source[at : cut.start() if cut else len(source)])
+            linked += len(held[-1]) * (links > 0)
+            break
+        m = _PART.match(source, at)
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -172,8 +187,8 @@ def parse(source: str) -> Page:
             held.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            end = re.compile(rf"</{tag}\b", re.I).search(source, at)
+            at = (source.find(">", end.end()) + 1 if end else 0) or len(source)
             continue
         if tag in VOID:
             if tag not in INLINE:
@@ -303,11 +318,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     Pages that are overruled are extracted again. However many templates a host has, each is decided by its own pages.
 
     Menus, page headers, footers, asides, notices, adverts, forms, scripts, styles and reader comments are left out
-    wherever they stand; inside an article a name that only resembles one of these counts if the element is mostly
+    wherever they stand; inside an article a name counts if it is made of such words alone, or if the element is mostly
     links. Headings inside the winning container belong to the text, one outside of it is a page header and does not.
     All containers on the winning path count, in page order.
 
-    Null and empty html give an empty text; texts and nesting may be of any length; of equal scores the first container
+    Null and empty html give an empty text; texts and nesting may be of any length, and tags that are never closed by a bracket
+    are text; of equal scores the first container
     counts; a null url belongs to the host of no name; repeated rows give repeated results (and votes), an empty table
     an empty one; other columns are ignored. Returns page_id, url, text, n_chars.
     """

@@ -29,9 +29,9 @@ class Node:
 
 
 def default_dims() -> dict[str, Column]:
-    """Length and language: a function of the text, so that equal texts have equal coordinates."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    return {"length": F.log2(F.col("size")), "lang": F.ascii(lang) * 256.0 + F.ascii(F.substring(lang, 2, 1))}
+    """Length, and bytes a character, which tells scripts and languages apart: both by the text alone, so that equal texts have equal coordinates."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return {"length": F.log2(F.col("size")), "script": F.octet_length(text) / F.greatest(F.lit(1), F.char_length(text))}
 
 
 def _of_node(values: list) -> Column:
@@ -111,8 +111,9 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
 
     The tree splits at distributed weighted medians: rounds of byte sums by 12 bits of a key made of the widest
     dimension and a hash of the text. Only those sums, at most 4,096 for each node, reach the driver; documents then
-    move to the node below by an expression. Equal texts share their coordinates and stay together while such a group holds
-    less than ``together`` of a shard; a larger one is split where a median falls into it.
+    move to the node below by an expression. Equal texts share their coordinates, as the dimensions are functions of the
+    text (those given as ``dims`` should be, too), and stay together while such a group holds less than ``together`` of a
+    shard; a larger one is split where a median falls into it.
 
     A null text has size 1 and the CRC of no bytes; null metadata counts as the least value. Repeated rows are placed
     each for itself, an empty table gives an empty result, other columns are ignored.

@@ -241,6 +241,8 @@ def test_html_names_inside_articles():
         '<header class="entry-header"><h1>Title</h1></header>': "Title", '<div class="entry-header"><h2>Head</h2></div>': "Head", '<div class="related-work"><p>Earlier studies</p></div>': "Earlier studies",
         '<section id="side-effects"><p>Headache</p></section>': "Headache", '<ul class="menu-items"><li>Soup</li></ul>': "Soup", '<div class="related"><p>Read too</p></div>': "", '<div class="comment-list"><p>Nice</p></div>': "",
         '<div class="related-posts"><a href=x>One</a> <a href=y>Two</a></div>': "", '<div class="social-bar"><a href=x>Share</a></div>': "", "<nav>Menu</nav>": "", '<div class="ads-box">Buy</div>': "", '<p style="display: none">Gone</p>': "",
+        '<p class="comment-rules">Be kind</p>': "Be kind", '<section class="modal-verbs"><p>Can and may</p></section>': "Can and may", '<div class="subscription-economics"><p>Prices</p></div>': "Prices",
+        '<div class="alert-box"><p>Note</p></div>': "", '<div class="reader-comments"><p>First!</p></div>': "", '<div id="cookie-notice">We use cookies</div>': "", '<div class="newsletter-signup-2">Mail</div>': "",
     }
     body = "".join(f"<p>Paragraph {k}, long enough to count.</p>{x}" for k, x in enumerate(parts))
     want = " ".join(f"Paragraph {k}, long enough to count. {x}".strip() for k, x in enumerate(parts.values()))
@@ -289,6 +291,18 @@ def test_html_deep_nesting():
     assert time.process_time() - start < 60
 
 
+@pytest.mark.parametrize("body", ["<a " * 300_000, "<a " * 300_000 + ">", "<script>" + "</script " * 200_000, "<!--" * 200_000, "</a " * 300_000, '<a "' * 200_001 + ">", "<a '\">" * 150_001])
+def test_html_without_closing_brackets_takes_linear_time(body):
+    start = time.process_time()
+    page = html_extract.parse(f"<article><p>Before</p>{body}")
+    assert page.blocks[0].words == "Before" and time.process_time() - start < 4
+
+
+def test_html_cut_off_in_a_tag():
+    words = lambda source: " ".join(b.words for b in html_extract.parse(source).blocks)
+    assert words("<p>one</p> two <a href='x") == "one two <a href='x" and words("<p>one</p> two <!-- note <b") == "one two" and words("<p>one</p> two </di") == "one two" and words("a < b") == "a < b"
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(6)
     rows = []
@@ -322,6 +336,21 @@ def test_sharding(spark):
     assert len({r["shard"] for r in kd_shard.shard(documents(spark, texts), target_bytes=20_000).collect()}) > 3
 
 
+def test_sharding_keeps_equal_texts_of_unlike_languages_together(spark):
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randrange(5, 60)) for _ in range(700)]
+    rows = [(2 * k + j, t, lang, "s") for k, t in enumerate(texts) for j, lang in enumerate(rng.sample(["en", "de", None, "zz"], 2))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, size string")
+    out = {r["doc_id"]: r["shard"] for r in kd_shard.shard(docs, shards=16, together=0.2).collect()}
+    assert all(out[2 * k] == out[2 * k + 1] for k in range(len(texts)))
+    assert out == {r["doc_id"]: r["shard"] for r in kd_shard.shard(docs.select("doc_id", "text"), shards=16, together=0.2).collect()}
+
+
+def test_sharding_is_balanced(spark):
+    sizes = [r["n"] for r in kd_shard.shard(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), shards=16).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.07 * np.mean(sizes) and min(sizes) > 0.93 * np.mean(sizes)
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "...")], "doc_id bigint, text string")
