@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scan
+from . import ranks, scan
 
 LEAST_CONFIDENCE, LEVELS = 0.30, (0.02, 0.55, 0.98)
 
@@ -29,14 +29,15 @@ def histogram(luma: Column, bins: int = 64) -> Column:
 
     @F.pandas_udf("array<double>")
     def kernel(frames: pd.Series) -> pd.Series:
-        def one(x) -> list[float] | None:
-            if x is None:
-                return None
-            x = np.asarray(x, float)
-            counts = np.histogram(x[(x >= 0) & (x <= 1)], bins=bins, range=(0.0, 1.0))[0]
-            return (counts / max(1, counts.sum())).tolist()
-
-        return frames.map(one)
+        known = frames.notna().to_numpy()
+        arrays = [np.asarray(x, float) for x in frames[known]]
+        x = np.concatenate(arrays) if arrays else np.zeros(0)
+        frame = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+        inside = (x >= 0) & (x <= 1)
+        at = frame[inside] * bins + np.minimum(bins - 1, (x[inside] * bins).astype(np.int64))
+        counts = np.bincount(at, minlength=len(arrays) * bins).reshape(-1, bins)
+        shares = iter((counts / np.maximum(1, counts.sum(1, keepdims=True))).tolist())
+        return pd.Series([next(shares) if k else None for k in known])
 
     return kernel(luma)
 
@@ -92,8 +93,9 @@ def coverage(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 def rivalry(samples: DataFrame, keys: list[str], error: str = "error", bad: float = 8.0) -> DataFrame:
     """Mean and upper percentiles of the error over samples that pass their gates, and the share over ``bad``."""
-    e = F.col(error)
-    return samples.filter("passes").groupBy(*keys).agg(F.avg(e).alias("mean"), F.percentile(e, F.lit(0.95)).alias("p95"), F.percentile(e, F.lit(0.99)).alias("p99"), (100.0 * F.avg((e > bad).cast("double"))).alias("bad_pct"))
+    e, good = F.col(error), samples.filter("passes")
+    stats = good.groupBy(*keys).agg(F.avg(e).alias("mean"), (100.0 * F.avg((e > bad).cast("double"))).alias("bad_pct"))
+    return ranks.with_quantiles(stats, good, keys, error, {"p95": 0.95, "p99": 0.99})
 
 
 def comfort(frames: DataFrame, by: list[str], order: list[str], width: int, screen_m: float = 1.0, pixels: int = 1920, ipd_m: float = 0.063, distance_m: float = 2.0) -> DataFrame:

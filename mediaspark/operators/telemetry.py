@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scan
+from . import ranks, scan
 
 
 def parse_status(line: Column) -> Column:
@@ -27,7 +27,8 @@ def steady(status: DataFrame, keys: list[str], order: list[str], names: list[str
 
 def steady_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
     v = F.col("value")
-    return samples.groupBy(*keys, "name").agg(F.count(v).alias("n"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    stats = samples.groupBy(*keys, "name").agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return ranks.with_quantiles(stats, samples, [*keys, "name"], "value", {"median": 0.5})
 
 
 def intervals(events: DataFrame, by: list[str], order: list[str], t: str) -> DataFrame:

@@ -280,10 +280,10 @@ _ONE = "SELECT session, '{r}' AS rule, value FROM (SELECT *, row_number() OVER (
 
 @query(" UNION ALL ".join(_ONE.format(r=r, e=e) for r, e in _RANK.items()) + " UNION ALL SELECT session, 'linear', round(quantile_cont(value, 0.95), 6) FROM samples GROUP BY session")
 def rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "samples")
+    rows = ranks.placed(view(spark, sf_dir, "samples"), ["session"], "value")
     out = None
     for rule in ranks.RULES:
-        one = ranks.rank_percentile(rows, ["session"], "value", 0.95, rule).select("session", F.lit(rule).alias("rule"), (F.round("value", 6) if rule == "linear" else F.col("value")).alias("value"))
+        one = ranks.pick(rows, ["session"], 0.95, rule).select("session", F.lit(rule).alias("rule"), (F.round("value", 6) if rule == "linear" else F.col("value")).alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 

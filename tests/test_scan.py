@@ -7,7 +7,9 @@ from functools import partial
 
 import pytest
 
-from mediaspark.operators import frames, scan, sessions, telemetry, timeline
+import numpy as np
+
+from mediaspark.operators import frames, ranks, scan, sessions, telemetry, timeline
 
 
 def stream(n, seed, streams=2):
@@ -93,3 +95,24 @@ def test_meter_and_display_order_without_a_window_on_the_key(spark):
     for plan in (meter, order):
         text = plan._jdf.queryExecution().analyzed().toString()
         assert "row_number" not in text
+
+
+def test_quantiles_of_one_hot_key(spark):
+    rng = random.Random(14)
+    rows = [(None if k % 10 == 0 else 1 if k % 10 < 9 else 2, None if rng.random() < 0.05 else rng.choice([rng.random(), round(rng.random(), 1)])) for k in range(5000)] + [(3, None)]
+    df = spark.createDataFrame(rows, "g int, value double").repartition(4)
+    out = {r["g"]: r for r in ranks.summary(df, ["g"]).collect()}
+    assert len(out) == 4 and out[3]["n"] == 0 and out[3]["p50"] is None
+    for g in (None, 1, 2):
+        own = [v for q, v in rows if q == g and v is not None]
+        assert out[g]["n"] == len(own) and np.allclose([out[g][f"p{p}"] for p in (50, 95, 99)], np.percentile(own, [50, 95, 99]))
+    values = ranks.placed(df, ["g"], "value")
+    per_task = [r["n"] for r in values.groupBy(scan.F.spark_partition_id()).agg(scan.F.count("*").alias("n")).collect()]
+    assert sum(per_task) == len({r for r in rows if r[1] is not None})
+    assert ranks.summary(df.limit(0), ["g"]).count() == 0
+
+
+def test_histogram_of_a_batch(spark):
+    rows = [(0, [0.0, 0.1, 1.0, 2.0, -1.0]), (1, None), (2, []), (3, [0.999, 0.5])]
+    out = {r["k"]: r["h"] for r in spark.createDataFrame(rows, "k int, x array<double>").select("k", frames.histogram(scan.F.col("x"), 4).alias("h")).collect()}
+    assert out[0] == [2 / 3, 0, 0, 1 / 3] and out[1] is None and out[2] == [0, 0, 0, 0] and out[3] == [0, 0, 0.5, 0.5]
