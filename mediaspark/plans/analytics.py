@@ -616,3 +616,13 @@ def src_disc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", item.alias("i")))), lambda s: s["i"]), "")
     files = items.groupBy("playlist").agg(F.concat(F.hex(F.lit("MPLS0200")), F.lit("0000000C"), F.lit("000000000000"), h(F.count(F.lit(1)), 4), F.lit("0000"), body).alias("x"))
     return readers.playlist_items(files.select(F.col("playlist").cast("string").alias("path"), F.unhex("x").alias("content")))
+
+
+@query("""SELECT o_orderkey AS playlist, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_custkey % 4 = 0 THEN 'unknown' WHEN o_orderkey % 256 // 16 % 2 = 1 THEN 'right_first' ELSE 'left_first' END AS eye_order FROM orders""")
+def src_disc_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of playlist files: cut off, with play items before the flags, with a short application block, and sound ones."""
+    orders = run_sql(spark, sf_dir, "SELECT o_orderkey AS playlist, CASE WHEN o_orderkey % 5 = 0 THEN 50 ELSE 80 END AS items_at, CASE WHEN o_custkey % 4 = 0 THEN 12 ELSE 14 END AS app, o_orderkey % 256 AS flags FROM orders")
+    h = lambda c, d: F.lpad(F.hex(c), d, "0")
+    whole = F.concat(F.hex(F.lit("MPLS0200")), h(F.col("items_at"), 8), F.repeat(F.lit("00"), F.lit(28)), h(F.col("app"), 8), F.repeat(F.lit("FF"), F.lit(12)), h(F.col("flags"), 2), F.lit("00000000"))
+    cut = F.when(F.col("playlist") % 7 == 0, F.substring(whole, 1, 2 * 56)).otherwise(whole)
+    return orders.select("playlist", readers.playlist_eye(F.unhex(cut)).alias("eye_order"))

@@ -18,6 +18,9 @@ PROBE = (
 MANIFEST = "packs MAP<STRING, STRUCT<label: STRING, bytes: BIGINT, files: ARRAY<STRUCT<path: STRING, name: STRING, bytes: BIGINT, sha256: STRING>>>>"
 # The datagram header, big-endian: magic, version, type, flags, seq, pts, fragment index and count, length.
 VERSION, HEADER, CONTROL_TYPE = 1, 27, 5
+# The playlist header, big-endian: where the offset of the play items and the length of the application block
+# stand, that block's start, the place of its flags, the bit for a right base eye, and the least length that has flags.
+ITEMS_AT, APP_AT, FLAGS_AT, RIGHT_BIT, LEAST_APP = 8, 40, 56, 0x10, 13
 
 
 def probe_rows(docs: DataFrame, json: str = "json") -> DataFrame:
@@ -50,6 +53,33 @@ def _items(data: bytes) -> list[tuple[int, str, int, int]]:
     return out
 
 
+def _uint(data: Column, start: int, size: int) -> Column:
+    return F.conv(F.hex(F.substring(data, start, size)), 16, 10).cast("bigint")
+
+
+def playlist_eye(content: Column) -> Column:
+    """Which eye a playlist's header says that the base view is: left_first, right_first, or unknown.
+
+    Unknown where the file is no playlist or null, is cut off before the flags, or its application block does not reach
+    them; flags inside the play items are none.
+    """
+    size, app = F.octet_length(content), _uint(content, APP_AT + 1, 4)
+    flags = (size > FLAGS_AT) & (app >= LEAST_APP) & (app + APP_AT + 4 > FLAGS_AT) & (_uint(content, ITEMS_AT + 1, 4) > FLAGS_AT)
+    known = (F.substring(content, 1, 4) == F.lit(b"MPLS")) & flags
+    right = _uint(content, FLAGS_AT + 1, 1).bitwiseAND(RIGHT_BIT) != 0
+    return F.when(F.coalesce(known, F.lit(False)), F.when(right, "right_first").otherwise("left_first")).otherwise("unknown")
+
+
+def _playlists(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{mpls,MPLS}").load(root).select("path", "content")
+
+
+def read_eyes(spark: SparkSession, root: str) -> DataFrame:
+    """(disc_id, playlist, eye_order) of all playlist files of the discs below ``root``."""
+    disc = F.regexp_extract("path", r"([^/]+)/BDMV/", 1)
+    return _playlists(spark, root).select(disc.alias("disc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("playlist"), playlist_eye(F.col("content")).alias("eye_order"))
+
+
 def playlist_items(files: DataFrame) -> DataFrame:
     """(path, item_no, clip, in_45k, out_45k) of playlist files (path, content); a malformed one gives no rows."""
 
@@ -71,19 +101,14 @@ def read_discs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
     Clip files are listed only, never read.
     """
-    lists = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{mpls,MPLS}").load(root).select("path", "content")
     disc = F.regexp_extract("path", r"([^/]+)/BDMV/", 1)
-    segments = playlist_items(lists).select(disc.alias("disc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("playlist"), "item_no", "clip", "in_45k", "out_45k")
+    segments = playlist_items(_playlists(spark, root)).select(disc.alias("disc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("playlist"), "item_no", "clip", "in_45k", "out_45k")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{m2ts,ssif,M2TS,SSIF}").load(root)
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     clips = files.select(disc.alias("disc_id"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), name.alias("clip"), "path", F.col("length").alias("size_bytes"))
     return segments, clips
 
 
-def _uint(data: Column, start: int, size: int) -> Column:
-    return F.conv(F.hex(F.substring(data, start, size)), 16, 10).cast("bigint")
-
-
 def read_datagrams(df: DataFrame, magic: str, col: str = "datagram") -> DataFrame:
     """``df`` with the decoded header, payload, parsed control text and ``reject``, the reason why a datagram is bad.
 

@@ -258,6 +258,18 @@ def test_disc_files(spark, tmp_path):
     assert rows(clips, "disc_id", "kind", "clip", "size_bytes") == [("disc1", "m2ts", "00001", 5)]
 
 
+def test_base_eye_of_playlists(spark, tmp_path):
+    header = lambda flags, items=80, app=14: b"MPLS0200" + struct.pack(">I", items) + bytes(28) + struct.pack(">I", app) + bytes(12) + bytes([flags]) + bytes(8)
+    files = {"l": header(0x0F), "r": header(0x10), "both": header(0xFF), "short": header(0x10)[:56], "inside": header(0x10, items=56), "small": header(0x10, app=12), "other": b"XXXX" + header(0x10)[4:], "none": b""}
+    folder = tmp_path / "d1" / "BDMV" / "PLAYLIST"
+    folder.mkdir(parents=True)
+    for name, data in files.items():
+        (folder / f"{name}.mpls").write_bytes(data)
+    got = {p.removesuffix(".mpls"): e for _, p, e in rows(readers.read_eyes(spark, str(tmp_path)), "disc_id", "playlist", "eye_order")}
+    assert got == {"l": "left_first", "r": "right_first", "both": "right_first"} | dict.fromkeys(["short", "inside", "small", "other", "none"], "unknown")
+    assert one(spark, None, readers.playlist_eye, "binary") == "unknown"
+
+
 def test_report_round_trip(spark, tmp_path):
     readers.write_report(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path / "r"))
     assert rows(spark.read.json(str(tmp_path / "r")), "n", "s") == [(1, "a")]
