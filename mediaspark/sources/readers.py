@@ -75,7 +75,7 @@ def _playlists(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_eyes(spark: SparkSession, root: str) -> DataFrame:
-    """(disc_id, playlist, eye_order) of all playlist files of the discs below ``root``."""
+    """(disc_id, playlist, eye_order) of all playlist files of the discs below ``root`` that are not empty."""
     disc = F.regexp_extract("path", r"([^/]+)/BDMV/", 1)
     return _playlists(spark, root).select(disc.alias("disc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("playlist"), playlist_eye(F.col("content")).alias("eye_order"))
 

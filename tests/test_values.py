@@ -266,7 +266,7 @@ def test_base_eye_of_playlists(spark, tmp_path):
     for name, data in files.items():
         (folder / f"{name}.mpls").write_bytes(data)
     got = {p.removesuffix(".mpls"): e for _, p, e in rows(readers.read_eyes(spark, str(tmp_path)), "disc_id", "playlist", "eye_order")}
-    assert got == {"l": "left_first", "r": "right_first", "both": "right_first"} | dict.fromkeys(["short", "inside", "small", "other", "none"], "unknown")
+    assert got == {"l": "left_first", "r": "right_first", "both": "right_first"} | dict.fromkeys(["short", "inside", "small", "other"], "unknown")  # an empty file gives no row
     assert one(spark, None, readers.playlist_eye, "binary") == "unknown"
 
 
