@@ -291,20 +291,7 @@ def cadence(frames: DataFrame, by: list[str], order: list[str], fps: float, t_ms
 
 def thin_points(points: DataFrame, by: list[str], order: list[str], gap: float, value: str = "t_s") -> DataFrame:
     """Sync points in order of arrival, without those within ``gap`` of one that was kept."""
-    from bisect import bisect_left, insort
-
-    def step(pdf: pd.DataFrame) -> dict:
-        kept: list[float] = []
-        out = []
-        for t in pdf[value].to_numpy(float):
-            at = bisect_left(kept, t)
-            free = all(abs(kept[k] - t) >= gap for k in (at - 1, at) if 0 <= k < len(kept))
-            if free:
-                insort(kept, t)
-            out.append(free)
-        return {"_keep": out}
-
-    return recurrence(points, by, order, "_keep boolean", step).filter("_keep").drop("_keep")
+    return scan.thinned(points, by, order, value, gap)
 
 
 def throttle(events: DataFrame, by: list[str], order: list[str], gap: float, value: str = "t_s") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from functools import reduce
 
@@ -139,3 +140,67 @@ def spaced(df: DataFrame, by: list[str], order: list[str], value: str, gap: floa
         far = jumps.select("_by", F.col("_number").alias("_next"), F.col("_next").alias("_far"))
         jumps = save(jumps.join(far, ["_by", "_next"]).select("_by", "_number", F.col("_far").alias("_next")), "jumps")
     return records.join(reached, ["_by", "_number"], "left_semi").select(*df.columns)
+
+
+def thinned(df: DataFrame, by: list[str], order: list[str], value: str, gap: float, span: int = 1024) -> DataFrame:
+    """Rows in order of arrival, without those within ``gap`` of one that was kept before them, as slices of the line.
+
+    Of rows with one value only the first can be kept. A slice is ``span`` gaps wide, so a row is only decided by its own
+    slice and by what the slices on both sides keep within a gap of the border: at most two rows for each. Slices first run
+    on their own, then again with their neighbours' rows, as long as these change; a decision only rests on earlier rows,
+    so the rounds end, with the result of one walk. They are as many as slices that decide one after the other: few where
+    rows leave gaps, at most all slices.
+    Null and NaN values are never kept. Null keys are a stream.
+    """
+    wide = gap * span
+    place = lambda v: F.floor(v / wide).cast("bigint")
+    good = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    keyed = good.withColumn("_by", F.coalesce(F.to_json(F.struct(*by)), F.lit("")))  # null keys are equal in joins, too
+    ranked = F.struct(*order)
+    first = keyed.groupBy("_by", F.col(value).cast("double").alias("_t")).agg(F.min(ranked).alias("_first"), F.min_by(F.struct(*df.columns), ranked).alias("_row"))
+    points = save(first.withColumn("_slice", place(F.col("_t"))), "points")
+    edge = f"array<struct<_t: double, _first: {points.schema['_first'].dataType.simpleString()}>>"
+    kinds = f"_by string, _slice bigint, _t double, _first {points.schema['_first'].dataType.simpleString()}"
+
+    def rank(first) -> list[tuple]:
+        """The place in order of arrival, nulls first as Spark has it."""
+        return [(first[c] is not None, 0 if first[c] is None else first[c]) for c in order]
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = pdf["_edges"].iloc[0]
+        rows = [(rank(f), t, k) for k, (f, t) in enumerate(zip(pdf["_first"], pdf["_t"], strict=True))]
+        rows += [(rank(e["_first"]), e["_t"], -1) for e in ([] if edges is None else edges)]
+        rows.sort(key=lambda r: r[0])
+        kept: list[float] = []
+        out = []
+        for _, t, k in rows:
+            at = bisect_left(kept, t)
+            if k < 0 or all(abs(kept[i] - t) >= gap for i in (at - 1, at) if 0 <= i < len(kept)):
+                insort(kept, t)
+                if k >= 0:
+                    out.append(k)
+        return pdf.iloc[out][["_by", "_slice", "_t", "_first"]]
+
+    def run(todo: DataFrame) -> DataFrame:
+        rows = points.select("_by", "_slice", "_t", "_first").join(todo, ["_by", "_slice"])
+        return save(rows.groupBy("_by", "_slice").applyInPandas(decide, kinds), "thinned")
+
+    def edges_of(kept: DataFrame) -> DataFrame:
+        """What the slices beside each slice keep near its borders."""
+        reach = F.array(place(F.col("_t") - gap * 1.001), place(F.col("_t") + gap * 1.001))
+        sent = kept.withColumn("_to", F.explode(F.array_distinct(reach))).filter("_to <> _slice")
+        out = sent.groupBy("_by", F.col("_to").alias("_slice")).agg(F.array_sort(F.collect_list(F.struct("_t", "_first"))).alias("_edges"))
+        return out.join(slices, ["_by", "_slice"], "left_semi")
+
+    slices = save(points.select("_by", "_slice").distinct(), "slices")
+    used = slices.withColumn("_edges", F.lit(None).cast(edge))
+    kept = run(used)
+    while True:
+        now = save(slices.join(edges_of(kept), ["_by", "_slice"], "left"), "edges")
+        was = used.withColumnRenamed("_edges", "_was")
+        changed = save(now.join(was, ["_by", "_slice"]).filter(~F.col("_edges").eqNullSafe(F.col("_was"))).drop("_was"), "starts")
+        if changed.isEmpty():
+            break
+        kept = save(kept.join(changed, ["_by", "_slice"], "left_anti").unionByName(run(changed)), "thinned")
+        used = now
+    return points.join(kept.select("_by", "_t"), ["_by", "_t"], "left_semi").select("_row.*")

@@ -116,3 +116,22 @@ def test_histogram_of_a_batch(spark):
     rows = [(0, [0.0, 0.1, 1.0, 2.0, -1.0]), (1, None), (2, []), (3, [0.999, 0.5])]
     out = {r["k"]: r["h"] for r in spark.createDataFrame(rows, "k int, x array<double>").select("k", frames.histogram(scan.F.col("x"), 4).alias("h")).collect()}
     assert out[0] == [2 / 3, 0, 0, 1 / 3] and out[1] is None and out[2] == [0, 0, 0, 0] and out[3] == [0, 0, 0.5, 0.5]
+
+
+def test_thinned_equals_one_walk(spark):
+    rng = random.Random(5)
+    dense = [(1, k, rng.random() * 60) for k in range(400)]
+    chain = [(2, k, 0.3 * k) for k in range(120)]  # each decision rests on the one before, through all slices
+    back = [(None, k, 0.3 * (90 - k)) for k in range(90)]
+    odd = [(3, 1, None), (3, 2, float("nan")), (3, 3, -0.25), (3, 4, 0.25), (3, 5, 0.25), (3, 6, 0.2), (3, 7, 8.0), (3, 8, 7.5), (3, 9, 7.75)]
+    rows = dense + chain + back + odd
+    want = []
+    for s in (1, 2, 3, None):
+        kept = []
+        for _, k, t in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            if t is not None and t == t and all(abs(t - x) >= 0.5 for x in kept):
+                kept.append(t)
+                want.append((s, k, t))
+    df = spark.createDataFrame(rows, "s int, k int, t_s double").repartition(3)
+    for span in (24, 1024):
+        assert sorted(map(repr, map(tuple, scan.thinned(df, ["s"], ["k"], "t_s", 0.5, span).collect()))) == sorted(map(repr, want))
