@@ -192,6 +192,14 @@ def block_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.block_sha256(run_sql(spark, sf_dir, "SELECT page_id, html AS content FROM pages")).select("page_id", "sha256")
 
 
+@query("""WITH c AS (SELECT page_id, unnest(range(0, greatest(length(url), 1), 16)) AS pos, url FROM pages)
+    SELECT page_id, count(*) AS n_chunks, sha256(string_agg(sha256(substr(url, pos + 1, 16)), '' ORDER BY pos)) AS sha256 FROM c GROUP BY page_id""")
+def block_sha256_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, in chunks of 16 characters."""
+    pages = run_sql(spark, sf_dir, "SELECT page_id, url, explode(sequence(0, greatest(length(url) - 1, 0), 16)) AS at FROM pages")
+    return readers.chunk_sha256(pages.select("page_id", "at", F.expr("substring(url, CAST(at + 1 AS INT), 16)").alias("content")), ["page_id"])
+
+
 @query()
 def frame_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, "SELECT page_id, url, html FROM pages").select("page_id", readers.frame_crc(F.col("url"), F.col("html")).alias("crc"))

@@ -53,6 +53,14 @@ def _items(data: bytes) -> list[tuple[int, str, int, int]]:
     return out
 
 
+def play_items(data: bytes) -> list[tuple[int, str, int, int]]:
+    """``_items``, of a malformed file none."""
+    try:
+        return _items(data)
+    except (struct.error, IndexError):
+        return []
+
+
 def _uint(data: Column, start: int, size: int) -> Column:
     return F.conv(F.hex(F.substring(data, start, size)), 16, 10).cast("bigint")
 
@@ -87,10 +95,7 @@ def playlist_items(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows += [(path, *r) for r in _items(bytes(content))]
-                except (struct.error, IndexError):
-                    continue
+                rows += [(path, *r) for r in play_items(bytes(content))]
             yield pd.DataFrame(rows, columns=["path", "item_no", "clip", "in_45k", "out_45k"])
 
     return files.mapInPandas(parse, "path string, item_no int, clip string, in_45k bigint, out_45k bigint")
@@ -158,6 +163,17 @@ def block_sha256(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("sha256", F.sha2(content, 256))
 
 
+def chunk_sha256(chunks: DataFrame, by: list[str], at: str = "at", content: str = "content") -> DataFrame:
+    """Per file of any size ``n_chunks`` and ``sha256`` of the lowercase hex digests of its chunks, joined in order of ``at``.
+
+    Chunks (as the format ``byte_ranges`` gives them) are digested where they are read; only digests are shuffled. A file's
+    digest depends on the size of its chunks, not on the ranges in which they are read. A null chunk counts as an empty one.
+    """
+    digests = chunks.select(*by, F.struct(F.col(at).alias("at"), F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit(b"")), 256).alias("digest")).alias("_d"))
+    out = digests.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list("_d")).alias("_d"))
+    return out.select(*by, "n_chunks", F.sha2(F.array_join("_d.digest", ""), 256).alias("sha256"))
+
+
 def frame_crc(*planes: Column) -> Column:
     """CRC-32 of the concatenated planes."""
     return F.crc32(F.concat(*planes))
