@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from . import util
 #: Distinct chunks whose ids a task keeps.
 CACHE = 250_000
 END_ID = 2
+#: Bits of a piece's number within its length, below the bits of the length.
+NUMBER_BITS = 40
 #: Sixteenths of a sequence under which a plan leaves lengths to best fit.
 SPARED = (0, 0.5, 1, 2, 3, 4, 5)
 Plan = list[tuple[tuple[int, ...], int]]
@@ -240,7 +243,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, planner: Callable =
     however long they are: all their pieces but the first are full. Repeated rows are packed each for itself; of pieces
     that are alike in length, id, place and ids any order is right; an empty table gives an empty result; columns
     besides doc_id and text are ignored. Only the histogram of lengths, at most ``size`` counts, reaches the driver; the plan made from it comes
-    back as ranges of running numbers per length, and pieces find their place by their number within their length.
+    back as ranges of running numbers per length, sorted in one array, in which a piece finds its range by a binary search for
+    its number within its length.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
@@ -256,9 +260,16 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, planner: Callable =
             slots.setdefault(length, []).append((begin, begin + n, first, offset))
             used[length] = begin + n
         first += n
-    places = spark.createDataFrame([(k, *r) for k, v in slots.items() for r in v], "length bigint, begin bigint, end bigint, first bigint, offset bigint")
+    ranges = sorted((k, *r) for k, v in slots.items() for r in v)
+    places = spark.createDataFrame([(n, begin, first, offset) for n, (_, begin, _, first, offset) in enumerate(ranges)], "_slot bigint, begin bigint, first bigint, offset bigint")
+    begins = np.array([(k << NUMBER_BITS) + begin for k, begin, *_ in ranges], np.int64)
+
+    @F.arrow_udf("bigint")
+    def slot(length: pa.Array, number: pa.Array) -> pa.Array:
+        wanted = (length.to_numpy() << NUMBER_BITS) + number.to_numpy()
+        return pa.array(np.searchsorted(begins, wanted, "right") - 1, pa.int64())
+
     numbered = util.gapless(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], sum(counts.values()), "_number")
-    fits = (numbered["length"] == places["length"]) & (F.col("_number") >= F.col("begin")) & (F.col("_number") < F.col("end"))
-    found = numbered.join(F.broadcast(places), fits)
+    found = numbered.withColumn("_slot", slot("length", "_number")).join(F.broadcast(places), "_slot")
     sequence = F.col("first") + F.col("_number") - F.col("begin")
-    return found.select("doc_id", "piece", "start", numbered["length"].alias("length"), "ids_crc32", sequence.alias("sequence_id"), "offset")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")

@@ -6,7 +6,7 @@ import random
 import time
 import struct
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -502,6 +502,27 @@ def test_packing(spark):
     assert packing.pack(documents(spark, texts).limit(0), tokenizer_path()).count() == 0
 
 
+def test_pieces_find_their_places_among_many_ranges(spark):
+    def shuffled(counts, size):
+        """Many ranges a length: each sequence is one of its own, long lengths and short ones in turn."""
+        whole = [combo for combo, n in packing.plan(counts, size) for _ in range(n)]
+        return [(combo, 1) for combo in whole[::2] + whole[1::2]]
+
+    docs = documents(spark, ["a b c " * (k % 23) for k in range(1, 700)])
+    out = packing.pack(docs, tokenizer_path(), 64, shuffled).collect()
+    assert len(out) == packing.pieces(docs, tokenizer_path(), 64).count()
+    by = defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(by) > 200
+    for spans in by.values():
+        end = 0
+        for offset, length in sorted(spans):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
 def test_plans_need_no_more_than_best_fit():
     for seed in range(10):
         rng = random.Random(seed)
