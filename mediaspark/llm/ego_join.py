@@ -16,13 +16,15 @@ from . import graph, util
 BASIS_SAMPLE = 4096
 #: Vectors in a block, and in a part of one that is compared at once.
 BLOCK, LEAF = 1024, 128
+#: Pairs of blocks that a task makes of one cell before it looks at their bounds.
+MEETINGS = 1 << 18
 #: Leading principal dimensions whose cells order the vectors, and those that bounds are kept on.
 ORDERED, LEADING = 4, 8
 
 
 def _basis(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Leading principal axes for each length of vector in a bounded sample."""
-    rows = vectors.select("embedding").limit(BASIS_SAMPLE).collect()
+    """Leading principal axes for each length of vector in a bounded sample, drawn by a hash of the vectors."""
+    rows = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(BASIS_SAMPLE).collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r[0]), []).append(r[0])
@@ -94,7 +96,10 @@ def _blocks(ordered: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs of blocks, each with itself too, that may hold vectors within epsilon: met on cells of the two leading dimensions."""
+    """Pairs of blocks, each with itself too, that may hold vectors within epsilon: met on cells of the two leading dimensions.
+
+    A cell's blocks are salted by the product of the two sides' counts, so a dense cell is the work of many tasks.
+    """
     cells = lambda k, grow: F.explode(F.sequence(F.floor((F.col("lo")[k] - grow) / epsilon), F.floor((F.col("hi")[k] + grow) / epsilon)))
     meta = blocks.select("block", "label", "dim", "lo", "hi")
 
@@ -104,7 +109,15 @@ def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
 
     gap = F.zip_with("alo", "bhi", lambda x, y: F.greatest(x - y, F.lit(0.0))), F.zip_with("blo", "ahi", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     apart = F.aggregate(F.zip_with(*gap, lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda s, g: s + g * g)
-    met = side("a", 0.0).join(side("b", epsilon), ["label", "dim", "c0", "c1"]).filter((F.col("a") <= F.col("b")) & (apart <= epsilon * epsilon + 1e-9))
+    cell = ["label", "dim", "c0", "c1"]
+    left, right = side("a", 0.0), side("b", epsilon)
+    # a cell of many blocks is dealt to tasks that make no more than MEETINGS pairs of it each
+    many = left.groupBy(*cell).agg(F.count(F.lit(1)).alias("_left")).join(right.groupBy(*cell).agg(F.count(F.lit(1)).alias("_right")), cell)
+    salts = F.ceil(F.col("_left") / F.greatest(F.lit(1), F.floor(F.lit(MEETINGS) / F.col("_right"))))
+    many = util.save(many.select(*cell, salts.cast("bigint").alias("_salts")), "cells")
+    dealt = left.join(many, cell).withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_salts"))).drop("_salts")
+    repeated = right.join(many, cell).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    met = dealt.join(repeated, [*cell, "_salt"]).filter((F.col("a") <= F.col("b")) & (apart <= epsilon * epsilon + 1e-9))
     return met.select("a", "b", "alo", "ahi", "blo", "bhi").dropDuplicates(["a", "b"])
 
 

@@ -303,7 +303,10 @@ def test_html_cut_off_in_a_tag():
     assert words("<p>one</p> two <a href='x") == "one two <a href='x" and words("<p>one</p> two <!-- note <b") == "one two" and words("<p>one</p> two </di") == "one two" and words("a < b") == "a < b"
 
 
-def test_embedding_links(spark):
+@pytest.mark.parametrize("block, meetings", [(1024, 1 << 18), (8, 6)])
+def test_embedding_links(spark, monkeypatch, block, meetings):
+    monkeypatch.setattr(ego_join, "BLOCK", block)
+    monkeypatch.setattr(ego_join, "MEETINGS", meetings)
     rng = np.random.default_rng(6)
     rows = []
     for k in range(600):
