@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, isqrt, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from . import text, util
 
-#: Most words that tasks know by heart (12 bytes each); the counts of all rarer ones are joined.
-LISTED = 1 << 18
-#: Most words that the network tells apart, how often one must occur, and words in a group of them.
-OWN, OWN_LEAST, GROUP = 4_096, 8, 64
+#: Words that tasks know by heart (14 bytes each) at least, and how many times the square root of all distinct words more
+#: of them a large corpus has; the counts of all rarer ones are joined.
+LISTED, LISTED_ROOT = 1 << 18, 128
+#: The same for words that the network tells apart (132 bytes each), how often one must occur, and words in a group at least.
+OWN, OWN_ROOT, OWN_LEAST, GROUP = 4_096, 2, 8, 64
 WINDOW, HIDDEN, BATCH, RATE = 2, 16, 4_096, 0.2
 _PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 #: Bins of word counts per doubling; the sum of all counts is under 2**63, so there are at most 63 times as many.
@@ -40,30 +42,33 @@ class Vocabulary:
     groups: int
     classes: int
     own: int
+    size: int  # words in a group: as many as there are groups, or GROUP
     prior: np.ndarray  # log P(class)
     shares: np.ndarray  # log P(word | group), a row for each group
     rest: float  # tokens of words that are not listed
 
     @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray, rest: float) -> Vocabulary:
+    def of(cls, keys: np.ndarray, counts: np.ndarray, rest: float, apart: int = OWN) -> Vocabulary:
+        """``apart``: how many words at most are told apart."""
         order = np.lexsort((keys, -counts))
-        own = min(OWN, int((counts >= OWN_LEAST).sum()))
-        groups = -(-own // GROUP)
+        own = min(apart, int((counts >= OWN_LEAST).sum()))
+        size = max(GROUP, ceil(sqrt(own)))
+        groups = -(-own // size)
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
         band = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
         names = np.unique(band[rank >= own])
-        kind = np.where(rank < own, rank // GROUP, groups + np.searchsorted(names, band))
+        kind = np.where(rank < own, rank // size, groups + np.searchsorted(names, band))
         classes = groups + len(names) + 1
         total = np.bincount(kind, counts, classes)
         total[-1] = rest
         within = np.where(rank < own, 0.0, np.log(np.maximum(counts, 1) / np.maximum(total[kind], 1)))
-        shares = np.full((max(groups, 1), GROUP), -30.0)
-        shares.reshape(-1)[:own] = np.log(counts[order[:own]] / total[np.arange(own) // GROUP])
+        shares = np.full((max(groups, 1), size), -30.0)
+        shares.reshape(-1)[:own] = np.log(counts[order[:own]] / total[np.arange(own) // size])
         smoothed = total + 0.5
         context = np.where(rank < own, rank, own + kind - groups)
-        kinds = kind.astype(np.int16), (rank % GROUP).astype(np.int16), context.astype(np.int16), within.astype(np.float32)
-        return cls(keys, *kinds, groups, classes, own, np.log(smoothed / smoothed.sum()).astype(np.float32), shares.astype(np.float32), rest)
+        kinds = kind.astype(np.int16), (rank % size).astype(np.int16), context.astype(np.int32), within.astype(np.float32)
+        return cls(keys, *kinds, groups, classes, own, size, np.log(smoothed / smoothed.sum()).astype(np.float32), shares.astype(np.float32), rest)
 
     @property
     def edge(self) -> int:
@@ -73,7 +78,7 @@ class Vocabulary:
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class, slot, context id, log P(word | class) and whether it is listed, for each word."""
         if not len(self.keys):
-            return np.full(len(hashes), self.classes - 1, np.int16), np.zeros(len(hashes), np.int16), np.full(len(hashes), self.edge - 1, np.int16), np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
+            return np.full(len(hashes), self.classes - 1, np.int16), np.zeros(len(hashes), np.int16), np.full(len(hashes), self.edge - 1, np.int32), np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         known = self.keys[at] == hashes
         every = [x[at] for x in (self.cls, self.slot, self.context, self.within)]
@@ -97,7 +102,7 @@ class Network:
     @staticmethod
     def shapes(v: Vocabulary) -> list[tuple[int, ...]]:
         groups = max(v.groups, 1)
-        return [(v.edge + 1, HIDDEN), (len(_PLACES), HIDDEN, HIDDEN), (HIDDEN, v.classes), (v.classes,), (groups, GROUP, HIDDEN), (groups, GROUP)]
+        return [(v.edge + 1, HIDDEN), (len(_PLACES), HIDDEN, HIDDEN), (HIDDEN, v.classes), (v.classes,), (groups, v.size, HIDDEN), (groups, v.size)]
 
     @classmethod
     def fresh(cls, v: Vocabulary) -> Network:
@@ -190,7 +195,7 @@ def hashed(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def sides_of(context: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
     """Context ids before and after each word; ``edge`` stands for what lies outside its document."""
     n = len(context)
-    out = np.full((len(_PLACES), n), edge, np.int16)
+    out = np.full((len(_PLACES), n), edge, np.int32)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for row, k in zip(out, _PLACES, strict=True):
         a, b = (slice(-k, None), slice(None, k)) if k < 0 else (slice(None, -k), slice(k, None))
@@ -211,10 +216,17 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(tally, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(words: DataFrame, listed: int = LISTED) -> Vocabulary:
-    """The most frequent words, at most ``listed``: whole bins of counts, from the top."""
+def grown(least: int, root: int, words: int) -> int:
+    """``least``, or ``root`` times the square root of the corpus's distinct words where that is more."""
+    return max(least, root * isqrt(words))
+
+
+def vocabulary(words: DataFrame, listed: int | None = None) -> Vocabulary:
+    """The most frequent words, at most ``listed`` (by default what ``grown`` gives): whole bins of counts, from the top."""
     binned = words.withColumn("_bin", F.floor(F.log2("n") * BINS))
     bins = sorted(((r["_bin"], r["w"], r["t"]) for r in binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()), reverse=True)
+    distinct = sum(w for _, w, _ in bins)
+    listed = grown(LISTED, LISTED_ROOT, distinct) if listed is None else listed
     known, least, rest = 0, 1 << 20, 0
     for b, w, t in bins:
         if not rest and known + w <= listed:
@@ -222,7 +234,7 @@ def vocabulary(words: DataFrame, listed: int = LISTED) -> Vocabulary:
         else:
             rest += t
     rows = binned.filter(F.col("_bin") >= least).select("h", "n").toPandas().sort_values("h")
-    return Vocabulary.of(rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), float(rest))
+    return Vocabulary.of(rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), float(rest), grown(OWN, OWN_ROOT, distinct))
 
 
 def train(docs: DataFrame, v: Vocabulary) -> Network:
@@ -257,7 +269,7 @@ def train(docs: DataFrame, v: Vocabulary) -> Network:
     return Network.flat(v, x[1:] / x[0])
 
 
-def fit(docs: DataFrame, listed: int = LISTED) -> Model:
+def fit(docs: DataFrame, listed: int | None = None) -> Model:
     """Counts of all words and a network trained on all tokens."""
     words = util.save(count(docs), "words")
     v = vocabulary(words, listed)
@@ -298,10 +310,10 @@ def apply(model: Model, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll"))
 
 
-def score(docs: DataFrame, listed: int = LISTED) -> DataFrame:
+def score(docs: DataFrame, listed: int | None = None) -> DataFrame:
     """Sum and mean over all tokens of log P(token | the two words before and the two after it).
 
-    Word counts, which grow with the corpus, and the network come from all documents. Null, empty and wordless texts
+    Word counts, the words that are told apart and the network grow with the corpus and come from all documents. Null, empty and wordless texts
     have no tokens: a sum of 0 and a null mean. Texts are taken whole, however long; words of equal counts rank by hash;
     repeated rows are scored each for itself, alike up to
     rounding; an empty table gives an empty result; columns besides doc_id

@@ -123,6 +123,25 @@ def test_lm_sums_of_log_probabilities(spark):
         assert np.isclose(sum(np.exp(float(chance(sides_at(brute.words(texts[3]), k), w))) for w in hash_of), 1, atol=1e-3)
 
 
+def test_lm_tells_more_words_apart_in_a_larger_corpus():
+    """Words and groups grow with the number of distinct words, and probabilities sum to one at any size."""
+    assert [lm_score.grown(lm_score.OWN, lm_score.OWN_ROOT, n) for n in (0, 10**6, 10**9)] == [4_096, 4_096, 63_244]
+    assert lm_score.grown(lm_score.LISTED, lm_score.LISTED_ROOT, 10**9) > 15 * lm_score.LISTED
+    counts = np.arange(200_000, 0, -1).astype(np.float64)
+    keys = np.sort(np.random.default_rng(3).choice(1 << 40, len(counts), False))
+    v = lm_score.Vocabulary.of(keys, counts, 10.0, 63_244)
+    assert (v.own, v.size, v.groups) == (63_244, 252, 251) and v.look(keys)[2].max() == v.edge - 2 and v.edge > 1 << 15
+    net = lm_score.Network.fresh(v)
+    kind, slot, context, within, known = v.look(keys)
+    assert known.all() and len({(a, b) for a, b in zip(kind[: v.own].tolist(), slot[: v.own].tolist())}) == v.own
+    hidden = net.hidden(context[[0, 63_243, 70_000, 199_999]].astype(np.int32)[:, None])
+    total = np.exp(net.classes(hidden)[0, -1])
+    for g in range(v.groups):
+        total += np.exp(net.classes(hidden)[0, g]) * np.exp(net.words(hidden, g)).sum()
+    rest = kind >= v.groups
+    assert np.isclose(total + np.exp(net.classes(hidden)[0, kind[rest]] + within[rest].astype(np.float64)).sum(), 1, atol=1e-3)
+
+
 def test_lm_beats_word_frequencies_on_held_out_texts(spark):
     texts = zipf_texts(1200)
     model = lm_score.fit(documents(spark, texts[:1000]).repartition(2))
