@@ -18,7 +18,7 @@ from . import blocks
 #: Bytes from which a word is cut at its digits too, each of which is a word of its own to the tokenizer.
 LONG = 1_000
 #: Bytes of text in a block: the more, the fewer words stand in several blocks.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 _DIGITS = re.compile(rb"[0-9]|[^0-9]+")
 
 
@@ -42,9 +42,9 @@ def split(text: bytes) -> list[bytes]:
 
 def _block(sources: list[bytes]) -> dict:
     known: defaultdict[bytes, int] = defaultdict(count().__next__)
-    words = [split(x) for x in sources]
-    codes = np.fromiter((known[w] for x in words for w in x), np.int32, sum(map(len, words)))
-    return {"keys": pa.array([[w.decode() for w in known]], pa.list_(pa.string())), "n_words": pa.array([[len(w) for w in words]], pa.list_(pa.int64())), "codes": pa.array([blocks.packed(codes)], pa.binary())}
+    places = [np.array([known[w] for w in split(x)], np.int32) for x in sources]
+    codes = np.concatenate([*places, np.zeros(0, np.int32)])
+    return {"keys": pa.array([[w.decode() for w in known]], pa.list_(pa.string())), "n_words": pa.array([[len(x) for x in places]], pa.list_(pa.int64())), "codes": pa.array([blocks.packed(codes)], pa.binary())}
 
 
 def encode_words(word: Column, tokenizer: str) -> Column:
@@ -76,13 +76,22 @@ def decode(rows: DataFrame, keys: list[str], tokenizer: str) -> DataFrame:
     return parts.select(*keys, F.col("_p.id").alias("ids"), F.array_join(F.col("_p.piece"), " ").alias("decoded"))
 
 
+def named(met: DataFrame, tokenizer: str) -> DataFrame:
+    """``names`` of each block: its distinct ids with their pieces, by a join with the vocabulary, whose size the file bounds.
+
+    A block has no more of them than the file has ids, and they stay where the block's answers are.
+    """
+    ids = met.select("block", F.explode(F.array_distinct(F.flatten("found.ids"))).alias("id"))
+    held = ids.join(F.broadcast(pieces(met.sparkSession, tokenizer)), "id")
+    return held.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("names"))
+
+
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Ids of every text by the tokenizer file, and the text that they decode to.
 
     Texts are split into words in tasks that read them, by blocks; the distinct words of all blocks are a table, in which
-    each is encoded once by the file's own library and decoded through a join of ids with pieces. Each block then gets
-    the ids and pieces of its own distinct words by a join, and its documents are put together by the places of their
-    words. A word stands once in a block, so the most frequent one has as many rows as there are blocks: less than a fair
+    each is encoded once by the file's own library. Each block then gets the ids of its own distinct words by a join,
+    and the pieces of its own distinct ids by another, and its documents are put together by the places of their words. A word stands once in a block, so the most frequent one has as many rows as there are blocks: less than a fair
     share of all rows as long as there are fewer partitions than distinct words in a block.
 
     Special tokens' strings in a text are special tokens, as the library has it; none are added. Null and empty texts
@@ -92,8 +101,9 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     cut = blocks.write(docs, _block, "keys array<string>, n_words array<bigint>, codes binary", "word_blocks", BLOCK)
     entries = cut.select("block", F.posexplode("keys").alias("_at", "word"))
-    table = decode(entries.select("word").distinct().withColumn("ids", encode_words(F.col("word"), tokenizer)), ["word"], tokenizer)
-    return blocks.per_document(blocks.gather(cut, entries.join(table, "word"), "_at", ["ids", "decoded"]), _join, "ids binary, decoded string")
+    table = entries.select("word").distinct().withColumn("ids", encode_words(F.col("word"), tokenizer))
+    met = blocks.gather(cut, entries.join(table, "word"), "_at", ["ids"])
+    return blocks.per_document(met.join(named(met, tokenizer), "block", "left"), _join, "ids binary, decoded string")
 
 
 def _join(row: dict) -> dict:
@@ -101,15 +111,20 @@ def _join(row: dict) -> dict:
     if found is None:
         n = len(row["doc_ids"].values)
         return {"ids": pa.array([b""] * n, pa.binary()), "decoded": pa.array([""] * n, pa.string())}
-    ids = [np.asarray(x, np.uint32).tobytes() for x in found.field("ids").to_pylist()]
-    decoded = found.field("decoded").to_pylist()
+    lists = found.field("ids")
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    held = lists.flatten().to_numpy(zero_copy_only=False)
+    names = dict(zip(row["names"].values.field("id").to_pylist(), row["names"].values.field("piece").to_pylist(), strict=True)) if row["names"].values is not None else {}
     ends = np.cumsum(row["n_words"].values.to_numpy()).tolist()
-    codes = blocks.unpacked(row["codes"], ends[-1]).tolist()
+    codes = blocks.unpacked(row["codes"], ends[-1])
     out_ids, out_text, begin = [], [], 0
     for end in ends:
         own = codes[begin:end]
-        out_ids.append(b"".join([ids[k] for k in own]))
-        out_text.append(" ".join([x for k in own if (x := decoded[k])]))
+        sizes = at[own + 1] - at[own]
+        begins = np.repeat(at[own] - np.cumsum(sizes) + sizes, sizes)
+        ids = held[begins + np.arange(len(begins))]
+        out_ids.append(ids.astype("<u4").tobytes())
+        out_text.append(" ".join([names[i] for i in ids.tolist()]))
         begin = end
     return {"ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())}
 
