@@ -57,8 +57,12 @@ def attach(blocks: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def gather(blocks: DataFrame, met: DataFrame, at: str, values: list[str]) -> DataFrame:
     """``blocks`` with the ``values`` of the rows of ``met`` that are theirs, by their place, as ``found``."""
-    found = met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(at, *values))).alias("found"))
-    return blocks.drop("keys").join(found, "block", "left")
+    return blocks.drop("keys").join(found(met, at, values), "block", "left")
+
+
+def found(met: DataFrame, at: str, values: list[str]) -> DataFrame:
+    """The ``values`` of the rows of ``met`` for each block, in the order of their places."""
+    return met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(at, *values))).alias("found"))
 
 
 def per_document(met: DataFrame, solve: Callable[[dict], dict], schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -47,15 +47,25 @@ def _block(sources: list[bytes]) -> dict:
     return {"keys": pa.array([[w.decode() for w in known]], pa.list_(pa.string())), "n_words": pa.array([[len(x) for x in places]], pa.list_(pa.int64())), "codes": pa.array([blocks.packed(codes)], pa.binary())}
 
 
-def encode_words(word: Column, tokenizer: str) -> Column:
-    """The ids of words, by the file's own library."""
+def encode_words(entries: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, _at, word) with ``ids`` for the word, by the file's own library, which gets each distinct word once.
 
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
+    Rows of a word are dealt to one task and sorted together, so a word's ids wait for its next row and for no other's; a
+    word has no more rows than there are blocks.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _tokenizer(tokenizer)
-        return pa.array([library.encode(w, add_special_tokens=False).ids for w in words.to_pylist()], pa.list_(pa.int32()))
+        last: dict[str, list[int]] = {}
+        for batch in batches:
+            words = batch.column(2).dictionary_encode()
+            names = words.dictionary.to_pylist()
+            ids = [last.get(w) or library.encode(w, add_special_tokens=False).ids for w in names]
+            if names:
+                last = {names[-1]: ids[-1]}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())).take(words.indices)], ["block", "_at", "ids"])
 
-    return encode(word)
+    return entries.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block bigint, _at int, ids array<int>")
 
 
 def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -76,22 +86,23 @@ def decode(rows: DataFrame, keys: list[str], tokenizer: str) -> DataFrame:
     return parts.select(*keys, F.col("_p.id").alias("ids"), F.array_join(F.col("_p.piece"), " ").alias("decoded"))
 
 
-def named(met: DataFrame, tokenizer: str) -> DataFrame:
+def named(found: DataFrame, tokenizer: str) -> DataFrame:
     """``names`` of each block: its distinct ids with their pieces, by a join with the vocabulary, whose size the file bounds.
 
     A block has no more of them than the file has ids, and they stay where the block's answers are.
     """
-    ids = met.select("block", F.explode(F.array_distinct(F.flatten("found.ids"))).alias("id"))
-    held = ids.join(F.broadcast(pieces(met.sparkSession, tokenizer)), "id")
+    ids = found.select("block", F.explode(F.array_distinct(F.flatten("found.ids"))).alias("id"))
+    held = ids.join(F.broadcast(pieces(found.sparkSession, tokenizer)), "id")
     return held.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("names"))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Ids of every text by the tokenizer file, and the text that they decode to.
 
-    Texts are split into words in tasks that read them, by blocks; the distinct words of all blocks are a table, in which
-    each is encoded once by the file's own library. Each block then gets the ids of its own distinct words by a join,
-    and the pieces of its own distinct ids by another, and its documents are put together by the places of their words. A word stands once in a block, so the most frequent one has as many rows as there are blocks: less than a fair
+    Texts are split into words in tasks that read them, by blocks; the distinct words of all blocks are a table
+    sorted by word, in which each is encoded once by the file's own library. Each block then gets the ids of its own
+    distinct words by a join, and the pieces of its own distinct ids by another, and its documents are put together by the
+    places of their words. A word stands once in a block, so the most frequent one has as many rows as there are blocks: less than a fair
     share of all rows as long as there are fewer partitions than distinct words in a block.
 
     Special tokens' strings in a text are special tokens, as the library has it; none are added. Null and empty texts
@@ -101,9 +112,9 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     cut = blocks.write(docs, _block, "keys array<string>, n_words array<bigint>, codes binary", "word_blocks", BLOCK)
     entries = cut.select("block", F.posexplode("keys").alias("_at", "word"))
-    table = entries.select("word").distinct().withColumn("ids", encode_words(F.col("word"), tokenizer))
-    met = blocks.gather(cut, entries.join(table, "word"), "_at", ["ids"])
-    return blocks.per_document(met.join(named(met, tokenizer), "block", "left"), _join, "ids binary, decoded string")
+    found = blocks.found(encode_words(entries, tokenizer), "_at", ["ids"])
+    met = cut.drop("keys").join(found, "block", "left").join(named(found, tokenizer), "block", "left")
+    return blocks.per_document(met, _join, "ids binary, decoded string")
 
 
 def _join(row: dict) -> dict:

@@ -153,6 +153,16 @@ def test_each_distinct_word_is_encoded_once(spark):
     assert len(row) == 1 and sorted(row[0]["keys"]) == ["a", "b", "c"] and sum(row[0]["n_words"]) == 6
 
 
+def test_rows_of_a_word_get_the_same_ids(spark):
+    """Words that stand in many blocks, more rows than a batch holds, and words without ids."""
+    words = ["", "\x00", "one", "Zwei,", "日本語", "q" * 300]
+    rows = spark.createDataFrame([(b, k, w) for b in range(3000) for k, w in enumerate(words)], "block bigint, _at int, word string")
+    library = word_bpe._tokenizer(tokenizer_path(WORDS))
+    got = word_bpe.encode_words(rows, tokenizer_path(WORDS)).groupBy("_at", "ids").count().collect()
+    assert {r["_at"]: (r["ids"], r["count"]) for r in got} == {k: (library.encode(w, add_special_tokens=False).ids, 3000) for k, w in enumerate(words)}
+    assert len(got) == len(words)
+
+
 def test_decode_by_join(spark):
     rows = spark.createDataFrame([(1, [320, 49407, 320]), (2, []), (3, None), (4, [10**6, 320])], "k int, ids array<int>")
     library = word_bpe._tokenizer(tokenizer_path(WORDS))
