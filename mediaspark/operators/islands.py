@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
+from . import scan
+
 CUT_DISTANCE, BURST, CALM_SHARE, CALM_FRAMES = 0.42, 4.5, 0.6, 3
 
 
@@ -90,3 +96,38 @@ def longest_sorted(rows: DataFrame, file: list[str], table: str, order: str, val
     checked = rows.withColumn("_ok", F.coalesce(F.col(value) >= before, F.lit(True)))
     good = checked.groupBy(*file, table).agg(F.bool_and("_ok").alias("_ok"), F.count(F.lit(1)).alias("n")).filter("_ok AND n >= 2")
     return good.groupBy(*file).agg(F.min_by(table, F.struct(-F.col("n"), F.col(table))).alias(table), F.max("n").alias("n"))
+
+
+def settled_snapshot(polls: DataFrame, by: list[str], time: str = "t", fresh: bool = True, timeout_s: float = 30.0, settle_s: float = 10.0, times: int = 3, slice_rows: int = scan.SLICE) -> DataFrame:
+    """What a scan of a disc that is still being filled ends with: its settled feature, else the best one seen.
+
+    A poll has ``feature`` (null: none yet), ``playlist``, ``kind``, ``duration_s``, ``candidates_playlists``,
+    ``candidates_ssif``, ``candidates_m2ts`` and ``pair``; all of them are its signature, durations to a millisecond, null
+    numbers as 0. A scan settles at the first poll with a feature, whose signature is that of the ``times`` last polls, whose
+    duration is unknown (0 or less) or at least a minute and that comes ``settle_s`` after the scan's first poll or later
+    (``fresh``: a disc that was there before needs no such wait). Polls end with the first at ``timeout_s`` or later; a scan that has not
+    settled by then gives the poll with the greatest (3D, duration, candidates), the first of equals, or its last if none
+    has a feature. Polls of one scan at one time come in order of their signatures; null times are left out; null keys
+    are a scan. Long scans are numbered by ranges and looked at in slices that repeat the rows before them.
+    Returns ``by``, settled, time, feature, playlist, kind, duration_s.
+    """
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates_playlists", "candidates_ssif", "candidates_m2ts")]
+    length = F.coalesce("duration_s", F.lit(0.0))
+    told = polls.filter(F.col(time).isNotNull()).select(*by, time, F.struct("feature", "playlist", "kind", F.round(length, 3).alias("ms"), *counts, "pair").alias("_s"), length.alias("duration_s"))
+    rows = save(scan.numbered(told, by, [time, "_s", "duration_s"], "_no"), "polls")
+    starts = rows.filter("_no = 0").select(*by, F.col(time).alias("_start"))
+    waited = rows.alias("r").join(starts.alias("s"), scan._same("r", "s", by)).select("r.*", (F.col(f"r.{time}") - F.col("s._start")).alias("_waited"))
+    ends = waited.filter(F.col("_waited") >= timeout_s).groupBy(*by).agg(F.min("_no").alias("_end"))
+    seen = waited.alias("r").join(ends.alias("s"), scan._same("r", "s", by), "left").filter("s._end IS NULL OR r._no <= s._end").select("r.*")
+    own = F.floor(F.col("_no") / slice_rows)
+    repeated = F.when(F.col("_no") % slice_rows >= slice_rows - times + 1, F.array(own, own + 1)).otherwise(F.array(own))
+    line = Window.partitionBy(*by, "_slice").orderBy("_no")
+    same = reduce(and_, [F.lag("_s", k).over(line).eqNullSafe(F.col("_s")) for k in range(1, times)], F.lit(True))
+    looked = seen.withColumn("_own", own).withColumn("_slice", F.explode(repeated)).withColumn("_same", same).filter("_slice = _own")
+    plausible = (F.col("duration_s") <= 0) | (F.col("duration_s") >= 60)
+    has = F.col("_s.feature").isNotNull()
+    settles = has & plausible & F.col("_same") & (F.col("_waited") >= (min(timeout_s, settle_s) if fresh else 0.0))
+    found = F.struct(time, "_s.feature", "_s.playlist", "_s.kind", "duration_s")
+    score = F.struct(F.coalesce(F.col("_s.kind") == "ssif", F.lit(False)), F.col("duration_s"), F.col("_s.candidates_playlists") + F.col("_s.candidates_ssif") + F.col("_s.candidates_m2ts"), -F.col("_no"))
+    ended = looked.groupBy(*by).agg(F.min_by(found, F.when(settles, F.col("_no"))).alias("_first"), F.max_by(found, F.when(has, score)).alias("_best"), F.max_by(found, "_no").alias("_last"))
+    return ended.select(*by, F.col("_first").isNotNull().alias("settled"), F.coalesce("_first", "_best", "_last").alias("_f")).select(*by, "settled", "_f.*")

@@ -171,6 +171,21 @@ def best_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_snapshot(polls, ["stream"], ["t"])
 
 
+_POLLED = """SELECT user_id AS scan, {0} AS seconds, CASE WHEN event_type <> 'error' THEN concat('disc/', user_id) END AS feature, user_id % 7 AS playlist, CASE WHEN value >= 60 THEN 'ssif' ELSE 'm2ts' END AS kind,
+    CAST(CASE WHEN value < 5 THEN 0 WHEN value < 20 THEN 30 ELSE 5400 END AS DOUBLE) AS duration_s, CASE WHEN event_type = 'signup' AND value >= 100 THEN 2 ELSE 1 END AS candidates_playlists, 0 AS candidates_ssif, 1 AS candidates_m2ts, CAST(NULL AS {1}) AS pair FROM events"""
+
+
+@query(f"""WITH p AS ({_POLLED.format("CAST(epoch_us(ts) // 1000000 AS DOUBLE) / 43200", "VARCHAR")}), n AS (SELECT *, row_number() OVER s AS n, seconds - min(seconds) OVER (PARTITION BY scan) AS waited, concat_ws('|', coalesce(feature, '-'), kind, duration_s, candidates_playlists) AS sig FROM p
+    WINDOW s AS (PARTITION BY scan ORDER BY seconds, feature NULLS FIRST, playlist, kind, duration_s, candidates_playlists)), l AS (SELECT *, sig = lag(sig) OVER w AND sig = lag(sig, 2) OVER w AS same, coalesce(lag(waited) OVER w < 30, true) AS seen FROM n WINDOW w AS (PARTITION BY scan ORDER BY n)),
+    f AS (SELECT *, coalesce(same, false) AND feature IS NOT NULL AND (duration_s <= 0 OR duration_s >= 60) AND waited >= 10 AS ok FROM l WHERE seen),
+    e AS (SELECT scan, bool_or(ok) AS settled, coalesce(min(n) FILTER (WHERE ok), arg_max(n, (kind = 'ssif', duration_s, candidates_playlists + candidates_ssif + candidates_m2ts, -n)) FILTER (WHERE feature IS NOT NULL), max(n)) AS n FROM f GROUP BY scan)
+    SELECT e.scan, e.settled, n.seconds, n.feature, n.playlist, n.kind, n.duration_s FROM e JOIN n ON e.scan = n.scan AND e.n = n.n""")
+def settled_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.islands import settled_snapshot as settle
+
+    return settle(run_sql(spark, sf_dir, _POLLED.format("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS DOUBLE) / 43200", "STRING")), ["scan"], "seconds")
+
+
 @query("""WITH r AS (SELECT l_suppkey % 20 AS file, l_partkey % 400 AS tab, l_shipdate AS v, row_number() OVER (PARTITION BY l_suppkey % 20, l_partkey % 400 ORDER BY l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice) AS n FROM lineitem), c AS (SELECT *, coalesce(v >= lag(v) OVER (PARTITION BY file, tab ORDER BY n), true) AS ok FROM r),
     g AS (SELECT file, tab, count(*) AS n FROM c GROUP BY ALL HAVING bool_and(ok) AND count(*) >= 2) SELECT file, arg_min(tab, (-n, tab)) AS tab, max(n) AS n FROM g GROUP BY file""")
 def longest_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,3 +331,32 @@ def test_foreign_peers_keep_nobody_alive(spark):
     lost = sorted(rows(sessions.client_lost(df, 2, ["seq"]), "last_rx", "peer", "packets", "lost_at"))
     assert lost == [(1, "a", 1, 3), (6, "a", 1, 8), (22, "b", 2, 24)]
     assert sessions.client_lost(df.filter("NOT hello"), 2, ["seq"]).count() == 0
+
+
+POLL = "disc int, t double, feature string, playlist string, kind string, duration_s double, candidates_playlists int, candidates_ssif int, candidates_m2ts int, pair string, run int, extra int"
+
+
+def polled(spark, *polls):
+    """(disc, t, feature, kind, duration_s) with one candidate each."""
+    return spark.createDataFrame([(d, t, f, "00001", k, s, 1, None, 0, None, 1, 2) for d, t, f, k, s in polls], POLL)
+
+
+def test_settled_snapshot(spark):
+    short, film = ("s", "m2ts", 8.0), ("f", "ssif", 7200.0)
+    at = lambda d, x, *times: [(d, float(t), *x) for t in times]
+    polls = polled(
+        spark,
+        *at(1, short, 0, 1, 2, 3), *at(1, film, 9, 10, 11, 12),  # an early short title never settles, the film at its third poll
+        *at(2, film, 0, 1, 2, 3), *at(2, film, 10),  # stable from the start, but not before 10 s
+        *at(3, film, 5), *at(3, short, 6, 7, 40, 41), *at(3, ("late", "ssif", 9000.0), 42),  # not settled: the best of what comes until 30 s have gone by
+        *at(4, (None, None, None), 0, 1, 50),  # no feature at all: the last poll
+        *at(5, ("x", "m2ts", None), 0, 12, 13), *at(None, film, 0, 14, 14),  # unknown durations are plausible; null keys are a scan
+        (6, None, *film), (6, 2.0, *film),  # a poll without a time is left out
+    )
+    want = [(1, True, 11.0, "f"), (2, True, 10.0, "f"), (3, False, 5.0, "f"), (4, False, 50.0, None), (5, True, 13.0, "x"), (6, False, 2.0, "f"), (None, True, 14.0, "f")]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for slice_rows in (100_000, 3):
+        assert sorted(rows(islands.settled_snapshot(polls, ["disc"], slice_rows=slice_rows), "disc", "settled", "t", "feature"), key=key) == want
+    known = {r[0]: r[1:] for r in rows(islands.settled_snapshot(polls, ["disc"], fresh=False), "disc", "settled", "t")}
+    assert known[2] == (True, 2.0) and known[1] == (True, 11.0)
+    assert islands.settled_snapshot(polls.limit(0), ["disc"]).count() == 0
