@@ -37,7 +37,7 @@ class Vocabulary:
     keys: np.ndarray  # sorted hashes of the listed words
     cls: np.ndarray  # class of each
     slot: np.ndarray  # place in its group
-    context: np.ndarray  # id as a neighbour: rank of words told apart, then bands
+    context: np.ndarray  # id as a neighbour: rank of words told apart, then bands; signed, in as few bytes as ``edge`` needs
     within: np.ndarray  # log P(word | class) in bands; 0 in groups
     groups: int
     classes: int
@@ -67,7 +67,7 @@ class Vocabulary:
         shares.reshape(-1)[:own] = np.log(counts[order[:own]] / total[np.arange(own) // size])
         smoothed = total + 0.5
         context = np.where(rank < own, rank, own + kind - groups)
-        kinds = kind.astype(np.int16), (rank % size).astype(np.int16), context.astype(np.int32), within.astype(np.float32)
+        kinds = kind.astype(np.int16), (rank % size).astype(np.int16), context.astype(np.min_scalar_type(-int(own + classes - groups) - 1)), within.astype(np.float32)
         return cls(keys, *kinds, groups, classes, own, size, np.log(smoothed / smoothed.sum()).astype(np.float32), shares.astype(np.float32), rest)
 
     @property
@@ -78,7 +78,7 @@ class Vocabulary:
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class, slot, context id, log P(word | class) and whether it is listed, for each word."""
         if not len(self.keys):
-            return np.full(len(hashes), self.classes - 1, np.int16), np.zeros(len(hashes), np.int16), np.full(len(hashes), self.edge - 1, np.int32), np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
+            return np.full(len(hashes), self.classes - 1, np.int16), np.zeros(len(hashes), np.int16), np.full(len(hashes), self.edge - 1, self.context.dtype), np.zeros(len(hashes), np.float32), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         known = self.keys[at] == hashes
         every = [x[at] for x in (self.cls, self.slot, self.context, self.within)]
@@ -195,7 +195,7 @@ def hashed(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def sides_of(context: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
     """Context ids before and after each word; ``edge`` stands for what lies outside its document."""
     n = len(context)
-    out = np.full((len(_PLACES), n), edge, np.int32)
+    out = np.full((len(_PLACES), n), edge, context.dtype)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for row, k in zip(out, _PLACES, strict=True):
         a, b = (slice(-k, None), slice(None, k)) if k < 0 else (slice(None, -k), slice(k, None))
