@@ -116,12 +116,26 @@ def positive_int(*fields: Column) -> Column:
     return F.coalesce(*[F.when(i > 0, i) for i in ints], F.lit(0))
 
 
+def _two_decimals(x: Column) -> Column:
+    """A value of 1 or more by its binary digits, halves to even, as C and Python write it; Java rounds halves up.
+
+    A double of 1 or more has at most 52 binary places, so its places times 2^52 are a whole number.
+    """
+    whole = F.floor(x).try_cast("bigint")
+    times_100 = ((x - F.floor(x)) * 2.0**52).try_cast("bigint") * 100
+    cut, rest = F.shiftright(times_100, 52), times_100.bitwiseAND(F.lit(2**52 - 1))
+    up = (rest > 2**51) | ((rest == 2**51) & (cut % 2 == 1))
+    hundredths = cut + up.cast("bigint")
+    exact = F.format_string("%d.%02d", whole + F.floor(hundredths / 100).cast("bigint"), hundredths % 100)
+    return F.when(x < 2.0**52, exact).otherwise(F.format_string("%.2f", x))
+
+
 def human_size(n: Column) -> Column:
-    """Binary units with two decimals; a dash for null and negative sizes."""
-    scaled = F.when(n < 1024, F.concat(F.format_string("%.0f", n.cast("double")), F.lit(" B")))
+    """Binary units with two decimals, halves to even; a dash for null and negative sizes."""
+    scaled = F.when(n < 1024, F.concat(F.format_string("%.0f", F.rint(n.cast("double"))), F.lit(" B")))
     for k, unit in enumerate(["KiB", "MiB", "GiB"], 1):
-        scaled = scaled.when(n < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", n / 1024.0**k))
-    return F.when(n.isNull() | (n < 0), "—").otherwise(scaled.otherwise(F.format_string("%.2f TiB", n / 1024.0**4)))
+        scaled = scaled.when(n < 1024.0 ** (k + 1), F.concat(_two_decimals(n / 1024.0**k), F.lit(f" {unit}")))
+    return F.when(n.isNull() | (n < 0), "—").otherwise(scaled.otherwise(F.concat(_two_decimals(n / 1024.0**4), F.lit(" TiB"))))
 
 
 def human_rate(n: Column) -> Column:
