@@ -71,6 +71,6 @@ def completeness(jobs: DataFrame, done: str = "done", expected: str = "expected"
     return jobs.withColumn("verdict", F.when((F.col(expected) <= 0) | F.col(expected).isNull() | (F.col(done) >= F.col(expected)), "ok").when(ratio < 0.90, "fail").otherwise("warn"))
 
 
-def status_per_second(status: DataFrame, ts: str = "ts", width: str = "1 second") -> DataFrame:
-    """Frames, drops and the last mode of each session per window of time; works on streams too."""
-    return status.groupBy("session", F.window(ts, width)).agg(F.sum("frames").alias("frames"), F.sum("drops").alias("drops"), F.max_by("mode", ts).alias("mode"))
+def status_per_second(status: DataFrame, ts: str = "ts", width: str = "1 second", tie: list[str] | None = None) -> DataFrame:
+    """Frames, drops and the last mode, of equal times the last by ``tie``, of each session per window of time; works on streams too."""
+    return status.groupBy("session", F.window(ts, width)).agg(F.sum("frames").alias("frames"), F.sum("drops").alias("drops"), F.max_by("mode", F.struct(ts, *(tie or []))).alias("mode"))

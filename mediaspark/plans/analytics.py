@@ -420,10 +420,10 @@ def st_coalesce_seeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.coalesce_seeks(rows, "3600 seconds").withColumn("last_t", F.unix_seconds("last_ts")).drop("last_ts")
 
 
-@query("""SELECT user_id AS session, t - t % 86400 AS day_s, CAST(sum(event_id) AS BIGINT) AS frames, CAST(sum(event_id % 3) AS BIGINT) AS drops, arg_max(event_type, t) AS mode FROM ticks GROUP BY ALL""")
+@query("""SELECT user_id AS session, t - t % 86400 AS day_s, CAST(sum(event_id) AS BIGINT) AS frames, CAST(sum(event_id % 3) AS BIGINT) AS drops, arg_max(event_type, (t, event_id)) AS mode FROM ticks GROUP BY ALL""")
 def tumbling_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _timed(spark, sf_dir).select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("frames"), (F.col("event_id") % 3).alias("drops"), F.col("event_type").alias("mode"))
-    return telemetry.status_per_second(rows, width="1 day").withColumn("day_s", F.unix_seconds("window.start")).drop("window")
+    rows = _timed(spark, sf_dir).select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("frames"), (F.col("event_id") % 3).alias("drops"), F.col("event_type").alias("mode"), "event_id")
+    return telemetry.status_per_second(rows, width="1 day", tie=["event_id"]).withColumn("day_s", F.unix_seconds("window.start")).drop("window")
 
 
 @query("""WITH s AS (SELECT user_id AS session, event_id, value >= 30 AS st FROM events), g AS (SELECT *, sum(st::INT) OVER (PARTITION BY session ORDER BY event_id) AS g FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY session, g ORDER BY event_id) - 1 - CASE WHEN g > 0 THEN 1 ELSE 0 END AS k FROM g)

@@ -27,6 +27,13 @@ def _row(values) -> tuple:
     return tuple(None if isinstance(v, float) and math.isnan(v) else v for v in values)
 
 
+@pytest.mark.parametrize("up", [True, False])
+def test_last_mode_of_one_second_follows_by_event(spark, duck, tmp_path, up):
+    ids = list(range(20)) if up else list(range(19, -1, -1))
+    rows = same_on(spark, duck, tmp_path, "tumbling_status", {"events": events_of([(e, 5, 1, ["view", "error", "click"][e % 3], 1) for e in ids])})
+    assert [r["mode"] for r in rows] == ["error"]
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
