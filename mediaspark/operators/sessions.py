@@ -21,9 +21,9 @@ def only_current(df: DataFrame, current: DataFrame, keys: list[str]) -> DataFram
     return df.join(current.select(*keys).distinct(), keys, "left_semi")
 
 
-def coalesce_seeks(requests: DataFrame, gap: str = "60 milliseconds", ts: str = "ts") -> DataFrame:
-    """Bursts of seeks: only the last target of each runs; how many were folded into it. Works on streams too."""
-    return requests.groupBy("session", "session_id", F.session_window(ts, gap)).agg(F.max_by("target_s", ts).alias("target_s"), F.max(ts).alias("last_ts"), (F.count(F.lit(1)) - 1).alias("coalesced")).drop("session_window")
+def coalesce_seeks(requests: DataFrame, gap: str = "60 milliseconds", ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
+    """Bursts of seeks: only the last target of each runs, of equal times the last by ``tie``; how many were folded into it. Works on streams too."""
+    return requests.groupBy("session", "session_id", F.session_window(ts, gap)).agg(F.max_by("target_s", F.struct(ts, *(tie or []))).alias("target_s"), F.max(ts).alias("last_ts"), (F.count(F.lit(1)) - 1).alias("coalesced")).drop("session_window")
 
 
 def liveness(rx: DataFrame, gap: str = "2001 milliseconds", ts: str = "ts") -> DataFrame:

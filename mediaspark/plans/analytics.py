@@ -403,7 +403,7 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, "SELECT user_id, event_id, event_type, value, t FROM ticks").withColumn("ts", F.timestamp_seconds("t"))
 
 
-_SESSIONS = """g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t) < {gap} THEN 0 ELSE 1 END AS b FROM ticks), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM g)"""
+_SESSIONS = """g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) < {gap} THEN 0 ELSE 1 END AS b FROM ticks), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM g)"""
 
 
 @query("""WITH h AS (SELECT r.*, (SELECT arg_max(p.peer, (p.t, p.event_id)) FROM received p WHERE p.hello AND p.session = r.session AND (p.t, p.event_id) < (r.t, r.event_id)) AS known FROM received r),
@@ -416,8 +416,8 @@ def st_client_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _SESSIONS.format(gap=3600) + " SELECT user_id AS session, event_type AS session_id, arg_max(value, (t, event_id)) AS target_s, max(t) AS last_t, count(*) - 1 AS coalesced FROM s GROUP BY user_id, event_type, g")
 def st_coalesce_seeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _timed(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_type").alias("session_id"), "ts", F.col("value").alias("target_s"))
-    return sessions.coalesce_seeks(rows, "3600 seconds").withColumn("last_t", F.unix_seconds("last_ts")).drop("last_ts")
+    rows = _timed(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_type").alias("session_id"), "ts", F.col("value").alias("target_s"), "event_id")
+    return sessions.coalesce_seeks(rows, "3600 seconds", tie=["event_id"]).withColumn("last_t", F.unix_seconds("last_ts")).drop("last_ts")
 
 
 @query("""SELECT user_id AS session, t - t % 86400 AS day_s, CAST(sum(event_id) AS BIGINT) AS frames, CAST(sum(event_id % 3) AS BIGINT) AS drops, arg_max(event_type, (t, event_id)) AS mode FROM ticks GROUP BY ALL""")

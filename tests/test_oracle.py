@@ -34,6 +34,13 @@ def test_last_mode_of_one_second_follows_by_event(spark, duck, tmp_path, up):
     assert [r["mode"] for r in rows] == ["error"]
 
 
+@pytest.mark.parametrize("up", [True, False])
+def test_seeks_of_one_second_follow_by_event(spark, duck, tmp_path, up):
+    ids = list(range(20)) if up else list(range(19, -1, -1))
+    rows = same_on(spark, duck, tmp_path, "st_coalesce_seeks", {"events": events_of([(e, 5, 1, "click", e * 1.5) for e in ids])})
+    assert [(r["target_s"], r["coalesced"]) for r in rows] == [(28.5, 19)]
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
