@@ -200,10 +200,13 @@ def av_action(frames: DataFrame, clock: DataFrame, offset_s: float = 0.0, slice_
     return met.withColumns({"diff_s": diff, "action": action, "stretch_s": stretch}).drop("match")
 
 
-def late_drop(frames: DataFrame, clock: DataFrame, order: str = "t", slice_s: float = 3600) -> DataFrame:
-    """Adds ``late`` and ``wait_ms`` against the audio clock; the bound follows the interval between frames."""
+def late_drop(frames: DataFrame, clock: DataFrame, order: str = "t", slice_s: float = 3600, tie: list[str] | None = None) -> DataFrame:
+    """Adds ``late`` and ``wait_ms`` against the audio clock; the bound follows the interval between frames.
+
+    Frames of one time and pts follow one another in order of ``tie``.
+    """
     met = asof.asof(frames, clock, ["session"], "t", slice_s)
-    interval = F.greatest(F.lit(1.0), F.col("pts_ms") - F.lag("pts_ms").over(Window.partitionBy("session").orderBy(order, "pts_ms")))
+    interval = F.greatest(F.lit(1.0), F.col("pts_ms") - F.lag("pts_ms").over(Window.partitionBy("session").orderBy(order, "pts_ms", *(tie or []))))
     bound = F.greatest(F.lit(45.0), F.least(F.lit(100.0), F.coalesce(interval, F.lit(1.0)) * 1.25))
     error = F.col("pts_ms") - F.col("match.audio_ms")
     rows = met.withColumns({"_bound": bound, "error_ms": error})

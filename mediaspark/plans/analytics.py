@@ -387,12 +387,12 @@ def av_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASTER = "SELECT user_id AS session, t, max(value) * 10 AS audio_ms FROM ticks WHERE event_type = 'view' GROUP BY user_id, t"
 
 
-@query(f"""WITH c AS ({_MASTER}), m AS (SELECT f.user_id, f.event_id, f.t, f.value * 10 AS pts, round(f.value * 10 - c.audio_ms, 6) AS err FROM (SELECT * FROM ticks WHERE event_type = 'click') f ASOF LEFT JOIN c ON f.user_id = c.session AND f.t >= c.t),
-    b AS (SELECT *, greatest(45, least(100, 1.25 * coalesce(greatest(1, pts - lag(pts) OVER (PARTITION BY user_id ORDER BY t, pts)), 1))) AS b FROM m)
-    SELECT event_id, coalesce(err < -b, false) AS late, CASE WHEN NOT coalesce(err < -b, false) THEN least(greatest(err, 0), 500) END::DOUBLE AS wait_ms FROM b""")
+@query(f"""WITH c AS ({_MASTER}), m AS (SELECT f.user_id, f.event_id, f.t, f.value * 10 AS pts, f.value * 10 - c.audio_ms AS err FROM (SELECT * FROM ticks WHERE event_type = 'click') f ASOF LEFT JOIN c ON f.user_id = c.session AND f.t >= c.t),
+    b AS (SELECT *, greatest(45, least(100, 1.25 * coalesce(greatest(1, pts - lag(pts) OVER (PARTITION BY user_id ORDER BY t, pts, event_id)), 1))) AS b FROM m)
+    SELECT event_id, coalesce(err < -b, false) AS late, round(CASE WHEN NOT coalesce(err < -b, false) THEN least(greatest(err, 0), 500) END::DOUBLE, 6) AS wait_ms FROM b""")
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id, t, value * 10 AS pts_ms FROM ticks WHERE event_type = 'click'")
-    out = timeline.late_drop(rows, run_sql(spark, sf_dir, _MASTER), slice_s=86_400 * 7)
+    out = timeline.late_drop(rows, run_sql(spark, sf_dir, _MASTER), slice_s=86_400 * 7, tie=["event_id"])
     return out.select("event_id", "late", F.round("wait_ms", 6).alias("wait_ms"))
 
 
