@@ -376,8 +376,8 @@ _CLOCK = "SELECT user_id AS session, t, max(value) AS audio_s FROM ticks WHERE e
 
 
 @query(f"""WITH c AS ({_CLOCK}), m AS (SELECT f.event_id, f.value - c.audio_s AS d FROM (SELECT * FROM ticks WHERE event_type = 'click') f ASOF LEFT JOIN c ON f.user_id = c.session AND f.t >= c.t),
-    a AS (SELECT event_id, round(d, 6) AS d FROM m), x AS (SELECT *, CASE WHEN d IS NULL THEN 'free' WHEN d < -0.120 THEN 'drop' WHEN d >= 0.350 THEN 'hold' WHEN d > 0.150 THEN 'ease' WHEN abs(d) > 0.025 THEN 'nudge' ELSE 'none' END AS action FROM a)
-    SELECT event_id, d AS diff_s, action, round(CASE action WHEN 'ease' THEN least((d - 0.150) * 0.30, 0.012) WHEN 'nudge' THEN greatest(-0.008, least(0.008, d * 0.25)) ELSE 0 END, 6)::DOUBLE AS stretch_s FROM x""")
+    x AS (SELECT *, CASE WHEN d IS NULL THEN 'free' WHEN d < -0.120 THEN 'drop' WHEN d >= 0.350 THEN 'hold' WHEN d > 0.150 THEN 'ease' WHEN abs(d) > 0.025 THEN 'nudge' ELSE 'none' END AS action FROM m)
+    SELECT event_id, round(d, 6) AS diff_s, action, round(CASE action WHEN 'ease' THEN least((d - 0.150) * 0.30, 0.012) WHEN 'nudge' THEN greatest(-0.008, least(0.008, d * 0.25)) ELSE 0 END, 6)::DOUBLE AS stretch_s FROM x""")
 def av_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT user_id AS session, event_id, t, value AS pts_s FROM ticks WHERE event_type = 'click'")
     out = timeline.av_action(rows, run_sql(spark, sf_dir, _CLOCK), slice_s=86_400 * 7)

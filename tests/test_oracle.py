@@ -51,6 +51,41 @@ def test_late_drop_of_equal_frames_and_by_the_error_itself(spark, duck, tmp_path
     assert [rows[300], rows[301]] == [4.84 * 10 - 9.34 * 10 < -45, 4.06 * 10 - 8.56 * 10 < -45] == [True, False]
 
 
+def same_on(spark, duck, tmp_path, name, tables):
+    """The query equals its SQL on these tables (name: SQL)."""
+    for t, sql in tables.items():
+        duck.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet'")
+        duck.execute(f"CREATE OR REPLACE TEMP VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    try:
+        df = plans.QUERIES[name](spark, str(tmp_path))
+        columns = sorted(df.columns)
+        rows = sorted((_row(r) for r in df.select(columns).collect()), key=repr)
+        want = duck.execute(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE[name]}) x").fetchall()
+        assert rows and rows == sorted((_row(r) for r in want), key=repr)
+    finally:
+        for t in tables:
+            duck.execute(f"DROP VIEW temp.{t}")
+    return [dict(zip(columns, r, strict=True)) for r in rows]
+
+
+def events_of(rows):
+    """The table of events from (event_id, second of the day, user_id, event_type, value)."""
+    listed = ", ".join(f"({e}, {s}, {u}, '{kind}', {v})" for e, s, u, kind, v in rows)
+    return f"SELECT e::BIGINT AS event_id, TIMESTAMP '2024-01-02' + to_seconds(s) AS ts, u::BIGINT AS user_id, kind AS event_type, v::DOUBLE AS value, '{{}}' AS props FROM (VALUES {listed}) t(e, s, u, kind, v)"
+
+
+def test_av_action_decides_by_the_difference_itself(spark, duck, tmp_path):
+    """0.95 - 1.07 is a little less than -0.12 in doubles, 1.42 - 1.07 a little less than 0.35: no rounding before the decision."""
+    pairs = ((0.95, 1.07), (1.42, 1.07), (1.29, 1.14), (1.02, 1.0))
+    clock = [(k, 0, k, "view", c) for k, (_, c) in enumerate(pairs)]
+    frames = [(10 + k, 1, k, "click", v) for k, (v, _) in enumerate(pairs)]
+    rows = same_on(spark, duck, tmp_path, "av_action", {"events": events_of([*clock, *frames])})
+    want = {10 + k: v - c for k, (v, c) in enumerate(pairs)}
+    rule = lambda d: "drop" if d < -0.120 else "hold" if d >= 0.350 else "ease" if d > 0.150 else "nudge" if abs(d) > 0.025 else "none"
+    assert {r["event_id"]: r["action"] for r in rows} == {e: rule(d) for e, d in want.items()}
+    assert sum(rule(d) != rule(round(d, 6)) for d in want.values()) == 3
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
