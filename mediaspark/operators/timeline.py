@@ -2,42 +2,149 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
 from . import asof, scan
 from .islands import runs_of
 
 VCL_MOST, IDR, SPS, PPS = 31, 5, 7, 8
 
 
+#: Least width of a stretch of time in which units are paired at once, in tolerances.
+STRETCH = 16
+FREE, HELD, ASKS = 0, 1, 2
+
+
+def _take(times: list, seqs: list, holders: list, free: list, low: float, high: float, tolerance: float) -> tuple[list, list]:
+    """Dependent units (sorted by time and seq, with the (seq, pts) that hold them) after the free base units have asked.
+
+    A base unit asks for its nearest unit that is free or held by a later base unit, which then asks anew. One whose
+    nearest unit could lie beyond ``low`` or ``high`` waits; those that find nothing are left out. Gives both.
+    """
+    starts = [k for k in range(len(times)) if not k or times[k] != times[k - 1]]
+    ends = [*starts[1:], len(times)]
+    values = [times[k] for k in starts]
+    n = len(values)
+    left, right = list(range(n + 1)), list(range(n + 1))  # next time with a unit to be had; left is moved up by one
+    wait, todo = [], list(free)
+    heapq.heapify(todo)
+
+    def root(up: list, k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    def spot(k: int, seq: int) -> int | None:
+        """The first unit of a time that is to be had; its holders are in order, the free ones last."""
+        x, y = starts[k], ends[k]
+        at = bisect_right(holders, seq, x, y, key=lambda h: math.inf if h is None else h[0])
+        return at if at < y else None
+
+    while todo:  # in decode order, so what is not to be had for one is not for those after it
+        seq, pts = heapq.heappop(todo)
+        at = bisect_left(values, pts)
+        best = None
+        k = root(right, at)
+        while k < n and values[k] - pts <= tolerance:
+            if (i := spot(k, seq)) is not None:
+                best = (values[k] - pts, seqs[i], i)
+                break
+            right[k] = k + 1
+            k = root(right, k)
+        k = root(left, at)
+        while k > 0 and pts - values[k - 1] <= tolerance:
+            if (i := spot(k - 1, seq)) is not None:
+                best = min(best or (math.inf,), (pts - values[k - 1], seqs[i], i))
+                break
+            left[k] = k - 1
+            k = root(left, k)
+        seen = min(pts - low, high - pts)
+        if seen <= (tolerance if best is None else best[0]):
+            wait.append((seq, pts))
+        elif best is not None:
+            i = best[2]
+            if holders[i] is not None:
+                heapq.heappush(todo, holders[i])
+            holders[i] = (seq, pts)
+    return holders, wait
+
+
 def pair_views(base: DataFrame, dep: DataFrame, tolerance: int = 1800, slice_rows: int = scan.SLICE) -> DataFrame:
     """Each base unit with the dependent one that it takes: one to one, in decode order.
 
     ``seq`` is the decode order of a stream, ``pts`` the time of a unit. From the first base unit on, each takes the
     dependent unit nearest in time that is still there, within the tolerance; of equally near ones the first in order.
-    ``match`` is null where none is left. Units meet by buckets of time; a base unit then walks with its few candidates,
-    nearest first, and of the units taken only those are carried on that a later base unit could want.
+    ``match`` is null where none is left.
+
+    This is the one matching that is stable where all dependent units prefer earlier base units, so base units may ask
+    in any order if an earlier one displaces a later one. Streams are cut into stretches of about ``slice_rows`` units,
+    but of 16 tolerances at least; base units at a border wait and ask in the next round, whose borders lie half a
+    stretch further. Pairs within the tolerance are never listed.
     """
-    pairs = asof.close_pairs(base.select("stream_id", "seq", "pts"), dep.select("stream_id", "seq", "pts"), ["stream_id"], "pts", tolerance)
-    wanted = pairs.groupBy("stream_id", F.col("_m.seq").alias("_dep")).agg(F.max("seq").alias("_last"))
-    near = pairs.select("stream_id", "seq", "gap", F.col("_m.seq").alias("_dep")).join(wanted, ["stream_id", "_dep"])
-    ranked = F.array_sort(F.collect_list(F.struct("gap", "_dep", "_last")))
-    near = near.groupBy("stream_id", "seq").agg(ranked.alias("_c")).select("stream_id", "seq", F.col("_c._dep").alias("_deps"), F.col("_c._last").alias("_lasts"))
-
-    def step(pdf: pd.DataFrame, state: list | None) -> tuple[dict, list]:
-        taken, out = dict(state or []), []
-        for now, deps, lasts in zip(pdf["seq"].tolist(), pdf["_deps"], pdf["_lasts"], strict=True):
-            k = next((k for k, d in enumerate(deps) if d not in taken), None)
-            out.append(None if k is None else int(deps[k]))
-            if k is not None:
-                taken[int(deps[k])] = int(lasts[k])
-            taken = {d: last for d, last in taken.items() if last > now}
-        return {"_dep": pd.array(out, "Int64")}, sorted(taken.items())
-
-    chosen = scan.carried(near, ["stream_id"], ["seq"], "_dep bigint", step, slice_rows).filter("_dep IS NOT NULL").select("stream_id", "seq", "_dep")
-    found = chosen.join(dep.select(F.col("stream_id"), F.col("seq").alias("_dep"), F.struct(*dep.columns).alias("match")), ["stream_id", "_dep"]).drop("_dep")
+    kinds = {name: df.select(name).schema[0].dataType.simpleString() for name, df in (("stream_id", base), ("seq", dep), ("pts", dep))} | {"_base": base.schema["seq"].dataType.simpleString(), "_at": base.schema["pts"].dataType.simpleString()}
+    empty = {name: F.lit(0).cast(kinds[name]).alias(name) for name in ("seq", "pts", "_base", "_at")}
+    good = [df.filter(F.col("stream_id").isNotNull() & F.col("pts").isNotNull() & ~F.isnan(F.col("pts").cast("double"))) for df in (base, dep)]
+    asks = good[0].select("stream_id", empty["seq"], empty["pts"], F.col("seq").alias("_base"), F.col("pts").alias("_at"), F.lit(ASKS).alias("_kind"))
+    units = asks.unionByName(good[1].select("stream_id", "seq", "pts", empty["_base"], empty["_at"], F.lit(FREE).alias("_kind")))
+    time = F.when(F.col("_kind") == ASKS, F.col("_at")).otherwise(F.col("pts")).cast("double")
+    sizes = units.groupBy("stream_id").agg(F.min(time).alias("_from"), F.max(time).alias("_to"), F.ceil(F.count(F.lit(1)) / slice_rows).alias("_many"))
+    wide = F.greatest(F.lit(float(STRETCH * max(tolerance, 1))), 2.0 * F.ceil((F.col("_to") - F.col("_from") + 1) / F.col("_many") / 2))
+    sizes = save(sizes.select("stream_id", "_from", "_to", wide.alias("_wide")), "sizes")
+    state = ["_from", "_to", "_wide", "pts", "seq", "_base", "_at", "_kind"]
+    kinds |= {"_from": "double", "_to": "double", "_wide": "double", "_kind": "int"}
+    fields = ", ".join(f"{k} {kinds[k]}" for k in ["stream_id", *state])
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        """The rows of one stretch after its free base units have asked."""
+        stream, stretch, shift, start, end, wide = rows[0][:6]
+        here = sorted(r[6:] for r in rows if r[10] != ASKS)
+        low = start + wide * (stretch - shift)
+        high = low + wide
+        low, high = -math.inf if low <= start else low, math.inf if high > end else high
+        held = [r[2:4] if r[4] == HELD else None for r in here]
+        held, wait = _take([r[0] for r in here], [r[1] for r in here], held, [r[8:10] for r in rows if r[10] == ASKS], low, high, tolerance)
+        out = [(t, q, *(h or (0, 0)), HELD if h else FREE) for (t, q, *_), h in zip(here, held, strict=True)] + [(0, 0, *w, ASKS) for w in wait]
+        return [(stream, start, end, wide, *r) for r in out]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # streams are many and short as a rule, so a batch takes many of them; one may go on in the next batch
+        rows, out = [], []
+        for pdf in batches:
+            for key, group in groupby(zip(*(pdf[c].tolist() for c in ("stream_id", "_stretch", "_shift", *state)), strict=True), key=lambda r: r[:2]):
+                if rows and rows[0][:2] != key:
+                    out += solve(rows)
+                    rows = []
+                rows += group
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["stream_id", *state])
+                out = []
+        if rows:
+            out += solve(rows)
+        yield pd.DataFrame(out, columns=["stream_id", *state])
+
+    todo, done, shift = units.join(sizes, "stream_id"), [], 0.0
+    while True:
+        moved = F.when(F.col("_to") - F.col("_from") < F.col("_wide"), F.lit(0.0)).otherwise(F.lit(shift))
+        placed = todo.withColumn("_shift", moved).withColumn("_stretch", F.floor((time - F.col("_from")) / F.col("_wide") + F.col("_shift")))
+        now = save(placed.repartition("stream_id", "_stretch").sortWithinPartitions("stream_id", "_stretch").mapInPandas(run, fields), "paired")
+        open_ = save(now.filter(F.col("_kind") == ASKS).select("stream_id").distinct(), "open")
+        if open_.isEmpty():
+            break
+        done.append(now.join(open_, "stream_id", "left_anti"))
+        todo, shift = now.join(open_, "stream_id", "left_semi"), 0.5 - shift
+    pairs = reduce(DataFrame.unionByName, [*done, now]).filter(F.col("_kind") == HELD).select("stream_id", F.col("_base").alias("seq"), F.col("seq").alias("_dep"))
+    found = pairs.join(dep.select(F.col("stream_id"), F.col("seq").alias("_dep"), F.struct(*dep.columns).alias("match")), ["stream_id", "_dep"]).drop("_dep")
     return base.join(found, ["stream_id", "seq"], "left")
 
 

@@ -8,6 +8,7 @@ from functools import partial
 import pytest
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mediaspark.operators import frames, ranks, scan, sessions, telemetry, timeline
 
@@ -135,3 +136,21 @@ def test_thinned_equals_one_walk(spark):
     df = spark.createDataFrame(rows, "s int, k int, t_s double").repartition(3)
     for span in (24, 1024):
         assert sorted(map(repr, map(tuple, scan.thinned(df, ["s"], ["k"], "t_s", 0.5, span).collect()))) == sorted(map(repr, want))
+
+
+def test_pair_views_of_a_dense_stream_across_borders(spark):
+    """Two thousand pairs within the tolerance for each unit are never listed; a small slice makes rounds over borders."""
+    rng = random.Random(7)
+    base = [(s, k, rng.randrange(2500)) for s in (1, 2) for k in range(900)]
+    dep = [(s, k, rng.randrange(2500)) for s in (1, 2) for k in range(800)]
+    used, want = set(), {}
+    for s, q, t in base:
+        near = min(((abs(t - p), d) for r, d, p in dep if r == s and abs(t - p) <= 20 and (s, d) not in used), default=None)
+        want[s, q] = near and near[1]
+        used.add((s, want[s, q]))
+    assert sum(v is None for v in want.values()) > 100
+    frames = [spark.createDataFrame([*rows, (None, 5, 5), (1, 99_999, None)], "stream_id bigint, seq bigint, pts bigint").repartition(3) for rows in (base, dep)]
+    out = timeline.pair_views(*frames, tolerance=20, slice_rows=100).filter("stream_id IS NOT NULL AND pts IS NOT NULL").collect()
+    assert {(r["stream_id"], r["seq"]): r["match"] and r["match"]["seq"] for r in out} == want
+    plan = timeline.pair_views(*frames, tolerance=20)._jdf.queryExecution().toString()
+    assert "explode" not in plan
