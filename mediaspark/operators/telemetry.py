@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
 from . import ranks, scan
 
 
@@ -19,14 +20,15 @@ def parse_status(line: Column) -> Column:
 def steady(status: DataFrame, keys: list[str], order: list[str], names: list[str]) -> DataFrame:
     """Long numeric samples of running lines without the first of each session; an only sample stays."""
     w = Window.partitionBy(*keys)
-    rows = status.filter((F.col("m")["state"] == "running") & (F.coalesce(F.col("m")["fps"].try_cast("double"), F.lit(1.0)) != 0.0))
+    # exploding one struct keeps the filter behind it, so a line is parsed once and not for each use of its map
+    once = F.struct(F.col("m")["state"].alias("state"), F.col("m")["fps"].try_cast("double").alias("fps"), F.array(*[F.struct(F.lit(n).alias("name"), F.col("m")[n].try_cast("double").alias("value")) for n in names]).alias("pairs"))
+    rows = status.select(*keys, *order, F.explode(F.array(once)).alias("_m")).filter((F.col("_m.state") == "running") & (F.coalesce("_m.fps", F.lit(1.0)) != 0.0))
     rows = rows.withColumn("_row", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w)).filter("_row > 1 OR _n = 1")
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col("m")[n].try_cast("double").alias("value")) for n in names])
-    return rows.select(*keys, *order, F.explode(pairs).alias("s")).select(*keys, *order, "s.*").filter("value IS NOT NULL")
+    return rows.select(*keys, *order, F.explode("_m.pairs").alias("s")).select(*keys, *order, "s.*").filter("value IS NOT NULL")
 
 
 def steady_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
-    v = F.col("value")
+    v, samples = F.col("value"), save(samples, "steady")  # read twice
     stats = samples.groupBy(*keys, "name").agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
     return ranks.with_quantiles(stats, samples, [*keys, "name"], "value", {"median": 0.5})
 

@@ -138,6 +138,14 @@ def test_thinned_equals_one_walk(spark):
         assert sorted(map(repr, map(tuple, scan.thinned(df, ["s"], ["k"], "t_s", 0.5, span).collect()))) == sorted(map(repr, want))
 
 
+def test_steady_samples_parse_a_line_once(spark):
+    lines = spark.createDataFrame([(1, k, f"state=running fps={k} infer=2") for k in range(4)], "session int, k int, line string").withColumn("m", telemetry.parse_status(F.col("line")))
+    out = telemetry.steady(lines, ["session"], ["k"], ["fps"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1
+    assert [(r["k"], r["value"]) for r in telemetry.steady(lines, ["session"], ["k"], ["fps"]).orderBy("k").collect()] == [(2, 2.0), (3, 3.0)]  # 0 fps is no sample, the first one is left out
+
+
 def test_pair_views_of_a_dense_stream_across_borders(spark):
     """Two thousand pairs within the tolerance for each unit are never listed; a small slice makes rounds over borders."""
     rng = random.Random(7)
