@@ -20,6 +20,21 @@ SLICE = 100_000
 Step = Callable[[pd.DataFrame, list | None], tuple[dict, list]]
 
 
+#: Rows of a task that groups many small groups.
+DEALT = 500_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int = DEALT) -> DataFrame:
+    """``df`` dealt by a hash of its keys to as many tasks as it has times ``rows`` rows.
+
+    Groups of few rows shrink by no partial aggregate, so the table of groups in a task grows with its rows: a task has
+    a bounded number of them then, however large the input is. Groups by these keys need no other shuffle. Counting reads
+    the rows that ``df`` is made of; small tables keep the session's number of partitions.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
 def _same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, scan
 from .islands import runs_of
 
 MOST_S, BRIDGE_S, MOST_DISPARITY, MOST_SPREAD, LEAST_PAIRS = 8.0, 0.7, 0.15, 0.02, 2
@@ -65,11 +65,12 @@ def bitmap_depth(compositions: DataFrame) -> DataFrame:
     """Disparity of each display set of two like bitmaps, one in each half; sets without a plausible pair are left out."""
     half = F.col("canvas_w") / 2.0
     left = F.col("x") + F.col("w") / 2.0 < half
-    two = compositions.groupBy("track_id", "set_no").agg(
+    used = compositions.select("track_id", "set_no", "x", "y", "w", "h", "canvas_w", "image_hash")
+    two = scan.dealt(used, ["track_id", "set_no"]).groupBy("track_id", "set_no").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(left).alias("lefts"), (F.max("w") - F.min("w")).alias("dw"), (F.max("h") - F.min("h")).alias("dh"), (F.max("y") - F.min("y")).alias("dy"),
-        F.count_distinct("image_hash").alias("images"), F.max(F.when(left, F.col("x"))).alias("l"), F.max(F.when(~left, F.col("x") - half)).alias("r"), F.max("canvas_w").alias("cw"),
+        (F.min("image_hash") == F.max("image_hash")).alias("like"), F.max(F.when(left, F.col("x"))).alias("l"), F.max(F.when(~left, F.col("x") - half)).alias("r"), F.max("canvas_w").alias("cw"),
     )
-    pairs = two.filter("n = 2 AND lefts = 1 AND images = 1 AND dw <= 2 AND dh <= 2 AND dy <= 4 AND cw >= 2")
+    pairs = two.filter("n = 2 AND lefts = 1 AND like AND dw <= 2 AND dh <= 2 AND dy <= 4 AND cw >= 2")
     return pairs.withColumn("disparity", (F.col("l") - F.col("r")) / (F.col("cw") / 2.0)).filter(F.abs("disparity") <= MOST_DISPARITY).select("track_id", "set_no", "disparity")
 
 

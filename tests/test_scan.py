@@ -10,7 +10,7 @@ import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
-from mediaspark.operators import frames, ranks, scan, sessions, telemetry, timeline
+from mediaspark.operators import frames, ranks, scan, sessions, subtitles, telemetry, timeline
 
 
 def stream(n, seed, streams=2):
@@ -138,6 +138,17 @@ def test_thinned_equals_one_walk(spark):
         assert sorted(map(repr, map(tuple, scan.thinned(df, ["s"], ["k"], "t_s", 0.5, span).collect()))) == sorted(map(repr, want))
 
 
+def test_small_groups_are_dealt_by_rows(spark):
+    rows = spark.range(1000).selectExpr("id % 300 AS track_id", "id DIV 300 AS set_no", "CAST(if(id % 2 = 0, 200, 1160) AS DOUBLE) AS x", "0 AS y", "300 AS w", "40 AS h", "1920 AS canvas_w", "7 AS image_hash")
+    assert scan.dealt(rows, ["track_id"], 100).rdd.getNumPartitions() == 10
+    plan = subtitles.bitmap_depth(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # one shuffle, of rows
+    assert "partial_" not in plan.split("Exchange", 1)[1]  # and no table of groups before it
+    pairs = [(1, 1, x, 0, 300, 40, 1920, h) for x, h in ((200.0, 7), (1164.0, 7))] + [(1, 2, x, 0, 300, 40, 1920, h) for x, h in ((200.0, 7), (1160.0, 8))] + [(2, 1, x, 0, 300, 40, 1920, None) for x in (200.0, 1160.0)]
+    out = subtitles.bitmap_depth(spark.createDataFrame(pairs, "track_id int, set_no int, x double, y int, w int, h int, canvas_w int, image_hash int")).collect()
+    assert [(r["track_id"], r["set_no"], r["disparity"]) for r in out] == [(1, 1, -4 / 960)]
+
+
 def test_steady_samples_parse_a_line_once(spark):
     lines = spark.createDataFrame([(1, k, f"state=running fps={k} infer=2") for k in range(4)], "session int, k int, line string").withColumn("m", telemetry.parse_status(F.col("line")))
     out = telemetry.steady(lines, ["session"], ["k"], ["fps"])
