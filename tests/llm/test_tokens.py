@@ -163,6 +163,21 @@ def test_rows_of_a_word_get_the_same_ids(spark):
     assert len(got) == len(words)
 
 
+def test_a_block_and_a_part_are_one_row(spark, monkeypatch):
+    """Words and ids go compressed, by block and part, not as a row for each word."""
+    monkeypatch.setattr(word_bpe, "BLOCK", 100)
+    made = word_bpe._dealt([b"to be or not to be", b"", b"be"], 1)
+    assert made["n_keys"].to_pylist() == [4] and [len(k) for k in made["keys"].to_pylist()] == [1]
+    texts = [*ODD, *(" ".join(f"w{k * j % 97}" for j in range(60)) for k in range(40))]
+    seen = []
+    encode_parts = word_bpe.encode_parts
+    monkeypatch.setattr(word_bpe, "encode_parts", lambda entries, *a: seen.append(entries) or encode_parts(entries, *a))
+    out = {r["doc_id"]: r for r in word_bpe.encode_decode(documents(spark, texts), tokenizer_path(WORDS)).collect()}
+    check_words(out, dict(enumerate(texts)))
+    entries = seen[0].collect()
+    assert len({r["block"] for r in entries}) > 5 and len({(r["block"], r["part"]) for r in entries}) == len(entries)
+
+
 def test_decode_by_join(spark):
     rows = spark.createDataFrame([(1, [320, 49407, 320]), (2, []), (3, None), (4, [10**6, 320])], "k int, ids array<int>")
     library = word_bpe._tokenizer(tokenizer_path(WORDS))
