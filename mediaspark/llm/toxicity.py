@@ -183,16 +183,14 @@ def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5, names: tuple[
     """
     model = train(docs, labels)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for i, j, data, offsets in text.chunks(batch.column(at)):
-                out[i:j] = model.severity(*model.present(*features(data, offsets)), j - i)
-            yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), pa.array(out)], [*batch.schema.names, names[0]])
-
-    plain = docs.drop(*names)
-    at = plain.columns.index("text")
-    scored = plain.mapInArrow(predict, plain.withColumn(names[0], F.lit(0.0)).schema)
+    @F.arrow_udf("double")  # only texts go to Python and only numbers come back, whatever other columns hold
+    def predict(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts))
+        for i, j, data, offsets in text.chunks(texts):
+            out[i:j] = model.severity(*model.present(*features(data, offsets)), j - i)
+        return pa.array(out)
+
+    scored = docs.drop(*names).withColumn(names[0], predict("text"))
     return scored.withColumn(names[1], F.col(names[0]) >= reject)
 
 

@@ -640,3 +640,15 @@ def test_rows_of_the_tables(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()} == want
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()} == brute.near_duplicates(texts)
     assert docs.filter(F.col("text").isNull()).count() == 0
+
+
+def test_toxicity_sends_texts_alone_to_python(spark):
+    """Other columns stay with Spark, and what comes back is a number for each row."""
+    docs = spark.createDataFrame([(k, f"{'vile ' * (k % 3 == 0)}words number {k}", b"x" * 100) for k in range(60)], "doc_id long, text string, raw binary")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+    out = toxicity.score(docs, labels)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    assert out.columns == ["doc_id", "text", "raw", "severity", "rejected"]
+    assert {r["doc_id"] for r in out.filter("rejected").collect()} == set(range(0, 60, 3))
+    assert {r["doc_id"] for r in toxicity.keep_civil(docs, labels).collect()} == {k for k in range(60) if k % 3}
