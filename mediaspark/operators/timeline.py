@@ -195,25 +195,41 @@ def locate(times: DataFrame, segments: DataFrame, by: list[str], slice_ms: float
 
 
 def extents_cumulative(base: DataFrame, dep: DataFrame, totals: DataFrame) -> DataFrame:
-    """Start packet of each interleaved unit: the lengths of all extents of both streams before it.
+    """Base extents with ``unit_packet``, the start packet of the interleaved unit: the lengths of all extents of both streams before it.
 
-    ``base`` and ``dep`` hold (clip, ext_no, start); the last extent ends at the stream's total, or has no length.
+    ``base`` and ``dep`` hold (clip, ext_no, start), one row for each extent; the last extent ends at the stream's total,
+    or has no length. A base extent without a dependent one has no unit and counts for none. All rows of a clip are
+    dealt once, by the clip; every later step has them there.
     """
-    w = Window.partitionBy("clip").orderBy("ext_no")
+    none = F.lit(None).cast("bigint")
+    side = lambda df, k: df.select("clip", F.lit(k).alias("_side"), "ext_no", F.col("start").cast("bigint").alias("start"), none.alias("_base"), none.alias("_dep"))
+    ends = totals.select("clip", F.lit(2).alias("_side"), none.alias("ext_no"), none.alias("start"), F.col("base_total").cast("bigint").alias("_base"), F.col("dep_total").cast("bigint").alias("_dep"))
+    rows = side(base, 0).unionByName(side(dep, 1)).unionByName(ends).filter("clip IS NOT NULL").repartition("clip")
+    whole = Window.partitionBy("clip")
+    total = F.when(F.col("_side") == 0, F.max("_base").over(whole)).otherwise(F.max("_dep").over(whole))
+    end = F.coalesce(F.lead("start").over(Window.partitionBy("clip", "_side").orderBy("ext_no")), total, F.col("start"))
+    sized = rows.withColumn("_len", F.greatest(F.lit(0), end - F.col("start"))).filter("_side < 2")
+    dep_len = F.max(F.when(F.col("_side") == 1, F.col("_len"))).over(Window.partitionBy("clip", "ext_no"))
+    met = sized.withColumn("_dep_len", F.when(F.col("ext_no").isNotNull(), dep_len)).filter("_side = 0")
+    before = Window.partitionBy("clip").orderBy("ext_no").rowsBetween(Window.unboundedPreceding, -1)
+    unit = F.coalesce(F.sum(F.col("_len") + F.col("_dep_len")).over(before), F.lit(0))
+    return met.select("clip", "ext_no", "start", F.when(F.col("_dep_len").isNotNull(), unit).alias("unit_packet"))
 
-    def sized(df: DataFrame, total: str) -> DataFrame:
-        met = df.join(totals, "clip", "left")
-        end = F.coalesce(F.lead("start").over(w), F.col(total), F.col("start"))
-        return met.select("clip", "ext_no", F.col("start"), F.greatest(F.lit(0), end - F.col("start")).alias("len"))
 
-    both = sized(base, "base_total").join(sized(dep, "dep_total").select("clip", "ext_no", F.col("len").alias("dep_len")), ["clip", "ext_no"])
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("clip", "ext_no", "start", F.coalesce(F.sum(F.col("len") + F.col("dep_len")).over(before), F.lit(0)).alias("unit_packet"))
+#: Clips with sync points that may be sent to every task.
+ASKED = 1_000_000
 
 
 def seek_table(points: DataFrame, base: DataFrame, dep: DataFrame, totals: DataFrame, slice_packets: float = 1 << 24) -> DataFrame:
-    """Sync points (clip, pts_ms, byte_off) with the interleaved byte of the unit that holds each."""
-    every = base.select("clip", "ext_no", "start").join(extents_cumulative(base, dep, totals).drop("start"), ["clip", "ext_no"], "left")
+    """Sync points (clip, pts_ms, byte_off) with the interleaved byte of the unit that holds each.
+
+    Extents of clips that no point asks for are left out before they are dealt; units are written once, as the as-of join
+    reads them several times.
+    """
+    asked = save(points.select("clip").filter("clip IS NOT NULL").distinct(), "asked")
+    if asked.count() <= ASKED:
+        base, dep, totals = (df.join(F.broadcast(asked), "clip", "left_semi") for df in (base, dep, totals))
+    every = save(extents_cumulative(base, dep, totals), "units")
     at = points.withColumn("packet", F.floor(F.col("byte_off") / 192).cast("bigint"))
     met = asof.asof(at, every.withColumnRenamed("start", "packet"), ["clip"], "packet", slice_packets, tie=["ext_no"])
     return met.filter("match.unit_packet IS NOT NULL").select("clip", "pts_ms", F.col("match.ext_no").alias("ext_no"), (F.col("match.unit_packet") * 192).alias("ssif_byte"))
