@@ -24,6 +24,11 @@ Step = Callable[[pd.DataFrame, list | None], tuple[dict, list]]
 DEALT = 500_000
 
 
+def tasks_for(df: DataFrame, rows: int = DEALT) -> int:
+    """As many tasks as ``df`` has times ``rows`` rows, at least the session's number of partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def dealt(df: DataFrame, keys: list[str], rows: int = DEALT) -> DataFrame:
     """``df`` dealt by a hash of its keys to as many tasks as it has times ``rows`` rows.
 
@@ -31,8 +36,7 @@ def dealt(df: DataFrame, keys: list[str], rows: int = DEALT) -> DataFrame:
     a bounded number of them then, however large the input is. Groups by these keys need no other shuffle. Counting reads
     the rows that ``df`` is made of; small tables keep the session's number of partitions.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+    return df.repartition(tasks_for(df, rows), *keys)
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:

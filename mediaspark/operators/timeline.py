@@ -284,18 +284,23 @@ def reassemble(datagrams: DataFrame, arrival: str = "rx") -> DataFrame:
     begins anew. A unit is complete with as many distinct fragments as its first datagram says; of a fragment that comes
     twice the last counts, and what follows a complete unit begins another. Ids alone are walked through; payloads
     are only gathered for complete units.
+
+    Datagrams are dealt by ranges of session and arrival, as many as they need, so a long session is many tasks; a run of
+    one seq that goes on in the next range keeps the number of its first row.
     """
     from .frames import recurrence
 
-    good = valid_fragments(datagrams)
     order = [arrival, "seq", "frag_idx"]
-    runs = runs_of(good.select("session", *order, "frag_cnt"), ["session"], order, F.col("seq"))
+    tasks = scan.tasks_for(datagrams)
+    sorted_ = valid_fragments(datagrams).repartitionByRange(tasks, "session", *order).sortWithinPartitions("session", *order)
+    good = save(sorted_.withColumn("_id", F.monotonically_increasing_id()), "fragments")
+    runs = _runs_of_seq(good.select("session", "seq", "frag_idx", "frag_cnt", "_id", F.shiftright("_id", 33).alias("_range")).repartition(tasks, "session", "_range"))
     # each run of equal seq begins without state, so a long session is walked in stretches of runs
-    runs = runs.withColumn("_stretch", F.floor(F.col("run") / 4096))
+    runs = runs.withColumn("_stretch", F.shiftright("_run", 14)).repartition(tasks, "session", "_stretch")
 
     def units(pdf):
         unit, have, need, run, out, done = 0, set(), 0, None, [], []
-        for r, i, n in zip(pdf["run"], pdf["frag_idx"], pdf["frag_cnt"], strict=True):
+        for r, i, n in zip(pdf["_run"], pdf["frag_idx"], pdf["frag_cnt"], strict=True):
             if r != run or not have:
                 run, have, need, unit = r, set(), n, unit + 1
                 done.append(False)
@@ -305,15 +310,34 @@ def reassemble(datagrams: DataFrame, arrival: str = "rx") -> DataFrame:
                 done[-1], have = True, set()
         return {"_unit": out, "_done": [done[u - 1] for u in out]}
 
-    marked = recurrence(runs, ["session", "_stretch"], order, "_unit int, _done boolean", units).filter("_done")
-    keys = ["session", *order]
-    met = marked.select(*keys, "_stretch", "_unit").join(good, keys)
-    last = met.groupBy("session", "_stretch", "_unit", "seq", "frag_idx").agg(F.max_by("payload", arrival).alias("payload"))
+    narrow = runs.select("session", "_stretch", "_run", "frag_idx", "frag_cnt", "_id")
+    marked = recurrence(narrow, ["session", "_stretch"], ["_id"], "_unit int, _done boolean", units).filter("_done")
+    met = marked.select("_id", "_stretch", "_unit").repartition(tasks, "_id").join(good.repartition(tasks, "_id"), "_id")
+    met = met.select("session", "_stretch", "_unit", "seq", "frag_idx", "_id", "payload").repartition(tasks, "session", "_stretch", "_unit")
+    last = met.groupBy("session", "_stretch", "_unit", "seq", "frag_idx").agg(F.max_by("payload", "_id").alias("payload"))
     parts = F.array_sort(F.collect_list(F.struct("frag_idx", "payload")))
     whole = last.groupBy("session", "_stretch", "_unit", "seq").agg(F.count(F.lit(1)).alias("fragments"), parts.alias("_p"))
     return whole.select("session", "seq", "fragments", F.array_join("_p.payload", "").alias("payload"))
 
 
+def _runs_of_seq(rows: DataFrame) -> DataFrame:
+    """``rows`` (session, seq, _id, _range) with ``_run``: the _id of the first row of its run of one seq, across ranges."""
+    w = Window.partitionBy("session", "_range").orderBy("_id")
+    starts = F.lag("_id").over(w).isNull() | ~F.lag("seq").over(w).eqNullSafe(F.col("seq"))
+    local = rows.withColumn("_start", F.when(starts, F.col("_id")))
+    heads = local.groupBy("session", "_range").agg(F.min_by("seq", "_id").alias("_first"), F.max_by("seq", "_id").alias("_last"), F.min("_id").alias("_from"), F.max("_start").alias("_own"), F.count("_start").alias("_n"))
+    by = Window.partitionBy("session").orderBy("_range")
+    heads = heads.withColumn("_goes_on", F.lag("_range").over(by).isNotNull() & F.lag("_last").over(by).eqNullSafe(F.col("_first")))
+    begun = F.last(F.when((F.col("_n") > 1) | ~F.col("_goes_on"), F.col("_own")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    heads = heads.withColumn("_begun", begun).withColumn("_before", F.when(F.col("_goes_on"), F.lag("_begun").over(by)))
+    changed = save(heads.filter("_before IS NOT NULL").select("_range", "_from", "_before"), "heads")
+    run = F.last("_start", ignorenulls=True).over(w)
+    numbered = local.withColumn("_run", run)
+    # at most one run of each range goes on, the first of its session there
+    met = numbered.join(F.broadcast(changed.withColumnRenamed("_from", "_run").drop("_range")), "_run", "left")
+    return met.withColumn("_run", F.coalesce("_before", "_run")).drop("_start", "_before")
+
+
 def av_action(frames: DataFrame, clock: DataFrame, offset_s: float = 0.0, slice_s: float = 3600) -> DataFrame:
     """What to do with each frame against the last audio clock: drop, ease, hold, nudge or none, and by how much."""
     met = asof.asof(frames, clock, ["session"], "t", slice_s)

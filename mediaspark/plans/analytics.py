@@ -450,7 +450,7 @@ _UNITS = fold(
 
 @query(_UNITS)
 def st_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.reassemble(view(spark, sf_dir, "live_datagrams"), "arrival")
+    return timeline.reassemble(view(spark, sf_dir, "live_datagrams", {"lineitem": "l_orderkey"}), "arrival")
 
 
 @query("""WITH r AS (SELECT media_key, field, arg_max(coalesce(value, '~'), updated) AS value, max(updated) AS updated FROM memory GROUP BY ALL), k AS (SELECT media_key, max(updated) AS updated, string_agg(field || '=' || value, ';' ORDER BY field) FILTER (WHERE value <> '~') AS fields FROM r GROUP BY media_key)

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import scan
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -86,17 +88,19 @@ def with_views(sql: str) -> str:
     return f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None) -> DataFrame:
     """A view as a DataFrame; only the columns that a query uses are read."""
-    return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
+    return run_sql(spark, sf_dir, f"SELECT * FROM {name}", dealt)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """``dealt`` names the key by which a base table's rows are dealt beforehand, to as many tasks as they need: windows by that key then sort a bounded number of rows."""
     full = with_views(sql)
     used = [b for b in BASE if re.search(rf"\b(?:FROM|JOIN)\s+{b}\b", full)]
     marked = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", full) if used else full
-    return spark.sql(marked, **{b: table(spark, sf_dir, b) for b in used})
+    tables = {b: table(spark, sf_dir, b) for b in used}
+    return spark.sql(marked, **{b: scan.dealt(t, [dealt[b]]) if b in (dealt or {}) else t for b, t in tables.items()})
