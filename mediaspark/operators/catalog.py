@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, stereo
+from ..scratch import save
 from .ranks import top_rows
 
 PRIORITY = {"none": 0, "tab": 1, "anaglyph": 1, "sbs": 2, "mvc": 3}
 DECOY_REPLAY = 1.5
+#: Clips whose paths may be sent to every task.
+PATHS = 1_000_000
 
 
 def durations(segments: DataFrame) -> DataFrame:
@@ -60,12 +63,18 @@ def prefer_3d(lists: DataFrame) -> DataFrame:
     def arrange(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values("rank").itertuples(index=False))
         first = rows[0].rank
+        spots = [k for k, r in enumerate(rows) if r.has_3d]  # those still ahead; what moves forward is not met again
         for i in range(len(rows)):
             here = rows[i]
+            if spots and spots[0] <= i:
+                del spots[0]
+            if not spots:
+                break
             if here.has_3d:
                 continue
-            later = (j for j in range(i + 1, len(rows)) if rows[j].has_3d and (rows[j].sequence == here.sequence or (here.duration_s > 0 and abs(rows[j].duration_s - here.duration_s) <= 0.01 * here.duration_s)))
-            if (j := next(later, None)) is not None:
+            same = lambda r: r.sequence == here.sequence or (here.duration_s > 0 and abs(r.duration_s - here.duration_s) <= 0.01 * here.duration_s)  # noqa: B023, E731
+            if (k := next((k for k, j in enumerate(spots) if same(rows[j])), None)) is not None:
+                j = spots.pop(k)
                 rows[i], rows[j] = rows[j], rows[i]
         return pd.DataFrame([(r.disc_id, r.playlist, r.decoy, first + k) for k, r in enumerate(rows)], columns=["disc_id", "playlist", "decoy", "rank"])
 
@@ -97,10 +106,14 @@ def main_feature(segments: DataFrame, clips: DataFrame, extension: DataFrame | N
 
     ``extension`` lists the playlists (disc_id, playlist) with the 3D extension; among equivalent ones they rank first,
     within decoys and non-decoys each. Segments are read once: repeats are combined first, then clips of both kinds are
-    met and each playlist is one row.
+    met and each playlist is one row, which is written, as the ranking reads it twice. Few clips may have most of the
+    segments, so their paths are sent to every task unless they are over ``PATHS`` clips.
     """
     on = _on(clips)
     paths = clips.filter(F.col("kind").isin("ssif", "m2ts")).groupBy(*on).agg(*[F.min(F.when(F.col("kind") == k, F.col("path"))).alias(f"_{k}") for k in ("ssif", "m2ts")])
+    paths = save(paths, "paths")
+    if paths.count() <= PATHS:
+        paths = F.broadcast(paths)
     length = F.col("out_45k") - F.col("in_45k")
     item = F.xxhash64("item_no", "clip", "in_45k", "out_45k"), F.xxhash64("out_45k", "clip", "item_no", "in_45k")
     distinct = segments.groupBy("disc_id", "playlist", "clip", "in_45k", "out_45k").agg(F.count(F.lit(1)).alias("n"), F.min("item_no").alias("_first"), *[F.bit_xor(h).alias(f"_h{k}") for k, h in enumerate(item)])
@@ -109,6 +122,7 @@ def main_feature(segments: DataFrame, clips: DataFrame, extension: DataFrame | N
     sums = [(total / 45000.0).alias("duration_s"), F.sum("n").alias("items"), total.alias("_total"), once.alias("_once"), F.struct(F.bit_xor("_h0"), F.bit_xor("_h1")).alias("sequence")]
     lists = distinct.join(paths, on, "left").groupBy("disc_id", "playlist").agg(*sums, *found)
     lists = lists.withColumn("decoy", (F.col("items") > 1) & (F.col("_once") > 0) & (F.col("_total") > DECOY_REPLAY * F.col("_once")))
+    lists = save(lists, "lists")
     if extension is None:
         order = Window.partitionBy("disc_id").orderBy("decoy", F.col("duration_s").desc(), "playlist")
         lists = lists.withColumn("rank", F.row_number().over(order))

@@ -48,7 +48,7 @@ PREFERRED = f"""{LISTS}, groups AS ({_LISTED}),
     SELECT disc_id, phase, kind, playlist, path, clips, duration_s FROM (SELECT *, row_number() OVER (PARTITION BY disc_id ORDER BY phase, decoy, rank) AS k FROM every) x WHERE k = 1""")
 def main_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     extension = run_sql(spark, sf_dir, "SELECT DISTINCT l_orderkey % 100 AS disc_id, l_orderkey AS playlist FROM lineitem WHERE l_orderkey % 5 = 0")
-    return catalog.main_feature(view(spark, sf_dir, "segments"), view(spark, sf_dir, "both_clips"), extension)
+    return catalog.main_feature(view(spark, sf_dir, "segments", {"lineitem": "l_orderkey"}), view(spark, sf_dir, "both_clips"), extension)
 
 
 @query("SELECT kind, arg_min(path, (-size_bytes, path)) AS path, max(size_bytes) AS size_bytes FROM both_clips GROUP BY kind")
