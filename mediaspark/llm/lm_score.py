@@ -93,6 +93,36 @@ def _log_softmax(scores: np.ndarray) -> np.ndarray:
     return scores
 
 
+def _tame(weights: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether exponentials of scores neither overflow nor vanish in any row: what weights ``(words, HIDDEN)`` multiply lies within -1 and 1."""
+    reach = np.abs(weights) @ np.ones(weights.shape[-1], weights.dtype)
+    return bool((biases + reach).max() < 80 and (biases - reach).max(-1).min() > -80)
+
+
+def _exps(scores: np.ndarray, tame: bool) -> np.ndarray:
+    """Sum of each row's exponentials, which take the place of ``scores``, and of a row's largest score taken off unless they are ``tame``."""
+    if not tame:
+        scores -= scores.max(1, keepdims=True)
+    np.exp(scores, out=scores)
+    return scores @ np.ones(scores.shape[1], scores.dtype)  # quicker than a sum by row
+
+
+def _miss(scores: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
+    """Softmax of each row less 1 at its own place, in place."""
+    total = _exps(scores, tame)
+    scores /= total[:, None]
+    scores[np.arange(len(at)), at] -= 1
+    return scores
+
+
+def _log_at(scores: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
+    """Log softmax of each row at its own place; ``scores`` are used up."""
+    if not tame:
+        scores -= scores.max(1, keepdims=True)
+    own = scores[np.arange(len(at)), at]
+    return own - np.log(_exps(scores, True))
+
+
 @dataclass
 class Network:
     """Embeddings of the words around are turned by their place, summed and squashed; one layer predicts the class, one the word in its group."""
@@ -119,63 +149,87 @@ class Network:
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         return cls([x.reshape(s).astype(np.float32) for x, s in zip(np.split(values, ends[:-1]), shapes, strict=True)])
 
+    def around(self, sides: np.ndarray) -> np.ndarray:
+        """The embeddings of the words around each word, side by side."""
+        return self.parts[0].take(sides.T, axis=0).reshape(sides.shape[1], -1)
+
     def hidden(self, sides: np.ndarray) -> np.ndarray:
-        table, turns = self.parts[:2]
-        total = table[sides[0]] @ turns[0]
-        for k in range(1, len(sides)):
-            total += table[sides[k]] @ turns[k]
-        return np.tanh(total)
+        return np.tanh(self.around(sides) @ self.parts[1].reshape(-1, HIDDEN))
 
     def classes(self, hidden: np.ndarray) -> np.ndarray:
         """log P of each class."""
         return _log_softmax(hidden @ self.parts[2] + self.parts[3])
 
-    def _by_group(self, kind: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(groups + 1))
-        for g in range(groups):
-            if ends[g + 1] > ends[g]:
-                yield g, order[ends[g] : ends[g + 1]]
-
     def words(self, hidden: np.ndarray, g: int) -> np.ndarray:
         """log P of each word of a group."""
         return _log_softmax(hidden @ self.parts[4][g].T + self.parts[5][g])
 
+    def _by_group(self, kind: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]], int]:
+        """The rows' order by class, where each group that has rows begins and ends there, and where the last one ends."""
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(groups + 1)).tolist()
+        return order, [(g, a, b) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b], ends[-1]
+
+    def _of_classes(self, hidden: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Scores of the classes, and whether they are tame."""
+        return hidden @ self.parts[2] + self.parts[3], _tame(self.parts[2].T, self.parts[3])
+
+    def _in_groups(self, hidden: np.ndarray, kind: np.ndarray, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, bool]:
+        """Scores of the words of each row's group, for rows in the order of their groups, and whether they are tame."""
+        scores = np.empty((len(hidden), self.parts[5].shape[1]), hidden.dtype)
+        for g, a, b in spans:
+            np.matmul(hidden[a:b], self.parts[4][g].T, out=scores[a:b])
+        scores += self.parts[5].take(kind, axis=0)
+        return scores, _tame(self.parts[4], self.parts[5])
+
     def log_p(self, sides: np.ndarray, kind: np.ndarray, slot: np.ndarray, groups: int) -> np.ndarray:
         """log P(class) + log P(word | group) of each row's own word."""
-        hidden = self.hidden(sides)
-        out = self.classes(hidden)[np.arange(len(kind)), kind]
-        for g, rows in self._by_group(kind, groups):
-            out[rows] += self.words(hidden[rows], g)[np.arange(len(rows)), slot[rows]]
+        order, spans, m = self._by_group(kind, groups)
+        kind = kind[order]
+        hidden = self.hidden(sides[:, order])
+        scores, tame = self._of_classes(hidden)
+        logs = _log_at(scores, kind, tame)
+        scores, tame = self._in_groups(hidden[:m], kind[:m], spans)
+        logs[:m] += _log_at(scores, slot[order[:m]], tame)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def learn(self, sides: np.ndarray, kind: np.ndarray, slot: np.ndarray, groups: int, squares: list[np.ndarray]) -> None:
-        """One Adagrad step on the mean cross entropy of a batch."""
+        """One Adagrad step on the mean cross entropy of a batch; words that stand beside none of its words stay as they are."""
         table, turns, out, _, words, _ = self.parts
         n = len(kind)
-        hidden = self.hidden(sides)
-        off = np.exp(self.classes(hidden))
-        off[np.arange(n), kind] -= 1
+        order, spans, m = self._by_group(kind, groups)
+        kind, slot, sides = kind[order], slot[order[:m]], sides[:, order]
+        around, turn = self.around(sides), turns.reshape(-1, HIDDEN)
+        hidden = np.tanh(around @ turn)
+        scores, tame = self._of_classes(hidden)
+        off = _miss(scores, kind, tame)
         back = off @ out.T
-        grads = [np.zeros_like(p) for p in self.parts]
-        grads[2], grads[3] = hidden.T @ off, off.sum(0)
-        for g, rows in self._by_group(kind, groups):
-            some = hidden[rows]
-            miss = np.exp(self.words(some, g))
-            miss[np.arange(len(rows)), slot[rows]] -= 1
-            grads[4][g], grads[5][g] = miss.T @ some, miss.sum(0)
-            back[rows] += miss @ words[g]
+        by_word, by_slot = np.zeros_like(words), np.zeros_like(self.parts[5])
+        one = np.ones(n, hidden.dtype)
+        if m:
+            scores, tame = self._in_groups(hidden[:m], kind[:m], spans)
+            miss = _miss(scores, slot, tame)
+            for g, a, b in spans:
+                np.matmul(miss[a:b].T, hidden[a:b], out=by_word[g])
+                np.matmul(one[a:b], miss[a:b], out=by_slot[g])
+                back[a:b] += miss[a:b] @ words[g]
         back *= 1 - hidden * hidden
-        pulls = []
-        for k, ids in enumerate(sides):
-            grads[1][k] = table[ids].T @ back
-            pulls.append(back @ turns[k].T)
-        at = sides.astype(np.int64).reshape(-1, 1) * HIDDEN + np.arange(HIDDEN)
-        grads[0] = np.bincount(at.ravel(), np.concatenate(pulls).ravel(), table.size).astype(np.float32).reshape(table.shape)
-        for p, g, s in zip(self.parts, grads, squares, strict=True):
+        ids = sides.T.ravel()
+        place = np.argsort(ids, kind="stable")
+        ids = ids[place]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        pulls = np.add.reduceat((back @ turn.T).reshape(-1, HIDDEN).take(place, axis=0), first, axis=0)
+        grads = (around.T @ back).reshape(turns.shape), hidden.T @ off, one @ off, by_word, by_slot
+        for p, g, s in zip(self.parts[1:], grads, squares[1:], strict=True):
             g /= n
             s += g * g
             p -= RATE * g / (np.sqrt(s) + 1e-7)
+        pulls /= n
+        met = ids[first]
+        squares[0][met] += pulls * pulls
+        table[met] -= RATE * pulls / (np.sqrt(squares[0][met]) + 1e-7)
 
 
 @dataclass

@@ -164,6 +164,75 @@ def test_lm_beats_word_frequencies_on_held_out_texts(spark):
     assert mean(model) > lm_score.apply(model, swapped).agg(F.sum("pll") / F.sum("n_tokens")).first()[0] + 0.3
 
 
+def plain_lm_step(net, sides, kind, slot, groups, squares):
+    """The Adagrad step in its plain form: log softmax, then its exponentials, group by group, and every weight once a batch."""
+    table, turns, out, _, words, _ = net.parts
+    n = len(kind)
+    hidden = np.tanh(sum(table[ids] @ turn for ids, turn in zip(sides, turns)))
+    off = np.exp(net.classes(hidden))
+    off[np.arange(n), kind] -= 1
+    back = off @ out.T
+    grads = [np.zeros_like(p) for p in net.parts]
+    grads[2], grads[3] = hidden.T @ off, off.sum(0)
+    for g in range(groups):
+        rows = np.flatnonzero(kind == g)
+        if len(rows):
+            miss = np.exp(net.words(hidden[rows], g))
+            miss[np.arange(len(rows)), slot[rows]] -= 1
+            grads[4][g], grads[5][g] = miss.T @ hidden[rows], miss.sum(0)
+            back[rows] += miss @ words[g]
+    back *= 1 - hidden * hidden
+    for k, ids in enumerate(sides):
+        grads[1][k] = table[ids].T @ back
+    at = sides.astype(np.int64).reshape(-1, 1) * lm_score.HIDDEN + np.arange(lm_score.HIDDEN)
+    pulls = np.concatenate([back @ turn.T for turn in turns])
+    grads[0] = np.bincount(at.ravel(), pulls.ravel(), table.size).astype(np.float32).reshape(table.shape)
+    for p, g, s in zip(net.parts, grads, squares):
+        g /= n
+        s += g * g
+        p -= lm_score.RATE * g / (np.sqrt(s) + 1e-7)
+
+
+def lm_batches(seed=5, n=4_096, steps=12):
+    rng = np.random.default_rng(seed)
+    counts = np.floor(1e7 / np.arange(1, 60_001) ** 1.1)
+    v = lm_score.Vocabulary.of(np.sort(rng.choice(1 << 40, len(counts), False)), rng.permutation(counts), 10.0)
+    made = []
+    for _ in range(steps):
+        kind, slot, context, _, _ = v.look(v.keys[rng.choice(len(counts), n, p=counts[np.argsort(rng.permutation(len(counts)))] / counts.sum())])
+        made.append((lm_score.sides_of(context, np.array([0, n // 3, n]), v.edge), kind, slot))
+    return v, made
+
+
+def test_lm_step_is_the_plain_one_in_less_time():
+    """The same weights and scores as the plain step gives, in at most 0.85 of its CPU time, with large scores as well."""
+    v, made = lm_batches()
+    took = {}
+    nets = {}
+    for name, step in (("plain", plain_lm_step), ("own", lm_score.Network.learn)):
+        took[name] = float("inf")
+        for _ in range(3):
+            net = lm_score.Network.fresh(v)
+            squares = [np.full_like(p, 1e-4) for p in net.parts]
+            began = time.thread_time()
+            for batch in made:
+                step(net, *batch, v.groups, squares)
+            took[name] = min(took[name], time.thread_time() - began)
+        nets[name] = net
+    for a, b in zip(nets["plain"].parts, nets["own"].parts):
+        assert np.abs(a - b).max() < 1e-3
+    for scale in (1, 300):  # scores of hundreds overflow unless the largest is taken off
+        net = lm_score.Network([p * scale for p in nets["own"].parts])
+        sides, kind, slot = made[0]
+        hidden = net.hidden(sides)
+        want = net.classes(hidden)[np.arange(len(kind)), kind]
+        for k in np.flatnonzero(kind < v.groups):
+            want[k] += net.words(hidden[k : k + 1], kind[k])[0, slot[k]]
+        got = net.log_p(sides, kind, slot, v.groups)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    assert took["own"] < 0.85 * took["plain"]
+
+
 def near_texts():
     rng = random.Random(2)
     base = sentence(rng, 150).split()
