@@ -221,6 +221,7 @@ def _by_blocks(open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classed(docs: DataFrame) -> DataFrame:
     """The row key (_k1, _k2) of doc_id and text with what ``near_duplicates`` returns, one row for each of ``docs``."""
+    util.bound_batches(docs.sparkSession)
     signed = util.save(_signed(docs), "signed")
     worded = signed.filter("s1 IS NOT NULL AND doc_id IS NOT NULL")
     first = F.struct("doc_id", "_k1", "_k2")

@@ -248,6 +248,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, planner: Callable =
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
+    util.bound_batches(spark)
     cut = util.save(pieces(docs, tokenizer, size), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     used: dict[int, int] = {}

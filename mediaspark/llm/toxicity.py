@@ -181,6 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, reject: float = 0.5, names: tuple[
     of both kinds nothing is rejected. Features that are equally telling rank by hash; repeated rows get equal results,
     an empty table an empty one.
     """
+    util.bound_batches(docs.sparkSession)
     model = train(docs, labels)
 
     @F.arrow_udf("double")  # only texts go to Python and only numbers come back, whatever other columns hold

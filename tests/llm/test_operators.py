@@ -9,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mediaspark.llm import decontaminate, ego_join, graph, html_extract, kd_shard, lm_score, minhash, packing, secrets, toxicity, url_filter
+from mediaspark.llm import decontaminate, ego_join, graph, html_extract, kd_shard, lm_score, minhash, packing, secrets, toxicity, url_filter, util
 from mediaspark.llm.queries import tokenizer_path
 
 from . import brute
@@ -233,6 +234,22 @@ def test_lm_step_is_the_plain_one_in_less_time():
     assert took["own"] < 0.85 * took["plain"]
 
 
+def test_whole_texts_reach_python_in_bounded_batches(spark):
+    """Scoring, near duplicates and packing hand workers a few megabytes of text at a time, however many rows a task has."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 3000).alias("text"))
+    weigh = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    few, labels = docs.limit(5), spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, toxic int")
+    for run in (lambda: toxicity.score(few, labels), lambda: minhash.classed(few), lambda: packing.pack(few, tokenizer_path())):
+        spark.conf.unset(key)
+        run()
+        assert docs.select("text").mapInArrow(weigh, "n bigint").agg(F.max("n")).first()[0] < 2 * util.BATCH_BYTES
+    spark.conf.set(key, "1m")
+    util.bound_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
 def near_texts():
     rng = random.Random(2)
     base = sentence(rng, 150).split()
