@@ -278,3 +278,16 @@ def test_op13_by_the_libraries(spark, monkeypatch, links):
     for k, w in want.items():
         assert tuple(got[k][c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")) == w[:6]
         assert got[k]["groups_sha256"] == (sha(w[6]) if w[6] else "")
+
+
+def test_a_block_aligns_each_segment_once():
+    a, b = tokenizer_path(A), tokenizer_path(B)
+    texts = ["The segments of this text, é and\nall."] * 50 + ["of this  text \n", " The text", "日本 text, this", "text \x1c of", "this ﬁ text, of", "", "   ", "text, "]
+    block = token_align.Block([x.encode() for x in texts], a, b)
+    want = plain_alignment(dict(enumerate(texts)))
+    names = token_align._all_names(a, b)
+    assert ["".join(block.listed(*names, k)) for k in range(len(texts))] == [w[6] for w in want.values()]
+    assert [tuple(map(int, x)) for x in zip(block.n_a, block.n_b, block.n_groups, block.n_links, strict=True)] == [w[:4] for w in want.values()]
+    doc, _, n = block.links(16)
+    assert np.bincount(doc, n, len(texts)).astype(int).tolist() == [w[3] for w in want.values()]
+    assert len(block.a) < want[0][0] + 60  # tokens that went through the alignment, not 50 times as many
